@@ -46,7 +46,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     beginning with ``_`` must be renamed by the caller; all others are carried along.
     """
     places = (
-        docs.select(F.col(id_col).alias("id"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("version"), F.posexplode(cut_chunks(F.col(text_col))).alias("place", "chunk"))
+        docs.select(F.col(id_col).alias("id"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("version"), F.posexplode_outer(cut_chunks(F.col(text_col))).alias("place", "chunk"))
         .where((F.col("chunk.n_lines") >= min_lines) & F.col("chunk.text").rlike(r"\S"))
         .select("id", "version", "place", F.col("chunk.n_lines").alias("n_lines"), F.col("chunk.text").alias("body"))
     )
