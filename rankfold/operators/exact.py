@@ -387,7 +387,7 @@ def grouped_exact_quantiles(df: DataFrame, by: Sequence[str], col: str, qs: Sequ
     real = F.col("v").isNotNull() & ~F.isnan("v")
     stats = rows.groupBy(*by).agg(F.count("v").alias("n"), F.count_if(real).alias("real"), F.expr(f"kll_sketch_agg_double(v, {k}) FILTER (WHERE v IS NOT NULL AND NOT isnan(v))").alias("s"))
     low, high = ([F.lit(min(max(q + d, 0.0), 1.0)) for q in qs] for d in (-eps, eps))
-    near = lambda f: F.when(F.col("real") > 0, F.kll_sketch_get_quantile_double("s", F.array(*f)))
+    near = lambda f: F.when(F.col("real") > 0, F.kll_sketch_get_quantile_double("s", F.array(*f))).otherwise(F.array_repeat(F.lit(None).cast("double"), len(qs)))
     ends = F.arrays_zip(F.array(*[F.lit(float(q)) for q in qs]).alias("q"), near(low).alias("lo"), near(high).alias("hi"))
     targets = stats.withColumn("x", F.explode(ends)).select(*by, "n", "real", "x.*")
     k1, k2 = rank.columns(F.col("q"), F.col("n"))
