@@ -1,12 +1,17 @@
-"""Connected components of a graph held as rows, in rounds of shuffles; nothing of it is collected.
+"""Connected components of a graph held as rows, by contraction; nothing of it is collected.
 
-Every node takes the smallest label among its neighbours and itself, then the label of its label (pointer jumping), so
-labels travel a doubling distance; the rounds end when none changed.  Each round's labels are written to the shared
-folder.  Minima combine before their shuffle, so a node with very many links is one row per task there.
+In each round every node points to the smallest of its neighbours and itself, then to where that one points, and the
+links are redrawn between the nodes pointed to; links inside what became one node vanish.  A path halves at least, so
+the rounds grow with the logarithm of a component's breadth, and the links that are left shrink from round to round.
+Rounds are written to the shared folder.  Minima combine before their shuffle, so a node with very many links is one
+row per task there.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,14 +20,31 @@ from .shared import materialize
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, component (the smallest node reachable by links) of every node that has a link.  Links may repeat."""
-    both = links.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a != b")
-    edges = materialize(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = materialize(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")), "labels")
+    edges = materialize(links.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a < b").distinct(), "links")
+    rounds: list[DataFrame] = []
+    while edges.limit(1).count():
+        ends = edges.select("a", F.col("a").alias("m")).unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("m")))
+        points = ends.groupBy("a").agg(F.min("m").alias("m"))
+        beyond = points.select(F.col("a").alias("m"), F.col("m").alias("p"))
+        jumped = materialize(points.join(beyond, "m").select(F.col("a").alias("node"), "p"), "labels")
+        rounds.append(jumped)
+        of = lambda name: jumped.select(F.col("node").alias(name), F.col("p").alias(f"p{name}"))
+        drawn = edges.join(of("a"), "a").join(of("b"), "b").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b"))
+        edges = materialize(drawn.where("a < b").distinct(), "links")
+    if not rounds:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    follow = lambda so_far, step: so_far.join(step.select(F.col("node").alias("p"), F.col("p").alias("q")), "p", "left").select("node", F.coalesce("q", "p").alias("p"))
+    return materialize(reduce(follow, rounds).withColumnRenamed("p", "component"), "labels")
+
+
+def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Root of each of ``n`` nodes: the smallest of its component under the links a-b."""
+    root = np.arange(n)
     while True:
-        heard = edges.join(labels.select(F.col("node").alias("b"), F.col("component").alias("c")), "b").groupBy(F.col("a").alias("node")).agg(F.min("c").alias("c"))
-        met = labels.join(heard, "node").select("node", F.least("component", "c").alias("next"), "component")
-        jump = labels.select(F.col("node").alias("next"), F.col("component").alias("beyond"))
-        new = materialize(met.join(jump, "next").select("node", F.col("component").alias("before"), F.least("next", "beyond").alias("component")), "labels")
-        labels = new.select("node", "component")
-        if not new.where("component != before").limit(1).count():
-            return labels
+        before = root.copy()
+        np.minimum.at(root, a, before[b])
+        np.minimum.at(root, b, before[a])
+        np.minimum.at(root, before, root)
+        root = root[root]
+        if (root == before).all():
+            return root

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import components, forest
 from .shared import materialize
 
 TILE = 1024
@@ -52,19 +52,6 @@ def near_pairs(x: np.ndarray, y: np.ndarray, threshold: float, block: int = 512)
     return np.concatenate(found_i), np.concatenate(found_j)
 
 
-def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Root of each of ``n`` nodes: the smallest of its component under the links a-b."""
-    root = np.arange(n)
-    while True:
-        before = root.copy()
-        np.minimum.at(root, a, before[b])
-        np.minimum.at(root, b, before[a])
-        np.minimum.at(root, before, root)
-        root = root[root]
-        if (root == before).all():
-            return root
-
-
 def embedding_dedup(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", tile: int = TILE) -> DataFrame:
     """One row per vector: ``id_col``, n_links (other vectors linked directly), component_id (smallest id reachable), kept.
 

@@ -1,14 +1,16 @@
 """N-gram Jaccard join over prefix trees.
 
 The global order puts n-grams that many documents hold last (``frequent``), the others by hash.  Two sets with a Jaccard
-similarity of t share one of the first |x| - ceil(t |x|) + 1 n-grams of each in that order, so documents meet by those.
+similarity of t share m of the first |x| - ceil(t |x|) + m n-grams of each in that order, so documents meet by those.
 
 1. Equal texts are merged.
 2. Every task counts the n-grams of all its documents and passes on those it meets often; the totals give the order.
    The order needs to be the same everywhere, not right: it decides how many documents meet, never which ones link.
 3. Each prefix n-gram goes, packed with others of its hash range, to an owner, who names the smallest document id that
    has it (and a similar size) the meeting point of the others.  Similar documents so get few and mostly equal meeting
-   points, and any two that share a prefix n-gram have one in common.
+   points, and any two that share a prefix n-gram have one in common.  A document that shares fewer prefix n-grams
+   than a link takes meets nobody, and each leaves out the points of its fewest n-grams while they make up less than
+   half of that: two documents that link then still keep a point in common.
 4. Documents go to their meeting points with their texts.  One with more than ``BLOCK`` documents is dealt to blocks.
    Each block is joined exactly by a prefix tree: n-gram sets sorted by falling frequency in the block, equal prefixes
    stored and counted once; the overlaps with all later documents are carried down the tree, and a document is left
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import pieces
-from .components import components
+from .components import components, forest
 from .shared import ascii_lower, materialize, shuffle_width
 from .shingles import WORDS, shingle_sets
 
@@ -50,8 +52,14 @@ def required(a, b, percent: int):
     return -(-(percent * (a + b)) // (100 + percent))
 
 
-def prefix_length(n: int, percent: int) -> int:
-    return n - -(-percent * n // 100) + 1
+def must_share(n):
+    """How many n-grams the prefixes of two sets that link share at least, if neither is smaller than n."""
+    return 1 + n // 8
+
+
+def prefix_length(n, percent: int):
+    """As a link shares at least ceil(percent n / 100) n-grams, prefixes of this length share ``must_share`` of the smaller."""
+    return n - -(-percent * n // 100) + must_share(n)
 
 
 def tree_join(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -189,7 +197,7 @@ def _prefixes(sent, words: int, percent: int, fan: int) -> Callable:
                     weight[hit] = frequency[at[hit]]
                     order = np.lexsort((weight, owner))  # stable: ties stay by hash
                     grams = grams[order]
-                wanted = np.where(size > 0, size - -(-percent * size // 100) + 1, 0)
+                wanted = np.where(size > 0, prefix_length(size, percent), 0)
                 keep = pieces.ragged(offsets[:-1], wanted)
                 of = owner[keep]
                 out.append((grams[keep], ids[a:b][of], size[of].astype(np.int32)))
@@ -203,7 +211,7 @@ def _prefixes(sent, words: int, percent: int, fan: int) -> Callable:
 
 
 def _meeting(percent: int) -> Callable:
-    """Owner of hash ranges: (id, point), the point being the smallest id that shares the n-gram at a similar size.
+    """Owner of hash ranges: (id, point, size of the set, shared n-grams), the point being the smallest id that shares them at a similar size.
 
     Rows come sorted by bucket; only one bucket is held.
     """
@@ -218,8 +226,13 @@ def _meeting(percent: int) -> Callable:
         length = np.diff(np.append(first, len(grams)))
         point = np.repeat(np.minimum.reduceat(ids, first), length)
         some = np.repeat(length > 1, length)
-        pairs = np.unique(np.stack([point[some], ids[some]]), axis=1) if some.any() else np.zeros((2, 0), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[1], pa.int64()), pa.array(pairs[0], pa.int64())], names=["id", "point"])
+        point, ids, sizes = point[some], ids[some], sizes[some]
+        order = np.lexsort((ids, point))
+        point, ids, sizes = point[order], ids[order], sizes[order]
+        first = np.flatnonzero(np.append(True, (point[1:] != point[:-1]) | (ids[1:] != ids[:-1]))) if len(ids) else np.zeros(0, np.int64)
+        shared = np.diff(np.append(first, len(ids)))
+        columns = ids[first], point[first], sizes[first], shared
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["id", "point", "n", "shared"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -244,9 +257,11 @@ def _join_blocks(words: int, percent: int) -> Callable:
         key, ids, sets = None, [], []
 
         def solved() -> pa.RecordBatch:
-            a, b = tree_join(sets, percent)
             own = np.array(ids, np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(own[a]), pa.array(own[b])], names=["a", "b"])
+            order = np.argsort(own, kind="stable")
+            root = forest(len(own), *(np.argsort(order)[x] for x in tree_join(sets, percent)))  # by rank of id
+            a, b = own[order], own[order[root]]
+            return pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], names=["a", "b"])
 
         for batch in batches:
             keys, own, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), _texts(batch, 2)
@@ -298,14 +313,18 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sent = spark.sparkContext.broadcast((known[order], top.column("n").to_numpy().astype(np.int64)[order]))
     fan = 4 * width
     packed = bodies.mapInArrow(_prefixes(sent, words, percent, fan), "bucket int, grams binary, ids binary, sizes binary")
-    met = packed.repartition(width, "bucket").sortWithinPartitions("bucket").mapInArrow(_meeting(percent), "id long, point long")
-    points = materialize(met.distinct(), "join-points")
-    many = points.groupBy("point").agg(F.count("*").alias("members")).withColumn("blocks", F.ceil(F.col("members") / block).cast("long"))
-    dealt = points.join(many.where("blocks > 1").select("point", "blocks"), "point", "left")
+    met = packed.repartition(width, "bucket").sortWithinPartitions("bucket").mapInArrow(_meeting(percent), "id long, point long, n long, shared long")
+    met = met.groupBy("id", "point", "n").agg(F.sum("shared").alias("shared"))
+    rising = Window.partitionBy("id").orderBy("shared", "point").rowsBetween(Window.unboundedPreceding, 0)
+    needed = F.lit(1) + F.floor(F.ceil(F.col("n") * percent / 100) / 8)  # must_share of the smallest partner
+    met = met.withColumn("upto", F.sum("shared").over(rising)).withColumn("all", F.sum("shared").over(Window.partitionBy("id")))
+    points = materialize(met.where((F.col("all") >= needed) & (2 * F.col("upto") >= needed)).select("id", "point"), "join-points")
+    many = points.groupBy("point").agg(F.count("*").alias("members")).where("members > 1").withColumn("blocks", F.ceil(F.col("members") / block).cast("long"))
+    dealt = points.join(many.select("point", "blocks"), "point")
     own = F.col("id") == F.col("point")
-    # the meeting point's own document stands in every block
-    blocks = F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).when(own, F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), F.col("blocks"))))
-    routes = materialize(dealt.select("point", F.explode(blocks).alias("block"), F.col("id").alias("rep"), F.coalesce("blocks", F.lit(1).cast("long")).alias("blocks")), "join-routes")
+    # the meeting point's own document, if it is there, stands in every block
+    blocks = F.when(own, F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), F.col("blocks"))))
+    routes = materialize(dealt.select("point", F.explode(blocks).alias("block"), F.col("id").alias("rep"), "blocks"), "join-routes")
     links = materialize(_linked(routes.select("point", "block", "rep"), bodies, words, percent, width), "join-links")
     parts = components(links)
     large = routes.where("blocks > 1")
