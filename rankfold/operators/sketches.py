@@ -12,8 +12,9 @@ holds more than that many summaries.
 from __future__ import annotations
 
 import math
-import pickle
+import struct
 from collections.abc import Callable, Iterator
+from typing import Protocol
 
 import numpy as np
 import pandas as pd
@@ -23,6 +24,32 @@ from pyspark.sql import functions as F
 from ..plans import planner
 
 FAN_IN = 32
+#: First byte of every serialized summary.
+VERSION = 1
+
+
+class Summary(Protocol):
+    """What a mergeable summary of doubles can do."""
+
+    def update(self, values: np.ndarray) -> Summary: ...
+
+    def merge(self, other: Summary) -> Summary: ...
+
+    def bracket(self, k1: int, k2: int, pr: float) -> tuple[float, float]:
+        """Values that enclose two ranks (from 1) with probability ``pr``."""
+
+    def exact(self) -> bool:
+        """Whether nothing was given up so far."""
+
+    def to_bytes(self) -> bytes: ...
+
+
+def load(state: bytes) -> Summary:
+    """The summary behind its bytes."""
+    version, kind = struct.unpack_from("<BB", state)
+    if version != VERSION:
+        raise ValueError(f"summary of version {version}; this code reads {VERSION}")
+    return (Compactor, Clusters)[kind].from_bytes(state)
 
 
 class Compactor:
@@ -109,11 +136,9 @@ class Compactor:
         if not self.random:
             # even places were kept: a value's rank is at most its approximate one
             down, up = 0, self.error(1.0)
-        at = np.searchsorted(upto, max(k1 - down, 1), "left")
-        lo = values[at] if at < len(values) and upto[at] >= 1 else self.high
-        lo = values[at - 1] if at > 0 and k1 - down <= upto[at - 1] else lo
-        # nothing below the first kept value can be told apart from the minimum
-        lo = self.low if at == 0 or k1 - down <= 1 else min(lo, values[min(at, len(values) - 1)])
+        # the last kept value that surely (or probably) has fewer than k1 rows before it; the minimum if none has
+        at = int(np.searchsorted(upto, k1 - down, "left"))
+        lo = self.low if at == 0 or k1 - down <= 1 else values[at - 1]
         to = np.searchsorted(upto, k2 + up, "left")
         hi = self.high if to >= len(values) else values[to]
         return float(min(lo, hi)), float(hi)
@@ -121,6 +146,25 @@ class Compactor:
     def exact(self) -> bool:
         return not any(self.compactions)
 
+    def to_bytes(self) -> bytes:
+        """Version, kind, parameters, then compactions and values level by level."""
+        head = struct.pack("<BBIBqddH", VERSION, 0, self.slots, self.random, self.n, self.low, self.high, len(self.levels))
+        return head + b"".join(struct.pack("<qI", c, len(x)) for c, x in zip(self.compactions, self.levels)) + b"".join(np.ascontiguousarray(x, "<f8").tobytes() for x in self.levels)
+
+    @classmethod
+    def from_bytes(cls, state: bytes) -> Compactor:
+        _, _, slots, random, n, low, high, levels = struct.unpack_from("<BBIBqddH", state)
+        at = struct.calcsize("<BBIBqddH")
+        out = cls(slots, bool(random), seed=n)
+        out.n, out.low, out.high = n, low, high
+        table = [struct.unpack_from("<qI", state, at + i * struct.calcsize("<qI")) for i in range(levels)]
+        at += levels * struct.calcsize("<qI")
+        out.compactions, out.levels = [c for c, _ in table], []
+        for _, size in table:
+            out.levels.append(np.frombuffer(state, "<f8", size, at).copy())
+            at += 8 * size
+        return out
+
 
 class Clusters:
     """Mergeable equal-count clusters (count, sum, min, max) over doubles."""
@@ -183,8 +227,20 @@ class Clusters:
     def exact(self) -> bool:
         return bool((self.rows[:, 2] == self.rows[:, 3]).all())
 
+    def to_bytes(self) -> bytes:
+        """Version, kind, parameters, then a row (count, sum, min, max) per cluster."""
+        return struct.pack("<BBIqI", VERSION, 1, self.slots, self.n, len(self.rows)) + np.ascontiguousarray(self.rows, "<f8").tobytes()
+
+    @classmethod
+    def from_bytes(cls, state: bytes) -> Clusters:
+        _, _, slots, n, rows = struct.unpack_from("<BBIqI", state)
+        out = cls(slots)
+        out.n = n
+        out.rows = np.frombuffer(state, "<f8", 4 * rows, struct.calcsize("<BBIqI")).reshape(rows, 4).copy()
+        return out
+
 
-def tree_merge(df: DataFrame, column: str, make: Callable[[], object], fan_in: int = FAN_IN):
+def tree_merge(df: DataFrame, column: str, make: Callable[[], Summary], fan_in: int = FAN_IN) -> Summary:
     """One summary of a double column: per partition, then merged ``fan_in`` at a time."""
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -193,14 +249,14 @@ def tree_merge(df: DataFrame, column: str, make: Callable[[], object], fan_in: i
         summary = make()
         for pdf in batches:
             summary.update(pdf[column].to_numpy(np.float64))
-        yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "state": [pickle.dumps(summary)]})
+        yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "state": [summary.to_bytes()]})
 
     def merged(group: pd.DataFrame) -> pd.DataFrame:
         states = group.sort_values("part")["state"]
-        summary = pickle.loads(states.iloc[0])
+        summary = load(states.iloc[0])
         for s in states.iloc[1:]:
-            summary.merge(pickle.loads(s))
-        return pd.DataFrame({"part": [int(group["part"].iloc[0]) // fan_in], "state": [pickle.dumps(summary)]})
+            summary.merge(load(s))
+        return pd.DataFrame({"part": [int(group["part"].iloc[0]) // fan_in], "state": [summary.to_bytes()]})
 
     values = df.select(column).where(F.col(column).isNotNull() & ~F.isnan(column))
     parts = max(1, values.rdd.getNumPartitions())
@@ -213,5 +269,5 @@ def tree_merge(df: DataFrame, column: str, make: Callable[[], object], fan_in: i
     rows = level.collect()
     summary = make()
     for r in rows:
-        summary = summary.merge(pickle.loads(r["state"]))
+        summary = summary.merge(load(r["state"]))
     return summary

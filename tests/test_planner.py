@@ -6,7 +6,7 @@ import pytest
 
 from rankfold.functions import ranks as R
 from rankfold.functions.codes import decode_array, encode_array
-from rankfold.operators.sketches import Clusters, Compactor
+from rankfold.operators.sketches import Clusters, Compactor, load
 from rankfold.plans import planner as P
 
 
@@ -69,7 +69,8 @@ def test_sure_brackets_hold_after_merging(make):
         x = r.choice([r.normal(size=n), r.integers(0, 9, n).astype(float), np.sort(r.normal(size=n))], axis=0)
         summary = make()
         for part in np.array_split(x, 5):
-            summary.merge(make().update(part))
+            summary.merge(load(make().update(part).to_bytes()))
+        summary = load(summary.to_bytes())
         x = np.sort(x)
         for q in (0.0, 0.1, 0.5, 0.77, 1.0):
             k1, k2 = R.MID.ranks(q, n)
