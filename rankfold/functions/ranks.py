@@ -6,6 +6,7 @@ Ranks are 1-based here.  Arithmetic is in doubles throughout, as 0.29 and 0.29D
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -14,9 +15,13 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class RankSpec:
-    """``lower``/``upper`` give the two ranks whose values are averaged, as SQL over ``{q}`` and ``{n}``."""
+    """A convention: ``places(q, n, floor, ceil)`` gives the two ranks whose values are averaged.
+
+    ``places`` takes numbers or Columns alike; ``lower`` and ``upper`` say the same in SQL over ``{q}`` and ``{n}``.
+    """
 
     name: str
+    places: Callable
     lower: str
     upper: str
 
@@ -27,27 +32,25 @@ class RankSpec:
 
     def ranks(self, q: float, n: int) -> tuple[int, int]:
         """The two ranks of ``q`` among ``n`` values (n > 0)."""
-        env = {"floor": math.floor, "ceil": math.ceil}
-        return tuple(min(max(int(eval(x.format(q=float(q), n=n), {"__builtins__": {}}, env)), 1), n) for x in (self.lower, self.upper))  # noqa: S307
+        return tuple(min(max(int(x), 1), n) for x in self.places(float(q), n, math.floor, math.ceil))
 
     def columns(self, q: Column, n: Column) -> tuple[Column, Column]:
         one = F.lit(1).cast("long")
-        made = {"mid": (F.floor(q * (n - 1) + 1), F.ceil(q * (n - 1) + 1)), "floor-ceil": (F.floor(q * n), F.ceil(q * n)), "trunc": (F.floor(q * n) + 1,) * 2, "sample": (F.floor(q * n) + 1,) * 2, "median": (F.floor((n + 1) / 2), F.floor(n / 2) + 1), "dd": (F.floor(q * (n - 1)) + 1,) * 2}
-        return tuple(F.least(F.greatest(x.cast("long"), one), n.cast("long")) for x in made[self.name])
+        return tuple(F.least(F.greatest(x.cast("long"), one), n.cast("long")) for x in self.places(q, n, F.floor, F.ceil))
 
 
 #: The midpoint of the two order statistics about q (n - 1) + 1; what all exact quantiles use unless told otherwise.
-MID = RankSpec("mid", "floor({q} * ({n} - 1) + 1)", "ceil({q} * ({n} - 1) + 1)")
+MID = RankSpec("mid", lambda q, n, floor, ceil: (floor(q * (n - 1) + 1), ceil(q * (n - 1) + 1)), "floor({q} * ({n} - 1) + 1)", "ceil({q} * ({n} - 1) + 1)")
 #: The midpoint of the statistics about q n.
-FLOOR_CEIL = RankSpec("floor-ceil", "floor({q} * {n})", "ceil({q} * {n})")
+FLOOR_CEIL = RankSpec("floor-ceil", lambda q, n, floor, ceil: (floor(q * n), ceil(q * n)), "floor({q} * {n})", "ceil({q} * {n})")
 #: The smallest value of which more than trunc(q n) are not larger.
-TRUNC = RankSpec("trunc", "floor({q} * {n}) + 1", "floor({q} * {n}) + 1")
+TRUNC = RankSpec("trunc", lambda q, n, floor, ceil: (floor(q * n) + 1,) * 2, "floor({q} * {n}) + 1", "floor({q} * {n}) + 1")
 #: A sorted sample's value at index trunc(q m).
-SAMPLE = RankSpec("sample", "floor({q} * {n}) + 1", "floor({q} * {n}) + 1")
+SAMPLE = RankSpec("sample", TRUNC.places, TRUNC.lower, TRUNC.upper)
 #: The usual median, whatever q.
-MEDIAN = RankSpec("median", "floor(({n} + 1) / 2)", "floor({n} / 2) + 1")
+MEDIAN = RankSpec("median", lambda q, n, floor, ceil: (floor((n + 1) / 2), floor(n / 2) + 1), "floor(({n} + 1) / 2)", "floor({n} / 2) + 1")
 #: The first value whose cumulative count exceeds q (n - 1).
-DD = RankSpec("dd", "floor({q} * ({n} - 1)) + 1", "floor({q} * ({n} - 1)) + 1")
+DD = RankSpec("dd", lambda q, n, floor, ceil: (floor(q * (n - 1)) + 1,) * 2, "floor({q} * ({n} - 1)) + 1", "floor({q} * ({n} - 1)) + 1")
 SPECS = {s.name: s for s in (MID, FLOOR_CEIL, TRUNC, SAMPLE, MEDIAN, DD)}
 
 
