@@ -146,6 +146,12 @@ class Compactor:
     def exact(self) -> bool:
         return not any(self.compactions)
 
+    def shrink(self, slots: int) -> Compactor:
+        """Compacts to fewer slots, as before a summary is stored."""
+        self.slots = slots
+        self._shrink()
+        return self
+
     def to_bytes(self) -> bytes:
         """Version, kind, parameters, then compactions and values level by level."""
         head = struct.pack("<BBIBqddH", VERSION, 0, self.slots, self.random, self.n, self.low, self.high, len(self.levels))
@@ -205,6 +211,18 @@ class Clusters:
         inside = (low <= x) & (high > x)
         return int(surely + inside.sum()), int(surely + (count[inside] - 1).sum())
 
+    def shrink(self, slots: int) -> Clusters:
+        """Merges clusters until about ``slots`` are left, as before a summary is stored."""
+        self.slots = slots
+        self._compress()
+        return self
+
+    def rank(self, x: float) -> float:
+        """Estimated number of rows at most x: whole clusters below, and a share of those that hold x by its place in them."""
+        count, _, low, high = self.rows.T
+        share = np.where(high > low, (x - low) / np.where(high > low, high - low, 1.0), (x >= low).astype(float))
+        return float((count * np.clip(share, 0.0, 1.0)).sum())
+
     def quantile(self, q: float) -> float:
         """Estimate by interpolation between cluster means."""
         rows = self.rows[np.argsort(self.rows[:, 1] / self.rows[:, 0])]

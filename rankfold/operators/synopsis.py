@@ -29,12 +29,16 @@ def synopsis(pages: DataFrame, t: str, v: str, k: int = 64, by: str = "page_id")
     return pages.groupBy(by).agg(F.count(x).alias("n"), F.min(t).alias("min_t"), F.max(t).alias("max_t"), F.min(x).alias("min_v"), F.max(x).alias("max_v"), F.expr(f"kll_sketch_agg_double(cast({v} as double), {k})").alias("sketch"))
 
 
-def roll_up(pages: DataFrame, fan: int = 8, levels: int = 3) -> DataFrame:
-    """The synopsis of pages (level 0) and of ``fan`` nodes each for every higher level: adds level and node_id."""
+def roll_up(pages: DataFrame, fan: int = 8, levels: int = 3, k: int | None = None) -> DataFrame:
+    """The synopsis of pages (level 0) and of ``fan`` nodes each for every higher level: adds level and node_id.
+
+    ``k`` is the parameter of the merged sketches; a smaller one than the pages' makes them smaller.
+    """
+    merged = f"kll_merge_agg_double(sketch, {k})" if k else "kll_merge_agg_double(sketch)"
     level = pages.withColumn("level", F.lit(0)).withColumnRenamed("page_id", "node_id")
     out = level
     for k in range(1, levels + 1):
-        level = level.groupBy(F.floor(F.col("node_id") / fan).cast("long").alias("node_id")).agg(F.sum("n").alias("n"), F.min("min_t").alias("min_t"), F.max("max_t").alias("max_t"), F.min("min_v").alias("min_v"), F.max("max_v").alias("max_v"), F.expr("kll_merge_agg_double(sketch)").alias("sketch")).withColumn("level", F.lit(k))
+        level = level.groupBy(F.floor(F.col("node_id") / fan).cast("long").alias("node_id")).agg(F.sum("n").alias("n"), F.min("min_t").alias("min_t"), F.max("max_t").alias("max_t"), F.min("min_v").alias("min_v"), F.max("max_v").alias("max_v"), F.expr(merged).alias("sketch")).withColumn("level", F.lit(k))
         out = out.unionByName(level)
     return out
 

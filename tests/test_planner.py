@@ -91,3 +91,11 @@ def test_bloom_size():
     bits, hashes = P.bloom_size(1000, 0.01)
     assert bits == math.ceil(-1000 * math.log(0.01) / math.log(2) ** 2) and hashes == 7
     assert P.bloom_fpp(bits / 1000) == pytest.approx(0.01, rel=0.01)
+
+
+def test_shrunk_summaries_still_enclose():
+    x = np.sort(np.random.default_rng(4).normal(size=5000))
+    for summary in (Compactor(1024).update(x).shrink(128), Clusters(512).update(x).shrink(64)):
+        lo, hi = summary.bracket(2500, 2501, 1.0)
+        assert lo <= x[2499] <= x[2500] <= hi and len(load(summary.to_bytes()).to_bytes()) < 9000
+        assert abs(summary.rank(0.0) - (x <= 0).sum()) < 400
