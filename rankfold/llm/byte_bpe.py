@@ -5,8 +5,11 @@
 2. The distinct words of all chunks are dealt to owners by a hash of the word.  An owner encodes each word once.
 3. The ids go back to their chunk, and each text is put together by position.
 
-A word of every text is one entry per chunk, never one row per occurrence, so frequent words are no hot keys.  The
-result of step 1 is written to the shared folder; later steps that lose an executor reread it.
+A word of every text is one entry per chunk, never one row per occurrence, so frequent words are no hot keys.
+Steps 2 and 3 each read the texts and cut them, which costs less disk than keeping the words of all texts.  A table reads
+the same way each time, also after an executor was lost; each chunk carries a fingerprint of its ids and words, and
+where the two readings should differ the job fails.  For input that may change its order (``stable=False``) the result
+of step 1 is written to the shared folder first.
 Decoding looks each id up in the token-byte table of the rank file, which is as large as the vocabulary, not the data.
 """
 
@@ -17,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,15 +29,49 @@ from . import pieces
 from .shared import materialize, shuffle_width
 
 CHUNK = 8_000_000
-SLICE = 1_000_000
-CUT_SCHEMA = "chunk string, bucket int, doc_ids array<bigint>, counts array<int>, places array<int>, words array<string>"
+SLICE = 500_000
+#: Words put together at a time.
+STEP = 200_000
+#: bucket -1: ids, word counts and word numbers of a chunk's texts; others: numbers, lengths and letters of its words.
+CUT_SCHEMA = "chunk string, print long, bucket int, a binary, b binary, c binary"
+NO_ID = -(2**63)
+
+
+def _tight(x: np.ndarray) -> bytes:
+    """Integers as bytes, equal places of all of them together, compressed."""
+    import zstandard
+
+    raw = np.ascontiguousarray(x)
+    return zstandard.ZstdCompressor(level=3).compress(raw.view(np.uint8).reshape(len(raw), -1).T.tobytes())
+
+
+def _loose(blob: bytes, kind) -> np.ndarray:
+    import zstandard
+
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(raw.reshape(width, -1).T).reshape(-1).view(kind)
+
+
+def _letters(words: list[str]) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=3).compress("".join(words).encode("utf-8", "surrogatepass"))
+
+
+def _words(lengths: np.ndarray, letters: bytes) -> list[str]:
+    import zstandard
+
+    text = zstandard.ZstdDecompressor().decompress(letters).decode("utf-8", "surrogatepass")
+    ends = np.cumsum(lengths).tolist()
+    return [text[a:b] for a, b in zip([0, *ends], ends)]
 
 
 class _Chunk:
     def __init__(self, name: str) -> None:
         self.name, self.held = name, 0
         self.words: dict[str, int] = {}
-        self.doc_ids: list[int | None] = []
+        self.doc_ids: list[int] = []
         self.counts: list[np.ndarray] = []
         self.places: list[np.ndarray] = []
 
@@ -42,105 +80,144 @@ class _Chunk:
         words, place = pieces.distinct(joined, points, starts, ends)
         known = self.words
         numbers = np.array([known.setdefault(w, len(known)) for w in words], np.int32)
-        self.doc_ids += doc_ids
+        self.doc_ids += [NO_ID if i is None else i for i in doc_ids]
         self.counts.append(np.bincount(owner, minlength=len(texts)).astype(np.int32))
         self.places.append(numbers[place] if len(place) else np.zeros(0, np.int32))
         self.held += len(joined)
 
-    def rows(self, fan: int) -> Iterator[pa.RecordBatch]:
+    def rows(self, fan: int, kinds: str) -> Iterator[pa.RecordBatch]:
         if not self.doc_ids:
             return
-        words = list(self.words)
-        bucket = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) % fan for w in words), np.int64, len(words))
-        order = np.argsort(bucket, kind="stable")
-        cuts = np.searchsorted(bucket[order], np.arange(fan + 1))
-        full = [b for b in range(fan) if cuts[b + 1] > cuts[b]]
-        of = [order[cuts[b] : cuts[b + 1]] for b in full]
-        n = len(full)
-        yield _batch([self.name], [-1], [self.doc_ids], [np.concatenate(self.counts)], [np.concatenate(self.places)], [None])
-        if n:
-            yield _batch([self.name] * n, full, [None] * n, [None] * n, of, [[words[i] for i in o.tolist()] for o in of])
-
-
-def _batch(chunk, bucket, doc_ids, counts, places, words) -> pa.RecordBatch:
-    ints = pa.list_(pa.int32())
-    lists = lambda v: pa.array([None if x is None else x.astype(np.int32) for x in v], ints)
-    return pa.RecordBatch.from_arrays([pa.array(chunk, pa.string()), pa.array(bucket, pa.int32()), pa.array(doc_ids, pa.list_(pa.int64())), lists(counts), lists(places), pa.array(words, pa.list_(pa.string()))], names=["chunk", "bucket", "doc_ids", "counts", "places", "words"])
-
-
-def _cut(fan: int):
+        words, ids = list(self.words), np.array(self.doc_ids, np.int64)
+        mark = zlib.crc32("\n".join(words).encode("utf-8", "surrogatepass"), zlib.crc32(ids.tobytes()))
+        rows = []
+        if kinds != "words":
+            rows.append((self.name, mark, -1, _tight(ids), _tight(np.concatenate(self.counts)), _tight(np.concatenate(self.places))))
+        if kinds != "texts":
+            bucket = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) % fan for w in words), np.int64, len(words))
+            order = np.argsort(bucket, kind="stable")
+            cuts = np.searchsorted(bucket[order], np.arange(fan + 1))
+            for k in np.flatnonzero(np.diff(cuts)).tolist():
+                at = order[cuts[k] : cuts[k + 1]]
+                own = [words[i] for i in at.tolist()]
+                rows.append((self.name, mark, k, _tight(np.diff(at, prepend=0).astype(np.int32)), _tight(np.fromiter(map(len, own), np.int32, len(own))), _letters(own)))
+        if rows:
+            yield _batch(rows, (pa.string(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), ("chunk", "print", "bucket", "a", "b", "c"))
+
+
+def _batch(rows: list[tuple], kinds: tuple, names: tuple) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=list(names))
+
+
+def _cut(fan: int, kinds: str):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number = TaskContext.get().partitionId(), 0
         chunk = _Chunk(f"{task}-{number}")
         for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in pieces.sliced([len(t) for t in texts], SLICE):
-                chunk.add(doc_ids[a:b], texts[a:b])
+            sizes = pc.utf8_length(batch.column(1)).fill_null(0).to_pylist()
+            for a, b in pieces.sliced(sizes, SLICE):
+                part = batch.slice(a, b - a)
+                chunk.add(part.column(0).to_pylist(), [t or "" for t in part.column(1).to_pylist()])
                 if chunk.held >= CHUNK:
-                    yield from chunk.rows(fan)
+                    yield from chunk.rows(fan, kinds)
                     number += 1
                     chunk = _Chunk(f"{task}-{number}")
-        yield from chunk.rows(fan)
+        yield from chunk.rows(fan, kinds)
 
     return cut
 
 
 def _encode(path: str):
+    """Owner of buckets; rows come sorted by bucket and only the words of one bucket are remembered."""
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
-        ids, begins = [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)]
+        at, known = None, {}
+        ids, begin = np.zeros(0, np.uint32), np.zeros(1, np.int64)
         for batch in batches:
-            chunk, places, words = (batch.column(k) for k in range(3))
-            lists = words.to_pylist()
-            fresh = [w for w in dict.fromkeys(w for x in lists for w in x) if w not in known]
-            new_ids, lengths = pieces.encode_words(fresh, path)
-            for w in fresh:
-                known[w] = len(known)
-            ids.append(new_ids)
-            begins.append(begins[-1][-1] + np.cumsum(lengths) if len(fresh) else np.zeros(0, np.int64))
-            begins = [np.concatenate(begins)]
-            ids = [np.concatenate(ids)]
-            out_ids, out_lengths = [], []
-            for x in lists:
-                at = np.array([known[w] for w in x], np.int64)
-                length = begins[0][at + 1] - begins[0][at]
-                out_ids.append(ids[0][pieces.ragged(begins[0][at], length)].astype(np.int32))
-                out_lengths.append(length.astype(np.int32))
-            ints = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([chunk, places, pa.array(out_ids, ints), pa.array(out_lengths, ints)], names=["chunk", "places", "ids", "lengths"])
+            out = []
+            for chunk, mark, bucket, places, lengths, letters in zip(*(c.to_pylist() for c in batch.columns)):
+                if bucket != at:
+                    at, known = bucket, {}
+                    ids, begin = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+                words = _words(_loose(lengths, np.int32), letters)
+                fresh = [w for w in words if w not in known]
+                if fresh:
+                    new_ids, sizes = pieces.encode_words(fresh, path)
+                    for w in fresh:
+                        known[w] = len(known)
+                    ids, begin = np.concatenate([ids, new_ids]), np.concatenate([begin, begin[-1] + np.cumsum(sizes)])
+                place = np.fromiter((known[w] for w in words), np.int64, len(words))
+                size = begin[place + 1] - begin[place]
+                out.append((chunk, mark, places, _tight(ids[pieces.ragged(begin[place], size)].astype(np.int32)), _tight(size.astype(np.int32))))
+            if out:
+                yield _batch(out, (pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), ("chunk", "print", "places", "ids", "lengths"))
 
     return encode
 
 
-def _together(texts: pa.Table, words: pa.Table) -> pa.Table:
-    """Ids of each text of a chunk, from its word numbers and the ids of its words."""
-    flat = lambda t, name: t.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    place, ids, lengths = (flat(words, c) for c in ("places", "ids", "lengths"))
-    begin = np.zeros(len(place), np.int64)
-    length = np.zeros(len(place), np.int64)
-    begin[place] = np.cumsum(lengths) - lengths
-    length[place] = lengths
-    used, counts = flat(texts, "places"), flat(texts, "counts").astype(np.int64)
-    doc_ids = texts.column("doc_ids").combine_chunks().flatten()
-    sizes = length[used] if len(used) else np.zeros(0, np.int64)
-    out = ids[pieces.ragged(begin[used], sizes)].astype(np.int32) if len(used) else np.zeros(0, np.int32)
-    upto = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)])]
-    return pa.table({"id": doc_ids, "ids": pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(out))})
-
-
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _together(path: str, decoded: bool):
+    """Ids of each text of a chunk, and the bytes they decode to, from its word numbers and the ids of its words."""
+
+    def together(texts: pa.Table, words: pa.Table) -> pa.Table:
+        if len(texts) != 1 or set(words.column("print").to_pylist()) - {texts.column("print")[0].as_py()}:
+            raise RuntimeError("the texts did not read the same way twice; encode them with stable=False")
+        row = {c: texts.column(c)[0].as_py() for c in "abc"}
+        doc_ids, counts, used = _loose(row["a"], np.int64), _loose(row["b"], np.int32).astype(np.int64), _loose(row["c"], np.int32)
+        got = [(np.cumsum(_loose(p, np.int32)), _loose(i, np.int32), _loose(n, np.int32)) for p, i, n in zip(*(words.column(c).to_pylist() for c in ("places", "ids", "lengths")))]
+        place, ids, lengths = (np.concatenate([g[k] for g in got] or [np.zeros(0, np.int32)]) for k in range(3))
+        del got
+        begin, length = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
+        begin[place] = np.cumsum(lengths) - lengths
+        length[place] = lengths
+        if decoded:
+            table, offsets = pieces.token_bytes(path)
+            bytes_upto = np.concatenate([[0], np.cumsum(offsets[ids + 1] - offsets[ids])])
+            letters = table[pieces.ragged(offsets[ids], offsets[ids + 1] - offsets[ids])]
+        first = np.concatenate([[0], np.cumsum(counts)])
+        batches = []
+        for a, b in pieces.sliced(counts.tolist(), STEP):
+            some = used[first[a] : first[b]]
+            own = doc_ids[a:b]
+            columns = [pa.array(own, mask=own == NO_ID), _lists(pa.ListArray, ids, begin[some], length[some], counts[a:b])]
+            if decoded:
+                at = bytes_upto[begin[some]]
+                columns.append(_lists(pa.BinaryArray, letters, at, bytes_upto[begin[some] + length[some]] - at, counts[a:b]))
+            batches.append(pa.RecordBatch.from_arrays(columns, names=["id", "ids", *["decoded"] * decoded]))
+        return pa.Table.from_batches(batches)
+
+    return together
+
+
+def _lists(kind, values: np.ndarray, begin: np.ndarray, length: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """Slices of ``values``, one after another, as one list (or binary) for every ``counts`` slices."""
+    out = values[pieces.ragged(begin, length)]
+    upto = np.concatenate([[0], np.cumsum(length)])[np.concatenate([[0], np.cumsum(counts)])].astype(np.int32)
+    if kind is pa.BinaryArray:
+        return pa.BinaryArray.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(upto), pa.py_buffer(np.ascontiguousarray(out))])
+    return pa.ListArray.from_arrays(pa.array(upto), pa.array(out.astype(np.int32)))
+
+
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False, stable: bool = True) -> DataFrame:
     """One row per document: ``id_col`` and ids (array<int>), as the library encodes it without special tokens.
 
+    With ``decoded`` also the bytes that the ids decode to (binary): the token-byte table is joined to the ids of each
+    distinct word, and the texts' bytes are put together by position like their ids.
+
     A null text counts as empty and has no ids.  Repeated rows and ids are encoded each.  Ids must be integers or null.
     An empty table gives an empty result; other columns are ignored.
     """
     fan = shuffle_width(docs.sparkSession, 32)
-    cut = materialize(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_cut(fan), CUT_SCHEMA), "bpe-words")
-    owned = cut.where("bucket >= 0").select("chunk", "places", "words", "bucket").repartition("bucket").drop("bucket")
-    coded = owned.mapInArrow(_encode(path), "chunk string, places array<int>, ids array<int>, lengths array<int>")
-    texts = cut.where("bucket < 0").select("chunk", "doc_ids", "counts", "places")
-    done = texts.groupBy("chunk").cogroup(coded.groupBy("chunk")).applyInArrow(_together, "id long, ids array<int>")
-    return done.select(F.col("id").alias(id_col), "ids")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    if stable:
+        words, texts = (rows.mapInArrow(_cut(fan, kinds), CUT_SCHEMA) for kinds in ("words", "texts"))
+    else:
+        both = materialize(rows.mapInArrow(_cut(fan, "both"), CUT_SCHEMA), "bpe-words")
+        words, texts = both.where("bucket >= 0"), both.where("bucket < 0")
+    owned = words.repartition("bucket").sortWithinPartitions("bucket")
+    coded = owned.mapInArrow(_encode(path), "chunk string, print long, places binary, ids binary, lengths binary")
+    texts = texts.select("chunk", "print", "a", "b", "c")
+    done = texts.groupBy("chunk").cogroup(coded.groupBy("chunk")).applyInArrow(_together(path, decoded), "id long, ids array<int>" + ", decoded binary" * decoded)
+    return done.withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:

@@ -147,20 +147,35 @@ def awkward(n=400):
     return AWKWARD + ["".join(r.choice(letters) for _ in range(r.randint(0, 30))) for _ in range(n)]
 
 
-def test_bpe_round_trip_and_library(spark, monkeypatch):
+@pytest.mark.parametrize("stable", [True, False])
+def test_bpe_round_trip_and_library(spark, monkeypatch, stable, tmp_path):
     import tiktoken
 
     monkeypatch.setattr(byte_bpe, "CHUNK", 2000)
     texts = awkward()
     library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=pieces.load_ranks(RANKS), special_tokens={})
-    encoded = byte_bpe.encode(docs(spark, texts).repartition(3), RANKS)
+    table = docs(spark, texts).repartition(3)
+    if stable:
+        table.write.parquet(str(tmp_path / "t"))
+        table = spark.read.parquet(str(tmp_path / "t"))
+    encoded = byte_bpe.encode(table, RANKS, decoded=True, stable=stable).withColumnRenamed("decoded", "by_word")
     got = {r["doc_id"]: r for r in byte_bpe.decode(encoded, RANKS).collect()}
     for k, t in enumerate(texts):
         assert got[k]["ids"] == library.encode_ordinary(t or ""), repr(t)
-        assert bytes(got[k]["decoded"]).decode() == (t or "")
+        assert bytes(got[k]["decoded"]).decode() == bytes(got[k]["by_word"]).decode() == (t or "")
     assert rows(byte_bpe.encode(docs(spark, []), RANKS)) == []
 
 
+def test_bpe_fails_where_texts_change_between_readings(spark):
+    def restless(batches):
+        for pdf in batches:
+            yield pdf.assign(text=[f"{t} {random.SystemRandom().random()}" for t in pdf["text"]])
+
+    table = docs(spark, ["a b", "c d", "e f g"]).select("doc_id", "text").mapInPandas(restless, "doc_id long, text string")
+    with pytest.raises(Exception, match="twice"):
+        byte_bpe.encode(table, RANKS).collect()
+
+
 def test_bpe_null_and_repeated_ids(spark):
     df = spark.createDataFrame([(None, "a b"), (3, "a b"), (3, "a b")], "doc_id long, text string")
     got = byte_bpe.encode(df, RANKS).collect()
