@@ -377,7 +377,7 @@ def call(name: str, df: DataFrame, col: str, **attributes: str) -> DataFrame:
 
 
 def grouped_exact_quantiles(df: DataFrame, by: Sequence[str], col: str, qs: Sequence[float], *, rank: RankSpec = MID, k: int = 200, width: float = 4.0) -> DataFrame:
-    """(by..., q, n, value) in one plan: a KLL sketch per group brackets each rank, counts decide, and groups whose bracket missed are sorted.
+    """(by..., q, n, value) in two passes: a KLL sketch per group brackets each rank, counts decide, and groups whose bracket missed are sorted.
 
     A group's rows outside its brackets are only counted; equal values inside are merged before the shuffle.  Nulls are
     ignored, NaN is greatest, a group without values has a null value.
@@ -386,6 +386,7 @@ def grouped_exact_quantiles(df: DataFrame, by: Sequence[str], col: str, qs: Sequ
     eps = width * planner.kll_error(k)
     real = F.col("v").isNotNull() & ~F.isnan("v")
     stats = rows.groupBy(*by).agg(F.count("v").alias("n"), F.count_if(real).alias("real"), F.expr(f"kll_sketch_agg_double(v, {k}) FILTER (WHERE v IS NOT NULL AND NOT isnan(v))").alias("s"))
+    stats = stats.persist(StorageLevel.MEMORY_AND_DISK)  # a row per group, read by both passes
     low, high = ([F.lit(min(max(q + d, 0.0), 1.0)) for q in qs] for d in (-eps, eps))
     near = lambda f: F.when(F.col("real") > 0, F.kll_sketch_get_quantile_double("s", F.array(*f))).otherwise(F.array_repeat(F.lit(None).cast("double"), len(qs)))
     ends = F.arrays_zip(F.array(*[F.lit(float(q)) for q in qs]).alias("q"), near(low).alias("lo"), near(high).alias("hi"))
@@ -406,7 +407,11 @@ def grouped_exact_quantiles(df: DataFrame, by: Sequence[str], col: str, qs: Sequ
     at = lambda rank_: F.max(F.when((F.col(rank_) <= F.col("upto")) & (F.col(rank_) > F.col("upto") - F.col("c")) & (F.col("side") == 0), F.col("v")))
     picked = ranked.groupBy(*by, "q", "n", "k1", "k2", "real").agg(at("k1").alias("a"), at("k2").alias("b"))
     picked = picked.withColumn("value", F.when(F.col("k2") > F.col("real"), F.lit(math.nan)).otherwise((F.col("a") + F.col("b")) * 0.5))
+    picked = picked.persist(StorageLevel.MEMORY_AND_DISK)
     hit = picked.where("value IS NOT NULL").select(*by, "q", "n", "value")
+    empty = targets.where("n = 0").select(*by, "q", "n", F.lit(None).cast("double").alias("value"))
+    if not picked.where("value IS NULL").limit(1).count():
+        return hit.unionByName(empty)
     missed = picked.where("value IS NULL").select(*by, "q", "n", "k1", "k2")
     m = missed.alias("m")
     values = rows.where("v IS NOT NULL").groupBy(*by, (F.col("v") + 0.0).alias("v")).agg(F.count("*").alias("c")).alias("x")
@@ -414,5 +419,4 @@ def grouped_exact_quantiles(df: DataFrame, by: Sequence[str], col: str, qs: Sequ
     again = again.withColumn("upto", F.sum("c").over(Window.partitionBy(*by, "q").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
     plain = lambda rank_: F.max(F.when((F.col(rank_) <= F.col("upto")) & (F.col(rank_) > F.col("upto") - F.col("c")), F.col("v")))
     sorted_ = again.groupBy(*by, "q", "n").agg(((plain("k1") + plain("k2")) * 0.5).alias("value"))
-    empty = targets.where("n = 0").select(*by, "q", "n", F.lit(None).cast("double").alias("value"))
     return hit.unionByName(sorted_).unionByName(empty)
