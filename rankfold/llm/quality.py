@@ -27,7 +27,7 @@ from . import pieces
 #: Size of the hashed part of the term table; the word terms follow it.
 SHAPES = 1024
 WORD_TERMS = 8
-SLICE = 2_000_000
+SLICE = 500_000
 #: A word term counts this much, as it stands for several characters.
 WORD_WEIGHT = 4.0
 
