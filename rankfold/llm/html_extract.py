@@ -3,8 +3,8 @@
 Every run of text in a page has a path of tags from the root to its leaf.  Per path, the amount of text and of
 punctuation over the number of its nodes is aggregated; both ratios are smoothed over the order in which the paths'
 nodes come in the page, fused by their product, and paths over a threshold are content.  Page furniture that HTML itself
-names (menus, headers, footers, sidebars, forms, notices, adverts, comments) takes no part, and a page that marks an
-article or main part is read inside that part.
+names (menus, headers, footers, sidebars, forms, notices, adverts, comments) takes no part.  An article or main part that
+a page marks gives its blocks a finite weight; the ratios decide on every page, inside the part and outside.
 
 Pages are independent: the operator is a map over rows, in one pass over each whole page.
 """
@@ -32,6 +32,10 @@ FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search
 FURNITURE_WORD = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|promo\w*|sponsor\w*|banner\w*|cookie\w*|consent|notice|gdpr|popup|modal|newsletter|subscribe|sidebar\w*|side|widget\w*|nav\w*|menu\w*|breadcrumb\w*|pagination|pager|footer|masthead|comments?|comment-\w+|reply|replies|disqus|respond|related|recommend\w*|share|sharing|social|login|signup|search|tags?|toolbar)(?:$|[\s_-])", re.I)
 #: The text's own frame: inside it a header belongs to the article.
 MAIN = ("article", "main")
+#: Blogs name an article's tags and options in its class, so there a name must begin with the word and say a comment, teaser or advert.
+MAIN_FURNITURE_WORD = re.compile(r"(?:^|\s)(?:ads?|advert\w*|promo\w*|sponsor\w*|comments?|reply|replies|disqus|respond|related|recommend\w*|teasers?|widget\w*|newsletter|sidebar)(?:$|\s|[_-]+(?:\d+|body|box|card|content|entry|item|list|posts?|text)(?:$|\s))", re.I)
+#: What the ratios of blocks in such a frame are multiplied with.
+MAIN_WEIGHT = 1.25
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
@@ -48,15 +52,16 @@ def _furniture(tag: str, attributes: str, inside_main: bool) -> bool:
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
     if found.get("role", "").lower() in FURNITURE_ROLES or found.get("aria-hidden") == "true" or "hidden" in found:
         return True
-    return tag not in ("html", "body", *MAIN) and bool(FURNITURE_WORD.search(f"{found.get('class', '')} {found.get('id', '')}"))
+    word = MAIN_FURNITURE_WORD if tag in MAIN else FURNITURE_WORD
+    return tag not in ("html", "body") and bool(word.search(f"{found.get('class', '')} {found.get('id', '')}"))
 
 
-def _blocks(page: str) -> tuple[list[tuple[str, str, bool]], bool]:
-    """((path, text, in a main part) of each block that is no furniture, in page order, whether the page has a main part)."""
+def _blocks(page: str) -> list[tuple[str, str, bool]]:
+    """(path, text, in a main part) of each block that is no furniture, in page order."""
     out: list[tuple[str, str, bool]] = []
     stack: list[tuple[str, bool]] = []  # tag, furniture here or above
     parts: list[str] = []
-    mains, any_main, at, path = 0, False, 0, ""
+    mains, at, path = 0, 0, ""
 
     def close() -> None:
         if parts:
@@ -97,22 +102,25 @@ def _blocks(page: str) -> tuple[list[tuple[str, str, bool]], bool]:
                 end = size if end < 0 else end
                 at = page.find(">", end) + 1 or size
             continue
-        while stack and tag in IMPLIED_END.get(stack[-1][0], ()):
-            stack.pop()
+        while tag in BLOCKS and (k := next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in BLOCKS), -1)) >= 0 and tag in IMPLIED_END.get(stack[k][0], ()):
+            del stack[k:]
         if tag in VOID or m[3].endswith("/"):
             continue
-        if tag in MAIN and not (stack and stack[-1][1]):
-            any_main = True
         stack.append((tag, (bool(stack) and stack[-1][1]) or _furniture(tag, m[3], mains > 0)))
         mains += tag in MAIN
     close()
-    return out, any_main
+    return out
 
 
-def _content_paths(blocks: list[tuple[str, str, bool]], any_main: bool, spread: float, share: float) -> set[tuple[str, bool]]:
+def _smoothed(ratio: np.ndarray, kernel: np.ndarray) -> np.ndarray:
+    padded = np.pad(ratio, ((len(kernel) // 2,) * 2, (0, 0)), mode="edge")
+    return sum(w * padded[k : k + len(ratio)] for k, w in enumerate(kernel))
+
+
+def _content_paths(blocks: list[tuple[str, str, bool]], spread: float, share: float) -> set[tuple[str, bool]]:
     """The (path, in a main part) whose mean fused ratio reaches ``share`` of the page's mean or deviation, the less of both.
 
-    Where a page marks a main part, blocks outside it weigh nothing and blocks inside have the threshold as their start.
+    Nothing is smoothed across the edge of a main part.  The threshold comes from the plain ratios; blocks in a main part then weigh ``MAIN_WEIGHT`` times theirs.
     """
     text: dict[tuple, int] = {}
     marks: dict[tuple, int] = {}
@@ -127,13 +135,11 @@ def _content_paths(blocks: list[tuple[str, str, bool]], any_main: bool, spread:
     width = int(np.ceil(3 * spread))
     kernel = np.exp(-0.5 * (np.arange(-width, width + 1) / spread) ** 2)
     kernel /= kernel.sum()
-    padded = np.pad(ratio, ((width, width), (0, 0)), mode="edge")
-    smooth = sum(w * padded[k : k + len(ratio)] for k, w in enumerate(kernel))
+    inside = np.array([m for _, m in keys])
+    smooth = np.concatenate([_smoothed(run, kernel) for run in np.split(ratio, np.flatnonzero(inside[1:] != inside[:-1]) + 1)])
     fused = smooth[:, 0] * smooth[:, 1]
     bound = share * min(fused.std() or fused.mean(), fused.mean())
-    if any_main:
-        inside = np.array([m for _, m in keys])
-        fused = np.where(inside, fused + bound, 0.0)
+    fused = np.where(inside, MAIN_WEIGHT * fused, fused)
     by_path: dict[tuple, list[float]] = {}
     for k, f in zip(keys, fused):
         by_path.setdefault(k, []).append(f)
@@ -142,8 +148,8 @@ def _content_paths(blocks: list[tuple[str, str, bool]], any_main: bool, spread:
 
 def main_text(page: str | None, spread: float = 1.0, share: float = 0.1) -> str:
     """The article of a page: its content blocks in page order, joined by one space."""
-    blocks, any_main = _blocks(page) if page else ([], False)
-    keep = _content_paths(blocks, any_main, spread, share) if blocks else set()
+    blocks = _blocks(page) if page else []
+    keep = _content_paths(blocks, spread, share) if blocks else set()
     return " ".join(b for p, b, m in blocks if (p, m) in keep)
 
 

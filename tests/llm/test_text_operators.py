@@ -280,3 +280,28 @@ def test_html_operator(spark):
     got = rows(html_extract.extract(df))
     assert [(r[0], r[1], r[3]) for r in got] == [(1, "u", 63), (1, "u", 63), (2, None, 0)]
     assert html_extract.extract(df.limit(0)).collect() == []
+
+
+BODY = "".join(f"<p>A long paragraph number {k}, with some marks, and an end. It goes on, and on, for a while, until it stops.</p>" for k in range(8))
+
+
+@pytest.mark.parametrize(
+    "around",
+    [
+        "<div>%s</div><article><h3>Teaser</h3><div>Read on</div></article><article><h3>Another</h3><div>More</div></article>",
+        "<article><h3>Teaser</h3><div>Read on</div></article><div>%s</div>",
+        "<div>%s</div><article class='comment'><p>A reader's comment, quite long, with marks, and more marks, which goes on, and on, for a while.</p></article>",
+        "<div>%s</div><article id='comment-12'><p>A reader's comment, quite long, with marks, and more marks, which goes on, and on, for a while.</p></article>",
+        "<article class='post tag-news has-sidebar'>%s<div><div>Buy now</div><div>Click</div><div>Only today</div><div>Sale</div></div></article>",
+        "<main><div>%s</div><ul><li>Buy now</li><li>Click</li><li>Only today</li><li>Sale</li></ul></main>",
+        "<article>%s</article><ul><li>Buy now</li><li>Click</li><li>Only today</li><li>Sale</li></ul>",
+    ],
+)
+def test_html_ratios_decide_beside_and_inside_articles(around):
+    text = html_extract.main_text(f"<body>{around % BODY}</body>")
+    assert all(f"number {k}," in text for k in range(8))
+    assert not any(word in text for word in ("Teaser", "Read on", "More", "reader's", "Buy now", "Only today", "Sale"))
+
+
+def test_html_paragraph_ends_at_the_next_behind_an_open_inline_element():
+    assert [path for path, _, _ in html_extract._blocks("<body><p><b>One.<p>Two.<p>Three.</body>")] == ["body/p"] * 3
