@@ -43,3 +43,18 @@ def test_against_sql(spark, name):
     assert sorted(columns) == sorted(got.columns)
     shown = lambda rows: sorted(tuple(f"{v:.9g}" if isinstance(v, float) else str(v) for v in r) for r in rows)
     assert shown(got.select(*columns).collect()) == shown(want)
+
+
+def test_arith_progressions_reads_every_part(spark, tmp_path):
+    parts = [(k, (k * k) % 50 + 1) for k in range(0, 3000, 11)] + [(None, 3), (5000, None)]
+    spark.createDataFrame(parts, "p_partkey long, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    values = {size + 60 * (key % 7) for key, size in parts if key is not None and size is not None}
+    want = []
+    for start in values:
+        for diff in range(1, 61):
+            if start - diff not in values:
+                length = next(n for n in range(1, len(values) + 2) if start + n * diff not in values)
+                if length >= 4:
+                    want.append((start, diff, length))
+    got = catalogue.QUERIES["arith_progressions"](spark, str(tmp_path))
+    assert sorted(map(tuple, got.select("start", "diff", "length").collect())) == sorted(want) and want
