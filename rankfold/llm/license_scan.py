@@ -1,7 +1,8 @@
 """Licence scans by sentence-rule recognition.
 
-A text is cut into sentences, each sentence is normalised, known licence sentences become identifiers, and the sequence
-of identifiers is matched against an ordered list of rules.  Everything happens inside a row with built-in functions: no
+A text is cut into parts at sentence ends and line ends, each part is normalised, and where consecutive parts make up a
+known licence sentence, it becomes an identifier; so wrapped lines, colons and "v. 2.0" inside a sentence do not hide it.
+The sequence of identifiers is matched against an ordered list of rules.  Everything happens inside a row with built-in functions: no
 shuffle, no state, so neither skew nor a lost executor matters.  The tables of sentences and rules are fixed and small.
 """
 
@@ -62,19 +63,23 @@ RULES = [
     ("reserved", "proprietary", ("ARR1",)),
 ]
 
-#: A sentence ends at a line end, or at a full stop, mark or colon before white space or the end of the text.
+#: A part ends at a line end, or at a full stop, mark or colon before white space or the end of the text.
 SENTENCE_END = r"[.!?:;]+(\s+|$)|\n"
-#: Every sentence of the table has one of these words; other sentences need no normalising.
+#: Every sentence of the table has one of these words; texts without any need no normalising.
 ANCHORS = ("licen", "copyright", "warrant", "permi", "rights", "redistribut")
 
 
 def recognised(text: Column, sentences: dict[str, str]) -> Column:
-    """Identifiers of the known sentences of a text, in order."""
+    """Identifiers of the known sentences of a text, in order.
+
+    The normalised parts stand one on a line; a known sentence is one or more whole lines, the longest where several fit.
+    """
     table = F.create_map(*[F.lit(x) for pair in sentences.items() for x in pair])
-    longest = 4 * max(map(len, sentences))
-    anchored = F.filter(F.split(text, SENTENCE_END), lambda s: F.lower(s).rlike("|".join(ANCHORS)))
-    plain = F.transform(anchored, lambda s: F.when(F.length(s) <= longest, F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))))
-    return F.filter(F.transform(plain, lambda s: F.try_element_at(table, s)), lambda i: i.isNotNull())
+    plain = F.regexp_replace(F.regexp_replace(F.lower(text), SENTENCE_END, "\n"), r"[^a-z0-9\n]+", " ")
+    parts = F.regexp_replace(plain, r" ?\n[ \n]*", "\n")
+    known = "|".join(s.replace(" ", r"[ \n]") for s in sorted(sentences, key=len, reverse=True))
+    found = F.regexp_extract_all(parts, F.lit(rf"(?m)^ ?({known}) ?$"), F.lit(1))
+    return F.transform(found, lambda s: F.try_element_at(table, F.translate(s, "\n", " ")))
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: dict[str, str] | None = None, rules: list[tuple[str, str, tuple[str, ...]]] | None = None) -> DataFrame:
@@ -84,8 +89,8 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     text that is no licence sentence may stand between them.  rule and license are those of the first rule that
     matches, null if none does; all_licenses joins the distinct licences of all rules that match, in rule order.
 
-    A null or empty text has no sentence.  Sentences over four times the longest known one are unknown.  Repeated rows
-    are scanned each, an empty table gives an empty result, other columns are ignored.
+    A null or empty text has no sentence.  Repeated rows are scanned each, an empty table gives an empty result, other
+    columns are ignored.
     """
     sentences, rules = sentences or SENTENCES, rules or RULES
     if missing := [s for s in sentences if not any(a in s for a in ANCHORS)]:

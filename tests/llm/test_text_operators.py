@@ -74,6 +74,102 @@ def test_license_scan(spark):
     assert rows(license_scan.license_scan(docs(spark, []))) == []
 
 
+PUBLISHED = {
+    "mit-full": """Copyright (c) 2020 A Name
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY.""",
+    "apache-2-header": """# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+# See the License for the specific language governing permissions and
+# limitations under the License.""",
+    "gpl-3-notice": """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+
+    You should have received a copy of the GNU General Public License
+    along with this program.  If not, see <https://www.gnu.org/licenses/>.""",
+    "gpl-2-notice": """    This program is free software; you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation; either version 2 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+
+    You should have received a copy of the GNU General Public License along
+    with this program; if not, write to the Free Software Foundation, Inc.,
+    51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.""",
+    "bsd-3-clause": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.""",
+    "mpl-2-line": """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at https://mozilla.org/MPL/2.0/. */""",
+    "gpl-3-reserved": "This work is licensed under the GNU General Public\nLicense version 3. All rights\nreserved.",
+    "apache-2-line": "Licensed under the Apache License,\nVersion 2.0.",
+    "mit-line": "This project is licensed under\nthe MIT License.",
+    "gpl-3-line": "This work is licensed under the GNU General\nPublic License, version 3.",
+    "cc-by-nc-4-line": "This work is licensed under\nCC BY-NC 4.0.",
+    "cc-by-sa-4-line": "Licensed under\nCC BY-SA 4.0.",
+    "cc-by-4-line": "This work is licensed under\nCC BY 4.0.",
+    "reserved": "Copyright 2020 A Name. All rights\nreserved.",
+}
+PUBLISHED["gpl-3-terms"], PUBLISHED["gpl-2-terms"] = (PUBLISHED[k].split("\n\n")[0] for k in ("gpl-3-notice", "gpl-2-notice"))
+PUBLISHED["bsd-2-clause"] = PUBLISHED["bsd-3-clause"].split("\n\n3.")[0]
+PUBLISHED["mit-permission"] = PUBLISHED["mit-full"].split("\n\nThe above")[0]
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_license_rules_by_their_published_texts(spark, end):
+    assert set(PUBLISHED) == {rule for rule, _, _ in license_scan.RULES}
+    texts = [f"A line before it\n\n{t}\n\nA line after it".replace("\n", end) for t in PUBLISHED.values()]
+    got = {r["doc_id"]: r["rule"] for r in license_scan.license_scan(docs(spark, texts)).collect()}
+    assert [got[k] for k in range(len(texts))] == list(PUBLISHED)
+
+
+def test_license_sentences_must_be_whole(spark):
+    texts = ["Not all rights\nreserved.", "All rights\nreserved here.", "All rights. No, reserved.", "All" + " " * 5000 + "rights reserved."]
+    assert [r["sequence"] for r in license_scan.license_scan(docs(spark, texts)).orderBy("doc_id").collect()] == ["", "", "", "ARR1"]
+
+
 # --- chat formatting
 
 
