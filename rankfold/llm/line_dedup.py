@@ -5,6 +5,10 @@ boundaries move with the content when lines are inserted above.  Chunks of sever
 the whole table, in one document or in many, are kept where they occur first (smallest id, then first place) and removed
 elsewhere.  Chunks are merged with their whole text as key, so bytes are compared, never hashes alone.
 
+Boundaries lie about four lines apart, so a repeated passage between different neighbours loses only the chunks that lie
+wholly inside it, and often none.  With ``passages`` every run of ``min_lines`` lines is compared instead of the chunks:
+a passage repeated at any place goes whole.
+
 Cutting is done inside a row.  Equal chunks combine before their shuffle, and only short rows (ids, places, hashes)
 travel on; a chunk that a third of all rows share is one row per map task.
 """
@@ -32,11 +36,20 @@ def cut_chunks(text: Column) -> Column:
         before = lambda k: F.when(k == 0, 0).otherwise(F.element_at(e, F.greatest(k, F.lit(1))))
         return F.transform(e, lambda v, k: F.struct(F.array_join(F.slice(lines, before(k) + 1, v - before(k)), "\n").alias("text"), (v - before(k)).alias("n_lines")))
 
-    lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)
-    return let(lines, lambda x: let(F.transform(x, lambda line: F.md5(line)), lambda h: let(ends(h), lambda e: pieces(x, e))))
+    return let(_lines(text), lambda x: let(F.transform(x, lambda line: F.md5(line)), lambda h: let(ends(h), lambda e: pieces(x, e))))
+
+
+def _lines(text: Column) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2) -> DataFrame:
+def cut_runs(text: Column, n_lines: int) -> Column:
+    """array<struct<text, n_lines>>: the run of ``n_lines`` lines from each line on, as far as there are so many."""
+    run = lambda x, i: F.struct(F.array_join(F.slice(x, i, n_lines), "\n").alias("text"), F.lit(n_lines).alias("n_lines"))
+    return let(_lines(text), lambda x: F.transform(F.filter(F.sequence(F.lit(1), F.size(x)), lambda i: i <= F.size(x) - n_lines + 1), lambda i: run(x, i)))
+
+
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2, passages: bool = False) -> DataFrame:
     """All input columns, ``text_col`` without its repeated chunks, and n_chunks, n_removed, lines_removed.
 
     Lines end at ``\\n``.  Only chunks of at least ``min_lines`` lines with some non-space character count as repeated.
@@ -44,9 +57,13 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     that share an id are told apart by their text: equal rows are cut alike, the first keeps its chunks.  Null ids come
     first in the order of ids.  An empty table gives an empty result.  Input columns named like a result column or
     beginning with ``_`` must be renamed by the caller; all others are carried along.
+
+    With ``passages`` the runs of ``min_lines`` lines, which overlap, take the place of the chunks in all of this: the
+    lines of a run that occurred before are removed.  Each removed line has an equal one before it that stays.
     """
+    cut = cut_runs(F.col(text_col), min_lines) if passages else cut_chunks(F.col(text_col))
     places = (
-        docs.select(F.col(id_col).alias("id"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("version"), F.posexplode_outer(cut_chunks(F.col(text_col))).alias("place", "chunk"))
+        docs.select(F.col(id_col).alias("id"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("version"), F.posexplode_outer(cut).alias("place", "chunk"))
         .where((F.col("chunk.n_lines") >= min_lines) & F.col("chunk.text").rlike(r"\S"))
         .select("id", "version", "place", F.col("chunk.n_lines").alias("n_lines"), F.col("chunk.text").alias("body"))
     )
@@ -54,10 +71,11 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = places.groupBy("body", "n_lines").agg(F.min(at).alias("first"), F.count("*").alias("n"))
     repeated = materialize(groups.where("n > 1").select(F.sha2("body", 256).alias("digest"), F.xxhash64("body").alias("h"), "first", "n"), "line-chunks")
     short = places.select("id", "version", "place", "n_lines", F.sha2("body", 256).alias("digest"), F.xxhash64("body").alias("h"), at.alias("at"))
-    return _without(docs, short, repeated, id_col, text_col)
+    return _without(docs, short, repeated, id_col, text_col, min_lines if passages else 0)
 
 
-def _without(docs: DataFrame, short: DataFrame, repeated: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _without(docs: DataFrame, short: DataFrame, repeated: DataFrame, id_col: str, text_col: str, run: int) -> DataFrame:
+    """``docs`` without the repeated chunks, or without the lines of the repeated runs of ``run`` lines."""
     total = short.count()
     hot = repeated.where(F.col("n") * HOT_SHARE > total).drop("n")  # fewer than HOT_SHARE rows
     rest = repeated.where(F.col("n") * HOT_SHARE <= total).drop("n")
@@ -66,7 +84,15 @@ def _without(docs: DataFrame, short: DataFrame, repeated: DataFrame, id_col: str
     gone = hits.where(F.col("at") != F.col("first")).groupBy("id", "version").agg(F.collect_set("place").alias("_gone"), F.sum("n_lines").alias("_gone_lines"))
     left = docs.withColumn("_version", F.md5(F.coalesce(F.col(text_col), F.lit(""))))
     left = left.join(gone.select(F.col("id").alias("_id"), F.col("version").alias("_v"), "_gone", "_gone_lines"), left[id_col].eqNullSafe(F.col("_id")) & (F.col("_version") == F.col("_v")), "left").drop("_id", "_v", "_version")
-    left = left.withColumn("_chunks", cut_chunks(F.col(text_col)))
-    stay = F.array_join(F.transform(F.filter("_chunks", lambda c, k: ~F.coalesce(F.array_contains("_gone", k), F.lit(False))), lambda c: c["text"]), "\n")
+    if run:
+        left = left.withColumn("_chunks", _lines(F.col(text_col)))
+        covered = F.array_distinct(F.flatten(F.transform("_gone", lambda k: F.sequence(k, k + run - 1))))
+        places = F.array_except(F.sequence(F.lit(0), F.size("_chunks") - 1), covered)
+        stay = F.array_join(F.transform(places, lambda k: F.element_at("_chunks", k + 1)), "\n")
+        n_chunks, gone_lines = F.greatest(F.size("_chunks") - run + 1, F.lit(0)), F.when(F.col("_gone").isNotNull(), F.size(covered))
+    else:
+        left = left.withColumn("_chunks", cut_chunks(F.col(text_col)))
+        stay = F.array_join(F.transform(F.filter("_chunks", lambda c, k: ~F.coalesce(F.array_contains("_gone", k), F.lit(False))), lambda c: c["text"]), "\n")
+        n_chunks, gone_lines = F.size("_chunks"), F.col("_gone_lines")
     columns = [F.when(F.col(text_col).isNull(), F.lit(None)).when(F.col("_gone").isNull(), F.col(text_col)).otherwise(stay).alias(c) if c == text_col else F.col(c) for c in docs.columns]
-    return left.select(*columns, F.size("_chunks").cast("long").alias("n_chunks"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("_gone_lines", F.lit(0)).cast("long").alias("lines_removed"))
+    return left.select(*columns, n_chunks.cast("long").alias("n_chunks"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(gone_lines, F.lit(0)).cast("long").alias("lines_removed"))

@@ -231,6 +231,31 @@ def test_line_dedup(spark):
     assert rows(line_dedup.line_dedup(docs(spark, []))) == []
 
 
+def without_repeated_runs(texts, n):
+    seen, out = set(), []
+    for t in texts:
+        lines, gone = (t or "").split("\n"), set()
+        for i in range(len(lines) - n + 1):
+            run = "\n".join(lines[i : i + n])
+            if run in seen and run.strip():
+                gone |= set(range(i, i + n))
+            seen.add(run)
+        out.append((t if t is None or not gone else "\n".join(x for i, x in enumerate(lines) if i not in gone), len(gone)))
+    return out
+
+
+def test_line_dedup_takes_whole_passages(spark):
+    passages = [[f"passage {n}.{j}" for j in range(n)] for n in range(2, 7)]
+    texts = ["\n".join([f"before {k} {n}", *p, f"after {k} {n}"]) for k in range(4) for n, p in enumerate(passages)]
+    texts += ["\n".join(p) for p in passages] + ["A\nB\nC", "x\nB\nC\nD", "C\nD\ny", None, "", "\n\n\n", "\n\n\n", "one", "one", "z\n" * 500]
+    for n in (2, 3):
+        got = {r["doc_id"]: r for r in line_dedup.line_dedup(docs(spark, texts).repartition(3), min_lines=n, passages=True).collect()}
+        assert [(got[k]["text"], got[k]["lines_removed"]) for k in range(len(texts))] == without_repeated_runs(texts, n)
+        if n == 2:
+            assert all(got[k]["text"] == f"before {k // 5} {k % 5}\nafter {k // 5} {k % 5}" for k in range(5, 20))
+    assert rows(line_dedup.line_dedup(docs(spark, []), passages=True)) == []
+
+
 # --- BPE
 
 
