@@ -126,7 +126,11 @@ def improve(bins: list[list[int]], lengths: list[int], capacity: int) -> list[li
             sizes = sorted(theirs)
             best: tuple[int, list[int], list[int]] | None = None
             gives = [(n, [i]) for n, i in ours.items()]
-            items = sorted(bins[a], key=lambda k: lengths[k])[:24]
+            twins: dict[int, list[int]] = {}  # two items of each length at most: pairs of lengths, not of items
+            for i in bins[a]:
+                if len(own := twins.setdefault(lengths[i], [])) < 2:
+                    own.append(i)
+            items = [i for own in twins.values() for i in own]
             gives += [(lengths[i] + lengths[j], [i, j]) for x, i in enumerate(items) for j in items[x + 1 :]]
             for n, give in gives:  # one for one, two for one: the largest gain that fits
                 at = bisect_left(sizes, n - gap)

@@ -342,6 +342,17 @@ def test_local_search_empties_a_bin():
     assert len(packing.improve([[0, 4], [2, 1], [5, 6], [3]], lengths, 10)) == 3
 
 
+def test_local_search_exchanges_any_two_of_a_bin():
+    """No piece fits a gap of 9, and only 15 and 16 for 26 gains; 24 shorter pieces lie in their bin."""
+    groups = [[10] * 24 + [15, 16]] + [[26, 265]] * 32
+    lengths, bins = [n for g in groups for n in g], []
+    for g in groups:
+        bins.append(list(range(sum(map(len, bins)), sum(map(len, bins)) + len(g))))
+    better = packing.improve([list(b) for b in bins], lengths, 300)
+    assert sorted(i for b in better for i in b) == list(range(len(lengths)))
+    assert [10, 10, 15, 265] in [sorted(lengths[i] for i in b) for b in better]  # then 16 goes back for two of 10
+
+
 # --- quality
 
 
