@@ -4,9 +4,9 @@ The index maps a text's 64-bit hash to the one text that stays.  A directory add
 of the hash.  Starting from one bucket, every bucket that holds more than ``bucket_capacity`` distinct hashes splits by
 its next bit, and the directory doubles whenever a bucket needs more bits than it has.  The directory is folded from a
 histogram of at most ``2**max_depth`` counters; buckets that are overfull at that depth keep an overflow chain, so no
-row is ever dropped.  Owner tasks each hold ranges of buckets: they merge equal texts by comparing whole texts (they
-are the grouping key), and different texts behind one hash get successive places in that hash's chain.  The index is
-written, sorted by key range, to the shared folder and rows look their entry up there.
+row is ever dropped.  Equal texts are merged by a plain grouping on hash, digest and whole text, and different texts
+behind one hash get successive places in that hash's chain.  The index is written, sorted by bucket and hash, to the
+shared folder; rows look their entry up there by a join on hash and digest.  Bucket, depth and chain only order it.
 
 Skew: copies are merged before the shuffle (partial aggregation), so a text that a third of all rows share reaches its
 owner as one row per map task.  Texts held by more than ``1 / HOT_SHARE`` of all rows, of which there are fewer than
