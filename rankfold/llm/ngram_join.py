@@ -1,16 +1,17 @@
 """N-gram Jaccard join over prefix trees.
 
-The global order puts n-grams that many documents hold last (``frequent``), the others by hash.  Two sets with a Jaccard
-similarity of t share m of the first |x| - ceil(t |x|) + m n-grams of each in that order, so documents meet by those.
+Two sets with a Jaccard similarity of t have ceil(t |x|) n-grams of each in common, and, in any global order of n-grams,
+m of the first |x| - ceil(t |x|) + m of each.  The order here is rarest first, by counts over all documents.
 
 1. Equal texts are merged.
-2. Every task counts the n-grams of all its documents and passes on those it meets often; the totals give the order.
-   The order needs to be the same everywhere, not right: it decides how many documents meet, never which ones link.
-3. Each prefix n-gram goes, packed with others of its hash range, to an owner, who names the smallest document id that
-   has it (and a similar size) the meeting point of the others.  Similar documents so get few and mostly equal meeting
-   points, and any two that share a prefix n-gram have one in common.  A document that shares fewer prefix n-grams
-   than a link takes meets nobody, and each leaves out the points of its fewest n-grams while they make up less than
-   half of that: two documents that link then still keep a point in common.
+2. Every task sends the n-grams of its documents, sorted and packed by hash range, to owners, who add up in how many
+   documents each stands and answer for those that stand in two or more.  An n-gram that a task meets several times is
+   sent once with its count.  A document goes on only if ceil(t |x|) of its n-grams stand elsewhere too, and sends only
+   such n-grams of its prefix: what comes after follows the documents that may link, not the corpus.
+3. Owners name the smallest document id that has a prefix n-gram its meeting point; each task asks once for each of its
+   n-grams.  Similar documents so get few and mostly equal meeting points, and two that share a prefix n-gram have one
+   in common.  A document that shares fewer prefix n-grams than a link takes meets nobody, and each leaves out the points
+   of its fewest n-grams while they make up less than half of that: two that link still keep a point in common.
 4. Documents go to their meeting points with their texts.  One with more than ``BLOCK`` documents is dealt to blocks.
    Each block is joined exactly by a prefix tree: n-gram sets sorted by falling frequency in the block, equal prefixes
    stored and counted once; the overlaps with all later documents are carried down the tree, and a document is left
@@ -19,7 +20,9 @@ similarity of t share m of the first |x| - ceil(t |x|) + m n-grams of each in th
    are compared with every block, so no link between different components is missed, and components are found anew.
 
 Nothing is expanded into all pairs: a block returns a spanning forest.  A group of copies or near copies that a third of
-all rows belong to is many blocks of bounded size.
+all rows belong to is many blocks of bounded size, and an n-gram that a third of them hold is one entry per task.
+N-grams are told apart by 64-bit hashes (``shingles``); steps 2 and 3 use 48 bits of them, where equal hashes only make
+documents meet that need not.
 """
 
 from __future__ import annotations
@@ -28,23 +31,25 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import pieces
+from .blobs import batch as rows_batch
+from .blobs import loose, tight
 from .components import components, forest
-from .shared import ascii_lower, materialize, shuffle_width
+from .shared import ascii_lower, fan_of, looked_up, materialize, shuffle_width
 from .shingles import WORDS, shingle_sets
 
 BLOCK = 512
 SLICE = 1_000_000
-#: An n-gram that a task meets in so many of some 4 million n-grams is passed on to the count.
-OFTEN = 4
-HELD = 4_000_000
-#: N-grams in at least this many documents are frequent; the order tells apart this many of them, a fixed bound.
-FREQUENT, FREQUENT_MOST = 32, 500_000
+#: A task sends its documents in chunks of about so many n-grams, and of fewer documents than 16 bits number.
+CHUNK, CHUNK_DOCS = 2_000_000, 60_000
 #: A table of meeting points with so few rows is broadcast; a larger one is joined by key.
 BROADCAST_ROWS = 1_000_000
+ASKED = "chunk string, bucket int, a binary, b binary, c binary"
+LOW = np.uint64(0xFFFF)
 
 
 def required(a, b, percent: int):
@@ -52,14 +57,19 @@ def required(a, b, percent: int):
     return -(-(percent * (a + b)) // (100 + percent))
 
 
-def must_share(n):
+def needed(n, percent: int):
+    """N-grams that a set of n has in common with any set it links with, at least."""
+    return -(-percent * n // 100)
+
+
+def must_share(n, percent: int):
     """How many n-grams the prefixes of two sets that link share at least, if neither is smaller than n."""
-    return 1 + n // 8
+    return np.minimum(1 + n // 8, needed(n, percent))
 
 
 def prefix_length(n, percent: int):
-    """As a link shares at least ceil(percent n / 100) n-grams, prefixes of this length share ``must_share`` of the smaller."""
-    return n - -(-percent * n // 100) + must_share(n)
+    """Prefixes of this length share ``must_share`` of the smaller set."""
+    return n - needed(n, percent) + must_share(n, percent)
 
 
 def tree_join(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -136,118 +146,210 @@ def _texts(batch: pa.RecordBatch, k: int) -> list[bytes]:
     return batch.column(k).cast(pa.large_binary()).to_pylist()
 
 
-def _count(words: int) -> Callable:
-    """Map: sizes of sets (bucket -1: ids and sizes), and n-grams met often (bucket 0: hashes and counts)."""
+def _by_range(keys: np.ndarray, fan: int) -> Iterator[tuple[int, slice]]:
+    """(bucket, slice) of sorted 48-bit keys, equal ranges of which make ``fan`` buckets."""
+    edges = np.array([(k << 48) // fan for k in range(fan)] + [1 << 48], np.uint64)
+    cuts = np.searchsorted(keys, edges)
+    for k in np.flatnonzero(np.diff(cuts)).tolist():
+        yield k, slice(cuts[k], cuts[k + 1])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
 
-        def often() -> Iterator[pa.RecordBatch]:
-            grams, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            held.clear()
-            yield rows(grams[n >= OFTEN].view(np.int64), n[n >= OFTEN], 0)
+def _asking(words: int, fan: int, chunk: int) -> Callable:
+    """Map: the n-grams of each chunk of documents by hash range, and a row of what the chunk itself keeps.
+
+    Keys that one document holds go as key << 16 | number of the document (a), keys that several hold once (b) with their
+    count (c).  The kept row has ids (a), sizes (b) and the numbers of the documents behind the keys of several, key by
+    key (c); its bucket is negative.
+    """
 
-        def rows(a, b, kind) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(np.full(len(a), kind, np.int32))], names=["key", "n", "kind"])
+    def asking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, number = TaskContext.get().partitionId(), 0
+        ids: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
+        held: list[np.ndarray] = []
 
+        def sent() -> Iterator[pa.RecordBatch]:
+            nonlocal number
+            if not ids:
+                return
+            size = np.concatenate(sizes)
+            both = np.concatenate(held) & ~LOW | np.repeat(np.arange(len(size)), size).astype(np.uint64)
+            both.sort()
+            keys = both >> np.uint64(16)
+            first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+            length = np.diff(np.append(first, len(keys)))
+            lone = first[length == 1]
+            multi, count = first[length > 1], length[length > 1].astype(np.int32)
+            name = f"{task}-{number}"
+            behind = (both[pieces.ragged(multi, count.astype(np.int64))] & LOW).astype(np.uint16)
+            out = [(name, -1 - number % fan, tight(np.concatenate(ids)), tight(size.astype(np.int32)), tight(behind))]
+            number += 1
+            lone, multi = both[lone], keys[multi]
+            ones, many = dict(_by_range(lone >> np.uint64(16), fan)), dict(_by_range(multi, fan))
+            for k in sorted(ones.keys() | many.keys()):
+                x, y = ones.get(k, slice(0, 0)), many.get(k, slice(0, 0))
+                out.append((name, k, tight(lone[x]), tight(multi[y]), tight(count[y])))
+            for part in (ids, sizes, held):
+                part.clear()
+            yield rows_batch(out, ASKED)
+
+        waiting = docs = 0
         for batch in batches:
-            ids, texts = batch.column(0).to_numpy(), _texts(batch, 1)
+            own, texts = batch.column(0).to_numpy(), _texts(batch, 1)
             for a, b in pieces.sliced([len(t) for t in texts], SLICE):
                 offsets, grams = shingle_sets(texts[a:b], words)
-                yield rows(ids[a:b], np.diff(offsets), 1)
+                if docs and (waiting + len(grams) > chunk or docs + b - a > CHUNK_DOCS):
+                    yield from sent()
+                    waiting = docs = 0
+                ids.append(own[a:b])
+                sizes.append(np.diff(offsets))
                 held.append(grams)
-                if sum(map(len, held)) > HELD:
-                    yield from often()
-        yield from often()
-
-    return count
+                waiting, docs = waiting + len(grams), docs + b - a
+        yield from sent()
 
+    return asking
 
-def _prefixes(sent, words: int, percent: int, fan: int) -> Callable:
-    """Map: prefix n-grams with document and size, packed by hash range."""
 
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, frequency = sent.value
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+def _each_bucket(solve: Callable) -> Callable:
+    """Owner: rows come sorted by bucket, and only those of one bucket are held; kept rows (negative) pass."""
 
-        def packed() -> Iterator[pa.RecordBatch]:
-            if not out:
-                return
-            grams, ids, sizes = (np.concatenate(c) for c in zip(*out))
-            out.clear()
-            bucket = ((grams >> np.uint64(32)) * np.uint64(fan) >> np.uint64(32)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(fan + 1))
-            full = [b for b in range(fan) if cuts[b + 1] > cuts[b]]
-            parts = [order[cuts[b] : cuts[b + 1]] for b in full]
-            blobs = [pa.array([c[p].tobytes() for p in parts], pa.binary()) for c in (grams, ids, sizes)]
-            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *blobs], names=["bucket", "grams", "ids", "sizes"])
-
-        waiting = 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
         for batch in batches:
-            ids, texts = batch.column(0).to_numpy(), _texts(batch, 1)
-            for a, b in pieces.sliced([len(t) for t in texts], SLICE):
-                offsets, grams = shingle_sets(texts[a:b], words)
-                size = np.diff(offsets)
-                owner = np.repeat(np.arange(b - a), size)
-                weight = np.zeros(len(grams), np.int64)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
-                    hit = known[at] == grams
-                    weight[hit] = frequency[at[hit]]
-                    order = np.lexsort((weight, owner))  # stable: ties stay by hash
-                    grams = grams[order]
-                wanted = np.where(size > 0, prefix_length(size, percent), 0)
-                keep = pieces.ragged(offsets[:-1], wanted)
-                of = owner[keep]
-                out.append((grams[keep], ids[a:b][of], size[of].astype(np.int32)))
-                waiting += len(keep)
-                if waiting > 1_000_000:
-                    waiting = 0
-                    yield from packed()
-        yield from packed()
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[1] < 0:
+                    yield rows_batch([row], ASKED)
+                    continue
+                if row[1] != at and held:
+                    yield rows_batch(solve(held), ASKED)
+                    held = []
+                at = row[1]
+                held.append(row)
+        if held:
+            yield rows_batch(solve(held), ASKED)
+
+    return run
+
+
+def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, firsts): equal keys stand together in that order and begin at the firsts."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    return order, np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+
+
+def _counted(held: list[tuple]) -> list[tuple]:
+    """Answers of a bucket: of the keys that stand in several documents, those of one document of the chunk (a) and their totals (b); the others with their counts and totals (c)."""
+    asked = [(loose(a, np.uint64), loose(b, np.uint64), loose(c, np.int32)) for _, _, a, b, c in held]
+    keys = np.concatenate([x for one, many, _ in asked for x in (one >> np.uint64(16), many)])
+    weight = np.concatenate([x for one, _, n in asked for x in (np.ones(len(one), np.int64), n.astype(np.int64))])
+    order, first = _grouped(keys)
+    total = np.empty(len(keys), np.int64)
+    total[order] = np.repeat(np.add.reduceat(weight[order], first), np.diff(np.append(first, len(keys))))
+    out, at = [], 0
+    for (chunk, bucket, *_), (one, many, n) in zip(held, asked):
+        own, rest = total[at : at + len(one)], total[at + len(one) : at + len(one) + len(many)]
+        at += len(one) + len(many)
+        out.append((chunk, bucket, tight(one[own > 1]), tight(own[own > 1]), tight(np.concatenate([many.astype(np.int64), n, rest]))))
+    return out
+
+
+PREFIXES = "chunk string, ids binary, sizes binary, docs binary, counts binary, grams binary"
+
+
+def _prefixes(percent: int) -> Callable:
+    """Chunk: of each document that may link, the n-grams of its prefix that stand elsewhere too."""
+
+    def prefixes(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(c.to_pylist() for c in table.columns)), key=lambda r: r[1])
+        (name, _, ids, sizes, behind), *answers = rows
+        size, behind = loose(sizes, np.int32).astype(np.int64), loose(behind, np.uint16).astype(np.int64)
+        got = [(loose(a, np.uint64), loose(b, np.int64), loose(c, np.int64).reshape(3, -1)) for _, _, a, b, c in answers]
+        one, own = (np.concatenate([*(g[k] for g in got), np.zeros(0, t)]) for k, t in ((0, np.uint64), (1, np.int64)))
+        many, local, total = np.concatenate([*(g[2] for g in got), np.zeros((3, 0), np.int64)], axis=1)
+        doc = np.concatenate([(one & LOW).astype(np.int64), behind])
+        gram = np.concatenate([one >> np.uint64(16), np.repeat(many.astype(np.uint64), local)])
+        often = np.concatenate([own, np.repeat(total, local)])
+        repeated = np.bincount(doc, minlength=len(size))
+        able = (size > 0) & (repeated >= needed(size, percent))
+        some = able[doc]
+        doc, gram, often = doc[some], gram[some], often[some]
+        order = np.lexsort((gram, often, doc))
+        doc, gram = doc[order], gram[order]
+        alone = size - repeated  # n-grams of this document only come first in the order
+        place = np.arange(len(doc)) - np.searchsorted(doc, doc)
+        keep = place < (prefix_length(size, percent) - alone)[doc]
+        doc, gram = doc[keep], gram[keep]
+        docs, counts = np.unique(doc, return_counts=True)
+        out = (name, ids, sizes, tight(docs.astype(np.int32)), tight(counts.astype(np.int32)), tight(gram))
+        return pa.Table.from_batches([rows_batch([out], PREFIXES)])
 
     return prefixes
 
 
-def _meeting(percent: int) -> Callable:
-    """Owner of hash ranges: (id, point, size of the set, shared n-grams), the point being the smallest id that shares them at a similar size.
-
-    Rows come sorted by bucket; only one bucket is held.
-    """
+def _meetings(fan: int) -> Callable:
+    """Map: of each chunk its different prefix n-grams by hash range (a), in how many of its documents each is (b) and the smallest id of these (c)."""
 
-    def solved(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        grams, ids, sizes = (np.concatenate(c) for c in zip(*held))
-        order = np.lexsort((sizes, grams))
-        grams, ids, sizes = grams[order], ids[order], sizes[order].astype(np.int64)
-        new = np.ones(len(grams), bool)  # another n-gram, or a gap in size that no link can bridge
-        new[1:] = (grams[1:] != grams[:-1]) | (100 * sizes[:-1] < percent * sizes[1:])
-        first = np.flatnonzero(new)
-        length = np.diff(np.append(first, len(grams)))
-        point = np.repeat(np.minimum.reduceat(ids, first), length)
-        some = np.repeat(length > 1, length)
-        point, ids, sizes = point[some], ids[some], sizes[some]
-        order = np.lexsort((ids, point))
-        point, ids, sizes = point[order], ids[order], sizes[order]
-        first = np.flatnonzero(np.append(True, (point[1:] != point[:-1]) | (ids[1:] != ids[:-1]))) if len(ids) else np.zeros(0, np.int64)
-        shared = np.diff(np.append(first, len(ids)))
-        columns = ids[first], point[first], sizes[first], shared
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["id", "point", "n", "shared"])
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-        at = None
+    def meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for bucket, *blobs in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                if bucket != at and held:
-                    yield solved(held)
-                    held = []
-                at = bucket
-                held.append(tuple(np.frombuffer(x, t) for x, t in zip(blobs, (np.uint64, np.int64, np.int32))))
-        if held:
-            yield solved(held)
-
-    return meet
+            for name, ids, _, docs, counts, grams in zip(*(c.to_pylist() for c in batch.columns)):
+                own = np.repeat(loose(ids, np.int64)[loose(docs, np.int32)], loose(counts, np.int32))
+                keys, place, n = np.unique(loose(grams, np.uint64), return_inverse=True, return_counts=True)
+                least = np.full(len(keys), np.iinfo(np.int64).max)
+                np.minimum.at(least, place, own)
+                yield rows_batch([(name, k, tight(keys[s]), tight(n[s].astype(np.int32)), tight(least[s])) for k, s in _by_range(keys, fan)], ASKED)
+
+    return meetings
+
+
+def _met(held: list[tuple]) -> list[tuple]:
+    """Answers of a bucket: for each n-gram asked for the smallest id that has it (a), and whether several documents do (b)."""
+    asked = [(loose(a, np.uint64), loose(b, np.int32).astype(np.int64), loose(c, np.int64)) for _, _, a, b, c in held]
+    keys, n, least = (np.concatenate([x[k] for x in asked]) for k in range(3))
+    order, first = _grouped(keys)
+    length = np.diff(np.append(first, len(keys)))
+    point, several = np.empty(len(keys), np.int64), np.empty(len(keys), np.uint8)
+    point[order] = np.repeat(np.minimum.reduceat(least[order], first), length)
+    several[order] = np.repeat(np.add.reduceat(n[order], first) > 1, length)
+    cuts = np.cumsum([0, *(len(x[0]) for x in asked)]).tolist()
+    return [(chunk, bucket, tight(point[a:b]), tight(several[a:b]), b"") for (chunk, bucket, *_), a, b in zip(held, cuts, cuts[1:])]
+
+
+def _points(percent: int) -> Callable:
+    """Chunk: the meeting points of each document (see step 3 above)."""
+
+    def points(chunks: pa.Table, answers: pa.Table) -> pa.Table:
+        out_id, out_point = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for _, ids, sizes, docs, counts, grams in zip(*(c.to_pylist() for c in chunks.columns)):
+            docs, counts = loose(docs, np.int32), loose(counts, np.int32)
+            _, place = np.unique(loose(grams, np.uint64), return_inverse=True)
+            got = sorted(zip(*(answers.column(c).to_pylist() for c in ("bucket", "a", "b"))))
+            point = np.concatenate([*(loose(a, np.int64) for _, a, _ in got), np.zeros(0, np.int64)])[place]
+            several = np.concatenate([*(loose(b, np.uint8) for _, _, b in got), np.zeros(0, np.uint8)])[place] > 0
+            doc, point = np.repeat(np.arange(len(docs)), counts)[several], point[several]
+            order = np.lexsort((point, doc))
+            doc, point = doc[order], point[order]
+            first = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (point[1:] != point[:-1]))) if len(doc) else np.zeros(0, np.int64)
+            shared = np.diff(np.append(first, len(doc)))
+            doc, point = doc[first], point[first]
+            order = np.lexsort((point, shared, doc))  # fewest n-grams first
+            doc, point, shared = doc[order], point[order], shared[order]
+            sums = np.concatenate([[0], np.cumsum(shared)])
+            begin, end = np.searchsorted(doc, doc), np.searchsorted(doc, doc, "right")
+            size = loose(sizes, np.int32).astype(np.int64)[docs]
+            least = must_share(needed(size, percent), percent)[doc]  # with the smallest partner
+            keep = (sums[end] - sums[begin] >= least) & (2 * (sums[1:] - sums[begin]) >= least)
+            out_id.append(loose(ids, np.int64)[docs[doc[keep]]])
+            out_point.append(point[keep])
+        return pa.table({"id": np.concatenate(out_id), "point": np.concatenate(out_point)})
+
+    return points
+
+
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for ids, sizes in zip(*(c.to_pylist() for c in batch.columns)):
+            yield pa.RecordBatch.from_arrays([pa.array(loose(ids, np.int64)), pa.array(loose(sizes, np.int32).astype(np.int64))], names=["rep", "n_shingles"])
 
 
 def _join_blocks(words: int, percent: int) -> Callable:
@@ -289,36 +391,36 @@ def _linked(routes: DataFrame, reps: DataFrame, words: int, percent: int, width:
     return rows.mapInArrow(_join_blocks(words, percent), "a long, b long")
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = 75, block: int = BLOCK) -> DataFrame:
+def meeting_points(texts: DataFrame, words: int, percent: int, fan: int, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
+    """((id, point), (rep, n_shingles)) of distinct texts (rep, body); two that link have a point in common."""
+    owned = lambda asked, solve: asked.repartition(fan, "bucket").sortWithinPartitions("bucket").mapInArrow(_each_bucket(solve), ASKED)
+    answers = owned(texts.mapInArrow(_asking(words, fan, chunk), ASKED), _counted)
+    prefixes = materialize(answers.groupBy("chunk").applyInArrow(_prefixes(percent), PREFIXES), "join-prefixes")
+    met = owned(prefixes.mapInArrow(_meetings(fan), ASKED), _met)
+    points = prefixes.groupBy("chunk").cogroup(met.groupBy("chunk")).applyInArrow(_points(percent), "id long, point long")
+    return points, prefixes.select("ids", "sizes").mapInArrow(_sizes, "rep long, n_shingles long")
+
+
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = 75, block: int = BLOCK, chunk: int = CHUNK) -> DataFrame:
     """One row per document: ``id_col``, n_shingles (size of its set), component_id (smallest id reachable by links).
 
     Documents link when the Jaccard similarity of their sets of ``words``-word shingles is at least ``percent``
     hundredths.  A-Z are lower-cased; words are runs of characters other than the blank and U+0009 to U+000D.  A text
     with fewer words has its whole sequence as one shingle; a null text and one without words have none and link with
-    nothing.  Ids are integers; a null id counts as the smallest, and a component that holds one is named null.  Rows that
-    repeat an id are documents of one component if not empty.  An
-    empty table gives an empty result; other columns are ignored.
+    nothing.  Ids are integers over -2**63; a null id counts as the smallest, and a component that holds one is named
+    null.  Rows that repeat an id are documents of one component if not empty.  An empty table gives an empty result;
+    other columns are ignored.
     """
     spark = docs.sparkSession
     width = shuffle_width(spark)
     none = F.lit(-(2**63)).cast("long")
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), none).alias("id"), ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).alias("body"))
-    reps = materialize(rows.groupBy("body").agg(F.min("id").alias("rep")).select("rep", "body", F.sha2("body", 256).alias("digest")), "join-texts")
+    merged = rows.groupBy("body").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
+    reps = materialize(merged.select("rep", "body", "copies", F.octet_length("body").alias("bytes"), F.sha2("body", 256).alias("digest")), "join-texts")
     bodies = reps.select("rep", "body")
-    counted = materialize(bodies.mapInArrow(_count(words), "key long, n long, kind int"), "join-counts")
-    sizes = counted.where("kind = 1").select(F.col("key").alias("rep"), F.col("n").alias("n_shingles"))
-    top = counted.where("kind = 0").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "key").limit(FREQUENT_MOST).toArrow()
-    known = top.column("key").to_numpy().astype(np.int64).view(np.uint64)
-    order = np.argsort(known)
-    sent = spark.sparkContext.broadcast((known[order], top.column("n").to_numpy().astype(np.int64)[order]))
-    fan = 4 * width
-    packed = bodies.mapInArrow(_prefixes(sent, words, percent, fan), "bucket int, grams binary, ids binary, sizes binary")
-    met = packed.repartition(width, "bucket").sortWithinPartitions("bucket").mapInArrow(_meeting(percent), "id long, point long, n long, shared long")
-    met = met.groupBy("id", "point", "n").agg(F.sum("shared").alias("shared"))
-    rising = Window.partitionBy("id").orderBy("shared", "point").rowsBetween(Window.unboundedPreceding, 0)
-    needed = F.lit(1) + F.floor(F.ceil(F.col("n") * percent / 100) / 8)  # must_share of the smallest partner
-    met = met.withColumn("upto", F.sum("shared").over(rising)).withColumn("all", F.sum("shared").over(Window.partitionBy("id")))
-    points = materialize(met.where((F.col("all") >= needed) & (2 * F.col("upto") >= needed)).select("id", "point"), "join-points")
+    total, bytes_in = reps.agg(F.coalesce(F.sum("copies"), F.lit(0)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    met, sizes = meeting_points(bodies, words, percent, fan_of(spark, bytes_in), chunk)
+    points = materialize(met, "join-points")
     many = points.groupBy("point").agg(F.count("*").alias("members")).where("members > 1").withColumn("blocks", F.ceil(F.col("members") / block).cast("long"))
     dealt = points.join(many.select("point", "blocks"), "point")
     own = F.col("id") == F.col("point")
@@ -339,7 +441,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             again = materialize(strangers.unionByName(members).distinct(), "join-routes")
             more = materialize(_linked(again, bodies, words, percent, width), "join-links")
             parts = components(links.unionByName(more))
-    known_as = reps.select("rep", "digest").join(sizes, "rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("digest", "n_shingles", F.coalesce("component", "rep").alias("component"))
-    out = rows.select("id", F.sha2("body", 256).alias("digest")).join(known_as, "digest")
+    known_as = reps.select("rep", "digest", "copies").join(sizes, "rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
+    known_as = known_as.select("digest", "copies", "n_shingles", F.coalesce("component", "rep").alias("component"))
+    out = looked_up(rows.select("id", F.sha2("body", 256).alias("digest")), known_as, ["digest"], "copies", total)
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("id"))
     return out.select(F.nullif("id", none).alias(id_col), "n_shingles", F.nullif(component, none).alias("component_id"))

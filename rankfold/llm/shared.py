@@ -4,22 +4,31 @@ from __future__ import annotations
 
 import atexit
 import uuid
-
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder, as in tests on one machine.
-DEFAULT_SHARED = "file:///tmp/checkpoints/rankfold"
+#: Used only where the session names no shared folder and driver and executors are one machine, as in tests.
+LOCAL_SHARED = "file:///tmp/checkpoints/rankfold"
+#: A key that holds more than this share of all rows is looked up by broadcast; there are fewer such keys than this.
+HOT_SHARE = 256
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
+_written: list[tuple[SparkSession, str]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a default where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.  On one machine a local one will do where it is unset."""
     set_to = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return (set_to or DEFAULT_SHARED).rstrip("/")
+    if set_to:
+        return set_to.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir is unset: a cluster needs a folder that driver and executors share")
+    return LOCAL_SHARED
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -31,18 +40,53 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+@atexit.register
+def _delete_all() -> None:
+    for spark, path in _written:
+        _delete(spark, path)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as Parquet in the shared folder and reads it back: lineage ends there and lost executors cost no recomputation.
 
-    The files go when the driver ends.
+    The files go when the driver ends, or before by ``released``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_delete, spark, path)
+    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def released() -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Deletes at its end what was materialized inside, but for tables kept by the function that it gives."""
+    before, kept = len(_written), []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        out = materialize(df, name)
+        kept.append(_written.pop())
+        return out
+
+    try:
+        yield keep
+    finally:
+        for spark, path in _written[before:]:
+            _delete(spark, path)
+        _written[before:] = kept
+
+
+def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``table``, which has one row per key and in ``weight`` how many rows have the key.
+
+    Keys that hold more than a 1 / HOT_SHARE of all ``total`` rows, fewer than HOT_SHARE of them, are broadcast; no task gets all rows of one.
+    """
+    hot = F.col(weight) * HOT_SHARE > total
+    often, rest = table.where(hot).drop(weight), table.where(~hot).drop(weight)
+    seldom = rows.join(F.broadcast(often.select(*keys)), keys, "left_anti")
+    return rows.join(F.broadcast(often), keys).unionByName(seldom.join(rest, keys))
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z and nothing else.  Pure ASCII takes the fast built-in; other text is translated letter by letter."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
@@ -52,6 +96,11 @@ def shuffle_width(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def fan_of(spark: SparkSession, bytes_in: int, each: int = 4_000_000) -> int:
+    """How many key ranges the owners share: one for every ``each`` bytes of input, so that a range fits in memory at any size."""
+    return max(shuffle_width(spark), -(-bytes_in // each))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once a row, even where ``body`` uses it inside a lambda."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -1,13 +1,20 @@
-"""Sets of hashed word shingles of many texts at once, with numpy."""
+"""Sets of hashed word shingles of many texts at once.
+
+Words are told apart by a cryptographic hash (BLAKE2b, 64 bits), shingles by a chain of mixed word hashes: no text, however
+regular, is known to make different shingles equal, and by chance two of them are so once in 2**64.
+"""
 
 from __future__ import annotations
 
-import numpy as np
+from hashlib import blake2b
 
-from .pieces import _powers
+import numpy as np
 
 WORDS = 5
-_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
+#: Words whose hash a process remembers; beyond that it starts afresh.
+REMEMBERED = 300_000
+_SEED, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+_known: dict[bytes, int] = {}
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -16,33 +23,32 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """A 64-bit hash of each word."""
+    if len(_known) > REMEMBERED:
+        _known.clear()
+    for w in set(words).difference(_known):
+        _known[w] = int.from_bytes(blake2b(w, digest_size=8).digest(), "little")
+    return np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
+
+
 def shingle_sets(texts: list[bytes], words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """(offsets, hashes): the distinct shingles of each text (UTF-8), sorted by hash.
 
     A-Z are lower-cased; words are parted by blanks and the characters 9 to 13.  A text with fewer than ``words`` words
     has its whole sequence as its only shingle, one without words has none.
     """
-    joined = (b"\n".join(texts) + b"\n").lower()
-    raw = np.frombuffer(joined, np.uint8)
-    blank = (raw == 32) | ((raw >= 9) & (raw <= 13))
-    edge = np.flatnonzero(np.diff(np.concatenate([[True], blank, [True]]).astype(np.int8)))
-    begin, end = edge[::2], edge[1::2]
-    n = len(texts)
-    if not len(begin):
-        return np.zeros(n + 1, np.int64), np.zeros(0, np.uint64)
-    stops = np.cumsum(np.fromiter(map(len, texts), np.int64, n) + 1)
-    first = np.searchsorted(begin, np.concatenate([[0], stops]))  # first word of each text
-    count = np.diff(first)
+    n, every, count = len(texts), [], np.zeros(len(texts), np.int64)
+    for k, text in enumerate(texts):
+        own = text.lower().split()
+        count[k] = len(own)
+        every += own
+    first = np.concatenate([[0], np.cumsum(count)])
     with np.errstate(over="ignore"):
-        base, back = _powers(len(raw) + 1)
-        sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * base[:-1], out=sums[1:])
-        word = _mixed((sums[end] - sums[begin]) * back[begin] + (end - begin).astype(np.uint64) * _MIX[-1])
-        m = len(word)
-        held = np.zeros(max(m - words + 1, 0), np.uint64)
+        word = word_hashes(every)
+        held = np.full(max(len(word) - words + 1, 0), _SEED)
         for k in range(words):
-            held += word[k : k + len(held)] * (_MIX[k % 8] + np.uint64(2 * (k // 8)))
-        held = _mixed(held)
+            held = _mixed(held * _STEP + word[k : k + len(held)])
         shingles = np.where(count >= words, count - words + 1, np.minimum(count, 1))
         upto = np.concatenate([[0], np.cumsum(shingles)])
         out = np.empty(int(upto[-1]), np.uint64)
@@ -52,8 +58,10 @@ def shingle_sets(texts: list[bytes], words: int = WORDS) -> tuple[np.ndarray, np
                 out[a:b] = held[f : f + (b - a)]
                 out[a:b].sort()
             elif b > a:
-                few = word[f : f + count[i]]
-                out[a] = _mixed(np.uint64(few.dot(_MIX[: len(few)]) + np.uint64(len(few)) * _MIX[-2]))
+                few = np.array([_SEED ^ np.uint64(count[i])])  # never the chain of a full shingle
+                for w in word[f : f + count[i]]:
+                    few = _mixed(few * _STEP + w)
+                out[a] = few[0]
     new = np.ones(len(out), bool)
     new[1:] = out[1:] != out[:-1]
     new[upto[:-1][shingles > 0]] = True

@@ -68,10 +68,28 @@ def test_against_brute_force(spark, seed, block):
 
 def test_joins_by_key_where_nothing_may_be_broadcast(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", 0)
-    monkeypatch.setattr(ngram_join, "OFTEN", 1)
-    monkeypatch.setattr(ngram_join, "FREQUENT", 2)
     rows = corpus(5)
-    assert answer(jaccard_join(spark.createDataFrame(rows, SCHEMA), block=8)) == brute(rows)
+    assert answer(jaccard_join(spark.createDataFrame(rows, SCHEMA), block=8, chunk=200)) == brute(rows)
+
+
+def test_documents_that_link_with_none_meet_nobody(spark):
+    """Chance meetings of n-grams leave no rows, at either size; the copies of one text leave about a row each."""
+    for size in (200, 1000):
+        r = random.Random(size)
+        rows = [(k, " ".join(r.choice("abcdefghijklmnop") for _ in range(60))) for k in range(size)]
+        copy = " ".join(r.choice("abcdefghijklmnop") for _ in range(60))
+        rows += [(size + k, f"{copy} {k}") for k in range(size // 10)]
+        points, sizes = ngram_join.meeting_points(spark.createDataFrame(rows, "rep long, body string"), 5, 75, 4, 500)
+        assert sizes.count() == len(rows)
+        found = {tuple(x) for x in points.collect()}
+        assert {i for i, _ in found} == {i for i, _ in rows[size:]} and len(found) <= 2 * size // 10
+
+
+def test_words_of_equal_polynomials_do_not_link(spark):
+    a = "".join("ab"[bin(k).count("1") % 2] for k in range(2048))
+    b = a.translate({97: 98, 98: 97})
+    rows = [(1, a, ""), (2, b, ""), (3, f"x y z v {a}", ""), (4, f"x y z v {b}", "")]
+    assert answer(jaccard_join(spark.createDataFrame(rows, SCHEMA))) == brute(rows) == [(k, 1, k) for k in (1, 2, 3, 4)]
 
 
 def test_chain_of_links_is_one_component(spark):
