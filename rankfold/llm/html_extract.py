@@ -1,10 +1,14 @@
 """HTML extraction by tag-path ratios.
 
 Every run of text in a page has a path of tags from the root to its leaf.  Per path, the amount of text and of
-punctuation over the number of its nodes is aggregated; both ratios are smoothed over the order in which the paths'
-nodes come in the page, fused by their product, and paths over a threshold are content.  Page furniture that HTML itself
-names (menus, headers, footers, sidebars, forms, notices, adverts, comments) takes no part.  An article or main part that
-a page marks gives its blocks a finite weight; the ratios decide on every page, inside the part and outside.
+punctuation over the number of its nodes is aggregated, text of links left out of the amount; both ratios are smoothed over the order in which the paths'
+nodes come in the page, fused by their product, weighted, and paths over a threshold are content.  The ratios decide on
+every page, inside an article or main part and outside.
+
+Weights: a block in an article or main part counts somewhat more, one below a class or id that names adverts, notices or
+reader comments a thousandth, one below a name that may mean such (``related``, ``search``) half, in a main part in full.
+The threshold comes from the blocks without such a name, if there are any.  Only elements and roles by which HTML itself
+says menu, header, footer, sidebar, form or dialogue take no part at all, nor do those whose content is no text.
 
 Pages are independent: the operator is a map over rows, in one pass over each whole page.
 """
@@ -22,20 +26,22 @@ from pyspark.sql import functions as F
 
 #: Fixed values of HTML: elements without content, elements whose content is no text, and elements that begin a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math object canvas audio video select".split())
+RAW = frozenset("script style textarea title noscript template iframe svg annotation annotation-xml object canvas audio video select".split())
 BLOCKS = frozenset("address article aside blockquote body br center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
 #: An open element of the first kind ends when one of the second begins.
 IMPLIED_END = {"p": BLOCKS - {"br"}, "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "tr": frozenset({"tr", "tbody", "tfoot"}), "td": frozenset({"td", "th", "tr", "tbody", "tfoot"}), "th": frozenset({"td", "th", "tr", "tbody", "tfoot"}), "option": frozenset({"option", "optgroup"})}
-#: Elements, roles and words of class or id that name page furniture.
+#: Elements and roles that are page furniture.
 FURNITURE = frozenset("nav header footer aside form button dialog menu head label input".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
-FURNITURE_WORD = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|promo\w*|sponsor\w*|banner\w*|cookie\w*|consent|notice|gdpr|popup|modal|newsletter|subscribe|sidebar\w*|side|widget\w*|nav\w*|menu\w*|breadcrumb\w*|pagination|pager|footer|masthead|comments?|comment-\w+|reply|replies|disqus|respond|related|recommend\w*|share|sharing|social|login|signup|search|tags?|toolbar)(?:$|[\s_-])", re.I)
+#: Words of class or id that name furniture, and words that may.
+FURNITURE_WORD = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|promo\w*|sponsor\w*|banner\w*|cookie\w*|consent|notice|gdpr|popup|modal|newsletter|subscribe|sidebar\w*|widget\w*|nav|navbar|navigation|menu\w*|breadcrumb\w*|pagination|pager|footer|masthead|comments?|comment-\w+|reply|replies|disqus|respond|share|sharing|social|login|signup|toolbar)(?:$|[\s_-])", re.I)
+DOUBTFUL_WORD = re.compile(r"(?:^|[\s_-])(?:side|nav\w*|related|recommend\w*|search|tags?)(?:$|[\s_-])", re.I)
 #: The text's own frame: inside it a header belongs to the article.
 MAIN = ("article", "main")
 #: Blogs name an article's tags and options in its class, so there a name must begin with the word and say a comment, teaser or advert.
 MAIN_FURNITURE_WORD = re.compile(r"(?:^|\s)(?:ads?|advert\w*|promo\w*|sponsor\w*|comments?|reply|replies|disqus|respond|related|recommend\w*|teasers?|widget\w*|newsletter|sidebar)(?:$|\s|[_-]+(?:\d+|body|box|card|content|entry|item|list|posts?|text)(?:$|\s))", re.I)
-#: What the ratios of blocks in such a frame are multiplied with.
-MAIN_WEIGHT = 1.25
+#: What the ratios of a block are multiplied with: in a main part, below a doubtful name, below a name of furniture.
+MAIN_WEIGHT, DOUBTFUL, NAMED = 1.25, 0.5, 0.001
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
@@ -44,41 +50,50 @@ SPACES = re.compile(r"\s+")
 PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？、]")
 
 
-def _furniture(tag: str, attributes: str, inside_main: bool) -> bool:
+def _weight(tag: str, attributes: str, inside_main: bool) -> float:
+    """What an element's tag, role, class and id say of it: 0 for furniture, 1 for nothing."""
     if tag in FURNITURE and not (tag == "header" and inside_main):
-        return True
+        return 0.0
     if not attributes or "=" not in attributes:
-        return "hidden" in attributes.lower().split() if attributes else False
+        return float("hidden" not in attributes.lower().split()) if attributes else 1.0
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
     if found.get("role", "").lower() in FURNITURE_ROLES or found.get("aria-hidden") == "true" or "hidden" in found:
-        return True
-    word = MAIN_FURNITURE_WORD if tag in MAIN else FURNITURE_WORD
-    return tag not in ("html", "body") and bool(word.search(f"{found.get('class', '')} {found.get('id', '')}"))
-
-
-def _blocks(page: str) -> list[tuple[str, str, bool]]:
-    """(path, text, in a main part) of each block that is no furniture, in page order."""
-    out: list[tuple[str, str, bool]] = []
-    stack: list[tuple[str, bool]] = []  # tag, furniture here or above
+        return 0.0
+    names = f"{found.get('class', '')} {found.get('id', '')}"
+    if tag in ("html", "body") or names == " ":
+        return 1.0
+    if (MAIN_FURNITURE_WORD if tag in MAIN else FURNITURE_WORD).search(names):
+        return NAMED
+    return DOUBTFUL if tag not in MAIN and not inside_main and DOUBTFUL_WORD.search(names) else 1.0
+
+
+def _blocks(page: str) -> list[tuple[str, str, bool, float, int]]:
+    """(path, text, in a main part, weight by names, characters outside of links) of each block that is no furniture, in page order."""
+    out: list[tuple[str, str, bool, float, int]] = []
+    stack: list[tuple[str, float]] = []  # tag, least weight here and above
     parts: list[str] = []
-    mains, at, path = 0, 0, ""
+    mains, at, path, weight, linked = 0, 0, "", 1.0, 0
 
     def close() -> None:
+        nonlocal linked
         if parts:
             text = SPACES.sub(" ", html.unescape("".join(parts))).strip()
             parts.clear()
             if text:
-                out.append((path, text, mains > 0))
+                out.append((path, text, mains > 0, weight, max(len(text) - linked, 0)))
+            linked = 0
 
     size = len(page)
     lower = None
     while at < size:
         m = TOKEN.search(page, at)
         if m is None or m.start() > at:
-            if not (stack and stack[-1][1]):
+            if not stack or stack[-1][1]:
                 if not parts:
-                    path = "/".join(t for t, _ in stack if t in BLOCKS)
+                    path, weight = "/".join(t for t, _ in stack if t in BLOCKS), stack[-1][1] if stack else 1.0
                 parts.append(page[at : m.start() if m else size])
+                if any(t == "a" for t, _ in stack):
+                    linked += len(" ".join(html.unescape(parts[-1]).split()))
             if m is None:
                 break
         at = m.end()
@@ -106,7 +121,7 @@ def _blocks(page: str) -> list[tuple[str, str, bool]]:
             del stack[k:]
         if tag in VOID or m[3].endswith("/"):
             continue
-        stack.append((tag, (bool(stack) and stack[-1][1]) or _furniture(tag, m[3], mains > 0)))
+        stack.append((tag, min(stack[-1][1] if stack else 1.0, _weight(tag, m[3], mains > 0))))
         mains += tag in MAIN
     close()
     return out
@@ -117,29 +132,30 @@ def _smoothed(ratio: np.ndarray, kernel: np.ndarray) -> np.ndarray:
     return sum(w * padded[k : k + len(ratio)] for k, w in enumerate(kernel))
 
 
-def _content_paths(blocks: list[tuple[str, str, bool]], spread: float, share: float) -> set[tuple[str, bool]]:
-    """The (path, in a main part) whose mean fused ratio reaches ``share`` of the page's mean or deviation, the less of both.
+def _content_paths(blocks: list[tuple[str, str, bool, float, int]], spread: float, share: float) -> set[tuple]:
+    """The (path, in a main part, weight) whose mean weighted ratio reaches ``share`` of the deviation of the plain ones, or of half or all of their mean if that lies above or below.
 
-    Nothing is smoothed across the edge of a main part.  The threshold comes from the plain ratios; blocks in a main part then weigh ``MAIN_WEIGHT`` times theirs.
+    Nothing is smoothed across the edge of a main part, or between blocks of different weights.
     """
     text: dict[tuple, int] = {}
     marks: dict[tuple, int] = {}
     nodes: dict[tuple, int] = {}
-    for path, body, main in blocks:
-        key = (path, main)
-        text[key] = text.get(key, 0) + len(body)
+    keys = [(path, main, weight) for path, _, main, weight, _ in blocks]
+    for key, (_, body, *_, own) in zip(keys, blocks):
+        text[key] = text.get(key, 0) + own
         marks[key] = marks.get(key, 0) + len(PUNCTUATION.findall(body))
         nodes[key] = nodes.get(key, 0) + 1
-    keys = [(p, m) for p, _, m in blocks]
     ratio = np.array([[text[k] / nodes[k], (1 + marks[k]) / nodes[k]] for k in keys])
     width = int(np.ceil(3 * spread))
     kernel = np.exp(-0.5 * (np.arange(-width, width + 1) / spread) ** 2)
     kernel /= kernel.sum()
-    inside = np.array([m for _, m in keys])
-    smooth = np.concatenate([_smoothed(run, kernel) for run in np.split(ratio, np.flatnonzero(inside[1:] != inside[:-1]) + 1)])
+    inside, weight = np.array([m for _, m, _ in keys]), np.array([w for _, _, w in keys])
+    edges = np.flatnonzero((inside[1:] != inside[:-1]) | (weight[1:] != weight[:-1])) + 1
+    smooth = np.concatenate([_smoothed(run, kernel) for run in np.split(ratio, edges)])
     fused = smooth[:, 0] * smooth[:, 1]
-    bound = share * min(fused.std() or fused.mean(), fused.mean())
-    fused = np.where(inside, MAIN_WEIGHT * fused, fused)
+    plain = fused[weight == 1.0] if (weight == 1.0).any() else fused * weight
+    bound = share * min(max(plain.std(), plain.mean() / 2), plain.mean())
+    fused = fused * weight * np.where(inside, MAIN_WEIGHT, 1.0)
     by_path: dict[tuple, list[float]] = {}
     for k, f in zip(keys, fused):
         by_path.setdefault(k, []).append(f)
@@ -150,7 +166,7 @@ def main_text(page: str | None, spread: float = 1.0, share: float = 0.1) -> str:
     """The article of a page: its content blocks in page order, joined by one space."""
     blocks = _blocks(page) if page else []
     keep = _content_paths(blocks, spread, share) if blocks else set()
-    return " ".join(b for p, b, m in blocks if (p, m) in keep)
+    return " ".join(body for path, body, main, weight, _ in blocks if (path, main, weight) in keep)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", spread: float = 1.0, share: float = 0.1) -> DataFrame:
