@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 #: Used only where the session names no shared folder and driver and executors are one machine, as in tests.
 LOCAL_SHARED = "file:///tmp/checkpoints/rankfold"
-#: A key that holds more than this share of all rows is looked up by broadcast; there are fewer such keys than this.
-HOT_SHARE = 256
+#: A key with more than a 1 / HOT_SHARE of all rows is hot, so fewer keys than that are; it is dealt to SALTS tasks in joins.
+HOT_SHARE, SALTS = 256, 64
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -77,14 +77,16 @@ def released() -> Iterator[Callable[[DataFrame, str], DataFrame]]:
 
 
 def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
-    """Inner join of ``rows`` with ``table``, which has one row per key and in ``weight`` how many rows have the key.
+    """Inner join of ``rows`` with ``table``, which says in ``weight`` how many rows have a key, the same in all its rows of that key.
 
-    Keys that hold more than a 1 / HOT_SHARE of all ``total`` rows, fewer than HOT_SHARE of them, are broadcast; no task gets all rows of one.
+    Keys that hold more than a 1 / HOT_SHARE of all ``total`` rows, fewer than HOT_SHARE of them, are dealt to SALTS tasks each;
+    only these keys are broadcast.
     """
     hot = F.col(weight) * HOT_SHARE > total
-    often, rest = table.where(hot).drop(weight), table.where(~hot).drop(weight)
-    seldom = rows.join(F.broadcast(often.select(*keys)), keys, "left_anti")
-    return rows.join(F.broadcast(often), keys).unionByName(seldom.join(rest, keys))
+    named = rows.join(F.broadcast(table.where(hot).select(*keys, F.lit(True).alias("_hot")).distinct()), keys, "left")
+    salted = named.withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS))).otherwise(F.lit(0).cast("long"))).drop("_hot")
+    salts = F.when(hot, F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    return salted.join(table.withColumn("_salt", F.explode(salts)).drop(weight), [*keys, "_salt"]).drop("_salt")
 
 
 def ascii_lower(text: Column) -> Column:
