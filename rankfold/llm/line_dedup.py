@@ -1,16 +1,17 @@
 """Line deduplication by content-defined line chunks.
 
-A document's lines are hashed; the hash of each line with the one before it decides whether a chunk ends there, so the
-boundaries move with the content when lines are inserted above.  Chunks of several lines that occur more than once in
-the whole table, in one document or in many, are kept where they occur first (smallest id, then first place) and removed
-elsewhere.  Chunks are merged with their whole text as key, so bytes are compared, never hashes alone.
-
-Boundaries lie about four lines apart, so a repeated passage between different neighbours loses only the chunks that lie
-wholly inside it, and often none.  With ``passages`` every run of ``min_lines`` lines is compared instead of the chunks:
-a passage repeated at any place goes whole.
-
-Cutting is done inside a row.  Equal chunks combine before their shuffle, and only short rows (ids, places, hashes)
-travel on; a chunk that a third of all rows share is one row per map task.
+Lines are hashed, and a rolling hash runs over the hashes of every ``min_lines`` consecutive lines.  Where such a run's hash
+occurs elsewhere too, in this document or another, the lines belong to a chunk; a chunk ends where the rolling hash
+stops repeating.  So the boundaries come from content alone and move with it when lines are inserted above, and a
+passage repeated at any place between any neighbours is found whole.  Hashes only choose: the runs of the chunks are then
+merged with their whole text as key, so bytes are compared, and a run is kept where it occurs first (smallest id, then
+first place) and removed elsewhere.
+
+1. The rows are numbered and written.  The rolling hashes, short rows, are counted; equal ones combine before the shuffle.
+2. Documents with repeated hashes get the list of their places; only these send text of runs, and only of repeated ones.
+3. Runs with equal text are grouped; the others than the first go back to their documents by hash and SHA-256.
+
+A run that a third of all rows share is one row per map task in the groupings and salted in the joins (``looked_up``).
 """
 
 from __future__ import annotations
@@ -18,81 +19,54 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import let, materialize
-
-#: A chunk ends where the first hex digit of the rolling hash is one of these: one line in four.
-CUT_DIGITS = "0123"
-HOT_SHARE = 256
-
+from .shared import let, looked_up, materialize
 
-def cut_chunks(text: Column) -> Column:
-    """array<struct<text, n_lines>> of a text; joined by line ends, the chunks are the text."""
-
-    def ends(h: Column) -> Column:
-        rolling = lambda i: F.md5(F.concat(F.element_at(h, F.greatest(i - 1, F.lit(1))), F.element_at(h, i)))
-        return F.filter(F.sequence(F.lit(1), F.size(h)), lambda i: (i == F.size(h)) | ((i > 1) & F.substring(rolling(i), 1, 1).isin(*CUT_DIGITS)))
-
-    def pieces(lines: Column, e: Column) -> Column:
-        before = lambda k: F.when(k == 0, 0).otherwise(F.element_at(e, F.greatest(k, F.lit(1))))
-        return F.transform(e, lambda v, k: F.struct(F.array_join(F.slice(lines, before(k) + 1, v - before(k)), "\n").alias("text"), (v - before(k)).alias("n_lines")))
-
-    return let(_lines(text), lambda x: let(F.transform(x, lambda line: F.md5(line)), lambda h: let(ends(h), lambda e: pieces(x, e))))
+RESULT = ("n_runs", "n_repeated", "lines_removed")
 
 
 def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def cut_runs(text: Column, n_lines: int) -> Column:
-    """array<struct<text, n_lines>>: the run of ``n_lines`` lines from each line on, as far as there are so many."""
-    run = lambda x, i: F.struct(F.array_join(F.slice(x, i, n_lines), "\n").alias("text"), F.lit(n_lines).alias("n_lines"))
-    return let(_lines(text), lambda x: F.transform(F.filter(F.sequence(F.lit(1), F.size(x)), lambda i: i <= F.size(x) - n_lines + 1), lambda i: run(x, i)))
+def rolling_hashes(text: Column, n_lines: int) -> Column:
+    """array<long>: a hash of the hashes of ``n_lines`` lines, from each line on as far as there are so many; null if there are none."""
+    roll = lambda h: F.when(F.size(h) >= n_lines, F.transform(F.sequence(F.lit(1), F.size(h) - n_lines + 1), lambda i: F.xxhash64(F.slice(h, i, n_lines))))
+    return let(F.transform(_lines(text), lambda x: F.xxhash64(x)), roll)
+
 
+def _total(table: DataFrame) -> int:
+    return table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2, passages: bool = False) -> DataFrame:
-    """All input columns, ``text_col`` without its repeated chunks, and n_chunks, n_removed, lines_removed.
 
-    Lines end at ``\\n``.  Only chunks of at least ``min_lines`` lines with some non-space character count as repeated.
-    A text of which nothing is left becomes empty; the row stays.  A null text stays null and counts as empty.  Rows
-    that share an id are told apart by their text: equal rows are cut alike, the first keeps its chunks.  Null ids come
-    first in the order of ids.  An empty table gives an empty result.  Input columns named like a result column or
-    beginning with ``_`` must be renamed by the caller; all others are carried along.
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2) -> DataFrame:
+    """All input columns, ``text_col`` without its repeated lines, and n_runs, n_repeated, lines_removed.
 
-    With ``passages`` the runs of ``min_lines`` lines, which overlap, take the place of the chunks in all of this: the
-    lines of a run that occurred before are removed.  Each removed line has an equal one before it that stays.
+    Lines end at ``\\n``; a run is ``min_lines`` consecutive lines with some non-space character.  Runs overlap.  A run
+    equal to one before it, in the order of id, row and line, is repeated, and all its lines are removed; each of them has
+    an equal line before it that stays.  n_runs counts the runs of a text, blank ones too, n_repeated the repeated ones.
+    A text of which nothing is left becomes empty; the row stays.  A null text stays null and counts as empty.  Rows that
+    repeat an id, or id and text, are rows of their own: the first keeps its lines.  Null ids come first.  An empty table
+    gives an empty result.  Other columns are carried along, but for those named like a result column, which go.
     """
-    cut = cut_runs(F.col(text_col), min_lines) if passages else cut_chunks(F.col(text_col))
-    places = (
-        docs.select(F.col(id_col).alias("id"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("version"), F.posexplode_outer(cut).alias("place", "chunk"))
-        .where((F.col("chunk.n_lines") >= min_lines) & F.col("chunk.text").rlike(r"\S"))
-        .select("id", "version", "place", F.col("chunk.n_lines").alias("n_lines"), F.col("chunk.text").alias("body"))
-    )
-    at = F.struct(F.coalesce(F.col("id"), F.lit(-(2**63))).alias("id"), "version", "place")
-    groups = places.groupBy("body", "n_lines").agg(F.min(at).alias("first"), F.count("*").alias("n"))
-    repeated = materialize(groups.where("n > 1").select(F.sha2("body", 256).alias("digest"), F.xxhash64("body").alias("h"), "first", "n"), "line-chunks")
-    short = places.select("id", "version", "place", "n_lines", F.sha2("body", 256).alias("digest"), F.xxhash64("body").alias("h"), at.alias("at"))
-    return _without(docs, short, repeated, id_col, text_col, min_lines if passages else 0)
-
-
-def _without(docs: DataFrame, short: DataFrame, repeated: DataFrame, id_col: str, text_col: str, run: int) -> DataFrame:
-    """``docs`` without the repeated chunks, or without the lines of the repeated runs of ``run`` lines."""
-    total = short.count()
-    hot = repeated.where(F.col("n") * HOT_SHARE > total).drop("n")  # fewer than HOT_SHARE rows
-    rest = repeated.where(F.col("n") * HOT_SHARE <= total).drop("n")
-    keys = ["digest", "h"]
-    hits = short.join(F.broadcast(hot), keys).unionByName(short.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(rest, keys))
-    gone = hits.where(F.col("at") != F.col("first")).groupBy("id", "version").agg(F.collect_set("place").alias("_gone"), F.sum("n_lines").alias("_gone_lines"))
-    left = docs.withColumn("_version", F.md5(F.coalesce(F.col(text_col), F.lit(""))))
-    left = left.join(gone.select(F.col("id").alias("_id"), F.col("version").alias("_v"), "_gone", "_gone_lines"), left[id_col].eqNullSafe(F.col("_id")) & (F.col("_version") == F.col("_v")), "left").drop("_id", "_v", "_version")
-    if run:
-        left = left.withColumn("_chunks", _lines(F.col(text_col)))
-        covered = F.array_distinct(F.flatten(F.transform("_gone", lambda k: F.sequence(k, k + run - 1))))
-        places = F.array_except(F.sequence(F.lit(0), F.size("_chunks") - 1), covered)
-        stay = F.array_join(F.transform(places, lambda k: F.element_at("_chunks", k + 1)), "\n")
-        n_chunks, gone_lines = F.greatest(F.size("_chunks") - run + 1, F.lit(0)), F.when(F.col("_gone").isNotNull(), F.size(covered))
-    else:
-        left = left.withColumn("_chunks", cut_chunks(F.col(text_col)))
-        stay = F.array_join(F.transform(F.filter("_chunks", lambda c, k: ~F.coalesce(F.array_contains("_gone", k), F.lit(False))), lambda c: c["text"]), "\n")
-        n_chunks, gone_lines = F.size("_chunks"), F.col("_gone_lines")
-    columns = [F.when(F.col(text_col).isNull(), F.lit(None)).when(F.col("_gone").isNull(), F.col(text_col)).otherwise(stay).alias(c) if c == text_col else F.col(c) for c in docs.columns]
-    return left.select(*columns, n_chunks.cast("long").alias("n_chunks"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(gone_lines, F.lit(0)).cast("long").alias("lines_removed"))
+    numbered = materialize(docs.select(F.monotonically_increasing_id().alias("no"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), "lines-rows")
+    text, own = F.col("row").getField(text_col), F.col("row").getField(id_col)
+    runs = numbered.select("no", F.posexplode(rolling_hashes(text, min_lines)).alias("place", "h"))
+    hashes = materialize(runs.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "lines-hashes")
+    places = looked_up(runs, hashes, ["h"], "n", _total(hashes)).groupBy("no").agg(F.collect_set("place").alias("places"))
+    held = materialize(numbered.select("no", own.alias("id"), text.alias("text")).join(places, "no"), "lines-held")
+    body = lambda lines: F.transform("places", lambda k: F.struct(k.alias("place"), F.array_join(F.slice(lines, k + 1, min_lines), "\n").alias("body")))
+    chunks = held.select("no", "id", F.explode(let(_lines(F.col("text")), body)).alias("run")).select("no", "id", "run.place", "run.body").where(F.col("body").rlike(r"\S"))
+    first = F.min(F.struct("id", "no", "place"))
+    keys = [F.sha2("body", 256).alias("digest"), F.xxhash64("body").alias("h")]
+    groups = chunks.groupBy("body").agg(first.alias("first"), F.count("*").alias("n")).where("n > 1")
+    repeated = materialize(groups.select(*keys, "first", "n"), "lines-repeated")
+    hits = looked_up(chunks.select("no", "place", *keys), repeated, ["digest", "h"], "n", _total(repeated))
+    gone = hits.where((F.col("no") != F.col("first.no")) | (F.col("place") != F.col("first.place"))).groupBy("no").agg(F.collect_set("place").alias("gone"))
+    left = numbered.join(gone, "no", "left")
+    covered = F.array_distinct(F.flatten(F.transform("gone", lambda k: F.sequence(k, k + min_lines - 1))))
+    cut = lambda lines: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), covered), lambda k: F.element_at(lines, k + 1)), "\n")
+    stay = F.when(text.isNull() | F.col("gone").isNull(), text).otherwise(let(_lines(text), cut))
+    kept = [stay.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns if c.lower() not in RESULT]
+    n_runs = F.greatest(F.size(_lines(text)) - min_lines + 1, F.lit(0))
+    counts = (n_runs, F.coalesce(F.size("gone"), F.lit(0)), F.coalesce(F.size(covered), F.lit(0)))
+    return left.select(*kept, *(n.cast("long").alias(name) for n, name in zip(counts, RESULT)))

@@ -41,16 +41,16 @@ _CHAT = """
 
 _LINES = r"""
     WITH l AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
-    u AS (SELECT doc_id, generate_subscripts(lines, 1) AS i, unnest(lines) AS line, len(lines) AS n FROM l),
-    h AS (SELECT *, lag(md5(line)) OVER w AS before FROM u WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-    e AS (SELECT *, i = n OR (i > 1 AND md5(before || md5(line))[1:1] IN ('0', '1', '2', '3')) AS ends FROM h),
-    k AS (SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM e),
-    c AS (SELECT doc_id, place, string_agg(line, chr(10) ORDER BY i) AS body, count(*) AS n_lines FROM k GROUP BY doc_id, place),
-    f AS (SELECT *, row_number() OVER (PARTITION BY body, n_lines ORDER BY doc_id, place) AS nth FROM c),
-    g AS (SELECT *, nth > 1 AND n_lines >= 2 AND regexp_matches(body, '\S') AS gone FROM f),
-    r AS (SELECT doc_id, count(*) AS n_chunks, count(*) FILTER (WHERE gone) AS n_removed, coalesce(sum(n_lines) FILTER (WHERE gone), 0)::BIGINT AS lines_removed,
-          coalesce(string_agg(body, chr(10) ORDER BY place) FILTER (WHERE NOT gone), '') AS body FROM g GROUP BY doc_id)
-    SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE body END AS text, n_chunks, n_removed, lines_removed, sha256(body) AS text_sha256 FROM r JOIN l USING (doc_id)
+    u AS (SELECT doc_id, generate_subscripts(lines, 1) AS i, unnest(lines) AS line FROM l),
+    r AS (SELECT doc_id, i, line || chr(10) || lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS body FROM u),
+    f AS (SELECT doc_id, i, row_number() OVER (PARTITION BY body ORDER BY doc_id, i) AS nth FROM r WHERE body IS NOT NULL AND regexp_matches(body, '\S')),
+    g AS (SELECT doc_id, i FROM f WHERE nth > 1),
+    covered AS (SELECT doc_id, i, true AS gone FROM g UNION SELECT doc_id, i + 1, true FROM g),
+    kept AS (SELECT doc_id, count(*) - 1 AS n_runs, count(gone) AS lines_removed, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE gone IS NULL), '') AS body
+          FROM u LEFT JOIN covered USING (doc_id, i) GROUP BY doc_id),
+    n AS (SELECT doc_id, count(*) AS n_repeated FROM g GROUP BY doc_id)
+    SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE body END AS text, n_runs, coalesce(n_repeated, 0)::BIGINT AS n_repeated, lines_removed, sha256(body) AS text_sha256
+    FROM kept JOIN l USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
 

@@ -46,7 +46,7 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return done.select("doc_id", "text", "n_chunks", "n_removed", "lines_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+    return done.select("doc_id", "text", "n_runs", "n_repeated", "lines_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
