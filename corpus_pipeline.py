@@ -21,9 +21,9 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the line chunks that occur earlier in the corpus; n_chars follows the text."""
+    """All documents, without the passages that occur earlier in the corpus; n_chars follows the text."""
     done = line_dedup.line_dedup(docs)
-    changed = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    changed = F.when(F.col("lines_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return done.withColumn("n_chars", changed).select(*docs.columns)
 
 
