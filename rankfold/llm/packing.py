@@ -1,10 +1,11 @@
 """Best-fit packing of token sequences with a swap-based local search.
 
 Texts are tokenised word by word, cut into pieces of at most ``capacity`` tokens, and packed.  Only the lengths of the
-pieces travel.  Pieces are dealt by a hash to groups of about ``GROUP`` pieces, however many there are in all, and each
-group is packed on its own: best fit in order of falling length, then a local search that moves a piece, exchanges one
-for one, or two for one, between underfull bins.  Each step makes the sum of squared fills larger, so the search ends;
-bins that become empty are saved.  A group stops at its lower bound, so at most a part of a bin is lost per group.
+pieces travel.  Pieces are numbered as they are written and dealt by that number to groups of about ``GROUP`` pieces,
+however many there are in all and whatever their ids; each group is packed on its own: best fit in order of falling
+length, then a local search that moves a piece, exchanges one for one, or two for one, between underfull bins.  Each step
+makes the sum of squared fills larger, so the search ends; bins that become empty are saved.  A group stops at a lower
+bound of the bins that it needs, and the emptiest bins of all groups are packed together again.
 """
 
 from __future__ import annotations
@@ -12,10 +13,12 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,10 +67,10 @@ def _tokenised(texts: list[str], words: _Words) -> tuple[np.ndarray, np.ndarray]
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """One row per piece: id, piece, start, length, ids_crc32.  ``end_id`` closes each text; a shorter piece comes first."""
+    """One row per piece: id, piece, start, length, ids_crc32, no.  ``end_id`` closes each text; a shorter piece comes first."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words(tokenizer)
+        words, no = _Words(tokenizer), TaskContext.get().partitionId() << 40
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             out: list[list] = [[], [], [], [], []]
@@ -81,9 +84,11 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id
                     for k, (x, y) in enumerate(zip(cuts, cuts[1:])):
                         for column, value in zip(out, (doc_id, k, x, y - x, zlib.crc32(own[x:y].tobytes()))):
                             column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["id", "piece", "start", "length", "ids_crc32"])
+            out.append(range(no, no + len(out[0])))
+            no += len(out[0])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), *[pa.int64()] * 4))], names=["id", "piece", "start", "length", "ids_crc32", "no"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(cut, "id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(cut, "id long, piece int, start long, length long, ids_crc32 long, no long")
 
 
 def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
@@ -103,83 +108,123 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
+def least_bins(lengths: np.ndarray, capacity: int) -> int:
+    """A lower bound of the bins needed: items over half a bin share none, and what they leave free takes only what is short enough."""
+    lengths = np.sort(np.asarray(lengths, np.int64))
+    if not len(lengths):
+        return 0
+    sums = np.concatenate([[0], np.cumsum(lengths)])
+    half = np.searchsorted(lengths, capacity // 2, "right")  # from here on longer than half a bin
+    short = np.unique(np.append(lengths[:half], 0))  # items shorter than this are left out
+    full = np.searchsorted(lengths, capacity - short, "right")  # from here on nothing counted fits beside
+    full = np.maximum(full, half)
+    room = (full - half) * capacity - (sums[full] - sums[half])
+    rest = sums[half] - sums[np.searchsorted(lengths, short, "left")]
+    return int((len(lengths) - half + np.maximum(0, -(-(rest - room) // capacity))).max())
+
+
 def improve(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
-    """Moves and exchanges between underfull bins, each raising the sum of squared fills, until none helps or the bound is met."""
-    total = sum(lengths)
-    bound = -(-total // capacity)
-    fill = [sum(lengths[i] for i in b) for b in bins]
-    open_ = sorted((k for k in range(len(bins)) if fill[k] < capacity), key=lambda k: fill[k])
-    left = len(bins)
+    """Moves and exchanges between underfull bins, each raising the sum of squared fills, until none helps or ``least_bins`` is met.
+
+    The emptiest bin first gives one item or two to a bin at least as full, for one of that bin's items or for none; of
+    all that fit, the exchange that moves most.  Items of one length are alike, so lengths are tried, not items.
+    """
+    size = np.asarray(lengths, np.int64)
+    where = np.empty(len(size), np.int64)
+    for k, b in enumerate(bins):
+        where[b] = k
+    fill = np.bincount(where, weights=size, minlength=len(bins)).astype(np.int64)
+    bound, left, moved = least_bins(size, capacity), len(bins), True
 
     def step(a: int) -> bool:
-        """One gain that takes weight from bin ``a`` to a fuller one."""
-        for b in reversed(open_):
-            if b == a or fill[b] < fill[a]:
-                continue
-            gap = capacity - fill[b]
-            if not gap:
-                continue
-            for i in sorted(bins[a], key=lambda k: -lengths[k]):  # move
-                if lengths[i] <= gap:
-                    return shift(a, b, [i], [])
-            ours, theirs = ({lengths[i]: i for i in bins[k]} for k in (a, b))
-            sizes = sorted(theirs)
-            best: tuple[int, list[int], list[int]] | None = None
-            gives = [(n, [i]) for n, i in ours.items()]
-            twins: dict[int, list[int]] = {}  # two items of each length at most: pairs of lengths, not of items
-            for i in bins[a]:
-                if len(own := twins.setdefault(lengths[i], [])) < 2:
-                    own.append(i)
-            items = [i for own in twins.values() for i in own]
-            gives += [(lengths[i] + lengths[j], [i, j]) for x, i in enumerate(items) for j in items[x + 1 :]]
-            for n, give in gives:  # one for one, two for one: the largest gain that fits
-                at = bisect_left(sizes, n - gap)
-                if at < len(sizes) and 0 < (gain := n - sizes[at]) <= gap and (best is None or gain > best[0]):
-                    best = (gain, give, [theirs[sizes[at]]])
-            if best:
-                return shift(a, b, best[1], best[2])
-        return False
-
-    def shift(a: int, b: int, give: list[int], take: list[int]) -> bool:
-        moved = sum(lengths[i] for i in give) - sum(lengths[i] for i in take)
-        bins[a] = [i for i in bins[a] if i not in give] + take
-        bins[b] = [i for i in bins[b] if i not in take] + give
-        fill[a] -= moved
-        fill[b] += moved
+        able = (fill < capacity) & (fill >= fill[a])
+        able[a] = False
+        into, items = np.flatnonzero(able), np.flatnonzero(able[where])
+        if not len(into):
+            return False
+        take = np.concatenate([np.zeros(len(into), np.int64), size[items]])  # nothing, or an item
+        taken = np.concatenate([np.full(len(into), -1), items])
+        to = np.concatenate([into, where[items]])
+        order = np.argsort(take, kind="stable")
+        take, taken, to = take[order], taken[order], to[order]
+        most = take + capacity - fill[to]
+        twins: dict[int, list[int]] = {}  # two items of each length at most: pairs of lengths, not of items
+        for i in np.flatnonzero(where == a).tolist():
+            if len(own := twins.setdefault(lengths[i], [])) < 2:
+                own.append(i)
+        ours = [i for own in twins.values() for i in own]
+        gives = [(own[0],) for own in twins.values()] + [(i, j) for x, i in enumerate(ours) for j in ours[x + 1 :]]
+        given = np.array([sum(lengths[i] for i in g) for g in gives])
+        best = (0, 0, 0)
+        for x in range(0, len(given), 256):
+            n = given[x : x + 256, None]
+            fits = (take < n) & (most >= n)
+            first = fits.argmax(axis=1)  # the least that is taken back
+            gain = np.where(fits.any(axis=1), n[:, 0] - take[first], 0)
+            k = int(gain.argmax())
+            best = max(best, (int(gain[k]), x + k, int(first[k])))
+        gain, k, f = best
+        if not gain:
+            return False
+        where[list(gives[k])] = to[f]
+        if taken[f] >= 0:
+            where[taken[f]] = a
+        fill[a] -= gain
+        fill[to[f]] += gain
         return True
 
-    while left > bound and open_:
-        a = open_[0]
-        if step(a):
-            if not bins[a]:
-                open_.pop(0)
-                left -= 1
-            open_ = [k for k in open_ if fill[k] < capacity]
-        else:
-            open_.pop(0)  # nothing leaves the emptiest bin any more
-    return [b for b in bins if b]
+    while moved and left > bound:
+        moved = False
+        for a in np.argsort(fill, kind="stable").tolist():
+            while 0 < fill[a] < capacity and left > bound and step(a):
+                moved = True
+                left -= not fill[a]
+    out: list[list[int]] = [[] for _ in bins]
+    for i, k in enumerate(where.tolist()):
+        out[k].append(i)
+    return [b for b in out if b]
 
 
-def pack(pieces_: DataFrame, capacity: int = 2048, group: int = GROUP) -> DataFrame:
-    """Adds sequence_id and offset to rows with ``id, piece, length`` (each length at most ``capacity``)."""
-    groups = max(1, -(-pieces_.count() // group))
+def _group(capacity: int, level: int, last: bool):
+    """Packs one group; ``again`` marks its emptiest bin, unless this group is the last or has none underfull."""
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", "id", "piece"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
         lengths = rows["length"].tolist()
         bins = improve(best_fit(lengths, capacity), lengths, capacity)
+        fills = [sum(lengths[i] for i in b) for b in bins]
+        open_ = -1 if last or min(fills) == capacity else fills.index(min(fills))
         seq, offset = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
         for k, b in enumerate(bins):
             seq[b] = k
-            at = 0
-            for i in b:
-                offset[i] = at
-                at += lengths[i]
-        return rows.assign(sequence_id=rows["g"].astype("int64") * (1 << 32) + seq, offset=offset)
-
-    dealt = pieces_.withColumn("g", F.pmod(F.xxhash64("id", "piece"), F.lit(groups)))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema.fields)
-    return dealt.groupBy("g").applyInPandas(one, f"{fields}, sequence_id long, offset long").drop("g")
+            offset[b] = np.cumsum([0, *(lengths[i] for i in b[:-1])])
+        own = (level << 56) + rows["g"].to_numpy(np.int64) * (1 << 24) + seq
+        return rows.assign(sequence_id=own, offset=offset, again=seq == open_).drop(columns="g")
+
+    return one
+
+
+def pack(pieces_: DataFrame, capacity: int = 2048, group: int = GROUP) -> DataFrame:
+    """Adds sequence_id and offset to rows with ``id, piece, length, no`` (each length at most ``capacity``, ``no`` of each row its own).
+
+    The emptiest bin of every group is packed anew with those of other groups, until one group is left.
+    """
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces_.schema.fields)
+    done: list[DataFrame] = []
+    level, rest, before = 0, pieces_, None
+    while True:
+        n = rest.count()
+        groups = max(1, -(-n // group))
+        last = groups == 1 or before is not None and 2 * n > before  # bins of more pieces than a group would never end
+        dealt = rest.withColumn("g", F.pmod(F.xxhash64("no"), F.lit(groups)))
+        packed = dealt.groupBy("g").applyInPandas(_group(capacity, level, last), f"{fields}, sequence_id long, offset long, again boolean")
+        if last:
+            done.append(packed)
+            break
+        packed = materialize(packed, "pack-bins")
+        done.append(packed.where("NOT again"))
+        level, rest, before = level + 1, packed.where("again").select(*pieces_.columns), n
+    return reduce(DataFrame.unionByName, done).drop("again", "no")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP) -> DataFrame:

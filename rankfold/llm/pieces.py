@@ -80,17 +80,34 @@ def spans(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np
 
 
 def distinct(joined: str, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[list[str], np.ndarray]:
-    """(words, place): the distinct pre-tokens and, for each span, the place of its word among them."""
+    """(words, place): the distinct pre-tokens and, for each span, the place of its word among them.
+
+    Spans are sorted by a hash; then every span's letters are compared with those of the word that it was taken for.
+    """
     if not len(starts):
         return [], np.zeros(0, np.int64)
+    length = ends - starts
     with np.errstate(over="ignore"):
         base, back = _powers(len(points) + 1)
         sums = np.zeros(len(points) + 1, np.uint64)
         np.cumsum((points.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(0x2545F4914F6CDD1D)) * base[:-1], out=sums[1:])
         key = (sums[ends] - sums[starts]) * back[starts]
-        key = (key ^ (key >> np.uint64(31)) ^ (ends - starts).astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+        key = (key ^ (key >> np.uint64(31)) ^ length.astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
     _, at, place = np.unique(key, return_index=True, return_inverse=True)
-    return [joined[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())], place
+    if _all_equal(points, starts, length, at[place]):
+        return [joined[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())], place
+    known: dict[str, int] = {}  # different words behind one hash
+    place = np.fromiter((known.setdefault(joined[a:b], len(known)) for a, b in zip(starts.tolist(), ends.tolist())), np.int64, len(starts))
+    return list(known), place
+
+
+def _all_equal(points: np.ndarray, starts: np.ndarray, length: np.ndarray, like: np.ndarray) -> bool:
+    """Whether every span has the letters of the span ``like`` says."""
+    if (length != length[like]).any():
+        return False
+    other = like != np.arange(len(like))
+    own = ragged(starts[other], length[other])
+    return bool((points[own] == points[own + np.repeat(starts[like][other] - starts[other], length[other])]).all())
 
 
 @lru_cache(4)
