@@ -1,10 +1,11 @@
 """Quality classifier: nearest-neighbour voting over latent-semantic vectors.
 
-A text's terms are the shapes of its characters (runs of three character classes, so that no language is favoured) and
-of its words (equal to the word before it, or to one of the words before that).  Term counts are damped, weighted by
-inverse document frequency and projected on the leading singular vectors of the labelled sample.  The vectors of that
-sample, a bounded number by the parameter ``fit_rows``, are broadcast; each document's cosines with all of them are
-exact products by blocks, and its nearest neighbours vote with weights that grow with the cosine.
+A text has three blocks of terms: its words, by a hash of each; runs of four letters, by a hash, so that word parts count too;
+and shapes, which are runs of three character classes (so that no language is favoured) and words equal to one of the
+words shortly before.  Counts are damped, weighted by inverse document frequency and scaled block by block, then
+projected on the leading singular vectors of the labelled sample.  The vectors of that sample, a bounded number by the
+parameter ``fit_rows``, are broadcast; each document's cosines with all of them are exact products by blocks, and its
+nearest neighbours vote with weights that grow with the cosine.
 
 Fitting reads labelled texts only, and of these the ``fit_rows`` with the smallest hash of their id.  Scoring is a map
 over whole texts: no shuffle, nothing is kept between rows.
@@ -21,15 +22,21 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import pieces
+from .shingles import word_hashes
 
-#: Size of the hashed part of the term table; the word terms follow it.
-SHAPES = 1024
-WORD_TERMS = 8
-SLICE = 500_000
-#: A word term counts this much, as it stands for several characters.
-WORD_WEIGHT = 4.0
+#: Sizes of the hashed blocks; the shapes are followed by the words that equal one before.
+SHAPES, AGAIN, WORD_TERMS, LETTER_TERMS = 1024, 8, 2048, 1024
+#: Columns of each block and its share in a text's vector.
+BLOCKS = ((0, SHAPES + AGAIN, 1.0), (SHAPES + AGAIN, SHAPES + AGAIN + WORD_TERMS, 0.5), (SHAPES + AGAIN + WORD_TERMS, SHAPES + AGAIN + WORD_TERMS + LETTER_TERMS, 0.5))
+WIDTH = BLOCKS[-1][1]
+#: Texts are counted in slices of so many bytes and at most so many texts, as a row of counts is WIDTH numbers.
+SLICE, SLICE_TEXTS = 500_000, 512
+#: An equal word counts this much, as it stands for several characters.
+AGAIN_WEIGHT = 4.0
+RESULT = ("held_out", "score", "predicted")
 
 
 def _byte_classes() -> np.ndarray:
@@ -43,36 +50,66 @@ def _byte_classes() -> np.ndarray:
 
 
 CLASSES = _byte_classes()
+GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _slices(texts: list[bytes]) -> Iterator[tuple[int, int]]:
+    for a, b in pieces.sliced([len(t) for t in texts], SLICE):
+        for x in range(a, b, SLICE_TEXTS):
+            yield x, min(x + SLICE_TEXTS, b)
 
 
 def term_counts(texts: list[bytes]) -> np.ndarray:
     """Counts of terms, a row for each text (UTF-8)."""
-    width = SHAPES + WORD_TERMS
-    joined = b"\n".join(texts) + b"\n"
-    raw = np.frombuffer(joined, np.uint8)
+    raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
     owner = np.repeat(np.arange(len(texts)), sizes)
-    kind = CLASSES[raw]
-    out = np.zeros(len(texts) * width)
-    if len(kind) >= 3:
+    out = np.zeros(len(texts) * WIDTH)
+
+    def add(of: np.ndarray, term: np.ndarray, weight: float = 1.0) -> None:
+        nonlocal out
+        out += weight * np.bincount(of * WIDTH + term, minlength=len(out))
+
+    if len(raw) >= 3:
+        kind = CLASSES[raw]
         three = ((kind[:-2] * 203 + kind[1:-1]) * 203 + kind[2:]).astype(np.uint64)
-        term = ((three * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(54)).astype(np.int64)
         same = owner[:-2] == owner[2:]
-        out += np.bincount((owner[:-2] * width + term)[same], minlength=len(out))
-    blank = (raw == 32) | ((raw >= 9) & (raw <= 13))
-    edge = np.flatnonzero(np.diff(np.concatenate([[True], blank, [True]]).astype(np.int8)))
-    begin, end = edge[::2], edge[1::2]
-    if len(begin):
-        with np.errstate(over="ignore"):
-            base, back = pieces._powers(len(raw) + 1)
-            sums = np.zeros(len(raw) + 1, np.uint64)
-            np.cumsum((raw | 32).astype(np.uint64) * base[:-1], out=sums[1:])
-            word = (sums[end] - sums[begin]) * back[begin]
-        of = owner[begin]
-        for lag in range(1, WORD_TERMS):
+        add(owner[:-2][same], ((three * GOLDEN) >> np.uint64(54)).astype(np.int64)[same])
+    if len(raw) >= 4:
+        small = np.frombuffer(raw.tobytes().lower(), np.uint8).astype(np.uint64)
+        four = ((small[:-3] << np.uint64(8) | small[1:-2]) << np.uint64(8) | small[2:-1]) << np.uint64(8) | small[3:]
+        same = owner[:-3] == owner[3:]
+        add(owner[:-3][same], (BLOCKS[2][0] + ((four * GOLDEN) >> np.uint64(54)).astype(np.int64))[same])
+    own = [t.lower().split() for t in texts]
+    of = np.repeat(np.arange(len(texts)), [len(w) for w in own])
+    if len(of):
+        word = word_hashes([w for words in own for w in words])
+        add(of, BLOCKS[1][0] + (word >> np.uint64(53)).astype(np.int64))
+        for lag in range(1, AGAIN):
             again = (word[lag:] == word[:-lag]) & (of[lag:] == of[:-lag])
-            out += WORD_WEIGHT * np.bincount(of[lag:][again] * width + SHAPES + lag, minlength=len(out))
-    return out.reshape(len(texts), width)
+            add(of[lag:][again], np.full(int(again.sum()), SHAPES + lag), AGAIN_WEIGHT)
+    return out.reshape(len(texts), WIDTH)
+
+
+def _weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Damped counts times idf, every block of length one times its share."""
+    x = counts.astype(np.float32)
+    for a, b, share in BLOCKS:
+        part = x[:, a:b]
+        part *= 1000.0 / np.maximum(part.sum(axis=1, keepdims=True), 1.0)
+        np.log1p(part, out=part)
+        part *= idf[a:b]
+        part *= share / np.maximum(np.linalg.norm(part, axis=1, keepdims=True), 1e-12)
+    return x
+
+
+def leading(x: np.ndarray, dimensions: int, rounds: int = 6, seed: int = 1) -> np.ndarray:
+    """The leading right singular vectors of ``x`` by subspace iteration: (columns, dimensions)."""
+    z = np.random.default_rng(seed).normal(size=(x.shape[1], min(dimensions + 8, *x.shape))).astype(np.float32)
+    for _ in range(rounds):
+        z, _ = np.linalg.qr(x.T @ (x @ z))
+    _, _, turn = np.linalg.svd(x @ z, full_matrices=False)
+    return (z @ turn.T)[:, :dimensions]
 
 
 @dataclass
@@ -88,13 +125,14 @@ class Model:
     sharpness: float
 
     def latent(self, counts: np.ndarray) -> np.ndarray:
-        total = counts.sum(axis=1, keepdims=True)
-        x = np.log1p(1000.0 * counts / np.maximum(total, 1.0)) * self.idf
-        z = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)) @ self.projection
-        return (z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)).astype(np.float32)
+        z = _weighted(counts, self.idf) @ self.projection
+        return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
 
     def scores(self, counts: np.ndarray, block: int = 512) -> np.ndarray:
-        """Weighted share of label 1 among the nearest; the prior where there is nothing to compare."""
+        """Weighted share of label 1 among the nearest; the prior where there is nothing to compare.
+
+        Of neighbours with one cosine at the edge any may vote; equal texts have equal scores, whatever stands beside them.
+        """
         out = np.full(len(counts), self.prior)
         k = min(self.k, len(self.labels))
         if not k:
@@ -111,19 +149,14 @@ class Model:
         return np.clip(out, 0.0, 1.0)
 
 
-def fit(counts: np.ndarray, labels: np.ndarray, dimensions: int = 24, k: int = 15, sharpness: float = 8.0) -> Model:
+def fit(counts: np.ndarray, labels: np.ndarray, dimensions: int = 48, k: int = 15, sharpness: float = 8.0) -> Model:
     """Latent-semantic vectors of labelled term counts."""
-    n, width = counts.shape
-    idf = np.log((1.0 + n) / (1.0 + (counts > 0).sum(axis=0))) + 1.0
-    model = Model(idf, np.eye(width), np.zeros((0, dimensions), np.float32), labels, float(labels.mean()) if n else 0.5, k, sharpness)
-    if not n:
-        return model
-    total = counts.sum(axis=1, keepdims=True)
-    x = np.log1p(1000.0 * counts / np.maximum(total, 1.0)) * idf
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    _, vectors = np.linalg.eigh(x.T @ x)
-    model.projection = vectors[:, ::-1][:, :dimensions]
-    model.vectors = model.latent(counts)
+    n = len(counts)
+    idf = (np.log((1.0 + n) / (1.0 + (counts > 0).sum(axis=0))) + 1.0).astype(np.float32)
+    model = Model(idf, np.zeros((WIDTH, dimensions), np.float32), np.zeros((0, dimensions), np.float32), labels, float(labels.mean()) if n else 0.5, k, sharpness)
+    if n:
+        model.projection = leading(_weighted(counts, idf), dimensions)
+        model.vectors = model.latent(counts)
     return model
 
 
@@ -134,45 +167,49 @@ def held_out(doc_id: Column) -> Column:
 
 def fit_on(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, fit_rows: int, **how) -> Model:
     """A model from at most ``fit_rows`` labelled rows, those with the smallest hash of their id among the rows not held out."""
-    usable = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(id_col).agg(F.max(label_col).cast("double").alias("_label"))
-    order = [F.xxhash64(F.col(id_col).cast("string")), F.col(id_col)]
-    chosen = usable.orderBy(*order).limit(fit_rows)
-    rows = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("_text")).join(F.broadcast(chosen), id_col).groupBy(id_col, "_label").agg(F.min("_text").alias("_text"))
+    own = F.col(id_col).cast("string").alias("key")
+    usable = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(own).agg(F.max(label_col).cast("double").alias("label"))
+    chosen = usable.orderBy(F.xxhash64("key"), "key").limit(fit_rows)
+    rows = docs.select(own, F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "key").groupBy("key", "label").agg(F.min("text").alias("text"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            texts = [t.encode("utf-8", "surrogatepass") for t in pdf["_text"]]
-            for a, b in pieces.sliced([len(t) for t in texts], SLICE):
+            texts = [t.encode("utf-8", "surrogatepass") for t in pdf["text"]]
+            for a, b in _slices(texts):
                 found = term_counts(texts[a:b])
-                yield pd.DataFrame({"id": pdf[id_col].iloc[a:b].to_numpy(), "label": pdf["_label"].iloc[a:b].to_numpy(), "counts": [zlib.compress(r.astype(np.float32).tobytes(), 1) for r in found]})
+                yield pd.DataFrame({"key": pdf["key"].iloc[a:b].to_numpy(), "label": pdf["label"].iloc[a:b].to_numpy(), "counts": [zlib.compress(r.astype(np.float32).tobytes(), 1) for r in found]})
 
-    got = rows.mapInPandas(count, "id long, label double, counts binary").toPandas().sort_values("id", kind="stable")
-    counts = np.stack([np.frombuffer(zlib.decompress(c), np.float32) for c in got["counts"]]).astype(np.float64) if len(got) else np.zeros((0, SHAPES + WORD_TERMS))
+    got = rows.mapInPandas(count, "key string, label double, counts binary").toPandas().sort_values("key", kind="stable")
+    counts = np.zeros((len(got), WIDTH), np.float32)
+    for k, c in enumerate(got["counts"]):
+        counts[k] = np.frombuffer(zlib.decompress(c), np.float32)
     return fit(counts, got["label"].to_numpy(np.float64), **how)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` and score, from 0 to 1; the model is broadcast."""
+    """(row, score): every row of ``docs`` as a struct and its score, from 0 to 1; the model is broadcast."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
-            got = [sent.value.scores(term_counts(texts[a:b])) for a, b in pieces.sliced([len(t) for t in texts], SLICE)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(got) if got else np.zeros(0))], names=[*batch.schema.names, "score"])
+            texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
+            got = [sent.value.scores(term_counts(texts[a:b])) for a, b in _slices(texts)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(got) if got else np.zeros(0))], names=["row", "score"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, score double")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).alias("text"))
+    return packed.mapInArrow(run, StructType([packed.schema["row"], StructField("score", DoubleType())]))
 
 
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_rows: int = 4000, **how) -> DataFrame:
     """All columns of ``docs``, held_out (boolean), score (double) and predicted (1 if score >= 0.5, else 0).
 
-    Labels, languages, sources and ids are no inputs of a score.  Null and empty texts get the share of label 1 in the
-    sample.  Without usable labels every score is 0.5.  Of several labels of an id the largest counts; labels without
-    an id or value are ignored; repeated rows are scored each.  An empty table gives an empty result.  Columns named
-    like a result column must be renamed by the caller; all others are carried along.
+    Labels, languages, sources and ids are no inputs of a score.  Ids may have any type that has a string form; they
+    meet labels by it.  Null and empty texts get the share of label 1 in the sample.  Without usable labels every score
+    is 0.5.  Of several labels of an id the largest counts, of several texts the least; labels without an id or value are
+    ignored; repeated rows are scored each, and a null id is not held out.  An empty table gives an empty result.  Columns
+    of ``docs`` named like a result column go; all others are carried along.
     """
     model = fit_on(docs, labels, id_col, text_col, label_col, fit_rows, **how)
-    scored = score(docs, model, text_col)
-    return scored.select(*docs.columns, F.coalesce(held_out(F.col(id_col)), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    row = F.col("row")
+    kept = [row.getField(c).alias(c) for c in docs.columns if c.lower() not in RESULT]
+    return score(docs, model, text_col).select(*kept, F.coalesce(held_out(row.getField(id_col)), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
