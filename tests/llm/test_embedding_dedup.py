@@ -50,13 +50,32 @@ def test_quantisation_bound_holds():
     r = np.random.default_rng(1)
     x = r.normal(size=(80, 24))
     x /= np.linalg.norm(x, axis=1)[:, None]
-    q, s, rounded, rest = E.quantise(x)
-    near = (q * s[:, None]) @ (q * s[:, None]).T
-    assert (np.abs(x @ x.T - near) <= rounded[:, None] * rest + rest[:, None] * rounded + rest[:, None] * rest + 1e-12).all()
+    q = E.quantise(x)
+    near = (q.steps * q.size[:, None]) @ (q.steps * q.size[:, None]).T
+    assert (np.abs(x @ x.T - near) <= q.kept[:, None] * q.lost + q.lost[:, None] * q.kept + q.lost[:, None] * q.lost + 1e-12).all()
     i, j = E.near_pairs(x, x, 0.3, block=7)
     assert set(zip(i.tolist(), j.tolist())) == set(zip(*(k.tolist() for k in np.nonzero(x @ x.T >= 0.3))))
 
 
+def test_most_pairs_are_decided_by_their_steps():
+    """Only pairs within the bounds of the threshold are open, and sure ones are right."""
+    r = np.random.default_rng(2)
+    x = E.unit(np.concatenate([r.normal(size=(200, 32)), np.repeat(r.normal(size=(4, 32)), 25, axis=0) + r.normal(size=(100, 32)) * 0.05]))
+    cosine, pairs, opened = x @ x.T, set(), 0
+    for i, j, k, m in E.judged(E.quantise(x), E.quantise(x), 0.98, block=64):
+        assert (cosine[i, j] >= 0.98).all() and (np.abs(cosine[k, m] - 0.98) < 0.03).all()
+        pairs |= set(zip(i.tolist(), j.tolist())) | set(zip(k.tolist(), m.tolist()))
+        opened += len(k)
+    assert set(zip(*(c.tolist() for c in np.nonzero(cosine >= 0.98)))) <= pairs and 0 < opened < 0.1 * cosine.size
+
+
+def test_repeated_ids(spark):
+    """Rows that share an id count their own links and share a component."""
+    rows = [(1, [1.0, 0.0], 1, ""), (1, [0.0, 1.0], 1, ""), (2, [1.0, 0.01], 1, ""), (3, [0.01, 1.0], 1, ""), (1, [1.0, 0.0], 1, "")]
+    got = sorted(tuple(x) for x in E.embedding_dedup(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == [(1, 1, 1, True), (1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 1, 1, False)]
+
+
 def test_components(spark):
     links = [(k, k + 1) for k in range(40)] + [(100, 101), (101, 100), (7, 7), (200, 5)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}

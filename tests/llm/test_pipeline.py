@@ -1,4 +1,3 @@
-import hashlib
 import os
 import zlib
 
@@ -56,26 +55,15 @@ def brute_quality(rows, labels):
 
 
 def brute_lines(rows):
-    def chunks(text):
-        lines, out, at = text.split("\n"), [], 0
-        h = [hashlib.md5(x.encode()).hexdigest() for x in lines]
-        for i in range(len(lines)):
-            if i == len(lines) - 1 or (i and hashlib.md5((h[i - 1] + h[i]).encode()).hexdigest()[0] in "0123"):
-                out.append(lines[at : i + 1])
-                at = i + 1
-        return out
-
     seen, out = set(), []
     for r in sorted(rows):
-        keep = []
-        for c in chunks(r[1] or ""):
-            body = "\n".join(c)
-            if len(c) > 1 and body.strip() and body in seen:
-                continue
-            if len(c) > 1:
-                seen.add(body)
-            keep.append(body)
-        text = None if r[1] is None else "\n".join(keep)
+        lines, gone = (r[1] or "").split("\n"), set()
+        for i in range(len(lines) - 1):
+            run = "\n".join(lines[i : i + 2])
+            if run.strip() and run in seen:
+                gone |= {i, i + 1}
+            seen.add(run)
+        text = r[1] if not gone else "\n".join(x for i, x in enumerate(lines) if i not in gone)
         out.append((r[0], text, *r[2:4], len(text) if text is not None and text != r[1] else r[4]))
     return out
 

@@ -41,14 +41,35 @@ def test_exact_dedup_compares_texts_behind_equal_hashes(spark):
     assert rows(exact_dedup.exact_dedup(docs(spark, TEXTS), **weak)) == dedup_brute(TEXTS)
 
 
+def indexed(spark, texts, capacity, depth):
+    table = docs(spark, texts).select(F.col("doc_id").alias("id"), F.col("text").alias("body"), F.xxhash64("text").alias("h"), F.sha2("text", 256).alias("digest"))
+    slots, bits = exact_dedup.directory(table.select("h").distinct(), depth, capacity)
+    return table.drop("body"), exact_dedup.build_index(table, slots, bits), slots, bits
+
+
 def test_exact_dedup_splits_buckets(spark):
     texts = [f"text {k % 300}" for k in range(400)]
-    entries, index = exact_dedup.dedup_index(docs(spark, texts), "doc_id", F.col("text"), bucket_capacity=20, max_depth=10)
+    _, index, slots, bits = indexed(spark, texts, 20, 10)
     sizes = [r["count"] for r in index.groupBy("bucket").count().collect()]
     assert len(sizes) > 10 and max(sizes) <= 20 and sum(sizes) == 300
+    assert slots.count() == 2**bits and slots.agg(F.count_distinct("bucket")).first()[0] >= len(sizes)
     assert rows(exact_dedup.exact_dedup(docs(spark, texts), bucket_capacity=20, max_depth=10)) == dedup_brute(texts)
 
 
+def test_exact_dedup_finds_texts_by_the_directory(spark):
+    """With two buckets exchanged in the directory, the rows of these find nothing; the others find what they did."""
+    texts = [f"text {k % 300}" for k in range(400)]
+    entries, index, slots, bits = indexed(spark, texts, 20, 10)
+    index = index.cache()
+    right = rows(exact_dedup.look_up(entries, index, slots, bits, 400), "id", "keep_id")
+    assert right == sorted(((k, max(j for j in range(400) if j % 300 == k % 300)) for k in range(400)), key=str)
+    a, b = [r["bucket"] for r in index.select("bucket").distinct().orderBy("bucket").limit(2).collect()]
+    wrong = slots.withColumn("bucket", F.when(F.col("bucket") == a, F.lit(b)).when(F.col("bucket") == b, F.lit(a)).otherwise(F.col("bucket")))
+    lost = index.where(F.col("bucket").isin(a, b)).agg(F.sum("group_size")).first()[0]
+    found = rows(exact_dedup.look_up(entries, index, wrong, bits, 400), "id", "keep_id")
+    assert len(found) == 400 - lost and set(found) < set(right)
+
+
 def test_directory_doubles_only_where_needed():
     assert exact_dedup.fold_directory({0: 5, 1: 5, 7: 1}, 3, 100) == [(0, 0)]
     assert sorted(exact_dedup.fold_directory({0: 5, 1: 5, 7: 1}, 3, 6)) == [(1, 1), (2, 1), (3, 0), (3, 1)]
@@ -194,43 +215,6 @@ def test_chat_orders_turns_and_takes_an_empty_table(spark):
 # --- line dedup
 
 
-def chunks(text):
-    lines = (text or "").split("\n")
-    h = [hashlib.md5(x.encode()).hexdigest() for x in lines]
-    out, at = [], 0
-    for i in range(len(lines)):
-        if i == len(lines) - 1 or (i and hashlib.md5((h[i - 1] + h[i]).encode()).hexdigest()[0] in "0123"):
-            out.append(lines[at : i + 1])
-            at = i + 1
-    return out
-
-
-def test_line_dedup(spark):
-    r = random.Random(4)
-    shared = [f"shared line {k}" for k in range(30)]
-    texts = []
-    for k in range(30):
-        own = [f"own {k} {j}" for j in range(r.randint(0, 9))]
-        texts.append("\n".join(own + shared + own[:2]))
-    texts += [None, "", "\n\n\n\n\n\n", "\n\n\n\n\n\n", "one", "one", "z\n" * 5000]
-    seen, want = set(), []
-    for k, t in enumerate(texts):
-        keep = []
-        for c in chunks(t):
-            body = "\n".join(c)
-            if len(c) > 1 and body.strip() and body in seen:
-                continue
-            if len(c) > 1:
-                seen.add(body)
-            keep.append(body)
-        want.append((k, t if t is None else "\n".join(keep)))
-    got = line_dedup.line_dedup(docs(spark, texts).repartition(3))
-    assert got.columns == ["doc_id", "text", "id", "h", "n", "n_chunks", "n_removed", "lines_removed"]
-    assert rows(got, "doc_id", "text") == sorted(want, key=str)
-    assert got.agg(F.sum("n_removed")).first()[0] > 20
-    assert rows(line_dedup.line_dedup(docs(spark, []))) == []
-
-
 def without_repeated_runs(texts, n):
     seen, out = set(), []
     for t in texts:
@@ -247,13 +231,36 @@ def without_repeated_runs(texts, n):
 def test_line_dedup_takes_whole_passages(spark):
     passages = [[f"passage {n}.{j}" for j in range(n)] for n in range(2, 7)]
     texts = ["\n".join([f"before {k} {n}", *p, f"after {k} {n}"]) for k in range(4) for n, p in enumerate(passages)]
-    texts += ["\n".join(p) for p in passages] + ["A\nB\nC", "x\nB\nC\nD", "C\nD\ny", None, "", "\n\n\n", "\n\n\n", "one", "one", "z\n" * 500]
+    texts += ["\n".join(p) for p in passages] + ["A\nB\nC", "x\nB\nC\nD", "C\nD\ny", None, "", "\n\n\n", "\n\n\n", "one", "one", "z\n" * 5000]
     for n in (2, 3):
-        got = {r["doc_id"]: r for r in line_dedup.line_dedup(docs(spark, texts).repartition(3), min_lines=n, passages=True).collect()}
+        found = line_dedup.line_dedup(docs(spark, texts).repartition(3), min_lines=n)
+        assert found.columns == ["doc_id", "text", "id", "h", "n", "n_runs", "n_repeated", "lines_removed"]
+        got = {r["doc_id"]: r for r in found.collect()}
         assert [(got[k]["text"], got[k]["lines_removed"]) for k in range(len(texts))] == without_repeated_runs(texts, n)
         if n == 2:
             assert all(got[k]["text"] == f"before {k // 5} {k % 5}\nafter {k // 5} {k % 5}" for k in range(5, 20))
-    assert rows(line_dedup.line_dedup(docs(spark, []), passages=True)) == []
+    assert rows(line_dedup.line_dedup(docs(spark, []))) == []
+
+
+def test_line_dedup_on_a_hot_passage(spark):
+    r = random.Random(4)
+    texts = ["\n".join([*(f"own {k} {j}" for j in range(r.randint(0, 9))), "shared 1", "shared 2", "shared 3"]) for k in range(600)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(docs(spark, texts).repartition(5)).collect()}
+    assert [got[k] for k in range(600)] == [t for t, _ in without_repeated_runs(texts, 2)]
+
+
+def test_line_dedup_of_repeated_rows_null_ids_and_clashing_columns(spark):
+    """Rows with one id and text: the first keeps its lines, whichever it is.  Columns named like results go."""
+    same = "a line\nof two\nof three"
+    table = [(1, same, "x", 5), (1, same, "y", 5), (2, same, "z", 5), (1, "other\nof two\nof three", "w", 5), (None, "a line\nof two", "v", 5)]
+    got = line_dedup.line_dedup(spark.createDataFrame(table, "doc_id long, text string, no string, N_RUNS int"))
+    assert got.columns == ["doc_id", "text", "no", "n_runs", "n_repeated", "lines_removed"]
+    found = sorted((tuple(r) for r in got.collect()), key=str)
+    assert [r[1] for r in found if r[0] is None] == ["a line\nof two"]  # comes first, so the others lose these two lines
+    assert [r[1] for r in found if r[0] == 2] == [""]
+    assert sum("of three" in r[1] for r in found) == 1 and all(r[1] in ("", "of three", "other", "other\nof two\nof three") for r in found if r[0] == 1)
+    again = line_dedup.line_dedup(spark.createDataFrame([(1, "p\nq\nr")] * 3, "doc_id long, text string")).collect()
+    assert sorted((r["text"], r["n_repeated"]) for r in again) == [("", 2), ("", 2), ("p\nq\nr", 0)]
 
 
 # --- BPE
@@ -353,6 +360,65 @@ def test_local_search_exchanges_any_two_of_a_bin():
     assert [10, 10, 15, 265] in [sorted(lengths[i] for i in b) for b in better]  # then 16 goes back for two of 10
 
 
+def fewest_bins(lengths, capacity):
+    best = [len(lengths)]
+
+    def go(k, fills):
+        if len(fills) >= best[0]:
+            return
+        if k == len(lengths):
+            best[0] = len(fills)
+            return
+        for i, fill in enumerate(fills):
+            if fill + lengths[k] <= capacity and fill not in fills[:i]:
+                go(k + 1, [*fills[:i], fill + lengths[k], *fills[i + 1 :]])
+        go(k + 1, [*fills, lengths[k]])
+
+    go(0, [])
+    return best[0]
+
+
+def test_local_search_saves_bins_that_best_fit_needs():
+    assert len(packing.best_fit([5, 4, 4, 3, 2, 2], 10)) == 3
+    assert len(packing.improve(packing.best_fit([5, 4, 4, 3, 2, 2], 10), [5, 4, 4, 3, 2, 2], 10)) == 2
+    r = random.Random(1)
+    saved = 0
+    for _ in range(300):
+        lengths = [r.randint(2, 14) for _ in range(r.randint(1, 10))]
+        first, least = packing.best_fit(lengths, 20), fewest_bins(sorted(lengths, reverse=True), 20)
+        better = packing.improve([list(b) for b in first], lengths, 20)
+        assert packing.least_bins(np.array(lengths), 20) <= least <= len(better) <= len(first)
+        saved += len(first) - len(better)
+    assert saved > 0
+    thirds = [int(r.gauss(700, 120)) for _ in range(2000)]
+    assert len(packing.improve(packing.best_fit(thirds, 2048), thirds, 2048)) < len(packing.best_fit(thirds, 2048))
+
+
+def test_packing_hot_id_and_repeated_rows(spark):
+    rows_ = [(7, "a b c d"), (None, None)] * 300 + [(7, "x " * 700)] * 3
+    got = packing.pack_documents(spark.createDataFrame(rows_, "doc_id long, text string"), JSON, capacity=64, group=64).toPandas()
+    for _, s in got.sort_values("offset").groupby("sequence_id"):
+        assert s.offset.tolist() == [0, *np.cumsum(s.length)[:-1]] and s.length.sum() <= 64
+    assert got.sequence_id.nunique() == -(-got.length.sum() // 64)
+    assert got.doc_id.isna().sum() == 300
+
+
+def test_tokens_of_words_with_equal_polynomials(spark):
+    """A word of a Thue-Morse sequence and its complement have one value under any polynomial modulo 2**64."""
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    word = "".join("ab"[bin(k).count("1") % 2] for k in range(2048))
+    texts = [word, word.translate({97: 98, 98: 97}), f"x {word}"]
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=pieces.load_ranks(RANKS), special_tokens={})
+    got = byte_bpe.encode(docs(spark, texts).coalesce(1), RANKS, decoded=True).orderBy("doc_id").collect()
+    assert [r["ids"] for r in got] == [enc.encode_ordinary(t) for t in texts]
+    assert [bytes(r["decoded"]).decode() for r in got] == texts
+    library = Tokenizer.from_file(JSON)
+    packed = {r["doc_id"]: r["ids_crc32"] for r in packing.pack_documents(docs(spark, texts).coalesce(1), JSON).collect()}
+    assert packed == {k: zlib.crc32(np.array([*library.encode(t, add_special_tokens=False).ids, 0], "<u4").tobytes()) for k, t in enumerate(texts)}
+
+
 # --- quality
 
 
@@ -381,6 +447,42 @@ def test_quality_without_labels_or_documents(spark):
     assert quality.quality(docs(spark, []), none).collect() == []
 
 
+def test_quality_tells_vocabularies_apart(spark):
+    """Texts of one shape whose only difference is their words: held-out texts are told apart."""
+    r = random.Random(5)
+    lists = [["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n % 6 + 3)) for n in range(150)] for _ in range(2)]
+    texts = [" ".join(r.choice(lists[k % 2]) for _ in range(60)) for k in range(300)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(300)], "doc_id long, quality int")
+    got = [x for x in quality.quality(docs(spark, texts), labels).collect() if x["held_out"]]
+    assert len(got) > 60 and np.mean([x["predicted"] == x["doc_id"] % 2 for x in got]) > 0.95
+
+
+def test_quality_votes_like_a_plain_search(spark):
+    """Scores against one text at a time, one neighbour at a time, on the same latent vectors; the operator's own included."""
+    r = random.Random(6)
+    texts = [" ".join(r.choice(("ab", "cd", "EF!", "g1", "h,")) * r.randint(1, 3) for _ in range(r.randint(1, 40))) for _ in range(120)]
+    marks = [(k, int(r.random() < 0.5)) for k in range(120)]
+    used = sorted((k for k, _ in marks if zlib.crc32(str(k).encode()) % 3 != 1), key=str)
+    model = quality.fit(np.concatenate([quality.term_counts([texts[k].encode()]) for k in used]).astype(np.float32), np.array([float(marks[k][1]) for k in used]))
+    got = {x["doc_id"]: x["score"] for x in quality.quality(docs(spark, texts), spark.createDataFrame(marks, "doc_id long, quality int")).collect()}
+    for k, t in enumerate(texts):
+        z = model.latent(quality.term_counts([t.encode()]))[0].astype(float)
+        near = sorted(((sum(a * b for a, b in zip(z, v)), y) for v, y in zip(model.vectors.astype(float), model.labels)), reverse=True)
+        weights = [(max(c, 0.0) ** model.sharpness, y) for c, y in near[: model.k]]
+        if near[model.k - 1][0] - near[model.k][0] > 1e-4:
+            assert abs(got[k] - sum(w * y for w, y in weights) / sum(w for w, _ in weights)) < 1e-3
+
+
+def test_quality_takes_clashing_columns_and_ids_of_text(spark):
+    table = [("a", "x y z", 0.1, True, "r"), ("a", "x y z", 0.2, False, "s"), ("b", None, 0.3, True, "t"), (None, "q", 0.4, True, "u")]
+    df = spark.createDataFrame(table, "doc_id string, text string, score double, PREDICTED boolean, `row` string")
+    got = quality.quality(df, spark.createDataFrame([("a", 1), ("b", 0), ("c", 0)], "doc_id string, quality int"))
+    assert got.columns == ["doc_id", "text", "row", "held_out", "score", "predicted"]
+    assert sorted(x["row"] for x in got.collect()) == ["r", "s", "t", "u"] and len({x["score"] for x in got.where("doc_id = 'a'").collect()}) == 1
+    empty = quality.quality(df, spark.createDataFrame([], "doc_id string, quality int"))
+    assert {x["score"] for x in empty.collect()} == {0.5}
+
+
 # --- HTML
 
 
@@ -436,4 +538,69 @@ def test_html_ratios_decide_beside_and_inside_articles(around):
 
 
 def test_html_paragraph_ends_at_the_next_behind_an_open_inline_element():
-    assert [path for path, _, _ in html_extract._blocks("<body><p><b>One.<p>Two.<p>Three.</body>")] == ["body/p"] * 3
+    assert [path for path, *_ in html_extract._blocks("<body><p><b>One.<p>Two.<p>Three.</body>")] == ["body/p"] * 3
+
+
+SENTENCE = "Such work goes on, and on, as others have said, and it will end, some day, in a sentence like this one."
+
+
+@pytest.mark.parametrize("inner", [f'<div class="related work"><p>{SENTENCE}</p></div>', f'<p class="search-results">{SENTENCE}</p>', f"<p>{SENTENCE} <math><mi>x</mi><mo>=</mo><mn>1</mn></math></p>"])
+def test_html_names_do_not_silence_an_article(inner):
+    text = html_extract.main_text(f"<body><article>{BODY}{inner}{BODY}</article></body>")
+    assert text.count("number 0,") == 2 and SENTENCE in text and ("math" not in inner or f"{SENTENCE} x=1" in text)
+
+
+def test_html_link_list_inside_an_article_goes():
+    links = "<ul><li><a href='/'>Home</a></li><li><a href='/l'>Login</a></li><li><a href='/m'>More</a></li></ul>"
+    assert not {"Home", "Login"} & set(html_extract.main_text(f"<body><article>{links}{BODY}{links}</article></body>").split())
+
+
+@pytest.mark.parametrize("name", ["ad", "cookie-notice", "comments", "sidebar_left"])
+def test_html_named_furniture_goes_even_if_long(name):
+    page = f"<body><div>{BODY}</div><div class='{name}'>{'<p>' + SENTENCE * 9 + '</p>'}{BODY.replace('number', 'remark')}</div></body>"
+    text = html_extract.main_text(page)
+    assert all(f"number {k}," in text for k in range(8)) and "remark" not in text and SENTENCE not in text
+    alone = html_extract.main_text(f"<body><div class='{name}'>{BODY}</div></body>")  # a name is no veto
+    assert all(f"number {k}," in alone for k in range(8))
+
+
+def ratios_by_hand(blocks, spread=1.0, share=0.1):
+    """The definition, block by block and in plain sums."""
+    def per_path(count):
+        return [sum(count(o) for o in blocks if (o[0], *o[2:4]) == (b[0], *b[2:4])) for b in blocks]
+
+    nodes = per_path(lambda _: 1)
+    text = [t / n for t, n in zip(per_path(lambda b: b[4]), nodes)]
+    marks = [(1 + t) / n for t, n in zip(per_path(lambda b: sum(c in ".,;:!?…。，；：！？、" for c in b[1])), nodes)]
+    runs, fused = [], []
+    for k, b in enumerate(blocks):
+        runs.append(runs[-1] + (blocks[k - 1][2:4] != b[2:4]) if k else 0)
+    weigh = [np.exp(-0.5 * (d / spread) ** 2) for d in range(-3, 4)]
+    for k in range(len(blocks)):
+        first, last = runs.index(runs[k]), len(runs) - 1 - runs[::-1].index(runs[k])
+        near = [min(max(k + d, first), last) for d in range(-3, 4)]
+        fused.append(np.prod([sum(w * r[j] for w, j in zip(weigh, near)) / sum(weigh) for r in (text, marks)]))
+    plain = [f for f, b in zip(fused, blocks) if b[3] == 1.0] or [f * b[3] for f, b in zip(fused, blocks)]
+    mean = sum(plain) / len(plain)
+    deviation = (sum((f - mean) ** 2 for f in plain) / len(plain)) ** 0.5
+    bound = share * min(max(deviation, mean / 2), mean)
+    fused = [f * b[3] * (1.25 if b[2] else 1.0) for f, b in zip(fused, blocks)]
+    same = lambda b: [f for f, o in zip(fused, blocks) if (o[0], *o[2:4]) == (b[0], *b[2:4])]
+    return " ".join(b[1] for b in blocks if sum(same(b)) / len(same(b)) >= bound)
+
+
+def test_html_against_ratios_by_hand():
+    r = random.Random(8)
+    tags, names = ["div", "p", "ul", "li", "h2", "section", "article", "td", "a"], ["", "", "", " class='ad'", " class='related'", " id='x'"]
+
+    def made(depth):
+        if not depth or r.random() < 0.3:
+            return " ".join(r.choice(["word", "and, so", "end.", "x"]) for _ in range(r.choice([1, 3, 12, 60])))
+        return "".join(f"<{t}{r.choice(names)}>{made(depth - 1)}</{t}>" for t in (r.choice(tags) for _ in range(r.randint(1, 5))))
+
+    pages, decided = [f"<body>{made(4)}</body>" for _ in range(150)], 0
+    for page in pages:
+        blocks = html_extract._blocks(page)
+        assert html_extract.main_text(page) == (ratios_by_hand(blocks) if blocks else "")
+        decided += html_extract.main_text(page) != " ".join(b[1] for b in blocks)
+    assert decided > 30
