@@ -8,6 +8,8 @@ shuffle, no state, so neither skew nor a lost executor matters.  The tables of s
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,9 +40,35 @@ SENTENCES = {
     "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "BSD3",
     "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "BSD4",
     "this source code form is subject to the terms of the mozilla public license v 2 0": "MPL1",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version": "LGP1",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version": "LGP2",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version": "LGP2",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version": "AGP1",
+    "you should have received a copy of the gnu affero general public license along with this program": "AGP2",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "ISC1",
+    "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "ISC1",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "BSZ1",
+    "this software is provided as is without any express or implied warranty": "ZLB1",
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions": "ZLB2",
+    "this is free and unencumbered software released into the public domain": "UNL1",
+    "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means": "UNL2",
+    "boost software license version 1 0 august 17th 2003": "BSL1",
+    "distributed under the boost software license version 1 0": "BSL1",
+    "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following": "BSL2",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license v 2 0 which is available at": "EPL1",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at": "EPL1",
+    "this work is licensed under a creative commons attribution 4 0 international license": "CCB1",
+    "this work is licensed under a creative commons attribution noncommercial 4 0 international license": "CCN1",
+    "this work is licensed under a creative commons attribution sharealike 4 0 international license": "CCS1",
+    "licensed under cc0 1 0": "CCZ1",
+    "this work is licensed under cc0 1 0": "CCZ1",
     "all rights reserved": "ARR1",
 }
 
+#: Licences that an SPDX tag may name, each a sentence of its own.
+SPDX = "0BSD AGPL-3.0-only AGPL-3.0-or-later Apache-2.0 BSD-2-Clause BSD-3-Clause BSL-1.0 CC-BY-4.0 CC-BY-NC-4.0 CC-BY-SA-4.0 CC0-1.0 EPL-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later ISC LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later MIT MPL-2.0 Unlicense Zlib".split()
+SENTENCES |= {f"spdx license identifier {re.sub('[^a-z0-9]+', ' ', name.lower())}": f"SPDX:{name}" for name in SPDX}
+
 #: Ordered rules; the first that matches names the licence.
 RULES = [
     ("mit-full", "MIT", ("MIT2", "MIT3", "ASIS")),
@@ -49,7 +77,22 @@ RULES = [
     ("gpl-2-notice", "GPL-2.0-or-later", ("GPL3", "GPL4")),
     ("bsd-3-clause", "BSD-3-Clause", ("BSD1", "BSD2", "BSD3", "BSD4")),
     ("bsd-2-clause", "BSD-2-Clause", ("BSD1", "BSD2", "BSD3")),
+    ("zlib-full", "Zlib", ("ZLB1", "ZLB2")),
+    ("unlicense-full", "Unlicense", ("UNL1", "UNL2")),
+    ("boost-full", "BSL-1.0", ("BSL1", "BSL2")),
+    ("agpl-3-notice", "AGPL-3.0-or-later", ("AGP1", "AGP2")),
     ("gpl-3-reserved", "conflict", ("GPL1", "ARR1")),
+    *((f"spdx-{name.lower()}", name, (f"SPDX:{name}",)) for name in SPDX),
+    ("lgpl-2.1-notice", "LGPL-2.1-or-later", ("LGP1",)),
+    ("lgpl-3-notice", "LGPL-3.0-or-later", ("LGP2",)),
+    ("agpl-3-terms", "AGPL-3.0-or-later", ("AGP1",)),
+    ("isc-permission", "ISC", ("ISC1",)),
+    ("0bsd-permission", "0BSD", ("BSZ1",)),
+    ("zlib-permission", "Zlib", ("ZLB2",)),
+    ("unlicense-line", "Unlicense", ("UNL1",)),
+    ("boost-line", "BSL-1.0", ("BSL1",)),
+    ("epl-2-notice", "EPL-2.0", ("EPL1",)),
+    ("cc0-line", "CC0-1.0", ("CCZ1",)),
     ("apache-2-line", "Apache-2.0", ("APA1",)),
     ("mit-line", "MIT", ("MIT1",)),
     ("gpl-3-line", "GPL-3.0-only", ("GPL1",)),
@@ -64,21 +107,25 @@ RULES = [
 ]
 
 #: A part ends at a line end, or at a full stop, mark or colon before white space or the end of the text.
-SENTENCE_END = r"[.!?:;]+(\s+|$)|\n"
+SENTENCE_END = r"[.!?:;]+([\t-\r ]+|$)|\n"
 #: Every sentence of the table has one of these words; texts without any need no normalising.
-ANCHORS = ("licen", "copyright", "warrant", "permi", "rights", "redistribut")
+ANCHORS = ("licen", "copyright", "warrant", "permi", "rights", "distribut", "public domain")
+
+
+def known_lines(sentences: dict[str, str]) -> str:
+    """Pattern of a known sentence in normalised parts, one on a line: one or more whole lines, the longest where several fit."""
+    return rf"(?m)^ ?({'|'.join(s.replace(' ', '[ ' + chr(92) + 'n]') for s in sorted(sentences, key=len, reverse=True))}) ?$"
 
 
 def recognised(text: Column, sentences: dict[str, str]) -> Column:
     """Identifiers of the known sentences of a text, in order.
 
-    The normalised parts stand one on a line; a known sentence is one or more whole lines, the longest where several fit.
+    The normalised parts stand one on a line; see ``known_lines``.
     """
     table = F.create_map(*[F.lit(x) for pair in sentences.items() for x in pair])
     plain = F.regexp_replace(F.regexp_replace(F.lower(text), SENTENCE_END, "\n"), r"[^a-z0-9\n]+", " ")
     parts = F.regexp_replace(plain, r" ?\n[ \n]*", "\n")
-    known = "|".join(s.replace(" ", r"[ \n]") for s in sorted(sentences, key=len, reverse=True))
-    found = F.regexp_extract_all(parts, F.lit(rf"(?m)^ ?({known}) ?$"), F.lit(1))
+    found = F.regexp_extract_all(parts, F.lit(known_lines(sentences)), F.lit(1))
     return F.transform(found, lambda s: F.try_element_at(table, F.translate(s, "\n", " ")))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .license_scan import ANCHORS, RULES, SENTENCE_END, SENTENCES
+from .license_scan import ANCHORS, RULES, SENTENCE_END, SENTENCES, known_lines
 
 
 def _license() -> str:
@@ -11,10 +11,11 @@ def _license() -> str:
     rules = ", ".join(f"({k}, '{rule}', '{name}', '|{'|'.join(ids)}|')" for k, (rule, name, ids) in enumerate(RULES))
     return rf"""
     WITH known(sentence, sid) AS (VALUES {known}), rules(k, rule, license, ids) AS (VALUES {rules}),
-    cut AS (SELECT doc_id, regexp_split_to_array(text, '{SENTENCE_END}') AS parts FROM documents),
-    parts AS (SELECT doc_id, generate_subscripts(parts, 1) AS place, unnest(parts) AS part FROM cut),
-    plain AS (SELECT doc_id, place, trim(regexp_replace(lower(part), '[^a-z0-9]+', ' ', 'g')) AS sentence FROM parts WHERE regexp_matches(lower(part), '{anchors}')),
-    seqs AS (SELECT doc_id, count(*) AS n_known, string_agg(sid, '|' ORDER BY place) AS sequence FROM plain JOIN known USING (sentence) GROUP BY doc_id),
+    lowered AS (SELECT doc_id, lower(text) AS text FROM documents WHERE regexp_matches(lower(text), '{anchors}')),
+    plain AS (SELECT doc_id, regexp_replace(regexp_replace(text, '{SENTENCE_END}', chr(10), 'g'), '[^a-z0-9\n]+', ' ', 'g') AS body FROM lowered),
+    found AS (SELECT doc_id, regexp_extract_all(regexp_replace(body, ' ?\n[ \n]*', chr(10), 'g'), '{known_lines(SENTENCES)}', 1) AS parts FROM plain),
+    parts AS (SELECT doc_id, generate_subscripts(parts, 1) AS place, replace(unnest(parts), chr(10), ' ') AS sentence FROM found),
+    seqs AS (SELECT doc_id, count(*) AS n_known, string_agg(sid, '|' ORDER BY place) AS sequence FROM parts JOIN known USING (sentence) GROUP BY doc_id),
     hits AS (SELECT doc_id, k, rule, license FROM seqs, rules WHERE contains('|' || sequence || '|', ids)),
     firsts AS (SELECT doc_id, license, min(k) AS k FROM hits GROUP BY ALL),
     best AS (SELECT doc_id, arg_min(rule, k) AS rule, arg_min(license, k) AS license FROM hits GROUP BY doc_id),

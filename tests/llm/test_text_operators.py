@@ -172,7 +172,57 @@ modification, are permitted provided that the following conditions are met:
     "cc-by-sa-4-line": "Licensed under\nCC BY-SA 4.0.",
     "cc-by-4-line": "This work is licensed under\nCC BY 4.0.",
     "reserved": "Copyright 2020 A Name. All rights\nreserved.",
+    "lgpl-2.1-notice": """/* This library is free software; you can redistribute it and/or
+ * modify it under the terms of the GNU Lesser General Public
+ * License as published by the Free Software Foundation; either
+ * version 2.1 of the License, or (at your option) any later version. */""",
+    "lgpl-3-notice": """// This program is free software: you can redistribute it and/or modify
+// it under the terms of the GNU Lesser General Public License as published by
+// the Free Software Foundation, either version 3 of the License, or
+// (at your option) any later version.""",
+    "agpl-3-notice": """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU Affero General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    You should have received a copy of the GNU Affero General Public License
+    along with this program.  If not, see <https://www.gnu.org/licenses/>.""",
+    "isc-permission": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.""",
+    "0bsd-permission": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted.""",
+    "zlib-full": """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:""",
+    "unlicense-full": """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled
+binary, for any purpose, commercial or non-commercial, and by any
+means.""",
+    "boost-full": """Boost Software License - Version 1.0 - August 17th, 2003
+
+Permission is hereby granted, free of charge, to any person or organization
+obtaining a copy of the software and accompanying documentation covered by
+this license (the "Software") to use, reproduce, display, distribute,
+execute, and transmit the Software, and to prepare derivative works of the
+Software, and to permit third-parties to whom the Software is furnished to
+do so, all subject to the following:""",
+    "boost-line": "// Distributed under the Boost Software License, Version 1.0.\n// (See accompanying file.)",
+    "epl-2-notice": """ * This program and the accompanying materials are made available under the
+ * terms of the Eclipse Public License v. 2.0 which is available at
+ * https://www.eclipse.org/legal/epl-2.0.""",
+    "cc0-line": "This work is licensed under CC0 1.0.",
 }
+PUBLISHED |= {f"spdx-{name.lower()}": f"# SPDX-License-Identifier: {name}" for name in license_scan.SPDX}
+PUBLISHED["agpl-3-terms"] = PUBLISHED["agpl-3-notice"].split("\n\n")[0]
+PUBLISHED["zlib-permission"] = PUBLISHED["zlib-full"].split("\n\n")[1]
+PUBLISHED["unlicense-line"] = PUBLISHED["unlicense-full"].split("\n\n")[0]
 PUBLISHED["gpl-3-terms"], PUBLISHED["gpl-2-terms"] = (PUBLISHED[k].split("\n\n")[0] for k in ("gpl-3-notice", "gpl-2-notice"))
 PUBLISHED["bsd-2-clause"] = PUBLISHED["bsd-3-clause"].split("\n\n3.")[0]
 PUBLISHED["mit-permission"] = PUBLISHED["mit-full"].split("\n\nThe above")[0]
@@ -186,6 +236,20 @@ def test_license_rules_by_their_published_texts(spark, end):
     assert [got[k] for k in range(len(texts))] == list(PUBLISHED)
 
 
+def test_license_sql_finds_the_same_in_wrapped_texts(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    from rankfold.llm import oracles
+
+    texts = [*PUBLISHED.values(), "\n\n".join(PUBLISHED.values()), None, "", *(t.replace("\n", "\r\n") for t in PUBLISHED.values()), *(t.replace(" ", "  \t") for t in PUBLISHED.values())]
+    df = docs(spark, texts).select("doc_id", "text")
+    df.write.parquet(str(tmp_path / "documents"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents/*.parquet')")
+    got = license_scan.license_scan(df)
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({oracles.oracle_sql()['op1_license_scan']})").fetchall()
+    assert rows(got) == sorted(want, key=str)
+
+
 def test_license_sentences_must_be_whole(spark):
     texts = ["Not all rights\nreserved.", "All rights\nreserved here.", "All rights. No, reserved.", "All" + " " * 5000 + "rights reserved."]
     assert [r["sequence"] for r in license_scan.license_scan(docs(spark, texts)).orderBy("doc_id").collect()] == ["", "", "", "ARR1"]
