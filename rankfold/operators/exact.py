@@ -21,7 +21,7 @@ from pyspark.storagelevel import StorageLevel
 from ..functions.codes import decode_array, order_code
 from ..functions.ranks import MID, SPECS, RankSpec, memory_slots
 from ..plans import planner
-from .sketches import Clusters, Compactor, tree_merge
+from .sketches import Clusters, Compactor, Sample, tree_merge
 
 METHODS = ("kll", "ledger", "mrl", "tdigest", "ddsketch", "sample", "radix", "sort")
 #: Different values that a bracket may hold before it is narrowed again.
@@ -40,12 +40,19 @@ class Bracket:
     sure_lo: float = -math.inf
     sure_hi: float = math.inf
     found: dict[int, float] = field(default_factory=dict)
+    #: Wider brackets to fall back on, one after another, before the sure one.
+    wider: list[tuple[float, float]] = field(default_factory=list)
 
     def judge(self, below: int, inside: int) -> str:
         """``hit``, or on which side the ranks lie.  Ranks on both sides of an end widen the bracket."""
         if self.k1 > below and self.k2 <= below + inside:
             return "hit"
         low, high = self.k1 <= below, self.k2 > below + inside
+        while self.wider:
+            a, b = self.wider.pop(0)
+            if a < self.lo or b > self.hi:
+                self.lo, self.hi = min(a, self.lo), max(b, self.hi)
+                return "miss"
         if low and high:
             self.lo, self.hi = self.sure_lo, self.sure_hi
         elif low:
@@ -103,9 +110,9 @@ class _Run:
         self.real = self.n - self.nan
         return got
 
-    def certainty(self, m: int) -> float:
-        """Success probability of each of m brackets."""
-        pr = self.pr if self.pr is not None else planner.best_pr(self.real, max(self.slots, 64), m).pr
+    def certainty(self, m: int, n: int | None = None) -> float:
+        """Success probability of each of m brackets over n candidates (all values, unless told otherwise), planned for that pass."""
+        pr = self.pr if self.pr is not None else planner.best_pr(n or self.real, max(self.slots, 64), m).pr
         return max(pr, 1e-6) ** (1.0 / m)
 
 
@@ -125,7 +132,7 @@ def _from_kll(run: _Run, brackets: list[Bracket], sketch, n: int, k: int) -> Non
     """Brackets by Spark's KLL sketch of n values: quantiles a few standard errors off each rank."""
     if not n:
         return
-    width = max(planner.z_of(run.certainty(len(brackets))), 1.0) * planner.kll_error(k) / 2 + 2.0 / n
+    width = max(planner.z_of(run.certainty(len(brackets), n)), 1.0) * planner.kll_error(k) / 2 + 2.0 / n
     ends = [f for b in brackets for f in (max(0.0, (b.k1 - 1) / n - width), min(1.0, b.k2 / n + width))]
     got = sketch_quantiles(run.rows.sparkSession, sketch, ends)
     for i, b in enumerate(brackets):
@@ -136,7 +143,12 @@ def _from_kll(run: _Run, brackets: list[Bracket], sketch, n: int, k: int) -> Non
 def _summary_brackets(run: _Run, brackets: list[Bracket], make, pr: float) -> None:
     summary = tree_merge(run.rows, "v", make)
     for b in brackets:
-        b.lo, b.hi = summary.bracket(b.k1, b.k2, pr)
+        if summary.exact():  # nothing was given up, so the summary has the answer
+            b.found = {k: summary.at(k) for k in (b.k1, b.k2)}
+        elif isinstance(summary, Sample):
+            (b.lo, b.hi), *b.wider = summary.brackets(b.k1, b.k2)[:-1]
+        else:
+            b.lo, b.hi = summary.bracket(b.k1, b.k2, pr)
 
 
 def _dd_brackets(run: _Run, brackets: list[Bracket]) -> None:
@@ -155,24 +167,13 @@ def _dd_brackets(run: _Run, brackets: list[Bracket]) -> None:
         b.hi = max(r["hi"] for r in hits if r["upto"] - r["n"] < b.k2 <= r["upto"])
 
 
-def _sample_brackets(run: _Run, brackets: list[Bracket], seed: int = 233) -> None:
-    """A simple random sample of bounded size; six average errors (m ** -1/2 / 3) to each side of its quantile."""
-    m = min(run.slots, 100_000)
-    got = [r["v"] for r in run.rows.where(~F.isnan("v")).withColumn("r", F.rand(seed)).orderBy("r").limit(m).select("v").orderBy("v").collect()]
-    error = 6 * (1 / 3) * len(got) ** -0.5
-    for b in brackets:
-        i, j = ((b.k1 - 1) / run.real - error) * len(got), (b.k2 / run.real + error) * len(got)
-        b.lo = run.lo if i < 0 else got[int(i)]
-        b.hi = run.hi if j >= len(got) else got[int(j)]
-
-
 def _resolve(run: _Run, brackets: list[Bracket]) -> None:
     """Passes until each bracket has its two values."""
     open_ = brackets
     while open_:
-        if run.passes >= run.max_passes:
-            for b in open_:
-                b.lo, b.hi = b.sure_lo, b.sure_hi
+        if run.passes >= run.max_passes:  # summaries did not help: the sort looks into one range partition per rank
+            _by_sort(run, open_)
+            return
         intervals = _intervals(open_)
         run.passes += 1
         cells = run.rows.where(~F.isnan("v")).withColumn("cell", cell_of(F.col("v"), intervals))
@@ -193,7 +194,7 @@ def _resolve(run: _Run, brackets: list[Bracket]) -> None:
                 verdict = b.judge(below[i], n)
                 if verdict == "hit":
                     b.sure_lo, b.sure_hi = b.lo, b.hi
-                    (hits if values <= run.survivors or run.passes > run.max_passes else narrow).append((b, i))
+                    (hits if values <= run.survivors else narrow).append((b, i))
             if hits:
                 _pick(run, counted, hits, below)
         finally:
@@ -320,15 +321,13 @@ def solve(df: DataFrame, col: str | Column, qs: Sequence[float], *, method: str
             _from_kll(run, open_, got["s"], run.real, k)
         elif method == "ddsketch":
             _dd_brackets(run, open_)
-        elif method == "sample":
-            _sample_brackets(run, open_)
         else:
-            slots = min(run.slots, 65_536)
-            makers = {"ledger": lambda: Compactor(slots), "mrl": lambda: Compactor(slots, random=False), "tdigest": lambda: Clusters(max(16, slots // 4))}
+            slots = run.slots
+            makers = {"ledger": lambda: Compactor(slots), "mrl": lambda: Compactor(slots, random=False), "tdigest": lambda: Clusters(max(16, slots // 4)), "sample": lambda: Sample(max(16, slots // 2))}
             _summary_brackets(run, open_, makers[method], run.certainty(len(open_)) if method == "ledger" else 1.0)
         if method != "kll":
             run.passes += 1
-        _resolve(run, open_)
+        _resolve(run, [b for b in open_ if not b.found])
     return [Answer(q, (b.found[b.k1] + b.found[b.k2]) * 0.5 if not math.isinf(b.found[b.k1] + b.found[b.k2]) else b.found[b.k1] * 0.5 + b.found[b.k2] * 0.5, run.passes) for q, b in zip(qs, brackets)]
 
 
@@ -376,47 +375,72 @@ def call(name: str, df: DataFrame, col: str, **attributes: str) -> DataFrame:
     return got.select("q", (F.col("passes").cast("double") if attributes.get("return_type") == "iteration_num" else F.col("value")).alias("value"))
 
 
-def grouped_exact_quantiles(df: DataFrame, by: Sequence[str], col: str, qs: Sequence[float], *, rank: RankSpec = MID, k: int = 200, width: float = 4.0) -> DataFrame:
-    """(by..., q, n, value) in two passes: a KLL sketch per group brackets each rank, counts decide, and groups whose bracket missed are sorted.
+#: Rows that a group's bracket may hold before it is narrowed again.
+GROUP_ROWS = 1_000_000
+
+
+#: A sketch per group is asked at this many equal steps, as the fractions must be constants.
+STEPS = 128
+
+
+def _near(sketch: str, n: str, eps: float, first: str, last: str) -> tuple[Column, Column]:
+    """Sketched values at least ``eps`` of n below the rank ``first`` and above the rank ``last``; null beyond the ends."""
+    low, high = (F.col(first) - 1) / F.col(n) - eps, F.col(last) / F.col(n) + eps
+    every = F.kll_sketch_get_quantile_double(sketch, F.array(*[F.lit(i / STEPS) for i in range(STEPS + 1)]))
+    at = lambda step: F.get(every, step.cast("int"))
+    known = F.col(n) > 0
+    return F.when(known & (low > 0), at(F.floor(low * STEPS))), F.when(known & (high < 1), at(F.ceil(high * STEPS)))
+
+
+def grouped_exact_quantiles(df: DataFrame, by: Sequence[str], col: str, qs: Sequence[float], *, rank: RankSpec = MID, k: int = 200, width: float = 4.0, most: int = GROUP_ROWS) -> DataFrame:
+    """(by..., q, n, value): a KLL sketch per group brackets each rank, counts decide, and brackets that missed start from the group's extremes.
 
-    A group's rows outside its brackets are only counted; equal values inside are merged before the shuffle.  Nulls are
-    ignored, NaN is greatest, a group without values has a null value.
+    Two passes are usual.  Where a bracket may hold more than ``most`` rows, a third one between narrows it by a sketch of
+    its own rows, so that a task sorts some hundredth of its group and not a tenth.  Rows outside the brackets are only counted;
+    equal values inside are merged before the shuffle.  Nulls are ignored, NaN is greatest, a group without values has a
+    null value.
     """
-    rows = df.select(*by, F.col(col).cast("double").alias("v"))
+    rows = df.select(*by, F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull())
     eps = width * planner.kll_error(k)
-    real = F.col("v").isNotNull() & ~F.isnan("v")
-    stats = rows.groupBy(*by).agg(F.count("v").alias("n"), F.count_if(real).alias("real"), F.expr(f"kll_sketch_agg_double(v, {k}) FILTER (WHERE v IS NOT NULL AND NOT isnan(v))").alias("s"))
-    stats = stats.persist(StorageLevel.MEMORY_AND_DISK)  # a row per group, read by both passes
-    low, high = ([F.lit(min(max(q + d, 0.0), 1.0)) for q in qs] for d in (-eps, eps))
-    near = lambda f: F.when(F.col("real") > 0, F.kll_sketch_get_quantile_double("s", F.array(*f))).otherwise(F.array_repeat(F.lit(None).cast("double"), len(qs)))
-    ends = F.arrays_zip(F.array(*[F.lit(float(q)) for q in qs]).alias("q"), near(low).alias("lo"), near(high).alias("hi"))
-    targets = stats.withColumn("x", F.explode(ends)).select(*by, "n", "real", "x.*")
+    sketch = f"kll_sketch_agg_double(v, {k})"
+    stats = df.select(*by, F.col(col).cast("double").alias("v")).groupBy(*by).agg(F.count("v").alias("n"), F.count_if(F.col("v").isNotNull() & ~F.isnan("v")).alias("real"), F.expr(f"{sketch} FILTER (WHERE v IS NOT NULL AND NOT isnan(v))").alias("s"))
     k1, k2 = rank.columns(F.col("q"), F.col("n"))
-    # a small group needs no bracket; beyond the sketch's ends there is none
-    free = lambda outside: (F.col("real") <= 8 * k) | F.col("lo").isNull() | outside
-    targets = targets.withColumn("k1", k1).withColumn("k2", k2)
-    targets = targets.withColumn("lo", F.when(free(F.col("q") <= eps), -math.inf).otherwise(F.col("lo"))).withColumn("hi", F.when(free(F.col("q") >= 1 - eps), math.inf).otherwise(F.col("hi")))
-    t = targets.where("n > 0").alias("t")
-    r = rows.where("v IS NOT NULL").alias("r")
-    joined = r.join(t, [F.col(f"r.{c}").eqNullSafe(F.col(f"t.{c}")) for c in by])
-    place = F.when(F.isnan("r.v") | (F.col("r.v") > F.col("t.hi")), 1).when(F.col("r.v") < F.col("t.lo"), -1).otherwise(0)
-    cells = joined.select(*[F.col(f"t.{c}").alias(c) for c in by], "q", "n", "k1", "k2", "real", place.alias("side"), F.col("r.v").alias("v"))
-    cells = cells.groupBy(*by, "q", "n", "k1", "k2", "real", "side", F.when(F.col("side") == 0, F.col("v") + 0.0).alias("v")).agg(F.count("*").alias("c"))
-    upto = Window.partitionBy(*by, "q").orderBy("side", "v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = cells.withColumn("upto", F.sum("c").over(upto))
-    at = lambda rank_: F.max(F.when((F.col(rank_) <= F.col("upto")) & (F.col(rank_) > F.col("upto") - F.col("c")) & (F.col("side") == 0), F.col("v")))
-    picked = ranked.groupBy(*by, "q", "n", "k1", "k2", "real").agg(at("k1").alias("a"), at("k2").alias("b"))
-    picked = picked.withColumn("value", F.when(F.col("k2") > F.col("real"), F.lit(math.nan)).otherwise((F.col("a") + F.col("b")) * 0.5))
-    picked = picked.persist(StorageLevel.MEMORY_AND_DISK)
-    hit = picked.where("value IS NOT NULL").select(*by, "q", "n", "value")
-    empty = targets.where("n = 0").select(*by, "q", "n", F.lit(None).cast("double").alias("value"))
-    if not picked.where("value IS NULL").limit(1).count():
-        return hit.unionByName(empty)
-    missed = picked.where("value IS NULL").select(*by, "q", "n", "k1", "k2")
-    m = missed.alias("m")
-    values = rows.where("v IS NOT NULL").groupBy(*by, (F.col("v") + 0.0).alias("v")).agg(F.count("*").alias("c")).alias("x")
-    again = values.join(m, [F.col(f"x.{c}").eqNullSafe(F.col(f"m.{c}")) for c in by]).select(*[F.col(f"m.{c}").alias(c) for c in by], "q", "n", "k1", "k2", "v", "c")
-    again = again.withColumn("upto", F.sum("c").over(Window.partitionBy(*by, "q").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
-    plain = lambda rank_: F.max(F.when((F.col(rank_) <= F.col("upto")) & (F.col(rank_) > F.col("upto") - F.col("c")), F.col("v")))
-    sorted_ = again.groupBy(*by, "q", "n").agg(((plain("k1") + plain("k2")) * 0.5).alias("value"))
-    return hit.unionByName(sorted_).unionByName(empty)
+    targets = stats.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in qs]))).withColumn("k1", k1).withColumn("k2", k2)
+    low, high = _near("s", "real", eps, "k1", "k2")
+    small = F.col("real") <= 8 * k  # needs no bracket
+    targets = targets.select(*by, "q", "n", "real", "k1", "k2", F.coalesce(F.when(~small, low), F.lit(-math.inf)).alias("lo"), F.coalesce(F.when(~small, high), F.lit(math.inf)).alias("hi"))
+    targets = targets.persist(StorageLevel.MEMORY_AND_DISK)  # a row per group and quantile
+
+    def met(asked: DataFrame) -> DataFrame:
+        t, r = asked.alias("t"), rows.where(~F.isnan("v")).alias("r")
+        return r.join(t, [F.col(f"r.{c}").eqNullSafe(F.col(f"t.{c}")) for c in by]).select(*[F.col(f"t.{c}").alias(c) for c in by], "t.q", "t.n", "t.real", "t.k1", "t.k2", "t.lo", "t.hi", F.col("r.v").alias("v"))
+
+    keys = [*by, "q", "n", "real", "k1", "k2", "lo", "hi"]
+    inside = F.col("v").between(F.col("lo"), F.col("hi"))
+    narrowed = targets
+    wide = targets.where((F.col("k2") <= F.col("real")) & (F.col("real") * F.lit(2 * (eps + 1 / STEPS)) > most) & (F.col("real") > 8 * k))
+    if wide.limit(1).count():
+        got = met(wide).groupBy(*keys).agg(F.count_if(F.col("v") < F.col("lo")).alias("below"), F.count_if(inside).alias("inside"), F.expr(f"{sketch} FILTER (WHERE v BETWEEN lo AND hi)").alias("s"))
+        got = got.withColumn("a", F.col("k1") - F.col("below")).withColumn("b", F.col("k2") - F.col("below"))
+        low, high = _near("s", "inside", eps, "a", "b")
+        hit = (F.col("a") >= 1) & (F.col("b") <= F.col("inside"))
+        tight = got.select(*by, "q", F.when(hit, F.coalesce(low, "lo")).otherwise(F.lit(-math.inf)).alias("lo2"), F.when(hit, F.coalesce(high, "hi")).otherwise(F.lit(math.inf)).alias("hi2"))
+        n_, t_ = targets.alias("n"), tight.alias("t")
+        joined = n_.join(t_, [F.col(f"n.{c}").eqNullSafe(F.col(f"t.{c}")) for c in [*by, "q"]], "left")
+        narrowed = joined.select(*[F.col(f"n.{c}") for c in [*by, "q", "n", "real", "k1", "k2"]], F.coalesce("t.lo2", "n.lo").alias("lo"), F.coalesce("t.hi2", "n.hi").alias("hi")).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def picked(asked: DataFrame) -> DataFrame:
+        place = F.when(F.col("v") > F.col("hi"), 1).when(F.col("v") < F.col("lo"), -1).otherwise(0)
+        cells = met(asked).withColumn("side", place).groupBy(*keys[:-2], "side", F.when(F.col("side") == 0, F.col("v") + 0.0).alias("v")).agg(F.count("*").alias("c"))
+        ranked = cells.withColumn("upto", F.sum("c").over(Window.partitionBy(*by, "q").orderBy("side", "v").rowsBetween(Window.unboundedPreceding, 0)))
+        at = lambda k_: F.max(F.when((F.col(k_) <= F.col("upto")) & (F.col(k_) > F.col("upto") - F.col("c")) & (F.col("side") == 0), F.col("v")))
+        return ranked.groupBy(*keys[:-2]).agg(at("k1").alias("a"), at("k2").alias("b")).withColumn("value", (F.col("a") + F.col("b")) * 0.5)
+
+    final = picked(narrowed.where("k2 <= real")).persist(StorageLevel.MEMORY_AND_DISK)
+    out = final.where("value IS NOT NULL").select(*by, "q", "n", "value")
+    out = out.unionByName(targets.where("n > 0 AND k2 > real").select(*by, "q", "n", F.lit(math.nan).alias("value")))
+    out = out.unionByName(targets.where("n = 0").select(*by, "q", "n", F.lit(None).cast("double").alias("value")))
+    if final.where("value IS NULL").limit(1).count():
+        again = final.where("value IS NULL").select(*keys[:-2], F.lit(-math.inf).alias("lo"), F.lit(math.inf).alias("hi"))
+        out = out.unionByName(picked(again).select(*by, "q", "n", "value"))
+    return out

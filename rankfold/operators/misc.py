@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.planner import bloom_size
@@ -25,6 +25,18 @@ def bloom_probe(df: DataFrame, key: str, bloom: DataFrame, expected: int, fpp: f
     return df.join(hit, key, "left").withColumn("might_contain", F.coalesce("might_contain", F.lit(False)))
 
 
+def bloom_write(bloom: DataFrame, path: str, expected: int, fpp: float) -> None:
+    """A filter with its parameters, as a table."""
+    bloom.withColumn("expected", F.lit(expected).cast("long")).withColumn("fpp", F.lit(float(fpp))).write.mode("overwrite").parquet(path)
+
+
+def bloom_read(spark: SparkSession, path: str) -> tuple[DataFrame, int, float]:
+    """(filter, expected keys, error rate) as written."""
+    table = spark.read.parquet(path)
+    head = table.select("expected", "fpp").first()
+    return table.select("word", "bits"), head["expected"] if head else 1, head["fpp"] if head else 0.01
+
+
 def arithmetic_progressions(df: DataFrame, col: str, least: int, most_diff: int) -> DataFrame:
     """(start, diff, length): maximal runs start, start + diff, ... of distinct integers, with at least ``least`` members.
 
@@ -49,6 +61,21 @@ def rank_after_deletes(df: DataFrame, col: str, deleted: Column, probes: list[fl
     return one.select(rows.alias("r")).select("r.*").withColumn("rank", F.col("n_all") - F.col("n_deleted"))
 
 
+def rank_after_deletes_sketched(df: DataFrame, col: str, deleted: Column, probes: list[float], k: int = 1000) -> DataFrame:
+    """(probe, rank): estimated rows at most each probe that are not deleted, the difference of two sketches of one pass.
+
+    Each sketch errs by its own count times ``planner.kll_error(k)``, so the difference by the sum of both.
+    """
+    x = F.col(col).cast("double")
+    one = df.select(x.alias("v"), F.coalesce(deleted, F.lit(False)).alias("gone")).where("v IS NOT NULL AND NOT isnan(v)").agg(
+        F.count("*").alias("n"), F.count_if(F.col("gone")).alias("m"), F.expr(f"kll_sketch_agg_double(v, {k})").alias("all"), F.expr(f"kll_sketch_agg_double(v, {k}) FILTER (WHERE gone)").alias("dead")
+    )
+    asked = F.array(*[F.lit(float(p)) for p in probes])
+    rank = lambda s, n: F.when(F.col(n) > 0, F.transform(F.kll_sketch_get_rank_double(s, asked), lambda r: r * F.col(n))).otherwise(F.array_repeat(F.lit(0.0), len(probes)))
+    both = one.select(F.arrays_zip(asked.alias("probe"), rank("all", "n").alias("a"), rank("dead", "m").alias("d")).alias("x"))
+    return both.select(F.explode("x").alias("x")).select("x.probe", (F.col("x.a") - F.col("x.d")).alias("rank"))
+
+
 def interval_mass(df: DataFrame, col: str, lo: float, hi: float) -> DataFrame:
     """(n_in, n, share) of the values in [lo, hi]."""
     got = df.agg(F.count_if(F.col(col).between(lo, hi)).alias("n_in"), F.count(col).alias("n"))

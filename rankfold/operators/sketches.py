@@ -41,6 +41,9 @@ class Summary(Protocol):
     def exact(self) -> bool:
         """Whether nothing was given up so far."""
 
+    def at(self, k: int) -> float:
+        """The value of rank k (from 1) of an exact summary."""
+
     def to_bytes(self) -> bytes: ...
 
 
@@ -49,14 +52,16 @@ def load(state: bytes) -> Summary:
     version, kind = struct.unpack_from("<BB", state)
     if version != VERSION:
         raise ValueError(f"summary of version {version}; this code reads {VERSION}")
-    return (Compactor, Clusters)[kind].from_bytes(state)
+    return (Compactor, Clusters, Sample)[kind].from_bytes(state)
 
 
 class Compactor:
     """Mergeable compacting summary over doubles in ``slots`` slots."""
 
-    def __init__(self, slots: int, random: bool = True, seed: int = 233) -> None:
+    def __init__(self, slots: int, random: bool = True, seed: int = 233, log: bool = False) -> None:
+        """With ``log`` every compaction's input is kept (level, values in order), for bounds of single values and for checks."""
         self.slots, self.random, self.rng = slots, random, np.random.default_rng(seed)
+        self.log: list[tuple[int, np.ndarray]] | None = [] if log else None
         self.levels: list[np.ndarray] = [np.zeros(0)]
         self.compactions = [0]
         self.n, self.low, self.high = 0, math.inf, -math.inf
@@ -83,6 +88,8 @@ class Compactor:
                 self.compactions.append(0)
             self.levels[i] = np.concatenate([self.levels[i], level])
             self.compactions[i] += done
+        if self.log is not None:
+            self.log += other.log or []
         self._shrink()
         return self
 
@@ -107,6 +114,8 @@ class Compactor:
             else:
                 stay, x = x[:odd], x[odd:]
             first = int(self.rng.integers(2)) if self.random else 0
+            if self.log is not None:
+                self.log.append((i, x))
             self.levels[i] = stay
             self.levels[i + 1] = np.concatenate([self.levels[i + 1], x[first::2]])
             self.compactions[i] += 1
@@ -143,9 +152,28 @@ class Compactor:
         hi = self.high if to >= len(values) else values[to]
         return float(min(lo, hi)), float(hi)
 
+    def error_at(self, x: float, pr: float) -> int:
+        """Rank error of one value that is not exceeded with probability ``pr``, from the logged compactions.
+
+        A compaction changes the rank of x only if an odd number of its values are at most x: then by 2**level, else not at all.
+        """
+        if self.log is None:
+            raise ValueError("a summary without log knows no bound per value")
+        levels = [0] * len(self.levels)
+        for i, values in self.log:
+            levels[i] += int(np.searchsorted(values, x, "right")) % 2
+        if pr >= 1:
+            return planner.max_error(levels)
+        sigma = math.sqrt(sum(m * 4.0**i for i, m in enumerate(levels)))  # each by +-2**level, evenly
+        return min(math.ceil(planner.z_of(pr) * sigma), planner.max_error(levels))
+
     def exact(self) -> bool:
         return not any(self.compactions)
 
+    def at(self, k: int) -> float:
+        values, upto = self.table()
+        return float(values[np.searchsorted(upto, k)])
+
     def shrink(self, slots: int) -> Compactor:
         """Compacts to fewer slots, as before a summary is stored."""
         self.slots = slots
@@ -245,6 +273,10 @@ class Clusters:
     def exact(self) -> bool:
         return bool((self.rows[:, 2] == self.rows[:, 3]).all())
 
+    def at(self, k: int) -> float:
+        rows = self.rows[np.argsort(self.rows[:, 2], kind="stable")]
+        return float(rows[np.searchsorted(np.cumsum(rows[:, 0]), k), 2])
+
     def to_bytes(self) -> bytes:
         """Version, kind, parameters, then a row (count, sum, min, max) per cluster."""
         return struct.pack("<BBIqI", VERSION, 1, self.slots, self.n, len(self.rows)) + np.ascontiguousarray(self.rows, "<f8").tobytes()
@@ -258,6 +290,70 @@ class Clusters:
         return out
 
 
+class Sample:
+    """Mergeable simple random sample of at most ``limit`` values: those with the smallest random keys; n, minimum and maximum are exact."""
+
+    def __init__(self, limit: int, seed: int = 233) -> None:
+        self.limit, self.rng = limit, np.random.default_rng(seed)
+        self.keys, self.values = np.zeros(0), np.zeros(0)
+        self.n, self.low, self.high = 0, math.inf, -math.inf
+
+    def update(self, values: np.ndarray) -> Sample:
+        values = np.asarray(values, np.float64)
+        if len(values):
+            self.n += len(values)
+            self.low, self.high = min(self.low, values.min()), max(self.high, values.max())
+            self._add(self.rng.random(len(values)), values)
+        return self
+
+    def merge(self, other: Sample) -> Sample:
+        self.n += other.n
+        self.low, self.high = min(self.low, other.low), max(self.high, other.high)
+        self._add(other.keys, other.values)
+        return self
+
+    def _add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        self.keys, self.values = np.concatenate([self.keys, keys]), np.concatenate([self.values, values])
+        if len(self.keys) > self.limit:
+            keep = np.argpartition(self.keys, self.limit - 1)[: self.limit]
+            self.keys, self.values = self.keys[keep], self.values[keep]
+
+    def brackets(self, k1: int, k2: int, sigmas: tuple[float, ...] = (2.0, 6.0)) -> list[tuple[float, float]]:
+        """Brackets of the ranks, each inside the next: so many average errors (m ** -1/2 / 3) to each side, and the sure one."""
+        values, m = np.sort(self.values), len(self.values)
+        out = []
+        for s in sigmas:
+            error = s * m**-0.5 / 3
+            i, j = ((k1 - 1) / self.n - error) * m, (k2 / self.n + error) * m
+            out.append((float(self.low if i < 0 else values[int(i)]), float(self.high if j >= m else values[int(j)])))
+        return [*out, (float(self.low), float(self.high))]
+
+    def bracket(self, k1: int, k2: int, pr: float = 1.0) -> tuple[float, float]:
+        return self.brackets(k1, k2)[-1 if pr >= 1 else -2]
+
+    def rank(self, x: float) -> float:
+        return float((self.values <= x).mean() * self.n) if len(self.values) else 0.0
+
+    def exact(self) -> bool:
+        return self.n <= self.limit
+
+    def at(self, k: int) -> float:
+        return float(np.sort(self.values)[k - 1])
+
+    def to_bytes(self) -> bytes:
+        """Version, kind, limit, count, extremes, then keys and values; a value stands for n / (values kept) rows."""
+        return struct.pack("<BBIqddI", VERSION, 2, self.limit, self.n, self.low, self.high, len(self.keys)) + self.keys.astype("<f8").tobytes() + self.values.astype("<f8").tobytes()
+
+    @classmethod
+    def from_bytes(cls, state: bytes) -> Sample:
+        head = struct.Struct("<BBIqddI")
+        _, _, limit, n, low, high, held = head.unpack_from(state)
+        out = cls(limit, seed=n)
+        out.n, out.low, out.high = n, low, high
+        out.keys, out.values = (np.frombuffer(state, "<f8", held, head.size + k * 8 * held).copy() for k in range(2))
+        return out
+
+
 def tree_merge(df: DataFrame, column: str, make: Callable[[], Summary], fan_in: int = FAN_IN) -> Summary:
     """One summary of a double column: per partition, then merged ``fan_in`` at a time."""
 
@@ -265,6 +361,8 @@ def tree_merge(df: DataFrame, column: str, make: Callable[[], Summary], fan_in:
         from pyspark import TaskContext
 
         summary = make()
+        if hasattr(summary, "rng"):  # partitions draw independently
+            summary.rng = np.random.default_rng([233, TaskContext.get().partitionId()])
         for pdf in batches:
             summary.update(pdf[column].to_numpy(np.float64))
         yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "state": [summary.to_bytes()]})

@@ -6,7 +6,9 @@ All are mergeable: rows of two summaries are united and aggregated again.
 from __future__ import annotations
 
 import math
+import struct
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
@@ -33,6 +35,54 @@ def numbered(df: DataFrame, *order: str | Column, name: str = "rn") -> DataFrame
     return dealt.join(F.broadcast(before), part == F.col("_p")).withColumn(name, F.col("_before") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_m", "_p", "_before")
 
 
+def _parts(df: DataFrame, order: tuple) -> DataFrame:
+    """``df`` in cached range partitions, with ``_part``."""
+    width = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartitionByRange(width, *order).withColumn("_part", F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _with_carry(dealt: DataFrame, carries: list[tuple], kind: str) -> DataFrame:
+    """``dealt`` with ``_before``, what the partitions before a row's hand on; a row per partition is sent."""
+    return dealt.join(F.broadcast(dealt.sparkSession.createDataFrame(carries, f"_part int, _before {kind}")), "_part")
+
+
+def running_max(df: DataFrame, *order: str, value: str, name: str) -> DataFrame:
+    """``df`` with the greatest ``value`` of the rows before each in the given total order, null for the first; no task sees more than its partition."""
+    dealt = _parts(df, order)
+    tops = {r["_part"]: r["m"] for r in dealt.groupBy("_part").agg(F.max(value).alias("m")).collect()}
+    carries, top = [], None
+    for p in sorted(tops):
+        carries.append((p, top))
+        top = tops[p] if top is None else top if tops[p] is None else max(top, tops[p])
+    own = F.max(value).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    return _with_carry(dealt.withColumn(name, own), carries, df.schema[value].dataType.simpleString()).withColumn(name, F.greatest(name, "_before")).drop("_part", "_before")
+
+
+def running_sum(df: DataFrame, *order: str, value: str, name: str) -> DataFrame:
+    """``df`` with the sum of an integer ``value`` of each row and those before it in the given order."""
+    dealt = _parts(df, order)
+    sums = {r["_part"]: r["s"] for r in dealt.groupBy("_part").agg(F.sum(value).alias("s")).collect()}
+    carries, done = [], 0
+    for p in sorted(sums):
+        carries.append((p, done))
+        done += sums[p] or 0
+    own = F.sum(value).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(*RUNNING))
+    return _with_carry(dealt.withColumn(name, own), carries, "long").withColumn(name, F.coalesce(name, F.lit(0)) + F.col("_before")).drop("_part", "_before")
+
+
+def last_known(df: DataFrame, *order: str, value: str, name: str) -> DataFrame:
+    """``df`` with the last ``value`` that is not null up to each row in the given order."""
+    dealt = _parts(df, order)
+    last = {r["_part"]: r["v"] for r in dealt.where(F.col(value).isNotNull()).groupBy("_part").agg(F.max_by(value, F.struct(*order)).alias("v")).collect()}
+    parts = sorted(r["_part"] for r in dealt.select("_part").distinct().collect())
+    carries, so_far = [], None
+    for p in parts:
+        carries.append((p, so_far))
+        so_far = last.get(p, so_far)
+    own = F.last(value, True).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(*RUNNING))
+    return _with_carry(dealt.withColumn(name, own), carries, df.schema[value].dataType.simpleString()).withColumn(name, F.coalesce(name, "_before")).drop("_part", "_before")
+
+
 # --- DDSketch
 
 
@@ -84,6 +134,16 @@ def dd_collapse(buckets: DataFrame, limit: int) -> DataFrame:
     return ranked.withColumn("idx", F.greatest("idx", edge)).groupBy("sign", "idx").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
 
+def dd_collapse_both(buckets: DataFrame, limit: int) -> DataFrame:
+    """At most ``limit`` buckets (or one per sign, if that is more): each sign keeps its share of them, the smallest sizes of both signs fold."""
+    of = Window.partitionBy("sign")
+    share = F.greatest(F.lit(1), F.floor(F.lit(limit) * F.col("own") / F.col("every")).cast("long"))
+    every = buckets.agg(F.count("*").alias("every"))
+    ranked = buckets.withColumn("own", F.count("*").over(of)).crossJoin(F.broadcast(every)).withColumn("r", F.row_number().over(of.orderBy(F.desc("idx"))))
+    edge = F.min(F.when(F.col("r") <= share, F.col("idx"))).over(of)
+    return ranked.withColumn("idx", F.greatest("idx", edge)).groupBy("sign", "idx").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+
+
 # --- equi-depth clusters
 
 
@@ -135,6 +195,46 @@ def may_hold(histogram: DataFrame, lo: float, hi: float) -> DataFrame:
     return histogram.where((F.col("lo") <= hi) & (F.col("hi") >= lo))
 
 
+def combine_histograms(histogram: DataFrame, clusters: int) -> DataFrame:
+    """(cluster, n, lo, hi): the steps of all pages in order, merged to about ``clusters`` clusters of equal count."""
+    steps = histogram.select("page_id", "step", "lo", "hi", "n")
+    total = steps.agg(F.sum("n").alias("total"))
+    placed = running_sum(steps, "lo", "hi", "page_id", "step", value="n", name="upto").crossJoin(F.broadcast(total))
+    cluster = F.floor((F.col("upto") - F.col("n")) * F.lit(clusters) / F.col("total")).cast("long")
+    return placed.groupBy(cluster.alias("cluster")).agg(F.sum("n").cast("long").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+
+
+_STEP = "<qqI8B"
+
+
+def pack_histogram(histogram: DataFrame, page: str) -> DataFrame:
+    """(page, state): each page's steps as bytes: lo, hi and n of a step, and the counts of its eight cells as shares of 255."""
+    steps = F.array_sort(F.collect_list(F.struct("step", "lo", "hi", "n", F.transform("counts", lambda c: F.struct(c["cell"].alias("cell"), c["n"].alias("n"))).alias("counts"))))
+
+    @F.pandas_udf("binary")
+    def packed(lists: pd.Series) -> pd.Series:
+        def one(rows) -> bytes:
+            out = []
+            for r in rows:
+                cells = {int(c["cell"]): int(c["n"]) for c in r["counts"]}
+                out.append(struct.pack(_STEP, int(r["lo"]), int(r["hi"]), int(r["n"]), *(min(255, -(-255 * cells.get(k, 0) // int(r["n"]))) for k in range(8))))
+            return b"".join(out)
+
+        return lists.map(one)
+
+    return histogram.groupBy(page).agg(steps.alias("steps")).select(page, packed("steps").alias("state"))
+
+
+def unpack_histogram(packed: DataFrame, page: str) -> DataFrame:
+    """(page, step, lo, hi, n, shares) from the bytes."""
+
+    @F.pandas_udf("array<struct<step: long, lo: long, hi: long, n: long, shares: array<int>>>")
+    def loose(states: pd.Series) -> pd.Series:
+        return states.map(lambda b: [{"step": k, "lo": lo, "hi": hi, "n": n, "shares": shares} for k, (lo, hi, n, *shares) in enumerate(struct.iter_unpack(_STEP, bytes(b)))])
+
+    return packed.select(page, F.explode(loose("state")).alias("s")).select(page, "s.*")
+
+
 # --- bit prefixes
 
 
@@ -145,7 +245,7 @@ def bit_prefixes(df: DataFrame, key: str, shift: int, weight: str | None = None)
 
 def prefix_of_ranks(prefixes: DataFrame, k1: int, k2: int) -> DataFrame:
     """(prefix1, before1, prefix2, before2): the prefixes that hold two ranks and the rows before each."""
-    placed = prefixes.withColumn("upto", F.sum("n").over(Window.orderBy("prefix").rowsBetween(*RUNNING)))
+    placed = running_sum(prefixes, "prefix", value="n", name="upto")
     holds = lambda k: (F.lit(k) <= F.col("upto")) & (F.lit(k) > F.col("upto") - F.col("n"))
     cols = []
     for i, k in ((1, k1), (2, k2)):
@@ -163,6 +263,48 @@ def bounded_prefixes(df: DataFrame, key: str, most: int = 1 << 16) -> tuple[Data
     return bit_prefixes(df, key, lo), lo
 
 
+def merge_prefixes(a: tuple[DataFrame, int], b: tuple[DataFrame, int], most: int = 1 << 16) -> tuple[DataFrame, int]:
+    """The prefix counts of two tables together, with the least shift, not under theirs, that leaves at most ``most`` prefixes."""
+    (x, i), (y, j) = a, b
+    lo, hi = max(i, j), 63
+    at = lambda shift: x.select(F.shiftright("prefix", shift - i).alias("prefix"), "n").unionByName(y.select(F.shiftright("prefix", shift - j).alias("prefix"), "n")).groupBy("prefix").agg(F.sum("n").cast("long").alias("n"))
+    while lo < hi:
+        mid = (lo + hi) // 2
+        lo, hi = (lo, mid) if at(mid).limit(most + 1).count() <= most else (mid + 1, hi)
+    return at(lo), lo
+
+
+def nested_window_select(df: DataFrame, col: str, q: float, sigmas: tuple[float, ...] = (4.0, 12.0), sample: int = 1000, seed: int = 233) -> DataFrame:
+    """(q, n, level, value): the midpoint quantile from the narrowest window around the expected rank that holds its ranks.
+
+    A sample of bounded size gives windows of so many standard deviations of its rank to each side, and the whole range as
+    the last; one pass counts below and in all of them, the next only looks at values in the one chosen.
+    """
+    from ..functions.ranks import MID
+
+    rows = df.select(F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull())
+    n, lo, hi = rows.agg(F.count("*"), F.min("v"), F.max("v")).first()
+    spark = df.sparkSession
+    schema = "q double, n long, level int, value double"
+    if not n:
+        return spark.createDataFrame([(float(q), 0, 0, None)], schema)
+    drawn = sorted(r["v"] for r in rows.withColumn("r", F.rand(seed)).where(F.col("r") < 2.0 * sample / n).orderBy("r").limit(sample).select("v").collect())
+    m, windows = len(drawn), []
+    for s in sigmas:
+        half = s * math.sqrt(max(m * q * (1 - q), 1.0))
+        a, b = math.floor(q * m - half), math.ceil(q * m + half)
+        windows.append((drawn[a] if 0 <= a < m else lo, drawn[b] if 0 <= b < m else hi))
+    windows.append((lo, hi))
+    got = rows.agg(*[x for i, (a, b) in enumerate(windows) for x in (F.count_if(F.col("v") < a).alias(f"b{i}"), F.count_if(F.col("v").between(a, b)).alias(f"i{i}"))]).first()
+    k1, k2 = MID.ranks(q, n)
+    level = next(i for i in range(len(windows)) if got[f"b{i}"] < k1 and k2 <= got[f"b{i}"] + got[f"i{i}"])
+    a, b = windows[level]
+    placed = numbered_weights(rows.where(F.col("v").between(a, b)).groupBy("v").agg(F.count("*").alias("w")))
+    at = lambda k: F.max(F.when((F.lit(k) <= F.col("upto")) & (F.lit(k) > F.col("upto") - F.col("w")), F.col("v")))
+    found = placed.agg(((at(k1 - got[f"b{level}"]) + at(k2 - got[f"b{level}"])) * 0.5).alias("value"))
+    return found.select(F.lit(float(q)).alias("q"), F.lit(n).cast("long").alias("n"), F.lit(level).alias("level"), "value")
+
+
 def window_around(df: DataFrame, col: str, lo: float, hi: float) -> DataFrame:
     """(below, inside, above): how many values lie below, in and above a guessed window."""
     v = F.col(col)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ranks import MID, RankSpec
 from . import exact as E
-from .summaries import numbered
+from .summaries import last_known, numbered, running_max, running_sum
 
 PAGE_ROWS = 4096
 LATE_POLICIES = ("ignore", "widen", "exact")
@@ -23,22 +23,29 @@ def paged(df: DataFrame, *order: str, rows: int = PAGE_ROWS) -> DataFrame:
     return numbered(df, *order).withColumn("page_id", F.floor((F.col("rn") - 1) / rows).cast("long")).drop("rn")
 
 
-def synopsis(pages: DataFrame, t: str, v: str, k: int = 64, by: str = "page_id") -> DataFrame:
-    """(page_id, n, min_t, max_t, min_v, max_v, sketch) of each page."""
+def sketch_k(budget: int) -> int:
+    """The parameter of a sketch that takes at most ``budget`` bytes when serialised: some four slots of eight bytes for each k, and a head."""
+    return max(8, min(65_535, (budget - 256) // 32))
+
+
+def synopsis(pages: DataFrame, t: str, v: str, k: int = 64, by: str = "page_id", budget: int | None = None) -> DataFrame:
+    """(page_id, n, min_t, max_t, min_v, max_v, sketch) of each page; with ``budget`` each sketch takes at most so many bytes."""
+    k = k if budget is None else sketch_k(budget)
     x = F.col(v).cast("double")
     return pages.groupBy(by).agg(F.count(x).alias("n"), F.min(t).alias("min_t"), F.max(t).alias("max_t"), F.min(x).alias("min_v"), F.max(x).alias("max_v"), F.expr(f"kll_sketch_agg_double(cast({v} as double), {k})").alias("sketch"))
 
 
-def roll_up(pages: DataFrame, fan: int = 8, levels: int = 3, k: int | None = None) -> DataFrame:
+def roll_up(pages: DataFrame, fan: int = 8, levels: int = 3, k: int | None = None, ratio: float = 1.0) -> DataFrame:
     """The synopsis of pages (level 0) and of ``fan`` nodes each for every higher level: adds level and node_id.
 
-    ``k`` is the parameter of the merged sketches; a smaller one than the pages' makes them smaller.
+    ``k`` is the parameter of the merged sketches; a smaller one than the pages' makes them smaller.  With ``ratio`` it
+    is multiplied by that at each level, so a node's sketch takes that share of what its parts' would as one.
     """
-    merged = f"kll_merge_agg_double(sketch, {k})" if k else "kll_merge_agg_double(sketch)"
     level = pages.withColumn("level", F.lit(0)).withColumnRenamed("page_id", "node_id")
     out = level
-    for k in range(1, levels + 1):
-        level = level.groupBy(F.floor(F.col("node_id") / fan).cast("long").alias("node_id")).agg(F.sum("n").alias("n"), F.min("min_t").alias("min_t"), F.max("max_t").alias("max_t"), F.min("min_v").alias("min_v"), F.max("max_v").alias("max_v"), F.expr(merged).alias("sketch")).withColumn("level", F.lit(k))
+    for at in range(1, levels + 1):
+        merged = f"kll_merge_agg_double(sketch, {max(8, min(65_535, int(k * ratio**at)))})" if k else "kll_merge_agg_double(sketch)"
+        level = level.groupBy(F.floor(F.col("node_id") / fan).cast("long").alias("node_id")).agg(F.sum("n").alias("n"), F.min("min_t").alias("min_t"), F.max("max_t").alias("max_t"), F.min("min_v").alias("min_v"), F.max("max_v").alias("max_v"), F.expr(merged).alias("sketch")).withColumn("level", F.lit(at))
         out = out.unionByName(level)
     return out
 
@@ -51,6 +58,44 @@ def cover(nodes: DataFrame, lo, hi, fan: int = 8) -> DataFrame:
     return keyed.join(parents, ["level", "parent"], "left_anti").drop("parent")
 
 
+def clean_nodes(nodes: DataFrame, pages: DataFrame, fan: int = 8) -> DataFrame:
+    """``nodes`` with ``clean``: no page outside a node overlaps its times.
+
+    The pages that overlap a node are those that begin by its end less those that end before it begins; both are running
+    counts over sorted times, so no pair of node and page is formed.
+    """
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    asked = lambda end, kind: nodes.select(F.col(end).alias("t"), F.lit(kind).alias("kind"), "level", "node_id", zero.alias("one"))
+    told = lambda end, kind: pages.select(F.col(end).alias("t"), F.lit(kind).alias("kind"), F.lit(None).cast("int").alias("level"), F.lit(None).cast("long").alias("node_id"), one.alias("one"))
+    begun = running_sum(told("min_t", 0).unionByName(asked("max_t", 1)), "t", "kind", value="one", name="begun").where("level IS NOT NULL").select("level", "node_id", "begun")
+    ended = running_sum(told("max_t", 1).unionByName(asked("min_t", 0)), "t", "kind", value="one", name="ended").where("level IS NOT NULL").select("level", "node_id", "ended")
+    own = pages.select(F.col("page_id")).crossJoin(F.broadcast(nodes.select("level").distinct())).groupBy("level", F.floor(F.col("page_id") / F.pow(F.lit(fan), F.col("level"))).cast("long").alias("node_id")).agg(F.count("*").alias("own"))
+    keys = ["level", "node_id"]
+    return nodes.join(begun, keys).join(ended, keys).join(own, keys).withColumn("clean", F.col("begun") - F.col("ended") == F.col("own")).drop("begun", "ended", "own")
+
+
+def cover_with_overlap(nodes: DataFrame, pages: DataFrame, lo, hi, fan: int = 8) -> DataFrame:
+    """(level, node_id, n, use): how [lo, hi) of time is answered from files written in the order of arrival.
+
+    ``merged`` nodes lie inside and overlap no page outside themselves, while their parents do not; all other pages that
+    touch the range are read (``raw``).
+    """
+    good = clean_nodes(nodes, pages, fan).where((F.col("min_t") >= lo) & (F.col("max_t") < hi) & F.col("clean")).persist()
+    # a node goes if any node above it is taken; levels are few
+    levels = sorted(r["level"] for r in nodes.select("level").distinct().collect())
+    taken, out = None, None
+    for level in reversed(levels):
+        here = good.where(F.col("level") == level).select("level", "node_id", "n")
+        if taken is not None:
+            here = here.join(taken, "node_id", "left_anti")
+        out = here if out is None else out.unionByName(here)
+        inside = here.select("node_id") if taken is None else here.select("node_id").unionByName(taken)
+        taken = inside.select(F.explode(F.sequence(F.col("node_id") * fan, F.col("node_id") * fan + fan - 1)).alias("node_id")) if level > levels[0] else inside
+    touched = pages.where((F.col("min_t") < hi) & (F.col("max_t") >= lo)).select(F.col("page_id").alias("node_id"), "n")
+    raw = touched.join(taken, "node_id", "left_anti").select(F.lit(levels[0]).alias("level"), "node_id", "n")
+    return out.withColumn("use", F.lit("merged")).unionByName(raw.withColumn("use", F.lit("raw")))
+
+
 def prune_by_value(pages: DataFrame, lo: float, hi: float) -> DataFrame:
     """(page_id, n, side): below pages count as a whole, above ones not at all; the others must be read."""
     side = F.when(F.col("max_v") < lo, "below").when(F.col("min_v") > hi, "above").otherwise("read")
@@ -66,13 +111,11 @@ def prune_by_time(pages: DataFrame, lo, hi) -> DataFrame:
 def split_late(events: DataFrame, t: str, arrival: str, flush_rows: int, *tie: str) -> DataFrame:
     """``events`` with ``flush`` (which batch of ``flush_rows`` arrivals) and ``is_late``: not after the times flushed before.
 
-    What was flushed before is a running maximum over batches, of which there are few: no window over single rows.
+    What was flushed before is a running maximum over batches, in range partitions like the numbering of the rows.
     """
-    from pyspark.sql import Window
-
     placed = numbered(events, arrival, *tie).withColumn("flush", F.floor((F.col("rn") - 1) / flush_rows).cast("long")).drop("rn")
-    ends = placed.groupBy("flush").agg(F.max(t).alias("m")).withColumn("sealed", F.max("m").over(Window.orderBy("flush").rowsBetween(Window.unboundedPreceding, -1))).select("flush", "sealed")
-    return placed.join(F.broadcast(ends) if ends.limit(100_001).count() <= 100_000 else ends, "flush").withColumn("is_late", F.coalesce(F.col(t) <= F.col("sealed"), F.lit(False))).drop("sealed")
+    ends = running_max(placed.groupBy("flush").agg(F.max(t).alias("m")), "flush", value="m", name="sealed").select("flush", "sealed")
+    return placed.join(ends, "flush").withColumn("is_late", F.coalesce(F.col(t) <= F.col("sealed"), F.lit(False))).drop("sealed")
 
 
 def overlapped(pages: DataFrame, late: DataFrame, t: str) -> DataFrame:
@@ -144,14 +187,12 @@ def rebuild_pages(facts: DataFrame, pages: DataFrame, late: DataFrame, t: str, v
 
     A late row that overlaps no page joins the last page that begins before it, or the first page.
     """
-    from pyspark.sql import Window
-
     starts = pages.select("page_id", F.col("min_t").alias("begin"))
     marks = starts.select(F.col("begin").alias("t"), "page_id", F.lit(None).cast("double").alias("v"), F.lit(0).alias("kind"))
     x = late.select(F.col(t).alias("t"), F.lit(None).cast("long").alias("page_id"), F.col(v).cast("double").alias("v"), F.lit(1).alias("kind"))
     first = pages.agg(F.min_by("page_id", "min_t").alias("p")).first()["p"]
-    # late rows are few; one running look-back over them and the page starts
-    placed = marks.unionByName(x).withColumn("page_id", F.last("page_id", True).over(Window.orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, 0))).where("kind = 1")
+    # a look-back over late rows and page starts, in range partitions
+    placed = last_known(marks.unionByName(x), "t", "kind", value="page_id", name="at").where("kind = 1").select("t", "v", F.col("at").alias("page_id"))
     joined = facts.select("page_id", F.col(t).alias("t"), F.col(v).cast("double").alias("v")).unionByName(placed.select(F.coalesce("page_id", F.lit(first)).alias("page_id"), "t", "v"))
     touched = placed.select(F.coalesce("page_id", F.lit(first)).alias("page_id")).distinct()
     anew = synopsis(joined.join(touched, "page_id", "left_semi"), "t", "v", k)

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import ranks as R
 from ..operators import exact as E
 from ..operators import misc, sketches, summaries, synopsis
-from ..sources import text
+from ..sources import generators, text
 from . import planner
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -481,3 +483,274 @@ def stream_daily_kll_n(spark, sf_dir):
     stream = spark.readStream.schema(batch.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     got = drain(windowed_sketches(stream, "ts", "value", "1 day"), "rankfold_daily")
     return got.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "n", F.expr("kll_sketch_get_n_double(sketch)").alias("sketch_n"), "lo", "hi")
+
+
+# --- sources and generators
+
+
+@query
+def gen_sequence(spark, sf_dir):
+    return generators.sequence(spark, 1000)
+
+
+@query
+def gen_permutation(spark, sf_dir):
+    return generators.permutation(spark, 700).agg(F.count("*").alias("n"), F.count_distinct("v").alias("n_values"), F.sum("pos").alias("pos_sum"), F.sum("v").alias("v_sum"))
+
+
+@query
+def gen_ordered_uniform(spark, sf_dir):
+    return generators.page_values(spark, 500, "ordered-uniform")
+
+
+@query
+def gen_out_of_order(spark, sf_dir):
+    rows = generators.out_of_order(spark, 2000)
+    return rows.agg(F.count("*").alias("n"), F.min("event_time").alias("first"), F.max("event_time").alias("last"), F.count_if(F.col("arrival") < F.col("event_time")).alias("n_early"), F.count("v").alias("n_values"))
+
+
+@query
+def gen_random(spark, sf_dir):
+    """(name, n, n_inside): values of each distribution and how many lie where all must."""
+    made = {"uniform": (generators.uniform(spark, 3000), 0.0, 1.0), "gaussian": (generators.gaussian(spark, 3000), -9.0, 9.0), "log-normal": (generators.log_normal(spark, 3000), 54.0, 55.2)}
+    return reduce(DataFrame.unionByName, [df.agg(F.count("v").alias("n"), F.count_if(F.col("v").between(lo, hi)).alias("n_inside")).select(F.lit(name).alias("name"), "n", "n_inside") for name, (df, lo, hi) in made.items()])
+
+
+@query
+def gen_random_ranges(spark, sf_dir):
+    ranges = spark.createDataFrame(generators.random_ranges(5000, 100, 50), "a long, b long")
+    return ranges.agg(F.count("*").alias("n"), F.min(F.col("b") - F.col("a")).alias("least"), F.max(F.col("b") - F.col("a")).alias("most"), F.count_if((F.col("a") >= 0) & (F.col("b") <= 5000)).alias("n_inside"))
+
+
+@query
+def gen_cyclic(spark, sf_dir):
+    return text.cyclic(spark, [3.0, 1.5, 2.25], 100, noise=0.0)
+
+
+@query
+def text_round_trip(spark, sf_dir):
+    """A column written as text and read again."""
+    path = text.scratch_path(spark, "column")
+    text.write_column(table(spark, sf_dir, "events"), path, "value", banner="value", rows_per_file=5000)
+    return text.read_column(spark, path).agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.round(F.sum("v"), 4).alias("total"))
+
+
+@query
+def summary_round_trip(spark, sf_dir):
+    """Page sketches written as a table and read again."""
+    path = text.scratch_path(spark, "pages")
+    text.write_summary(synopsis.synopsis(_events_pages(spark, sf_dir), "ts", "value"), path)
+    return spark.read.parquet(path).select("page_id", "n", F.expr("kll_sketch_get_n_double(sketch)").alias("sketch_n"), "min_v", "max_v")
+
+
+# --- summaries with states
+
+
+def _state(spark, sf_dir, make):
+    """A summary of supplier balances, through its bytes."""
+    return sketches.load(sketches.tree_merge(table(spark, sf_dir, "supplier").select(F.col("s_acctbal").cast("double").alias("v")), "v", make).to_bytes())
+
+
+def _ranks(make) -> Query:
+    def run(spark, sf_dir):
+        state = _state(spark, sf_dir, make)
+        return spark.createDataFrame([(x, int(round(state.rank(x)))) for x in (-500.0, 0.0, 2500.0, 9000.0)], "probe double, rank long")
+
+    return run
+
+
+#: No summary here gives anything up: suppliers are fewer than their slots, so ranks are exact after bytes and merges.
+QUERIES["ledger_bytes_rank"] = _ranks(lambda: sketches.Compactor(1 << 16))
+QUERIES["mrl_bytes_rank"] = _ranks(lambda: sketches.Compactor(1 << 16, random=False))
+QUERIES["cluster_bytes_rank"] = _ranks(lambda: sketches.Clusters(1 << 16))
+
+
+@query
+def sample_state(spark, sf_dir):
+    """(n, kept, low, high): a sample's state after bytes and merges; it keeps at most 64 values but knows count and extremes."""
+    got = _state(spark, sf_dir, lambda: sketches.Sample(64))
+    return spark.createDataFrame([(got.n, len(got.values), float(got.low), float(got.high))], "n long, kept long, low double, high double")
+
+
+@query
+def sample_small_q(spark, sf_dir):
+    """Sample brackets of two widths with rollback; the value is exact."""
+    return E.exact_quantiles(table(spark, sf_dir, "lineitem").select("l_extendedprice"), "l_extendedprice", [0.2, 0.5, 0.95], method="sample", memory="4KB").select("q", "value")
+
+
+@query
+def exact_shortcut_q(spark, sf_dir):
+    """A summary that holds everything answers without another pass: (q, value, passes)."""
+    return E.exact_quantiles(table(spark, sf_dir, "nation").select("n_nationkey"), "n_nationkey", [0.25, 0.5, 0.9], method="ledger").select("q", "value", "passes")
+
+
+@query
+def exact_iteration_num(spark, sf_dir):
+    """Passes of a sort, as the aggregate reports them."""
+    return E.call("exact_quantile_quick_select", table(spark, sf_dir, "part").select("p_retailprice"), "p_retailprice", quantile="0.5", return_type="iteration_num")
+
+
+@query
+def value_bound_holds(spark, sf_dir):
+    """(probe, true_rank, error_within): the bound of single values, from logged compactions, holds and is no wider than the sketch's."""
+    values = [r[0] for r in table(spark, sf_dir, "region").select("r_regionkey").collect()]  # five rows
+    state = sketches.Compactor(64, log=True).update(np.arange(20_000, dtype=np.float64) * (1 + max(values)))
+    probes = [1000.0, 20_000.0, 55_555.0, 99_000.0]
+    true = [int(x // (1 + max(values))) + 1 for x in probes]
+    return spark.createDataFrame([(x, t, abs(state.rank(x) - t) <= state.error_at(x, 1.0) <= state.error(1.0)) for x, t in zip(probes, true)], "probe double, true_rank long, error_within boolean")
+
+
+@query
+def compaction_coverage(spark, sf_dir):
+    """(level, inputs, uneven): at no place do the intervals of odd and of even place in a compaction's input differ by more than one."""
+    state = sketches.Compactor(256, log=True).update(np.array([float((k * 7919) % 10_007) for k in range(10_007)]))
+    rows: dict[int, list[int]] = {}
+    for level, values in state.log:
+        places = np.linspace(0, 10_007, 50)
+        odd, even = (np.searchsorted(values[k::2], places, "right") for k in (0, 1))
+        rows.setdefault(level, []).append(int((np.abs(odd - even) > 1).any()))
+    return spark.createDataFrame([(level, len(x) > 0, sum(x)) for level, x in rows.items() if level < 2], "level long, some boolean, uneven long")
+
+
+@query
+def divided_chunk_weight(spark, sf_dir):
+    chunk = table(spark, sf_dir, "orders").select(F.floor(F.col("o_orderkey") / 4096).cast("long").alias("chunk_id"), F.floor(F.col("o_orderkey") / 256).cast("long").alias("page"), F.col("o_totalprice").alias("v"))
+    return synopsis.divide_chunk(chunk, "page", "v").groupBy("chunk_id").agg(F.sum("weight").cast("long").alias("weight"))
+
+
+@query
+def sketched_delete_rank(spark, sf_dir):
+    """(probe, rank, within): true ranks without deleted rows, and whether two sketches' difference errs no more than both may."""
+    orders, probes, k = table(spark, sf_dir, "orders"), [50_000.0, 150_000.0, 400_000.0], 1000
+    got = misc.rank_after_deletes_sketched(orders, "o_totalprice", F.col("o_orderstatus") == "F", probes, k)
+    exact = misc.rank_after_deletes(orders, "o_totalprice", F.col("o_orderstatus") == "F", probes)
+    n = orders.agg(F.count("*").alias("every"))
+    both = exact.select("probe", F.col("rank").alias("true")).join(got, "probe").crossJoin(F.broadcast(n))
+    return both.select("probe", F.col("true").alias("rank"), (F.abs(F.col("rank") - F.col("true")) <= F.col("every") * F.lit(8 * planner.kll_error(k))).alias("within"))
+
+
+@query
+def bloom_round_trip(spark, sf_dir):
+    """A filter written with its parameters and read again misses no key."""
+    orders = table(spark, sf_dir, "orders")
+    n, path = table(spark, sf_dir, "customer").count(), text.scratch_path(spark, "bloom")
+    misc.bloom_write(misc.bloom_build(orders, "o_custkey", n, 0.02), path, n, 0.02)
+    bloom, expected, fpp = misc.bloom_read(spark, path)
+    got = misc.bloom_probe(orders.select("o_custkey").distinct(), "o_custkey", bloom, expected, fpp)
+    return got.agg(F.count("*").alias("keys"), F.count_if("might_contain").alias("found")).withColumn("expected", F.lit(expected).cast("long")).withColumn("fpp", F.lit(fpp))
+
+
+# --- the planner
+
+
+@query
+def planner_errors(spark, sf_dir):
+    """(name, variance, most): rank errors of compactions per level."""
+    runs = {"a": (5, 3, 1), "b": (100, 50, 25, 12, 6), "c": (0, 0, 7)}
+    return spark.createDataFrame([(k, planner.variance(c), planner.max_error(c)) for k, c in runs.items()], "name string, variance double, most long")
+
+
+@query
+def planner_steps(spark, sf_dir):
+    """(steps, sum, probability): the distribution of a sum of steps of -1, 0 and 1."""
+    return spark.createDataFrame([(m, k - m, p) for m in (1, 2, 6) for k, p in enumerate(planner.trinomial_pmf(m))], "steps long, sum long, probability double").withColumn("probability", F.round("probability", 9))
+
+
+@query
+def planner_bloom_sizes(spark, sf_dir):
+    """(keys, fpp, bits, hashes) of filters for each table's keys."""
+    counts = [table(spark, sf_dir, t).count() for t in ("supplier", "customer", "orders")]
+    return spark.createDataFrame([(n, p, *planner.bloom_size(n, p)) for n in counts for p in (0.1, 0.01)], "keys long, fpp double, bits long, hashes long")
+
+
+@query
+def planner_sample_errors(spark, sf_dir):
+    return spark.createDataFrame([(m, summaries.sample_error(m)) for m in (16, 1000, 65_536)], "m long, error double").withColumn("error", F.round("error", 9))
+
+
+@query
+def planner_passes(spark, sf_dir):
+    """(rows, planned): plans for one pass where all fits, and more where it does not."""
+    return spark.createDataFrame([(n, planner.best_pr(n, 1024).passes == 1.0, planner.best_pr(n, 1024).passes <= planner.best_pr_of_list(n, 1024).passes * 1.05) for n in (500, 1000, 50_000)], "rows long, fits boolean, no_worse boolean")
+
+
+# --- more of pages, buckets and prefixes
+
+
+@query
+def dd_collapse_both(spark, sf_dir):
+    return summaries.dd_collapse_both(summaries.dd_buckets(table(spark, sf_dir, "customer"), "c_acctbal", 0.02), 60)
+
+
+@query
+def dd_shifted_q(spark, sf_dir):
+    """Signed values by way of the positive domain: v - min + 1 is bucketed, the row found there has the answer."""
+    rows = table(spark, sf_dir, "customer").select(F.col("c_acctbal").alias("v"))
+    low = rows.agg(F.min("v")).first()[0]
+    shifted = rows.withColumn("s", F.col("v") - F.lit(low) + 1.0)
+    got = E.exact_quantiles(shifted, "s", [0.1, 0.6], method="ddsketch").select("q", F.round(F.col("value") + F.lit(low) - 1.0, 6).alias("value"))
+    return got
+
+
+@query
+def merged_prefixes(spark, sf_dir):
+    """Prefix counts of two halves with shifts of their own, brought to one."""
+    orders = table(spark, sf_dir, "orders")
+    a, b = (summaries.bounded_prefixes(orders.where(F.col("o_orderkey") % 2 == k), "o_custkey", most) for k, most in ((0, 80), (1, 30)))
+    got, shift = summaries.merge_prefixes(a, b, 50)
+    return got.withColumn("shift", F.lit(shift).cast("long"))
+
+
+@query
+def nested_window_q(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").select("l_extendedprice")
+    return reduce(DataFrame.unionByName, [summaries.nested_window_select(lines, "l_extendedprice", q).select("q", "n", "value") for q in (0.03, 0.5)])
+
+
+@query
+def nested_window_fallback_q(spark, sf_dir):
+    """Windows of no width miss, so the whole range answers."""
+    return summaries.nested_window_select(table(spark, sf_dir, "events"), "value", 0.37, sigmas=(0.0, 0.0), sample=8).select("q", "n", "value")
+
+
+@query
+def histogram_combine(spark, sf_dir):
+    return summaries.combine_histograms(summaries.page_histogram(_pages(spark, sf_dir), "page_id", "l_extendedprice", 512), 20)
+
+
+@query
+def histogram_bytes(spark, sf_dir):
+    """Page histograms through their bytes; shares of cells are rounded up to 255ths."""
+    got = summaries.unpack_histogram(summaries.pack_histogram(summaries.page_histogram(_pages(spark, sf_dir), "page_id", "l_extendedprice", 512), "page_id"), "page_id")
+    return got.select("page_id", "step", "lo", "hi", "n", F.get("shares", F.lit(0)).alias("share0"), F.get("shares", F.lit(7)).alias("share7"))
+
+
+@query
+def page_sketch_budget(spark, sf_dir):
+    """(page_id, n, fits): every page's sketch takes at most its budget and has seen all rows."""
+    pages = synopsis.synopsis(_events_pages(spark, sf_dir), "ts", "value", budget=2048)
+    return pages.select("page_id", F.expr("kll_sketch_get_n_double(sketch)").alias("n"), (F.octet_length("sketch") <= 2048).alias("fits"))
+
+
+@query
+def rollup_ratio(spark, sf_dir):
+    """(level, node_id, n): sketches of higher levels, each half as fine as the level's below, have seen all rows."""
+    pages = synopsis.synopsis(_events_pages(spark, sf_dir), "ts", "value", k=64)
+    return synopsis.roll_up(pages, fan=4, levels=2, k=64, ratio=0.5).select("level", "node_id", F.expr("kll_sketch_get_n_double(sketch)").alias("n"))
+
+
+@query
+def late_cover(spark, sf_dir):
+    """Files in the order of arrival: nodes that no other page overlaps are merged, the rest is read."""
+    rows = _arrivals(spark, sf_dir)
+    pages = synopsis.synopsis(synopsis.paged(rows, "arrival", "event_id", rows=64), "t", "v", k=16).persist()
+    nodes = synopsis.roll_up(pages, fan=4, levels=2).persist()
+    return synopsis.cover_with_overlap(nodes, pages, F.expr("timestamp_ntz'2024-01-04'"), F.expr("timestamp_ntz'2024-01-26'"), fan=4)
+
+
+@query
+def session_totals(spark, sf_dir):
+    from ..streaming.windows import session_sketches
+
+    got = session_sketches(table(spark, sf_dir, "events"), "ts", "value", "2 hours", by=("user_id",))
+    return got.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n", "lo", "hi", F.expr("kll_sketch_get_n_double(sketch)").alias("sketch_n"))

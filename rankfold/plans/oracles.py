@@ -59,6 +59,32 @@ def _late_quantile(late: bool) -> str:
     return _pick(source, "v", _values([0.9]), R.MID)
 
 
+_STEPS = f"p AS (SELECT page_id, trunc(l_extendedprice)::BIGINT AS v FROM {_PAGES}), s AS (SELECT *, (row_number() OVER (PARTITION BY page_id ORDER BY v) - 1) // 512 AS step FROM p), b AS (SELECT page_id, step, min(v) AS lo, max(v) AS hi, count(*) AS n FROM s GROUP BY 1, 2)"
+
+#: Least shift of each half, then of both together.
+_MERGED = """
+    WITH k AS (SELECT o_orderkey % 2 AS half, o_custkey AS key FROM orders),
+    h AS (SELECT half, shift, count(DISTINCT key >> shift) AS n FROM k, range(0, 40) r(shift) GROUP BY half, shift),
+    own AS (SELECT half, min(shift) AS shift FROM h WHERE n <= CASE WHEN half = 0 THEN 80 ELSE 30 END GROUP BY half),
+    base AS (SELECT max(shift) AS shift FROM own),
+    every AS (SELECT r.shift, count(DISTINCT key >> r.shift) AS n FROM k, range(0, 40) r(shift), base WHERE r.shift >= base.shift GROUP BY r.shift),
+    chosen AS (SELECT min(shift) AS shift FROM every WHERE n <= 50)
+    SELECT key >> shift AS prefix, count(*) AS n, shift::BIGINT AS shift FROM k, chosen GROUP BY 1, 3
+"""
+
+_LATE_COVER = f"""
+    WITH {_LATE}, r AS (SELECT *, (row_number() OVER (ORDER BY arrival, event_id) - 1) // 64 AS page FROM a),
+    g AS (SELECT page, count(v) AS n, min(t) AS min_t, max(t) AS max_t FROM r GROUP BY page),
+    nodes AS (SELECT level, page // (4 ** level)::BIGINT AS node_id, sum(n)::BIGINT AS n, min(min_t) AS min_t, max(max_t) AS max_t FROM g, range(0, 3) l(level) GROUP BY 1, 2),
+    good AS (SELECT * FROM nodes d WHERE min_t >= TIMESTAMP '2024-01-04' AND max_t < TIMESTAMP '2024-01-26'
+        AND NOT EXISTS (SELECT 1 FROM g WHERE g.page // (4 ** d.level)::BIGINT <> d.node_id AND g.min_t <= d.max_t AND g.max_t >= d.min_t)),
+    top AS (SELECT * FROM good d WHERE NOT EXISTS (SELECT 1 FROM good u WHERE u.level > d.level AND d.node_id // (4 ** (u.level - d.level))::BIGINT = u.node_id))
+    SELECT level::INT AS level, node_id, n, 'merged' AS use FROM top
+    UNION ALL SELECT 0, page, n, 'raw' FROM g WHERE min_t < TIMESTAMP '2024-01-26' AND max_t >= TIMESTAMP '2024-01-04'
+        AND NOT EXISTS (SELECT 1 FROM top u WHERE g.page // (4 ** u.level)::BIGINT = u.node_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     out = {name: _pick(t, c, _values([float(q)]), R.SPECS[o.get("rank", "mid")]) for name, (t, c, q, o) in EXACT.items()}
     out |= {
@@ -115,12 +141,47 @@ def oracle_sql() -> dict[str, str]:
         "csv_flatten": "SELECT 1 AS col, count(*) AS n, sum(p_size)::DOUBLE AS total FROM part UNION ALL SELECT 2, count(*), sum(p_partkey)::DOUBLE FROM part",
         "median_page_stat": _pick("(SELECT strftime(ts, '%Y-%m-%d') AS day, value FROM events)", "value", _values([0.5]), R.MEDIAN, "day", "day, q, n, value"),
         "interval_mass": "SELECT count(*) FILTER (WHERE l_extendedprice BETWEEN 20000 AND 40000) AS n_in, count(*) AS n, round(count(*) FILTER (WHERE l_extendedprice BETWEEN 20000 AND 40000) / count(*), 9) AS share FROM lineitem",
-        "arith_progressions": "WITH RECURSIVE v AS (SELECT DISTINCT (p_size + 60 * (p_partkey % 7))::BIGINT AS x FROM part WHERE p_partkey <= 200), d AS (SELECT unnest(range(1, 61)) AS diff), s AS (SELECT x AS start, diff, x, 1 AS length FROM v, d WHERE x - diff NOT IN (SELECT x FROM v)), r AS (SELECT * FROM s UNION ALL SELECT r.start, r.diff, v.x, r.length + 1 FROM r JOIN v ON v.x = r.x + r.diff) SELECT start, diff, max(length)::BIGINT AS length FROM r GROUP BY start, diff HAVING max(length) >= 4",
+        "arith_progressions": "WITH RECURSIVE v AS (SELECT DISTINCT (p_size + 60 * (p_partkey % 7))::BIGINT AS x FROM part), d AS (SELECT unnest(range(1, 61)) AS diff), s AS (SELECT x AS start, diff, x, 1 AS length FROM v, d WHERE x - diff NOT IN (SELECT x FROM v)), r AS (SELECT * FROM s UNION ALL SELECT r.start, r.diff, v.x, r.length + 1 FROM r JOIN v ON v.x = r.x + r.diff) SELECT start, diff, max(length)::BIGINT AS length FROM r GROUP BY start, diff HAVING max(length) >= 4",
         "coverage_odd_even": "WITH p AS (SELECT value AS v, row_number() OVER (ORDER BY value, event_id) AS rn FROM events), m AS (SELECT min(v) AS lo, max(v) AS hi FROM p), x AS (SELECT i AS point, lo + (hi - lo) * i / 10 AS place FROM m, range(1, 10) g(i)), r AS (SELECT point, place, max(rn) AS r FROM x JOIN p ON v <= place GROUP BY point, place) SELECT point::INT AS point, round(place, 6) AS place, (r % 2)::INT AS odd, (1 - r % 2)::INT AS even FROM r",
         "error_stats": "SELECT count(e) AS n, round(avg(e), 4) AS mean, round(stddev_pop(e), 4) AS stddev FROM (SELECT l_extendedprice - 38000 AS e FROM lineitem)",
         "bloom_probe": "SELECT count(DISTINCT o_custkey) AS keys, count(DISTINCT o_custkey) AS found, true AS few_false FROM orders JOIN customer ON o_custkey = c_custkey",
         "distinct_values": "SELECT count(DISTINCT l_extendedprice) AS n_distinct, count(DISTINCT l_quantity) AS n_quantity FROM lineitem",
         "prefix_sums": "SELECT l_quantity, count(*) AS n, sum(count(*)) OVER (ORDER BY l_quantity)::BIGINT AS upto FROM lineitem GROUP BY l_quantity",
         "stream_daily_kll_n": "SELECT strftime(ts, '%Y-%m-%d') AS day, count(value) AS n, count(value) AS sketch_n, min(value) AS lo, max(value) AS hi FROM events GROUP BY 1",
+        "gen_sequence": "SELECT i AS pos, i::DOUBLE AS v FROM range(1000) g(i)",
+        "gen_permutation": "SELECT 700::BIGINT AS n, 700::BIGINT AS n_values, sum(i)::BIGINT AS pos_sum, sum(i)::DOUBLE AS v_sum FROM range(700) g(i)",
+        "gen_ordered_uniform": "SELECT i AS pos, trunc((i / 500.0::DOUBLE * 2 - 1) * 1e15)::BIGINT AS v FROM range(500) g(i)",
+        "gen_out_of_order": "SELECT 2000::BIGINT AS n, 0::BIGINT AS first, 1999::BIGINT AS last, 0::BIGINT AS n_early, 2000::BIGINT AS n_values",
+        "gen_random": "SELECT unnest(['uniform', 'gaussian', 'log-normal']) AS name, 3000::BIGINT AS n, 3000::BIGINT AS n_inside",
+        "gen_random_ranges": "SELECT 50::BIGINT AS n, 100::BIGINT AS least, 100::BIGINT AS most, 50::BIGINT AS n_inside",
+        "gen_cyclic": "SELECT i AS pos, [3.0::DOUBLE, 1.5, 2.25][i % 3 + 1] AS v FROM range(100) g(i)",
+        "text_round_trip": "SELECT count(value) AS n, min(value) AS lo, max(value) AS hi, round(sum(value), 4) AS total FROM events",
+        "summary_round_trip": f"SELECT page_id, n, n AS sketch_n, min_v, max_v FROM {_event_pages(512)}",
+        "sample_state": "SELECT count(*) AS n, least(count(*), 64) AS kept, min(s_acctbal) AS low, max(s_acctbal) AS high FROM supplier",
+        "sample_small_q": _pick("lineitem", "l_extendedprice", _values([0.2, 0.5, 0.95]), R.MID),
+        "exact_shortcut_q": "SELECT q, value, 2::INT AS passes FROM (" + _pick("nation", "n_nationkey", _values([0.25, 0.5, 0.9]), R.MID) + ")",
+        "exact_iteration_num": "SELECT 0.5::DOUBLE AS q, 2.0::DOUBLE AS value",
+        "value_bound_holds": "SELECT probe, (probe // 5)::BIGINT + 1 AS true_rank, true AS error_within FROM (SELECT unnest([1000.0::DOUBLE, 20000.0, 55555.0, 99000.0]) AS probe)",
+        "compaction_coverage": "SELECT unnest([0::BIGINT, 1]) AS level, true AS some, 0::BIGINT AS uneven",
+        "divided_chunk_weight": "SELECT o_orderkey // 4096 AS chunk_id, count(o_totalprice) AS weight FROM orders GROUP BY 1",
+        "sketched_delete_rank": "SELECT probe, count(*) FILTER (WHERE o_totalprice <= probe AND o_orderstatus <> 'F') AS rank, true AS within FROM orders, (SELECT unnest([50000.0::DOUBLE, 150000.0, 400000.0]) AS probe) p GROUP BY probe",
+        "bloom_round_trip": "SELECT count(DISTINCT o_custkey) AS keys, count(DISTINCT o_custkey) AS found, (SELECT count(*) FROM customer) AS expected, 0.02::DOUBLE AS fpp FROM orders",
+        "planner_errors": "SELECT name, sum(0.5 * m * pow(4, i - 1))::DOUBLE AS variance, sum(m * pow(2, i - 1))::BIGINT AS most FROM (SELECT name, generate_subscripts(c, 1) AS i, unnest(c) AS m FROM (VALUES ('a', [5, 3, 1]), ('b', [100, 50, 25, 12, 6]), ('c', [0, 0, 7])) t(name, c)) GROUP BY name",
+        "planner_steps": "SELECT m AS steps, k - m AS sum, round(factorial(2 * m::INT) / factorial(k::INT) / factorial((2 * m - k)::INT) / pow(4, m), 9)::DOUBLE AS probability FROM (SELECT unnest([1::BIGINT, 2, 6]) AS m), range(0, 13) r(k) WHERE k <= 2 * m",
+        "planner_bloom_sizes": "SELECT keys, fpp, greatest(8, ceil(-keys * ln(fpp) / pow(ln(2), 2)))::BIGINT AS bits, greatest(1, round_even(greatest(8, ceil(-keys * ln(fpp) / pow(ln(2), 2))) / keys * ln(2), 0))::BIGINT AS hashes FROM (SELECT count(*) AS keys FROM supplier UNION ALL SELECT count(*) FROM customer UNION ALL SELECT count(*) FROM orders), (SELECT unnest([0.1::DOUBLE, 0.01]) AS fpp)",
+        "planner_sample_errors": "SELECT m, round(1 / (3 * sqrt(m)), 9) AS error FROM (SELECT unnest([16::BIGINT, 1000, 65536]) AS m)",
+        "planner_passes": "SELECT unnest([500::BIGINT, 1000, 50000]) AS rows, unnest([true, true, false]) AS fits, true AS no_worse",
+        "dd_collapse_both": f"WITH b AS ({_dd('customer', 'c_acctbal', 0.02)}), r AS (SELECT *, row_number() OVER (PARTITION BY sign ORDER BY idx DESC) AS r, count(*) OVER (PARTITION BY sign) AS own, count(*) OVER () AS every FROM b), e AS (SELECT sign, min(idx) AS edge FROM r WHERE r <= greatest(1, 60 * own // every) GROUP BY sign) SELECT sign, greatest(idx, edge) AS idx, sum(n)::BIGINT AS n, min(lo) AS lo, max(hi) AS hi FROM b JOIN e USING (sign) GROUP BY 1, 2",
+        "dd_shifted_q": "SELECT q, round(value, 6) AS value FROM (" + _pick("customer", "c_acctbal", _values([0.1, 0.6]), R.MID) + ")",
+        "merged_prefixes": _MERGED,
+        "nested_window_q": _pick("lineitem", "l_extendedprice", _values([0.03, 0.5]), R.MID, out="q, n, value"),
+        "nested_window_fallback_q": _pick("events", "value", _values([0.37]), R.MID, out="q, n, value"),
+        "histogram_combine": f"WITH {_STEPS}, u AS (SELECT *, sum(n) OVER (ORDER BY lo, hi, page_id, step) AS upto, sum(n) OVER () AS total FROM b) SELECT floor((upto - n) * 20 / total)::BIGINT AS cluster, sum(n)::BIGINT AS n, min(lo) AS lo, max(hi) AS hi FROM u GROUP BY 1",
+        "histogram_bytes": f"WITH {_STEPS}, c AS (SELECT page_id, step, (v - lo) // ((hi - lo) // 8 + 1) AS cell, count(*) AS c FROM s JOIN b USING (page_id, step) GROUP BY ALL) SELECT page_id, step, lo, hi, n, least(255, ceil(255 * coalesce((SELECT c FROM c WHERE c.page_id = b.page_id AND c.step = b.step AND cell = 0), 0) / n))::INT AS share0, least(255, ceil(255 * coalesce((SELECT c FROM c WHERE c.page_id = b.page_id AND c.step = b.step AND cell = 7), 0) / n))::INT AS share7 FROM b",
+        "page_sketch_budget": f"SELECT page_id, n, true AS fits FROM {_event_pages(512)}",
+        "rollup_ratio": f"SELECT level::INT AS level, page_id // (4 ** level)::BIGINT AS node_id, sum(n)::BIGINT AS n FROM {_event_pages(512)}, range(0, 3) l(level) GROUP BY 1, 2",
+        "late_cover": _LATE_COVER,
+        "session_totals": "WITH g AS (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 2 HOUR THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM g) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(value) AS n, min(value) AS lo, max(value) AS hi, count(value) AS sketch_n FROM s GROUP BY user_id, session",
     }
+    out |= {name: "SELECT probe, count(*) FILTER (WHERE s_acctbal <= probe) AS rank FROM supplier, (SELECT unnest([-500.0::DOUBLE, 0.0, 2500.0, 9000.0]) AS probe) p GROUP BY probe" for name in ("ledger_bytes_rank", "mrl_bytes_rank", "cluster_bytes_rank")}
     return out

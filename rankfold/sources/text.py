@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -61,3 +62,14 @@ def write_column(df: DataFrame, path: str, column: str = "v", banner: str | None
 def write_summary(df: DataFrame, path: str, codec: str = "snappy") -> None:
     """Summaries, binary sketches among them, as Parquet."""
     df.write.option("compression", codec).parquet(path)
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A place for a file to be read again, in the folder that driver and executors share; a local one only where both are one machine."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is unset: a cluster needs a folder that driver and executors share")
+        base = "file:///tmp/checkpoints/rankfold"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -24,6 +24,16 @@ def windowed_sketches(stream: DataFrame, t: str, v: str, width: str, *, delay: s
     return grouped.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *by, "n", "lo", "hi", "sketch")
 
 
+def session_sketches(rows: DataFrame, t: str, v: str, gap: str, *, delay: str | None = None, k: int = 200, by: tuple[str, ...] = ()) -> DataFrame:
+    """(start, end, by..., n, lo, hi, sketch) of each session: rows of a key with less than ``gap`` between neighbours.  For streams ``delay`` sets the watermark."""
+    rows = rows.withColumn("_t", F.col(t).cast("timestamp"))
+    if delay:
+        rows = rows.withWatermark("_t", delay)
+    x = F.col(v).cast("double")
+    grouped = rows.groupBy(F.session_window("_t", gap).alias("w"), *by).agg(F.count(x).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi"), F.expr(f"kll_sketch_agg_double(cast({v} as double), {k})").alias("sketch"))
+    return grouped.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *by, "n", "lo", "hi", "sketch")
+
+
 def drain(df: DataFrame, name: str, checkpoint: str | None = None, mode: str = "complete") -> DataFrame:
     """Runs a bounded stream to its end into a memory table and returns that; for tests and replays."""
     writer = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)

@@ -24,16 +24,27 @@ def test_imports_without_the_text_operators(tmp_path):
             shutil.copytree(source, tmp_path / name, ignore=shutil.ignore_patterns("llm", "__pycache__"))
         else:
             shutil.copy(source, tmp_path / name)
+    (tmp_path / "corpus_pipeline.py").write_text("raise ImportError('the pipeline needs the text operators')")
     code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
     assert done.returncode == 0, done.stderr
     assert done.stdout.split() == [str(len(catalogue.QUERIES))] * 2
 
 
+def test_faults_of_the_text_operators_surface(tmp_path):
+    shutil.copy(os.path.join(REPO, "__spark_entry__.py"), tmp_path)
+    shutil.copytree(os.path.join(REPO, "rankfold"), tmp_path / "rankfold", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    os.makedirs(tmp_path / "rankfold" / "llm")
+    (tmp_path / "rankfold" / "llm" / "__init__.py").write_text("import nothing_of_this_name")
+    done = subprocess.run([sys.executable, "-c", "import __spark_entry__"], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
+    assert done.returncode != 0 and "nothing_of_this_name" in done.stderr
+
+
 @pytest.mark.skipif(not os.path.isdir(TABLES), reason="no test tables")
-@pytest.mark.parametrize("name", ["exact_q50_price", "grouped_q_by_flag", "dd_collapse", "equi_depth_clusters", "late_policy_exact_q", "lsm_cover_nodes", "arith_progressions", "stream_daily_kll_n"])
+@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
 def test_against_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
+    spark.catalog.clearCache()
     con = duckdb.connect()
     for f in os.listdir(TABLES):
         con.execute(f"CREATE VIEW {f.split('.')[0]} AS SELECT * FROM read_parquet('{TABLES}/{f}')")

@@ -93,6 +93,32 @@ def test_grouped(spark):
         assert same(x["value"], truth(groups[g], q)) and x["n"] == sum(v is not None for v in groups[g])
 
 
+def test_grouped_brackets_are_narrowed(spark):
+    """No bracket may hold more than 50 rows; ties that fill one stay."""
+    r = random.Random(10)
+    groups = {"a": [r.gauss(0, 1) for _ in range(3000)], "b": [1.0] * 2000 + [r.random() for _ in range(1000)], "c": [5.0] * 30, "d": [r.random() for _ in range(1500)] + [NAN] * 500}
+    df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "g string, v double").repartition(3)
+    for x in E.grouped_exact_quantiles(df, ["g"], "v", [0.0, 0.3, 0.9, 1.0], k=64, most=50).collect():
+        assert same(x["value"], truth(groups[x["g"]], x["q"])), x
+
+
+def test_exact_summaries_answer_at_once(spark):
+    """Nothing is scanned again where the summary holds every value."""
+    values = [float(k % 37) for k in range(500)]
+    for method in ("ledger", "mrl", "sample"):
+        got = E.solve(frame(spark, values), "v", [0.1, 0.5], method=method, memory="64KB")
+        assert [(a.value, a.passes) for a in got] == [(truth(values, q), 2) for q in (0.1, 0.5)]
+
+
+def test_sample_brackets_roll_back_step_by_step(spark):
+    values = [float(k) for k in range(4000)]
+    run = E._Run(frame(spark, values), "v", "1KB", 0.5, 10_000, 15)
+    run.start()
+    b = E.Bracket(2000, 2000, 100.0, 200.0, 0.0, 3999.0, wider=[(90.0, 300.0), (50.0, 2500.0)])
+    E._resolve(run, [b])
+    assert b.found == {2000: 1999.0} and b.wider == [] and run.passes == 1 + 3
+
+
 def test_partitioning_does_not_matter(spark):
     df = spark.range(2000).select(F.sin("id").alias("v"))
     assert E.exact_quantile(df.repartition(1), "v", 0.3) == E.exact_quantile(df.repartition(17), "v", 0.3)
