@@ -21,6 +21,7 @@ from pyspark.storagelevel import StorageLevel
 from ..functions.codes import decode_array, order_code
 from ..functions.ranks import MID, SPECS, RankSpec, memory_slots
 from ..plans import planner
+from .cache import held
 from .sketches import Clusters, Compactor, Sample, tree_merge
 
 METHODS = ("kll", "ledger", "mrl", "tdigest", "ddsketch", "sample", "radix", "sort")
@@ -200,7 +201,7 @@ def _resolve(run: _Run, brackets: list[Bracket]) -> None:
         finally:
             counted.unpersist()
         for b, i in narrow:
-            _narrow(run, b, below[i], totals[2 * i + 1][0])
+            _narrow(run, b, below[i], totals[2 * i + 1][0], len(narrow))
         open_ = [b for b in open_ if not b.found]
 
 
@@ -217,10 +218,10 @@ def _pick(run: _Run, counted: DataFrame, hits: list[tuple[Bracket, int]], below:
         b.found = {k: got[2 * i + 1, k - below[i]] for k in (b.k1, b.k2)}
 
 
-def _narrow(run: _Run, b: Bracket, below: int, n: int) -> None:
-    """A narrower bracket from a sketch of the bracket's own rows; one more pass."""
+def _narrow(run: _Run, b: Bracket, below: int, n: int, sharing: int = 1) -> None:
+    """A narrower bracket from a sketch of the bracket's own rows; one more pass.  Its memory is the part of one of ``sharing`` brackets."""
     run.passes += 1
-    k = planner.kll_k(run.slots)
+    k = planner.kll_k(max(run.slots // sharing, 32))
     sketch = run.rows.where(F.col("v").between(b.lo, b.hi)).agg(F.expr(f"kll_sketch_agg_double(v, {k})").alias("s")).first()["s"]
     shifted = Bracket(b.k1 - below, b.k2 - below, b.lo, b.hi, b.lo, b.hi)
     _from_kll(run, [shifted], sketch, n, k)
@@ -409,7 +410,7 @@ def grouped_exact_quantiles(df: DataFrame, by: Sequence[str], col: str, qs: Sequ
     low, high = _near("s", "real", eps, "k1", "k2")
     small = F.col("real") <= 8 * k  # needs no bracket
     targets = targets.select(*by, "q", "n", "real", "k1", "k2", F.coalesce(F.when(~small, low), F.lit(-math.inf)).alias("lo"), F.coalesce(F.when(~small, high), F.lit(math.inf)).alias("hi"))
-    targets = targets.persist(StorageLevel.MEMORY_AND_DISK)  # a row per group and quantile
+    targets = held(targets)  # a row per group and quantile
 
     def met(asked: DataFrame) -> DataFrame:
         t, r = asked.alias("t"), rows.where(~F.isnan("v")).alias("r")
@@ -427,7 +428,7 @@ def grouped_exact_quantiles(df: DataFrame, by: Sequence[str], col: str, qs: Sequ
         tight = got.select(*by, "q", F.when(hit, F.coalesce(low, "lo")).otherwise(F.lit(-math.inf)).alias("lo2"), F.when(hit, F.coalesce(high, "hi")).otherwise(F.lit(math.inf)).alias("hi2"))
         n_, t_ = targets.alias("n"), tight.alias("t")
         joined = n_.join(t_, [F.col(f"n.{c}").eqNullSafe(F.col(f"t.{c}")) for c in [*by, "q"]], "left")
-        narrowed = joined.select(*[F.col(f"n.{c}") for c in [*by, "q", "n", "real", "k1", "k2"]], F.coalesce("t.lo2", "n.lo").alias("lo"), F.coalesce("t.hi2", "n.hi").alias("hi")).persist(StorageLevel.MEMORY_AND_DISK)
+        narrowed = held(joined.select(*[F.col(f"n.{c}") for c in [*by, "q", "n", "real", "k1", "k2"]], F.coalesce("t.lo2", "n.lo").alias("lo"), F.coalesce("t.hi2", "n.hi").alias("hi")))
 
     def picked(asked: DataFrame) -> DataFrame:
         place = F.when(F.col("v") > F.col("hi"), 1).when(F.col("v") < F.col("lo"), -1).otherwise(0)
@@ -436,7 +437,7 @@ def grouped_exact_quantiles(df: DataFrame, by: Sequence[str], col: str, qs: Sequ
         at = lambda k_: F.max(F.when((F.col(k_) <= F.col("upto")) & (F.col(k_) > F.col("upto") - F.col("c")) & (F.col("side") == 0), F.col("v")))
         return ranked.groupBy(*keys[:-2]).agg(at("k1").alias("a"), at("k2").alias("b")).withColumn("value", (F.col("a") + F.col("b")) * 0.5)
 
-    final = picked(narrowed.where("k2 <= real")).persist(StorageLevel.MEMORY_AND_DISK)
+    final = held(picked(narrowed.where("k2 <= real")))
     out = final.where("value IS NOT NULL").select(*by, "q", "n", "value")
     out = out.unionByName(targets.where("n > 0 AND k2 > real").select(*by, "q", "n", F.lit(math.nan).alias("value")))
     out = out.unionByName(targets.where("n = 0").select(*by, "q", "n", F.lit(None).cast("double").alias("value")))

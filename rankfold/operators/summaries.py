@@ -11,7 +11,8 @@ import struct
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
+
+from .cache import held
 
 RUNNING = (Window.unboundedPreceding, 0)
 
@@ -24,7 +25,7 @@ def numbered(df: DataFrame, *order: str | Column, name: str = "rn") -> DataFrame
     """
     spark = df.sparkSession
     width = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = df.repartitionByRange(width, *order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id()).persist(StorageLevel.MEMORY_AND_DISK)
+    dealt = held(df.repartitionByRange(width, *order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id()))
     part = F.shiftright("_m", 33)
     sizes = {r["p"]: r["n"] for r in dealt.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
     offsets, done = [], 0
@@ -38,7 +39,7 @@ def numbered(df: DataFrame, *order: str | Column, name: str = "rn") -> DataFrame
 def _parts(df: DataFrame, order: tuple) -> DataFrame:
     """``df`` in cached range partitions, with ``_part``."""
     width = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return df.repartitionByRange(width, *order).withColumn("_part", F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK)
+    return held(df.repartitionByRange(width, *order).withColumn("_part", F.spark_partition_id()))
 
 
 def _with_carry(dealt: DataFrame, carries: list[tuple], kind: str) -> DataFrame:
@@ -327,7 +328,7 @@ def numbered_weights(counts: DataFrame) -> DataFrame:
     """(v, w, upto) with running weights in the order of v, by range partitions like ``numbered``."""
     spark = counts.sparkSession
     width = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = counts.repartitionByRange(width, "v").sortWithinPartitions("v").withColumn("part", F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK)
+    dealt = held(counts.repartitionByRange(width, "v").sortWithinPartitions("v").withColumn("part", F.spark_partition_id()))
     sizes = {r["part"]: r["w"] for r in dealt.groupBy("part").agg(F.sum("w").alias("w")).collect()}
     offsets, done = [], 0
     for p in sorted(sizes):

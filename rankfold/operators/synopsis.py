@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions.ranks import MID, RankSpec
 from . import exact as E
-from .summaries import last_known, numbered, running_max, running_sum
+from .cache import held
+from .sketches import Sample, tree_merge
+from .summaries import last_known, numbered, numbered_weights, running_max, running_sum
 
 PAGE_ROWS = 4096
 LATE_POLICIES = ("ignore", "widen", "exact")
@@ -80,7 +82,8 @@ def cover_with_overlap(nodes: DataFrame, pages: DataFrame, lo, hi, fan: int = 8)
     ``merged`` nodes lie inside and overlap no page outside themselves, while their parents do not; all other pages that
     touch the range are read (``raw``).
     """
-    good = clean_nodes(nodes, pages, fan).where((F.col("min_t") >= lo) & (F.col("max_t") < hi) & F.col("clean")).persist()
+    nodes, pages = held(nodes), held(pages)
+    good = held(clean_nodes(nodes, pages, fan).where((F.col("min_t") >= lo) & (F.col("max_t") < hi) & F.col("clean")))
     # a node goes if any node above it is taken; levels are few
     levels = sorted(r["level"] for r in nodes.select("level").distinct().collect())
     taken, out = None, None
@@ -102,6 +105,35 @@ def prune_by_value(pages: DataFrame, lo: float, hi: float) -> DataFrame:
     return pages.select("page_id", "n", side.alias("side"))
 
 
+def exact_quantile_pruned(rows: DataFrame, pages: DataFrame, v: str, q: float, *, sample: int = 2000, rank: RankSpec = MID) -> DataFrame:
+    """(q, value, n, rows_read): an exact quantile whose counting pass reads only pages that can hold values of the bracket.
+
+    ``pages`` is the synopsis of ``rows`` (page_id, v).  A sample gives brackets of two widths and the extremes; the rows
+    of pages below a bracket are counted from the synopsis.
+    """
+    spark, schema = rows.sparkSession, "q double, value double, n long, rows_read long"
+    n = pages.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    values = rows.select("page_id", F.col(v).cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
+    if not n:
+        return spark.createDataFrame([(float(q), None, 0, 0)], schema)
+    k1, k2 = rank.ranks(q, n)
+    state = tree_merge(values.select("v"), "v", lambda: Sample(sample))
+    read = 0
+    for lo, hi in state.brackets(k1, k2):
+        sides = prune_by_value(pages, lo, hi)
+        counts = {r["side"]: r["n"] for r in sides.groupBy("side").agg(F.sum("n").alias("n")).collect()}
+        read += counts.get("read", 0)
+        inside = values.join(sides.where("side = 'read'").select("page_id"), "page_id", "left_semi")
+        got = inside.agg(F.count_if(F.col("v") < lo).alias("below"), F.count_if(F.col("v").between(lo, hi)).alias("inside")).first()
+        below = counts.get("below", 0) + got["below"]
+        if below < k1 and k2 <= below + got["inside"]:
+            break
+    placed = numbered_weights(inside.where(F.col("v").between(lo, hi)).groupBy((F.col("v") + 0.0).alias("v")).agg(F.count("*").alias("w")))
+    at = lambda k: F.max(F.when((F.lit(k) <= F.col("upto")) & (F.lit(k) > F.col("upto") - F.col("w")), F.col("v")))
+    found = placed.agg(((at(k1 - below) + at(k2 - below)) * 0.5).alias("value"))
+    return found.select(F.lit(float(q)).alias("q"), "value", F.lit(n).cast("long").alias("n"), F.lit(read).cast("long").alias("rows_read"))
+
+
 def prune_by_time(pages: DataFrame, lo, hi) -> DataFrame:
     """(page_id, use): ``whole`` pages lie in [lo, hi), ``edge`` pages overlap it."""
     use = F.when((F.col("min_t") >= lo) & (F.col("max_t") < hi), "whole").when((F.col("min_t") < hi) & (F.col("max_t") >= lo), "edge")

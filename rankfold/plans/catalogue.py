@@ -743,8 +743,8 @@ def rollup_ratio(spark, sf_dir):
 def late_cover(spark, sf_dir):
     """Files in the order of arrival: nodes that no other page overlaps are merged, the rest is read."""
     rows = _arrivals(spark, sf_dir)
-    pages = synopsis.synopsis(synopsis.paged(rows, "arrival", "event_id", rows=64), "t", "v", k=16).persist()
-    nodes = synopsis.roll_up(pages, fan=4, levels=2).persist()
+    pages = synopsis.synopsis(synopsis.paged(rows, "arrival", "event_id", rows=64), "t", "v", k=16)
+    nodes = synopsis.roll_up(pages, fan=4, levels=2)
     return synopsis.cover_with_overlap(nodes, pages, F.expr("timestamp_ntz'2024-01-04'"), F.expr("timestamp_ntz'2024-01-26'"), fan=4)
 
 
@@ -754,3 +754,19 @@ def session_totals(spark, sf_dir):
 
     got = session_sketches(table(spark, sf_dir, "events"), "ts", "value", "2 hours", by=("user_id",))
     return got.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n", "lo", "hi", F.expr("kll_sketch_get_n_double(sketch)").alias("sketch_n"))
+
+
+@query
+def page_pruned_q(spark, sf_dir):
+    """Exact quantiles of all events; pages that lie beside the bracket are counted, not read."""
+    rows = synopsis.paged(table(spark, sf_dir, "events").select("event_id", "ts", "value"), "value", "event_id", rows=128)
+    pages = synopsis.synopsis(rows, "ts", "value")
+    return reduce(DataFrame.unionByName, [synopsis.exact_quantile_pruned(rows, pages, "value", q).select("q", "value") for q in (0.21, 0.5, 0.999)])
+
+
+@query
+def page_pruned_share(spark, sf_dir):
+    """Whether pages in the order of values spare most of the second pass."""
+    rows = synopsis.paged(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice"), "l_extendedprice", "l_orderkey", "l_linenumber", rows=256)
+    got = synopsis.exact_quantile_pruned(rows, synopsis.synopsis(rows, "l_orderkey", "l_extendedprice"), "l_extendedprice", 0.5)
+    return got.select("q", "value", (F.col("rows_read") < 0.5 * F.col("n")).alias("spared"))

@@ -180,6 +180,8 @@ def oracle_sql() -> dict[str, str]:
         "histogram_bytes": f"WITH {_STEPS}, c AS (SELECT page_id, step, (v - lo) // ((hi - lo) // 8 + 1) AS cell, count(*) AS c FROM s JOIN b USING (page_id, step) GROUP BY ALL) SELECT page_id, step, lo, hi, n, least(255, ceil(255 * coalesce((SELECT c FROM c WHERE c.page_id = b.page_id AND c.step = b.step AND cell = 0), 0) / n))::INT AS share0, least(255, ceil(255 * coalesce((SELECT c FROM c WHERE c.page_id = b.page_id AND c.step = b.step AND cell = 7), 0) / n))::INT AS share7 FROM b",
         "page_sketch_budget": f"SELECT page_id, n, true AS fits FROM {_event_pages(512)}",
         "rollup_ratio": f"SELECT level::INT AS level, page_id // (4 ** level)::BIGINT AS node_id, sum(n)::BIGINT AS n FROM {_event_pages(512)}, range(0, 3) l(level) GROUP BY 1, 2",
+        "page_pruned_q": _pick("events", "value", _values([0.21, 0.5, 0.999]), R.MID),
+        "page_pruned_share": "SELECT q, value, true AS spared FROM (" + _pick("lineitem", "l_extendedprice", _values([0.5]), R.MID) + ")",
         "late_cover": _LATE_COVER,
         "session_totals": "WITH g AS (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 2 HOUR THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM g) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(value) AS n, min(value) AS lo, max(value) AS hi, count(value) AS sketch_n FROM s GROUP BY user_id, session",
     }
