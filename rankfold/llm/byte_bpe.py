@@ -26,10 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import pieces
-from .shared import materialize, shuffle_width
+from .blobs import loose as _loose
+from .blobs import tight
+from .shared import bytes_of, materialize, shuffle_width
 
 CHUNK = 8_000_000
 SLICE = 500_000
+#: An owner remembers the distinct words of one bucket; there is a bucket for so many bytes of input at least.
+BUCKET = 64_000_000
 #: Words put together at a time.
 STEP = 200_000
 #: bucket -1: ids, word counts and word numbers of a chunk's texts; others: numbers, lengths and letters of its words.
@@ -38,19 +42,7 @@ NO_ID = -(2**63)
 
 
 def _tight(x: np.ndarray) -> bytes:
-    """Integers as bytes, equal places of all of them together, compressed."""
-    import zstandard
-
-    raw = np.ascontiguousarray(x)
-    return zstandard.ZstdCompressor(level=3).compress(raw.view(np.uint8).reshape(len(raw), -1).T.tobytes())
-
-
-def _loose(blob: bytes, kind) -> np.ndarray:
-    import zstandard
-
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
-    width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(raw.reshape(width, -1).T).reshape(-1).view(kind)
+    return tight(x, 3)
 
 
 def _letters(words: list[str]) -> bytes:
@@ -206,14 +198,15 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     A null text counts as empty and has no ids.  Repeated rows and ids are encoded each.  Ids must be integers or null.
     An empty table gives an empty result; other columns are ignored.
     """
-    fan = shuffle_width(docs.sparkSession, 32)
+    width = shuffle_width(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    fan = max(width, 32, bytes_of(rows, "text") // BUCKET)
     if stable:
         words, texts = (rows.mapInArrow(_cut(fan, kinds), CUT_SCHEMA) for kinds in ("words", "texts"))
     else:
         both = materialize(rows.mapInArrow(_cut(fan, "both"), CUT_SCHEMA), "bpe-words")
         words, texts = both.where("bucket >= 0"), both.where("bucket < 0")
-    owned = words.repartition("bucket").sortWithinPartitions("bucket")
+    owned = (words.repartition(fan, "bucket") if fan > max(width, 32) else words.repartition("bucket")).sortWithinPartitions("bucket")
     coded = owned.mapInArrow(_encode(path), "chunk string, print long, places binary, ids binary, lengths binary")
     texts = texts.select("chunk", "print", "a", "b", "c")
     done = texts.groupBy("chunk").cogroup(coded.groupBy("chunk")).applyInArrow(_together(path, decoded), "id long, ids array<int>" + ", decoded binary" * decoded)

@@ -15,26 +15,30 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import materialize, released
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """node, component (the smallest node reachable by links) of every node that has a link.  Links may repeat."""
-    edges = materialize(links.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a < b").distinct(), "links")
-    rounds: list[DataFrame] = []
-    while edges.limit(1).count():
-        ends = edges.select("a", F.col("a").alias("m")).unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("m")))
-        points = ends.groupBy("a").agg(F.min("m").alias("m"))
-        beyond = points.select(F.col("a").alias("m"), F.col("m").alias("p"))
-        jumped = materialize(points.join(beyond, "m").select(F.col("a").alias("node"), "p"), "labels")
-        rounds.append(jumped)
-        of = lambda name: jumped.select(F.col("node").alias(name), F.col("p").alias(f"p{name}"))
-        drawn = edges.join(of("a"), "a").join(of("b"), "b").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b"))
-        edges = materialize(drawn.where("a < b").distinct(), "links")
-    if not rounds:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    follow = lambda so_far, step: so_far.join(step.select(F.col("node").alias("p"), F.col("p").alias("q")), "p", "left").select("node", F.coalesce("q", "p").alias("p"))
-    return materialize(reduce(follow, rounds).withColumnRenamed("p", "component"), "labels")
+    """node, component (the smallest node reachable by links) of every node that has a link.  Links may repeat.
+
+    The rounds' tables are deleted once the answer is written.
+    """
+    with released() as keep:
+        edges = materialize(links.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a < b").distinct(), "links")
+        rounds: list[DataFrame] = []
+        while edges.limit(1).count():
+            ends = edges.select("a", F.col("a").alias("m")).unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("m")))
+            points = ends.groupBy("a").agg(F.min("m").alias("m"))
+            beyond = points.select(F.col("a").alias("m"), F.col("m").alias("p"))
+            jumped = materialize(points.join(beyond, "m").select(F.col("a").alias("node"), "p"), "labels")
+            rounds.append(jumped)
+            of = lambda name: jumped.select(F.col("node").alias(name), F.col("p").alias(f"p{name}"))
+            drawn = edges.join(of("a"), "a").join(of("b"), "b").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b"))
+            edges = materialize(drawn.where("a < b").distinct(), "links")
+        if not rounds:
+            return keep(edges.select(F.col("a").alias("node"), F.col("b").alias("component")), "labels")
+        follow = lambda so_far, step: so_far.join(step.select(F.col("node").alias("p"), F.col("p").alias("q")), "p", "left").select("node", F.coalesce("q", "p").alias("p"))
+        return keep(reduce(follow, rounds).withColumnRenamed("p", "component"), "labels")
 
 
 def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:

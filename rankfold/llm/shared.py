@@ -98,6 +98,12 @@ def shuffle_width(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def bytes_of(df: DataFrame, column: str) -> int:
+    """About how many bytes ``df`` reads: by the files' sizes where the plan knows them, else by a sum over ``column``.  For widths only."""
+    known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return known if known < 1 << 60 else df.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()[0]
+
+
 def fan_of(spark: SparkSession, bytes_in: int, each: int = 4_000_000) -> int:
     """How many key ranges the owners share: one for every ``each`` bytes of input, so that a range fits in memory at any size."""
     return max(shuffle_width(spark), -(-bytes_in // each))
