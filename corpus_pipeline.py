@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankfold.llm import line_dedup, ngram_join, packing, quality
-from rankfold.llm.shared import materialize
+from rankfold.llm.shared import released
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,5 +53,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{k}")
+        with released() as keep:  # what a stage wrote for itself goes once its result is written
+            docs = keep(stage(spark, docs, sf_dir), f"pipeline-{k}")
     return docs
