@@ -44,7 +44,8 @@ def format_chats(conversations: DataFrame, template: tuple[str, str, str] = DEFA
 
     Turns go by ``turn``, ties by role and text; a null turn comes first.  A null role is rendered as ``unknown`` and a
     null text as empty, and they compare so too.  Repeated rows are turns of their own.  Rows without conv_id belong to
-    no conversation and are left out.  An empty table gives an empty result; other columns are ignored.
+    no conversation and are left out.  One conversation is sorted and rendered in one task, so its turns must fit there;
+    a text may be as long as memory allows.  An empty table gives an empty result; other columns are ignored.
     """
     turns = conversations.where(F.col("conv_id").isNotNull()).select("conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     kept = maximal_conversations(turns)
