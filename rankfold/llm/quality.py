@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import pieces
-from .shingles import word_hashes
 
 #: Sizes of the hashed blocks; the shapes are followed by the words that equal one before.
 SHAPES, AGAIN, WORD_TERMS, LETTER_TERMS = 1024, 8, 2048, 1024
@@ -35,7 +34,7 @@ WIDTH = BLOCKS[-1][1]
 #: Texts are counted in slices of so many bytes and at most so many texts, as a row of counts is WIDTH numbers.
 SLICE, SLICE_TEXTS = 500_000, 512
 #: An equal word counts this much, as it stands for several characters.
-AGAIN_WEIGHT = 4.0
+AGAIN_WEIGHT = 4
 RESULT = ("held_out", "score", "predicted")
 
 
@@ -64,36 +63,40 @@ def term_counts(texts: list[bytes]) -> np.ndarray:
     raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
     owner = np.repeat(np.arange(len(texts)), sizes)
-    out = np.zeros(len(texts) * WIDTH)
-
-    def add(of: np.ndarray, term: np.ndarray, weight: float = 1.0) -> None:
-        nonlocal out
-        out += weight * np.bincount(of * WIDTH + term, minlength=len(out))
-
+    at: list[np.ndarray] = []  # places in the table of counts
     if len(raw) >= 3:
         kind = CLASSES[raw]
         three = ((kind[:-2] * 203 + kind[1:-1]) * 203 + kind[2:]).astype(np.uint64)
         same = owner[:-2] == owner[2:]
-        add(owner[:-2][same], ((three * GOLDEN) >> np.uint64(54)).astype(np.int64)[same])
+        at.append((owner[:-2] * WIDTH + ((three * GOLDEN) >> np.uint64(54)).astype(np.int64))[same])
+    small = np.frombuffer(raw.tobytes().lower(), np.uint8)
     if len(raw) >= 4:
-        small = np.frombuffer(raw.tobytes().lower(), np.uint8).astype(np.uint64)
-        four = ((small[:-3] << np.uint64(8) | small[1:-2]) << np.uint64(8) | small[2:-1]) << np.uint64(8) | small[3:]
+        x = small.astype(np.uint64)
+        four = ((x[:-3] << np.uint64(8) | x[1:-2]) << np.uint64(8) | x[2:-1]) << np.uint64(8) | x[3:]
         same = owner[:-3] == owner[3:]
-        add(owner[:-3][same], (BLOCKS[2][0] + ((four * GOLDEN) >> np.uint64(54)).astype(np.int64))[same])
-    own = [t.lower().split() for t in texts]
-    of = np.repeat(np.arange(len(texts)), [len(w) for w in own])
-    if len(of):
-        word = word_hashes([w for words in own for w in words])
-        add(of, BLOCKS[1][0] + (word >> np.uint64(53)).astype(np.int64))
+        at.append((owner[:-3] * WIDTH + BLOCKS[2][0] + ((four * GOLDEN) >> np.uint64(54)).astype(np.int64))[same])
+    blank = (raw == 32) | ((raw >= 9) & (raw <= 13))
+    edge = np.flatnonzero(np.diff(np.concatenate([[True], blank, [True]]).astype(np.int8)))
+    begin, end = edge[::2], edge[1::2]
+    if len(begin):
+        with np.errstate(over="ignore"):  # words meet in few places anyway, so a plain hash of their letters will do
+            base, back = pieces._powers(len(raw) + 1)
+            sums = np.zeros(len(raw) + 1, np.uint64)
+            np.cumsum((small.astype(np.uint64) + np.uint64(1)) * base[:-1], out=sums[1:])
+            word = (sums[end] - sums[begin]) * back[begin]
+            place = ((word ^ (word >> np.uint64(32))) * GOLDEN) >> np.uint64(53)
+        of = owner[begin]
+        at.append(of * WIDTH + BLOCKS[1][0] + place.astype(np.int64))
         for lag in range(1, AGAIN):
             again = (word[lag:] == word[:-lag]) & (of[lag:] == of[:-lag])
-            add(of[lag:][again], np.full(int(again.sum()), SHAPES + lag), AGAIN_WEIGHT)
-    return out.reshape(len(texts), WIDTH)
+            at += [of[lag:][again] * WIDTH + SHAPES + lag] * AGAIN_WEIGHT
+    every = np.concatenate([*at, np.zeros(0, np.int64)])
+    return np.bincount(every, minlength=len(texts) * WIDTH).reshape(len(texts), WIDTH).astype(np.float32)
 
 
 def _weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """Damped counts times idf, every block of length one times its share."""
-    x = counts.astype(np.float32)
+    x = np.array(counts, np.float32)
     for a, b, share in BLOCKS:
         part = x[:, a:b]
         part *= 1000.0 / np.maximum(part.sum(axis=1, keepdims=True), 1.0)
