@@ -24,7 +24,7 @@ from ..plans import planner
 from .cache import held
 from .sketches import Clusters, Compactor, Sample, tree_merge
 
-METHODS = ("kll", "ledger", "mrl", "tdigest", "ddsketch", "sample", "radix", "sort")
+METHODS = ("kll", "ledger", "mrl", "tdigest", "tdigest-tails", "ddsketch", "sample", "radix", "sort")
 #: Different values that a bracket may hold before it is narrowed again.
 SURVIVORS = 100_000
 MAX_PASSES = 15
@@ -324,7 +324,7 @@ def solve(df: DataFrame, col: str | Column, qs: Sequence[float], *, method: str
             _dd_brackets(run, open_)
         else:
             slots = run.slots
-            makers = {"ledger": lambda: Compactor(slots), "mrl": lambda: Compactor(slots, random=False), "tdigest": lambda: Clusters(max(16, slots // 4)), "sample": lambda: Sample(max(16, slots // 2))}
+            makers = {"ledger": lambda: Compactor(slots), "mrl": lambda: Compactor(slots, random=False), "tdigest": lambda: Clusters(max(16, slots // 4)), "tdigest-tails": lambda: Clusters(max(16, slots // 4), tails=True), "sample": lambda: Sample(max(16, slots // 2))}
             _summary_brackets(run, open_, makers[method], run.certainty(len(open_)) if method == "ledger" else 1.0)
         if method != "kll":
             run.passes += 1

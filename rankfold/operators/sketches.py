@@ -201,10 +201,13 @@ class Compactor:
 
 
 class Clusters:
-    """Mergeable equal-count clusters (count, sum, min, max) over doubles."""
+    """Mergeable clusters (count, sum, min, max) over doubles: of equal count, or with ``tails`` smaller towards both ends.
 
-    def __init__(self, slots: int) -> None:
-        self.slots = slots
+    With ``tails`` a cluster may take one step of slots * (1/2 + asin(2 q - 1) / pi), the arcsine scale of t-digests.
+    """
+
+    def __init__(self, slots: int, tails: bool = False) -> None:
+        self.slots, self.tails = slots, tails
         self.rows = np.zeros((0, 4))
         self.n = 0
 
@@ -227,8 +230,12 @@ class Clusters:
 
     def _compress(self) -> None:
         rows = self.rows[np.lexsort((self.rows[:, 3], self.rows[:, 2]))]
-        share = math.ceil(self.n / self.slots)
-        group = ((np.cumsum(rows[:, 0]) - rows[:, 0]) // share).astype(np.int64)
+        before = np.cumsum(rows[:, 0]) - rows[:, 0]
+        if self.tails:
+            q = (before + rows[:, 0] / 2) / self.n
+            group = np.floor(self.slots * (0.5 + np.arcsin(2 * q - 1) / math.pi)).astype(np.int64)
+        else:
+            group = (before // math.ceil(self.n / self.slots)).astype(np.int64)
         first = np.flatnonzero(np.diff(group, prepend=-1))
         self.rows = np.stack([np.add.reduceat(rows[:, 0], first), np.add.reduceat(rows[:, 1], first), np.minimum.reduceat(rows[:, 2], first), np.maximum.reduceat(rows[:, 3], first)], axis=1)
 
@@ -279,14 +286,14 @@ class Clusters:
 
     def to_bytes(self) -> bytes:
         """Version, kind, parameters, then a row (count, sum, min, max) per cluster."""
-        return struct.pack("<BBIqI", VERSION, 1, self.slots, self.n, len(self.rows)) + np.ascontiguousarray(self.rows, "<f8").tobytes()
+        return struct.pack("<BBIBqI", VERSION, 1, self.slots, self.tails, self.n, len(self.rows)) + np.ascontiguousarray(self.rows, "<f8").tobytes()
 
     @classmethod
     def from_bytes(cls, state: bytes) -> Clusters:
-        _, _, slots, n, rows = struct.unpack_from("<BBIqI", state)
-        out = cls(slots)
+        _, _, slots, tails, n, rows = struct.unpack_from("<BBIBqI", state)
+        out = cls(slots, bool(tails))
         out.n = n
-        out.rows = np.frombuffer(state, "<f8", 4 * rows, struct.calcsize("<BBIqI")).reshape(rows, 4).copy()
+        out.rows = np.frombuffer(state, "<f8", 4 * rows, struct.calcsize("<BBIBqI")).reshape(rows, 4).copy()
         return out
 
 

@@ -46,6 +46,7 @@ EXACT = {
     "exact_small_memory_price": ("lineitem", "l_extendedprice", 0.29, {"memory": "1KB", "survivors": 500}),
     "exact_mrl_totalprice": ("orders", "o_totalprice", 0.25, {"method": "mrl", "memory": "16KB"}),
     "exact_tdigest_retail": ("part", "p_retailprice", 0.75, {"method": "tdigest", "memory": "16KB"}),
+    "exact_tdigest_tails_price": ("lineitem", "l_extendedprice", 0.9995, {"method": "tdigest-tails", "memory": "16KB"}),
     "exact_dd_price": ("lineitem", "l_extendedprice", 0.99, {"method": "ddsketch"}),
     "exact_dd_signed_acctbal": ("customer", "c_acctbal", 0.04, {"method": "ddsketch"}),
     "exact_sample_value": ("events", "value", 0.63, {"method": "sample", "memory": "8KB", "rank": "floor-ceil"}),

@@ -61,7 +61,7 @@ def test_bound_coverage():
     assert misses <= 200 * 0.1 + 15
 
 
-@pytest.mark.parametrize("make", [lambda: Compactor(128), lambda: Compactor(128, random=False), lambda: Clusters(64)])
+@pytest.mark.parametrize("make", [lambda: Compactor(128), lambda: Compactor(128, random=False), lambda: Clusters(64), lambda: Clusters(64, tails=True)])
 def test_sure_brackets_hold_after_merging(make):
     r = np.random.default_rng(3)
     for trial in range(40):
@@ -99,3 +99,13 @@ def test_shrunk_summaries_still_enclose():
         lo, hi = summary.bracket(2500, 2501, 1.0)
         assert lo <= x[2499] <= x[2500] <= hi and len(load(summary.to_bytes()).to_bytes()) < 9000
         assert abs(summary.rank(0.0) - (x <= 0).sum()) < 400
+
+
+def test_clusters_with_tails_are_finer_at_the_ends():
+    x = np.random.default_rng(9).normal(size=50_000)
+    even, tails = Clusters(200).update(x), Clusters(200, tails=True).update(x)
+    ordered = np.sort(x)
+    width = lambda s, k: np.subtract(*np.searchsorted(ordered, s.bracket(k, k))[::-1])
+    assert width(tails, 50) < width(even, 50) / 4 and width(tails, 49_950) < width(even, 49_950) / 4
+    assert width(tails, 25_000) < 3 * width(even, 25_000) and len(tails.rows) <= 401
+    assert abs(tails.quantile(0.999) - ordered[49_950]) < 0.5
