@@ -18,7 +18,12 @@ RUNNING = (Window.unboundedPreceding, 0)
 
 
 def numbered(df: DataFrame, *order: str | Column, name: str = "rn") -> DataFrame:
-    """``df`` with the place of each row (from 1) in the given order, which should be total.
+    """``numbered_of`` without the number of rows."""
+    return numbered_of(df, *order, name=name)[0]
+
+
+def numbered_of(df: DataFrame, *order: str | Column, name: str = "rn") -> tuple[DataFrame, int]:
+    """``df`` with the place of each row (from 1) in the given order, which should be total, and how many rows there are.
 
     Range partitions are sorted and counted; a row's place is its place in its partition and the sizes of those before.
     No task sees more than its partition, and only the sizes reach the driver.
@@ -33,7 +38,8 @@ def numbered(df: DataFrame, *order: str | Column, name: str = "rn") -> DataFrame
         offsets.append((p, done))
         done += sizes[p]
     before = spark.createDataFrame(offsets, "_p long, _before long")
-    return dealt.join(F.broadcast(before), part == F.col("_p")).withColumn(name, F.col("_before") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_m", "_p", "_before")
+    placed = dealt.join(F.broadcast(before), part == F.col("_p")).withColumn(name, F.col("_before") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_m", "_p", "_before")
+    return placed, done
 
 
 def _parts(df: DataFrame, order: tuple) -> DataFrame:
@@ -150,13 +156,11 @@ def dd_collapse_both(buckets: DataFrame, limit: int) -> DataFrame:
 
 def equi_depth_clusters(df: DataFrame, col: str, clusters: int, *tie: str) -> DataFrame:
     """(cluster, n, lo, hi, mean): ``clusters`` runs of equal count, the first ones one larger, as NTILE deals them."""
-    placed = numbered(df.where(F.col(col).isNotNull()), col, *tie)
-    total = placed.agg(F.count("*").alias("total"))
-    small = F.floor(F.col("total") / clusters)
-    extra = F.col("total") % clusters
+    placed, total = numbered_of(df.where(F.col(col).isNotNull()), col, *tie)
+    small, extra = divmod(total, clusters)
     cut = extra * (small + 1)
-    cluster = F.when(F.col("rn") <= cut, F.floor((F.col("rn") - 1) / (small + 1))).otherwise(extra + F.floor((F.col("rn") - 1 - cut) / F.greatest(small, F.lit(1)))) + 1
-    return placed.crossJoin(F.broadcast(total)).groupBy(cluster.cast("long").alias("cluster")).agg(F.count("*").alias("n"), F.min(col).alias("lo"), F.max(col).alias("hi"), F.avg(col).alias("mean"))
+    cluster = F.when(F.col("rn") <= cut, F.floor((F.col("rn") - 1) / (small + 1))).otherwise(extra + F.floor((F.col("rn") - 1 - cut) / max(small, 1))) + 1
+    return placed.groupBy(cluster.cast("long").alias("cluster")).agg(F.count("*").alias("n"), F.min(col).alias("lo"), F.max(col).alias("hi"), F.avg(col).alias("mean"))
 
 
 def cluster_bounds(clusters: DataFrame, k1: int, k2: int) -> DataFrame:
