@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -205,15 +206,21 @@ def _resolve(run: _Run, brackets: list[Bracket]) -> None:
         open_ = [b for b in open_ if not b.found]
 
 
+def _placed(counted: DataFrame, part: str, wanted: list[tuple[int, int]]) -> dict[tuple[int, int], float]:
+    """The value of each (part, rank in it), by running sums inside each part; two rows reach the driver per quantile."""
+    upto = Window.partitionBy(part).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    by_part: dict[int, list[int]] = {}
+    for p, k in wanted:
+        by_part.setdefault(p, []).append(k)
+    holds = lambda ks: F.exists(F.array(*[F.lit(k).cast("long") for k in ks]), lambda k: (k <= F.col("upto")) & (k > F.col("upto") - F.col("n")))
+    hit = reduce(lambda so_far, x: so_far.when(F.col(part) == x[0], holds(x[1])), list(by_part.items())[1:], F.when(F.col(part) == wanted[0][0], holds(by_part[wanted[0][0]])))
+    rows = counted.where(F.col(part).isin(sorted(by_part))).withColumn("upto", F.sum("n").over(upto)).where(hit).select(part, "v", "n", "upto").collect()
+    return {(r[part], k): r["v"] for r in rows for k in by_part[r[part]] if r["upto"] - r["n"] < k <= r["upto"]}
+
+
 def _pick(run: _Run, counted: DataFrame, hits: list[tuple[Bracket, int]], below: list[int]) -> None:
-    """The values of the ranks of brackets that hit, by running sums inside each cell."""
-    wanted = sorted({(2 * i + 1, k - below[i]) for b, i in hits for k in (b.k1, b.k2)})
-    upto = Window.partitionBy("cell").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    cells = sorted({c for c, _ in wanted})
-    ranks = run.rows.sparkSession.createDataFrame(wanted, "cell int, k long")
-    placed = counted.where(F.col("cell").isin(cells)).withColumn("upto", F.sum("n").over(upto))
-    rows = placed.join(F.broadcast(ranks), "cell").where((F.col("k") <= F.col("upto")) & (F.col("k") > F.col("upto") - F.col("n"))).collect()
-    got = {(r["cell"], r["k"]): r["v"] for r in rows}
+    """The values of the ranks of brackets that hit."""
+    got = _placed(counted, "cell", sorted({(2 * i + 1, k - below[i]) for b, i in hits for k in (b.k1, b.k2)}))
     for b, i in hits:
         b.found = {k: got[2 * i + 1, k - below[i]] for k in (b.k1, b.k2)}
 
@@ -241,10 +248,7 @@ def _by_sort(run: _Run, brackets: list[Bracket]) -> None:
             below[p] = done
             done += totals[p]
         wanted = sorted({(p, k - below[p]) for b in brackets for k in (b.k1, b.k2) for p in totals if below[p] < k <= below[p] + totals[p]})
-        ranks = run.rows.sparkSession.createDataFrame(wanted, "part int, k long")
-        upto = Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-        rows = dealt.where(F.col("part").isin(sorted({p for p, _ in wanted}))).withColumn("upto", F.sum("n").over(upto)).join(F.broadcast(ranks), "part")
-        got = {r["k"] + below[r["part"]]: r["v"] for r in rows.where((F.col("k") <= F.col("upto")) & (F.col("k") > F.col("upto") - F.col("n"))).collect()}
+        got = {k + below[p]: v for (p, k), v in _placed(dealt, "part", wanted).items()}
     finally:
         dealt.unpersist()
     for b in brackets:
