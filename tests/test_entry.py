@@ -10,6 +10,8 @@ from rankfold.plans import catalogue, oracles
 
 REPO = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 TABLES = "/root/testdata/sf0.001"
+#: The other exact quantiles differ by column and method only, which test_exact varies.
+SOME_EXACT = ("exact_q50_price", "exact_ties_discount", "exact_dd_signed_acctbal", "exact_radix_acctbal", "exact_trunc_value")
 
 
 def test_every_query_of_the_catalogue_has_sql():
@@ -41,7 +43,7 @@ def test_faults_of_the_text_operators_surface(tmp_path):
 
 
 @pytest.mark.skipif(not os.path.isdir(TABLES), reason="no test tables")
-@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
+@pytest.mark.parametrize("name", [n for n in sorted(catalogue.QUERIES) if n not in catalogue.EXACT or n in SOME_EXACT])
 def test_against_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     spark.catalog.clearCache()
