@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 from collections.abc import Sequence
 
@@ -65,11 +66,21 @@ def write_summary(df: DataFrame, path: str, codec: str = "snappy") -> None:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A place for a file to be read again, in the folder that driver and executors share; a local one only where both are one machine."""
+    """A place for a file to be read again until the driver ends, in the folder that driver and executors share; a local one only where both are one machine."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         master = spark.sparkContext.master
         if master != "local" and not master.startswith("local["):
             raise ValueError("spark.checkpoint.dir is unset: a cluster needs a folder that driver and executors share")
         base = "file:///tmp/checkpoints/rankfold"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, path)
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # the session may be gone at exit; the folder is scratch space
+        pass
