@@ -79,5 +79,44 @@ _VECTORS = """
 """
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_SEARCH = rf"""
+    WITH d AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+    i AS (SELECT item_id, unnest(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+    q AS (SELECT item_id, term, count(*) AS repeats FROM i GROUP BY ALL),
+    p AS (SELECT doc_id, term, count(*) AS tf FROM d GROUP BY ALL),
+    n AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM p GROUP BY doc_id),
+    g AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM n),
+    m AS (SELECT doc_id, 75 + (25 * n * docs) // terms AS m FROM n, g),
+    w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, g GROUP BY term, docs),
+    s AS (SELECT item_id, doc_id, sum(repeats * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+          FROM q JOIN w USING (term) JOIN p USING (term) JOIN m USING (doc_id) GROUP BY ALL),
+    r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0)
+    SELECT * FROM r WHERE rank <= 20
+"""
+
+#: crc32 is written out: a table by the reversed polynomial, then a step for each byte of a distinct word.
+_RESAMPLE = rf"""
+    WITH crc AS (SELECT list(list_reduce([i::UBIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c % 2 = 1 THEN xor(3988292384::UBIGINT, c >> 1) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)),
+    d AS (SELECT doc_id, list_filter(regexp_split_to_array({_LOWER}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS words FROM documents),
+    e AS (SELECT doc_id, unnest(words) AS word FROM d),
+    b AS (SELECT unnest(list_filter(regexp_split_to_array({_LOWER}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')) AS word FROM benchmark),
+    v AS (SELECT word, hex(encode(word)) AS h FROM (SELECT word FROM e UNION SELECT word FROM b)),
+    k AS (SELECT word, xor(4294967295::UBIGINT, list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(1, len(h), 2), lambda i: ('0x' || h[i:i + 1])::UBIGINT)),
+          lambda c, x: xor(c >> 8, t[(xor(c, x) & 255::UBIGINT)::BIGINT + 1]))) % 10000 AS bucket FROM v, crc),
+    s AS (SELECT bucket, count(*) AS s FROM e JOIN k USING (word) GROUP BY bucket),
+    t AS (SELECT bucket, count(*) AS t FROM b JOIN k USING (word) GROUP BY bucket),
+    a AS (SELECT (SELECT coalesce(sum(s), 0) FROM s)::DOUBLE AS s_all, (SELECT coalesce(sum(t), 0) FROM t)::DOUBLE AS t_all),
+    g AS (SELECT r.bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (s_all + 10000) / ((coalesce(s, 0) + 1)::DOUBLE * (t_all + 10000))))::BIGINT AS gain
+          FROM range(10000) r(bucket) LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket), a),
+    w AS (SELECT doc_id, sum(gain)::BIGINT AS weight FROM e JOIN k USING (word) JOIN g USING (bucket) GROUP BY doc_id),
+    c AS (SELECT doc_id, len(words)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+          coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || sha256('2024:' || doc_id)[1:8])::UBIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM d LEFT JOIN w USING (doc_id)),
+    f AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM c WHERE n_features >= 20)
+    SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * n // 100 THEN place END AS rank FROM c LEFT JOIN f USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": _license(), "op3_exact_dedup": _EXACT, "op4_ngram_jaccard_join": _NGRAMS, "op5_chat_format": _CHAT, "op7_line_dedup": _LINES, "op10_embedding_near_dedup": _VECTORS}
+    return {"op1_license_scan": _license(), "op3_exact_dedup": _EXACT, "op4_ngram_jaccard_join": _NGRAMS, "op5_chat_format": _CHAT, "op7_line_dedup": _LINES, "op10_embedding_near_dedup": _VECTORS, "op11_lexical_search": _SEARCH, "op12_importance_resampling": _RESAMPLE}

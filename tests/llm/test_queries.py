@@ -9,7 +9,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(TABLES), reason="no test table
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 14))
     assert set(oracles.oracle_sql()) <= set(queries.queries())
 
 
