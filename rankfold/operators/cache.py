@@ -1,6 +1,7 @@
 """Tables that operators cache between their passes, and their release.
 
 A result may still be lazy when its operator returns, so what it reads stays cached until the caller says that it is done.
+Caches only spare work: what is cached is a function of its input's rows, so that a result gives the same after ``release``.
 """
 
 from __future__ import annotations

@@ -11,15 +11,19 @@ What reaches the driver is bounded by the number of quantiles: counts per bracke
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from bisect import bisect_right
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from ..functions.codes import decode_array, order_code
+from ..functions.places import doubles
 from ..functions.ranks import MID, SPECS, RankSpec, memory_slots
 from ..plans import planner
 from .cache import held
@@ -29,6 +33,10 @@ METHODS = ("kll", "ledger", "mrl", "tdigest", "tdigest-tails", "ddsketch", "samp
 #: Different values that a bracket may hold before it is narrowed again.
 SURVIVORS = 100_000
 MAX_PASSES = 15
+#: Up to so many brackets are comparisons in the plan; more are swept: the plan stays the same, whatever their number.
+COMPARED = 16
+#: Values inside brackets that a sweep holds before it merges equal ones and sends them on.
+SWEPT = 1 << 20
 
 
 @dataclass
@@ -95,6 +103,40 @@ def cell_of(v: Column, intervals: Sequence[tuple[float, float]]) -> Column:
     return tree(0, len(intervals))
 
 
+def sweep(rows: DataFrame, intervals: Sequence[tuple[float, float]]) -> DataFrame:
+    """(cell, v, n): rows of ``v`` counted by the cells of ``cell_of``; equal values inside an interval are merged, others only counted.
+
+    The ends of the intervals, disjoint and ascending, go to the tasks as two arrays.  A value's cell is how many intervals begin at it
+    or before, and how many end before it: two binary searches for a batch.  Counts between the intervals are kept for a whole task.
+    """
+    lows, highs = (np.array([x[i] for x in intervals]) for i in (0, 1))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = np.zeros(2 * len(lows) + 1, np.int64)
+        held: list[np.ndarray] = []
+
+        def merged() -> pa.RecordBatch:
+            v, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            cell = np.searchsorted(lows, v, "right") + np.searchsorted(highs, v, "left")
+            return pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(v), pa.array(n, pa.int64())], names=["cell", "v", "n"])
+
+        for batch in batches:
+            v = batch.column(0).to_numpy(zero_copy_only=False) + 0.0
+            cell = np.searchsorted(lows, v, "right") + np.searchsorted(highs, v, "left")
+            inside = cell % 2 == 1
+            totals += np.bincount(cell[~inside], minlength=len(totals))
+            held.append(v[inside])
+            if sum(map(len, held)) >= SWEPT:
+                yield merged()
+        if held:
+            yield merged()
+        beside = np.flatnonzero(totals)
+        yield pa.RecordBatch.from_arrays([pa.array(beside, pa.int32()), pa.nulls(len(beside), pa.float64()), pa.array(totals[beside], pa.int64())], names=["cell", "v", "n"])
+
+    return rows.mapInArrow(count, "cell int, v double, n long").groupBy("cell", "v").agg(F.sum("n").alias("n"))
+
+
 class _Run:
     """Shared state of the passes of one call."""
 
@@ -126,7 +168,7 @@ def _kll_brackets(run: _Run, brackets: list[Bracket]) -> None:
 
 def sketch_quantiles(spark: SparkSession, sketch, fractions: Sequence[float]) -> list[float]:
     """Quantiles of one of Spark's KLL sketches."""
-    asked = F.array(*[F.lit(float(f)) for f in fractions])
+    asked = doubles(fractions)
     return spark.createDataFrame([(bytearray(sketch),)], "s binary").select(F.kll_sketch_get_quantile_double("s", asked).alias("v")).first()["v"]
 
 
@@ -169,6 +211,14 @@ def _dd_brackets(run: _Run, brackets: list[Bracket]) -> None:
         b.hi = max(r["hi"] for r in hits if r["upto"] - r["n"] < b.k2 <= r["upto"])
 
 
+def _counted(rows: DataFrame, intervals: Sequence[tuple[float, float]]) -> DataFrame:
+    """(cell, v, n) of the rows: by comparisons in the plan where these are few, by a sweep where they are many."""
+    if len(intervals) > COMPARED:
+        return sweep(rows, intervals)
+    cells = rows.withColumn("cell", cell_of(F.col("v"), intervals))
+    return cells.groupBy("cell", F.when(F.col("cell") % 2 == 1, F.col("v") + 0.0).alias("v")).agg(F.count("*").alias("n"))
+
+
 def _resolve(run: _Run, brackets: list[Bracket]) -> None:
     """Passes until each bracket has its two values."""
     open_ = brackets
@@ -178,9 +228,7 @@ def _resolve(run: _Run, brackets: list[Bracket]) -> None:
             return
         intervals = _intervals(open_)
         run.passes += 1
-        cells = run.rows.where(~F.isnan("v")).withColumn("cell", cell_of(F.col("v"), intervals))
-        inside = F.col("cell") % 2 == 1
-        counted = cells.groupBy("cell", F.when(inside, F.col("v") + 0.0).alias("v")).agg(F.count("*").alias("n")).persist(StorageLevel.MEMORY_AND_DISK)
+        counted = _counted(run.rows.where(~F.isnan("v")), intervals).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             totals = {r["cell"]: (r["n"], r["values"]) for r in counted.groupBy("cell").agg(F.sum("n").alias("n"), F.count("*").alias("values")).collect()}
             below, done = [], 0
@@ -189,8 +237,9 @@ def _resolve(run: _Run, brackets: list[Bracket]) -> None:
                 below.append(done)
                 done += totals.get(2 * i + 1, (0, 0))[0]
             hits, narrow = [], []
+            begins = [lo for lo, _ in intervals]
             for b in open_:
-                i = next(k for k, (lo, hi) in enumerate(intervals) if lo <= b.lo and b.hi <= hi)
+                i = bisect_right(begins, b.lo) - 1
                 b.lo, b.hi = intervals[i]
                 n, values = totals.get(2 * i + 1, (0, 0))
                 verdict = b.judge(below[i], n)
@@ -201,8 +250,8 @@ def _resolve(run: _Run, brackets: list[Bracket]) -> None:
                 _pick(run, counted, hits, below)
         finally:
             counted.unpersist()
-        for b, i in narrow:
-            _narrow(run, b, below[i], totals[2 * i + 1][0], len(narrow))
+        if narrow:
+            _narrow(run, [(b, below[i]) for b, i in narrow])
         open_ = [b for b in open_ if not b.found]
 
 
@@ -212,6 +261,11 @@ def _placed(counted: DataFrame, part: str, wanted: list[tuple[int, int]]) -> dic
     by_part: dict[int, list[int]] = {}
     for p, k in wanted:
         by_part.setdefault(p, []).append(k)
+    if len(wanted) > 4 * COMPARED:  # a row for each rank is sent
+        asked = counted.sparkSession.createDataFrame([(p, k) for p, k in wanted], f"{part} int, k long")
+        own = counted.join(F.broadcast(asked.select(part).distinct()), part, "left_semi").withColumn("upto", F.sum("n").over(upto))
+        rows = own.join(F.broadcast(asked), part).where((F.col("k") <= F.col("upto")) & (F.col("k") > F.col("upto") - F.col("n"))).select(part, "v", "k").collect()
+        return {(r[part], r["k"]): r["v"] for r in rows}
     holds = lambda ks: F.exists(F.array(*[F.lit(k).cast("long") for k in ks]), lambda k: (k <= F.col("upto")) & (k > F.col("upto") - F.col("n")))
     hit = reduce(lambda so_far, x: so_far.when(F.col(part) == x[0], holds(x[1])), list(by_part.items())[1:], F.when(F.col(part) == wanted[0][0], holds(by_part[wanted[0][0]])))
     rows = counted.where(F.col(part).isin(sorted(by_part))).withColumn("upto", F.sum("n").over(upto)).where(hit).select(part, "v", "n", "upto").collect()
@@ -225,14 +279,36 @@ def _pick(run: _Run, counted: DataFrame, hits: list[tuple[Bracket, int]], below:
         b.found = {k: got[2 * i + 1, k - below[i]] for k in (b.k1, b.k2)}
 
 
-def _narrow(run: _Run, b: Bracket, below: int, n: int, sharing: int = 1) -> None:
-    """A narrower bracket from a sketch of the bracket's own rows; one more pass.  Its memory is the part of one of ``sharing`` brackets."""
+def _narrow(run: _Run, asked: list[tuple[Bracket, int]]) -> None:
+    """Narrower brackets from a sketch of each interval's own rows, all in one more pass; ``asked`` has the rows below each bracket.
+
+    The memory of the run is shared by the intervals.
+    """
     run.passes += 1
-    k = planner.kll_k(max(run.slots // sharing, 32))
-    sketch = run.rows.where(F.col("v").between(b.lo, b.hi)).agg(F.expr(f"kll_sketch_agg_double(v, {k})").alias("s")).first()["s"]
-    shifted = Bracket(b.k1 - below, b.k2 - below, b.lo, b.hi, b.lo, b.hi)
-    _from_kll(run, [shifted], sketch, n, k)
-    b.lo, b.hi = shifted.lo, shifted.hi
+    spans = sorted({(b.lo, b.hi) for b, _ in asked})  # intervals of one pass: disjoint
+    k = planner.kll_k(max(run.slots // len(spans), 32))
+    lows, highs = (np.array([x[i] for x in spans]) for i in (0, 1))
+
+    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = batch.column(0).to_numpy(zero_copy_only=False)
+            at = np.searchsorted(lows, v, "right") - 1
+            hit = (at >= 0) & (v <= highs[at])
+            yield pa.RecordBatch.from_arrays([pa.array(at[hit], pa.int32()), pa.array(v[hit])], names=["span", "v"])
+
+    rows = run.rows.where(~F.isnan("v"))
+    if len(spans) > COMPARED:
+        rows = rows.mapInArrow(inside, "span int, v double")
+    else:
+        cell = cell_of(F.col("v"), spans)
+        rows = rows.withColumn("cell", cell).where(F.col("cell") % 2 == 1).select(F.floor(F.col("cell") / 2).cast("int").alias("span"), "v")
+    got = {r["span"]: r for r in rows.groupBy("span").agg(F.count("*").alias("n"), F.expr(f"kll_sketch_agg_double(v, {k})").alias("s")).collect()}
+    for i, span in enumerate(spans):
+        here = [(b, below) for b, below in asked if (b.lo, b.hi) == span]
+        shifted = [Bracket(b.k1 - below, b.k2 - below, b.lo, b.hi, b.lo, b.hi) for b, below in here]
+        _from_kll(run, shifted, got[i]["s"], got[i]["n"], k)
+        for (b, _), x in zip(here, shifted):
+            b.lo, b.hi = x.lo, x.hi
 
 
 def _by_sort(run: _Run, brackets: list[Bracket]) -> None:

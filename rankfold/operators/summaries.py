@@ -12,49 +12,46 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.places import range_part
 from .cache import held
 
 RUNNING = (Window.unboundedPreceding, 0)
 
 
-def numbered(df: DataFrame, *order: str | Column, name: str = "rn") -> DataFrame:
+def numbered(df: DataFrame, *order: str, name: str = "rn") -> DataFrame:
     """``numbered_of`` without the number of rows."""
     return numbered_of(df, *order, name=name)[0]
 
 
-def numbered_of(df: DataFrame, *order: str | Column, name: str = "rn") -> tuple[DataFrame, int]:
+def numbered_of(df: DataFrame, *order: str, name: str = "rn") -> tuple[DataFrame, int]:
     """``df`` with the place of each row (from 1) in the given order, which should be total, and how many rows there are.
 
-    Range partitions are sorted and counted; a row's place is its place in its partition and the sizes of those before.
-    No task sees more than its partition, and only the sizes reach the driver.
+    Ranges of the order are counted and sorted; a row's place is its place in its range and the sizes of those before.  Rows
+    are dealt by bounds kept in the plan and nothing is cached, so the result may be evaluated again at any time.  No task
+    sees more than its ranges, and only the sizes reach the driver.
     """
-    spark = df.sparkSession
-    width = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = held(df.repartitionByRange(width, *order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id()))
-    part = F.shiftright("_m", 33)
-    sizes = {r["p"]: r["n"] for r in dealt.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
-    offsets, done = [], 0
+    dealt = _parts(df, order)
+    sizes = {r["_part"]: r["n"] for r in dealt.groupBy("_part").agg(F.count("*").alias("n")).collect()}
+    carries, done = [], 0
     for p in sorted(sizes):
-        offsets.append((p, done))
+        carries.append((p, done))
         done += sizes[p]
-    before = spark.createDataFrame(offsets, "_p long, _before long")
-    placed = dealt.join(F.broadcast(before), part == F.col("_p")).withColumn(name, F.col("_before") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_m", "_p", "_before")
-    return placed, done
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return _with_carry(dealt.withColumn(name, own), carries, "long").withColumn(name, F.col(name) + F.col("_before")).drop("_part", "_before"), done
 
 
 def _parts(df: DataFrame, order: tuple) -> DataFrame:
-    """``df`` in cached range partitions, with ``_part``."""
-    width = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return held(df.repartitionByRange(width, *order).withColumn("_part", F.spark_partition_id()))
+    """``df`` with ``_part``, the range that a row is in."""
+    return df.withColumn("_part", range_part(df, *order))
 
 
 def _with_carry(dealt: DataFrame, carries: list[tuple], kind: str) -> DataFrame:
-    """``dealt`` with ``_before``, what the partitions before a row's hand on; a row per partition is sent."""
+    """``dealt`` with ``_before``, what the ranges before a row's hand on; a row per range is sent."""
     return dealt.join(F.broadcast(dealt.sparkSession.createDataFrame(carries, f"_part int, _before {kind}")), "_part")
 
 
 def running_max(df: DataFrame, *order: str, value: str, name: str) -> DataFrame:
-    """``df`` with the greatest ``value`` of the rows before each in the given total order, null for the first; no task sees more than its partition."""
+    """``df`` with the greatest ``value`` of the rows before each in the given total order, null for the first; no task sees more than its ranges."""
     dealt = _parts(df, order)
     tops = {r["_part"]: r["m"] for r in dealt.groupBy("_part").agg(F.max(value).alias("m")).collect()}
     carries, top = [], None
@@ -80,12 +77,12 @@ def running_sum(df: DataFrame, *order: str, value: str, name: str) -> DataFrame:
 def last_known(df: DataFrame, *order: str, value: str, name: str) -> DataFrame:
     """``df`` with the last ``value`` that is not null up to each row in the given order."""
     dealt = _parts(df, order)
-    last = {r["_part"]: r["v"] for r in dealt.where(F.col(value).isNotNull()).groupBy("_part").agg(F.max_by(value, F.struct(*order)).alias("v")).collect()}
-    parts = sorted(r["_part"] for r in dealt.select("_part").distinct().collect())
+    got = dealt.groupBy("_part").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order))).alias("v")).collect()
+    last = {r["_part"]: r["v"] for r in got}
     carries, so_far = [], None
-    for p in parts:
+    for p in sorted(last):
         carries.append((p, so_far))
-        so_far = last.get(p, so_far)
+        so_far = so_far if last[p] is None else last[p]
     own = F.last(value, True).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(*RUNNING))
     return _with_carry(dealt.withColumn(name, own), carries, df.schema[value].dataType.simpleString()).withColumn(name, F.coalesce(name, "_before")).drop("_part", "_before")
 
@@ -329,18 +326,8 @@ def weighted_quantile(df: DataFrame, col: str, weight: str, q: float) -> DataFra
 
 
 def numbered_weights(counts: DataFrame) -> DataFrame:
-    """(v, w, upto) with running weights in the order of v, by range partitions like ``numbered``."""
-    spark = counts.sparkSession
-    width = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = held(counts.repartitionByRange(width, "v").sortWithinPartitions("v").withColumn("part", F.spark_partition_id()))
-    sizes = {r["part"]: r["w"] for r in dealt.groupBy("part").agg(F.sum("w").alias("w")).collect()}
-    offsets, done = [], 0
-    for p in sorted(sizes):
-        offsets.append((p, done))
-        done += sizes[p]
-    before = spark.createDataFrame(offsets, "part int, before long")
-    own = F.sum("w").over(Window.partitionBy("part").orderBy("v").rowsBetween(*RUNNING))
-    return dealt.withColumn("own", own).join(F.broadcast(before), "part").select("v", "w", (F.col("before") + F.col("own")).alias("upto"))
+    """(v, w, upto) with running weights in the order of v, by ranges like ``numbered``."""
+    return running_sum(held(counts.select("v", "w")), "v", value="w", name="upto")
 
 
 # --- samples

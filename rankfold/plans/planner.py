@@ -20,6 +20,10 @@ KLL_ERROR, KLL_POWER = 2.296, 0.9723
 PR_LIST = (0.70, 0.72, 0.74, 0.76, 0.78, 0.80, 0.82, 0.84, 0.86, 0.88, 0.90, 0.92, 0.94, 0.95, 0.96, 0.97, 0.975, 0.98, 0.985, 0.99, 0.9925, 0.995)
 
 
+#: Times its slots that a summary is filled in simulations; larger ones are continued by rule.
+SIMULATED = 4096
+
+
 def capacities(levels: int, slots: int, least: int = 3) -> list[int]:
     """Slots of each level, lowest first: shares fall by 2/3 per level downwards, none under ``least``."""
     shares = [(2 / 3) ** (levels - 1 - i) for i in range(levels)]
@@ -48,11 +52,19 @@ def next_level(sizes: list[int], caps: list[int]) -> int:
 
 @lru_cache(256)
 def simulate_compactions(n: int, slots: int) -> tuple[int, ...]:
-    """Compactions per level after n inserts, without data."""
+    """Compactions per level after n inserts, without data.
+
+    Beyond so many inserts the lower levels repeat themselves: the upper levels are those of a half, a quarter, ... of the rows that
+    count twice, four times, ..., and each level below compacts twice as often as the one above it.
+    """
+    if n > SIMULATED * slots:
+        halvings = math.ceil(math.log2(n / (SIMULATED * slots)))
+        upper = simulate_compactions(n >> halvings, slots)
+        return (*(upper[0] << (halvings - i) for i in range(halvings)), *upper)
     sizes, done, left = [0], [0], n
     caps = capacities(1, slots)
     while left:
-        step = min(left, slots - sum(sizes))
+        step = min(left, max(slots, 3 * len(sizes)) - sum(sizes))  # a level can't do with less than three
         sizes[0] += step
         left -= step
         if not left:
