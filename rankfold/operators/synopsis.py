@@ -99,6 +99,56 @@ def cover_with_overlap(nodes: DataFrame, pages: DataFrame, lo, hi, fan: int = 8)
     return out.withColumn("use", F.lit("merged")).unionByName(raw.withColumn("use", F.lit("raw")))
 
 
+def leveled(df: DataFrame, t: str, v: str, arrival: str, *tie: str, rows: int = PAGE_ROWS, fan: int = 8, levels: int = 3, k: int = 64) -> DataFrame:
+    """Pages of rows in the order of arrival (level 0), and of the levels that ``fan`` runs of the level below are merged into.
+
+    Columns level, page_id, run, n, min_t, max_t, min_v, max_v, sketch, total, live.  A run of level L is ``fan**L`` pages
+    of arrivals, sorted by ``t`` anew and cut into pages of ``rows`` rows, so that late rows move to the pages of their
+    time and pages overlap less from level to level.  ``live`` marks the pages that answer for their rows after compaction: those
+    of the highest level whose run is full, level 0 for the newest.  n counts rows, total sums v.  ``arrival`` and ``tie`` make
+    arrivals unique.  A null ``t`` comes first in its run.  Runs are sorted together by ranges of (run, t), so that no
+    task holds a run.
+    """
+    first = paged(df.select(t, v, arrival, *tie), arrival, *tie, rows=rows)
+    n = df.count()
+    out = None
+    for level in range(levels + 1):
+        size = rows * fan**level
+        here = first
+        if level:
+            run = first.withColumn("run", F.floor(F.col("page_id") / fan**level).cast("long")).drop("page_id")
+            here = paged(run, "run", t, arrival, *tie, rows=rows).drop("run")
+        run = F.floor(F.col("page_id") / fan**level).cast("long")
+        full = lambda size: F.col("page_id") * rows < n // size * size
+        live = (full(size) if level else F.lit(True)) & (~full(size * fan) if level < levels else F.lit(True))
+        totals = here.groupBy("page_id").agg(F.count("*").alias("n"), F.sum(F.col(v).cast("double")).alias("total"))
+        pages = synopsis(here, t, v, k).drop("n").join(totals, "page_id")
+        got = pages.select(F.lit(level).alias("level"), "page_id", run.alias("run"), "n", "min_t", "max_t", "min_v", "max_v", "sketch", "total", live.alias("live"))
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+def quantiles_from_cover(facts: DataFrame, nodes: DataFrame, t: str, v: str, qs: list[float], lo, hi, k: int = 64, fan: int = 8) -> DataFrame:
+    """(q, value, n, rank_bound): quantiles of the rows in [lo, hi) of time from stored sketches; only edge pages' rows are read.
+
+    ``facts`` holds page_id, t and v in pages in the order of t, ``nodes`` is their ``roll_up`` with sketches of parameter ``k``.  The
+    cover's sketches and one of the edge rows are merged.  Of one sketch, ranks err by more than ``kll_error(k)`` of n in one case of a
+    hundred; ``rank_bound`` is twice that.  A range without values gives nulls.
+    """
+    asked = E.doubles(qs)
+    chosen = cover(nodes, lo, hi, fan).select("n", "sketch")
+    pages = nodes.where("level = 0")
+    inside = (F.col("min_t") >= lo) & (F.col("max_t") < hi)
+    edges = pages.where(~inside & (F.col("min_t") < hi) & (F.col("max_t") >= lo)).select(F.col("node_id").alias("page_id"))
+    x = F.col(v).cast("double")
+    rows = facts.where((F.col(t) >= lo) & (F.col(t) < hi)).join(edges, "page_id", "left_semi").where(x.isNotNull())
+    raw = rows.agg(F.count("*").alias("n"), F.expr(f"kll_sketch_agg_double(cast({v} as double), {k})").alias("sketch"))
+    merged = chosen.unionByName(raw).where("n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.expr("kll_merge_agg_double(sketch)").alias("s"))
+    values = F.when(F.col("n") > 0, F.kll_sketch_get_quantile_double("s", asked))
+    answers = merged.select("n", F.explode(F.arrays_zip(asked.alias("q"), F.coalesce(values, F.array_repeat(F.lit(None).cast("double"), len(qs))).alias("value"))).alias("a"))
+    return answers.select("a.q", "a.value", "n", (2 * E.planner.kll_error(k) * F.col("n") + 1).alias("rank_bound"))
+
+
 def prune_by_value(pages: DataFrame, lo: float, hi: float) -> DataFrame:
     """(page_id, n, side): below pages count as a whole, above ones not at all; the others must be read."""
     side = F.when(F.col("max_v") < lo, "below").when(F.col("min_v") > hi, "above").otherwise("read")

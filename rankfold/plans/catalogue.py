@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import ranks as R
 from ..operators import exact as E
 from ..operators import misc, sketches, summaries, synopsis
+from ..operators.cache import held
 from ..sources import generators, text
 from . import planner
 
@@ -79,6 +79,12 @@ def multi_q32_price(spark, sf_dir):
     return E.exact_quantiles(table(spark, sf_dir, "lineitem"), "l_extendedprice", R.grid(32)).select("q", "value")
 
 
+@query
+def multi_q500_price(spark, sf_dir):
+    """Many quantiles in the passes of one: brackets are swept, not compared one by one."""
+    return E.exact_quantiles(table(spark, sf_dir, "lineitem"), "l_extendedprice", R.grid(500)).select("q", "value")
+
+
 @query
 def multi_q99_sort_value(spark, sf_dir):
     return E.exact_quantiles(table(spark, sf_dir, "events"), "value", R.grid(99), method="sort").select("q", "value")
@@ -489,43 +495,56 @@ def stream_daily_kll_n(spark, sf_dir):
 # --- sources and generators
 
 
+def _size(spark, sf_dir, name: str) -> int:
+    return table(spark, sf_dir, name).count()
+
+
 @query
 def gen_sequence(spark, sf_dir):
-    return generators.sequence(spark, 1000)
+    """A series as long as the events."""
+    return generators.sequence(spark, _size(spark, sf_dir, "events"))
 
 
 @query
 def gen_permutation(spark, sf_dir):
-    return generators.permutation(spark, 700).agg(F.count("*").alias("n"), F.count_distinct("v").alias("n_values"), F.sum("pos").alias("pos_sum"), F.sum("v").alias("v_sum"))
+    """The events' places in random order."""
+    made = generators.permutation(spark, _size(spark, sf_dir, "events"))
+    return made.agg(F.count("*").alias("n"), F.count_distinct("v").alias("n_values"), F.sum("pos").alias("pos_sum"), F.sum("v").alias("v_sum"))
 
 
 @query
 def gen_ordered_uniform(spark, sf_dir):
-    return generators.page_values(spark, 500, "ordered-uniform")
+    return generators.page_values(spark, _size(spark, sf_dir, "events"), "ordered-uniform")
 
 
 @query
 def gen_out_of_order(spark, sf_dir):
-    rows = generators.out_of_order(spark, 2000)
+    """An arrival for each of the orders."""
+    rows = generators.out_of_order(spark, _size(spark, sf_dir, "orders"))
     return rows.agg(F.count("*").alias("n"), F.min("event_time").alias("first"), F.max("event_time").alias("last"), F.count_if(F.col("arrival") < F.col("event_time")).alias("n_early"), F.count("v").alias("n_values"))
 
 
 @query
 def gen_random(spark, sf_dir):
-    """(name, n, n_inside): values of each distribution and how many lie where all must."""
-    made = {"uniform": (generators.uniform(spark, 3000), 0.0, 1.0), "gaussian": (generators.gaussian(spark, 3000), -9.0, 9.0), "log-normal": (generators.log_normal(spark, 3000), 54.0, 55.2)}
+    """(name, n, n_inside): values of each distribution, one for each line item, and how many lie where all must."""
+    n = _size(spark, sf_dir, "lineitem")
+    made = {"uniform": (generators.uniform(spark, n), 0.0, 1.0), "gaussian": (generators.gaussian(spark, n), -9.0, 9.0), "log-normal": (generators.log_normal(spark, n), 54.0, 55.2)}
     return reduce(DataFrame.unionByName, [df.agg(F.count("v").alias("n"), F.count_if(F.col("v").between(lo, hi)).alias("n_inside")).select(F.lit(name).alias("name"), "n", "n_inside") for name, (df, lo, hi) in made.items()])
 
 
 @query
 def gen_random_ranges(spark, sf_dir):
-    ranges = spark.createDataFrame(generators.random_ranges(5000, 100, 50), "a long, b long")
-    return ranges.agg(F.count("*").alias("n"), F.min(F.col("b") - F.col("a")).alias("least"), F.max(F.col("b") - F.col("a")).alias("most"), F.count_if((F.col("a") >= 0) & (F.col("b") <= 5000)).alias("n_inside"))
+    """A query workload over the events: a range of a fiftieth of their places for every hundred of them."""
+    n = _size(spark, sf_dir, "events")
+    ranges = generators.random_ranges(spark, n, n // 50, n // 100)
+    return ranges.agg(F.count("*").alias("n"), F.min(F.col("b") - F.col("a")).alias("least"), F.max(F.col("b") - F.col("a")).alias("most"), F.count_if((F.col("a") >= 0) & (F.col("b") <= n)).alias("n_inside"))
 
 
 @query
 def gen_cyclic(spark, sf_dir):
-    return text.cyclic(spark, [3.0, 1.5, 2.25], 100, noise=0.0)
+    """The regions' keys in turn, one for each order."""
+    keys = [r[0] for r in table(spark, sf_dir, "region").select("r_regionkey").orderBy("r_regionkey").limit(64).collect()]
+    return text.cyclic(spark, keys, _size(spark, sf_dir, "orders"), noise=0.0)
 
 
 @query
@@ -591,28 +610,6 @@ def exact_iteration_num(spark, sf_dir):
     return E.call("exact_quantile_quick_select", table(spark, sf_dir, "part").select("p_retailprice"), "p_retailprice", quantile="0.5", return_type="iteration_num")
 
 
-@query
-def value_bound_holds(spark, sf_dir):
-    """(probe, true_rank, error_within): the bound of single values, from logged compactions, holds and is no wider than the sketch's."""
-    values = [r[0] for r in table(spark, sf_dir, "region").select("r_regionkey").collect()]  # five rows
-    state = sketches.Compactor(64, log=True).update(np.arange(20_000, dtype=np.float64) * (1 + max(values)))
-    probes = [1000.0, 20_000.0, 55_555.0, 99_000.0]
-    true = [int(x // (1 + max(values))) + 1 for x in probes]
-    return spark.createDataFrame([(x, t, abs(state.rank(x) - t) <= state.error_at(x, 1.0) <= state.error(1.0)) for x, t in zip(probes, true)], "probe double, true_rank long, error_within boolean")
-
-
-@query
-def compaction_coverage(spark, sf_dir):
-    """(level, inputs, uneven): at no place do the intervals of odd and of even place in a compaction's input differ by more than one."""
-    state = sketches.Compactor(256, log=True).update(np.array([float((k * 7919) % 10_007) for k in range(10_007)]))
-    rows: dict[int, list[int]] = {}
-    for level, values in state.log:
-        places = np.linspace(0, 10_007, 50)
-        odd, even = (np.searchsorted(values[k::2], places, "right") for k in (0, 1))
-        rows.setdefault(level, []).append(int((np.abs(odd - even) > 1).any()))
-    return spark.createDataFrame([(level, len(x) > 0, sum(x)) for level, x in rows.items() if level < 2], "level long, some boolean, uneven long")
-
-
 @query
 def divided_chunk_weight(spark, sf_dir):
     chunk = table(spark, sf_dir, "orders").select(F.floor(F.col("o_orderkey") / 4096).cast("long").alias("chunk_id"), F.floor(F.col("o_orderkey") / 256).cast("long").alias("page"), F.col("o_totalprice").alias("v"))
@@ -644,19 +641,6 @@ def bloom_round_trip(spark, sf_dir):
 # --- the planner
 
 
-@query
-def planner_errors(spark, sf_dir):
-    """(name, variance, most): rank errors of compactions per level."""
-    runs = {"a": (5, 3, 1), "b": (100, 50, 25, 12, 6), "c": (0, 0, 7)}
-    return spark.createDataFrame([(k, planner.variance(c), planner.max_error(c)) for k, c in runs.items()], "name string, variance double, most long")
-
-
-@query
-def planner_steps(spark, sf_dir):
-    """(steps, sum, probability): the distribution of a sum of steps of -1, 0 and 1."""
-    return spark.createDataFrame([(m, k - m, p) for m in (1, 2, 6) for k, p in enumerate(planner.trinomial_pmf(m))], "steps long, sum long, probability double").withColumn("probability", F.round("probability", 9))
-
-
 @query
 def planner_bloom_sizes(spark, sf_dir):
     """(keys, fpp, bits, hashes) of filters for each table's keys."""
@@ -664,17 +648,6 @@ def planner_bloom_sizes(spark, sf_dir):
     return spark.createDataFrame([(n, p, *planner.bloom_size(n, p)) for n in counts for p in (0.1, 0.01)], "keys long, fpp double, bits long, hashes long")
 
 
-@query
-def planner_sample_errors(spark, sf_dir):
-    return spark.createDataFrame([(m, summaries.sample_error(m)) for m in (16, 1000, 65_536)], "m long, error double").withColumn("error", F.round("error", 9))
-
-
-@query
-def planner_passes(spark, sf_dir):
-    """(rows, planned): plans for one pass where all fits, and more where it does not."""
-    return spark.createDataFrame([(n, planner.best_pr(n, 1024).passes == 1.0, planner.best_pr(n, 1024).passes <= planner.best_pr_of_list(n, 1024).passes * 1.05) for n in (500, 1000, 50_000)], "rows long, fits boolean, no_worse boolean")
-
-
 # --- more of pages, buckets and prefixes
 
 
@@ -740,6 +713,29 @@ def rollup_ratio(spark, sf_dir):
     return synopsis.roll_up(pages, fan=4, levels=2, k=64, ratio=0.5).select("level", "node_id", F.expr("kll_sketch_get_n_double(sketch)").alias("n"))
 
 
+@query
+def leveled_compaction(spark, sf_dir):
+    """Pages of each level after runs of four pages in the order of arrival are sorted by time anew, level by level."""
+    levels = synopsis.leveled(_arrivals(spark, sf_dir), "t", "v", "arrival", "event_id", rows=64, fan=4, levels=3)
+    return levels.select("level", "page_id", "n", "min_t", "max_t", F.round("total", 4).alias("total"), "live")
+
+
+@query
+def cover_quantile(spark, sf_dir):
+    """(q, n, value, within, tight): a range's quantiles from a cover of stored sketches and its edge rows, beside the exact value."""
+    facts = held(_events_pages(spark, sf_dir))
+    lo, hi = F.expr("timestamp_ntz'2024-01-03 05:00:00'"), F.expr("timestamp_ntz'2024-01-22 19:00:00'")
+    qs = [0.05, 0.5, 0.9]
+    nodes = synopsis.roll_up(synopsis.synopsis(facts, "ts", "value", k=512), fan=4, levels=3)
+    got = synopsis.quantiles_from_cover(facts, nodes, "ts", "value", qs, lo, hi, k=512, fan=4)
+    here = facts.where((F.col("ts") >= lo) & (F.col("ts") < hi)).select("value")
+    exact = E.exact_quantiles(here, "value", qs).select("q", F.col("value").alias("exact"))
+    ranks = here.where("value IS NOT NULL").join(F.broadcast(got.select("q", "value")).withColumnRenamed("value", "estimate")).groupBy("q").agg(F.count_if(F.col("value") < F.col("estimate")).alias("below"), F.count_if(F.col("value") <= F.col("estimate")).alias("upto"))
+    both = got.select("q", "n", "rank_bound").join(exact, "q").join(ranks, "q")
+    off = F.greatest(F.col("below") + 1 - F.col("q") * F.col("n"), F.col("q") * F.col("n") - F.col("upto"), F.lit(0.0))
+    return both.select("q", "n", F.col("exact").alias("value"), (off <= F.col("rank_bound")).alias("within"), (F.col("rank_bound") < 0.02 * F.col("n")).alias("tight"))
+
+
 @query
 def late_cover(spark, sf_dir):
     """Files in the order of arrival: nodes that no other page overlaps are merged, the rest is read."""

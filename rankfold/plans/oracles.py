@@ -85,11 +85,23 @@ _LATE_COVER = f"""
 """
 
 
+_LEVELED = """
+    WITH a AS (SELECT event_id, ts AS t, value AS v, event_id * 10 + CASE WHEN event_id % 10 = 3 THEN 3001 ELSE 0 END AS arrival FROM events),
+    c AS (SELECT count(*) AS n FROM events),
+    p AS (SELECT *, (row_number() OVER (ORDER BY arrival, event_id) - 1) // 64 AS page FROM a),
+    l AS (SELECT level, t, v, page, (64 * 4 ** level)::BIGINT AS size, row_number() OVER (PARTITION BY level ORDER BY page // (4 ** level)::BIGINT, CASE WHEN level > 0 THEN t END, arrival, event_id) - 1 AS rn FROM p, range(0, 4) r(level))
+    SELECT level::INT AS level, rn // 64 AS page_id, count(*) AS n, min(t) AS min_t, max(t) AS max_t, round(sum(v), 4) AS total,
+           (level = 0 OR rn // 64 * 64 < c.n // any_value(size) * any_value(size)) AND (level = 3 OR rn // 64 * 64 >= c.n // (any_value(size) * 4) * (any_value(size) * 4)) AS live
+    FROM l, c GROUP BY level, rn // 64, c.n
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     out = {name: _pick(t, c, _values([float(q)]), R.SPECS[o.get("rank", "mid")]) for name, (t, c, q, o) in EXACT.items()}
     out |= {
         "exact_sql_names": "WITH r AS (" + _pick("orders", "o_totalprice", _values([0.5]), R.MID) + ") SELECT name, q, value FROM r, (SELECT unnest([" + ", ".join(f"'{n}'" for n in sorted(E.SQL_NAMES)) + "]) AS name) x",
         "multi_q32_price": _pick("lineitem", "l_extendedprice", _grid(32), R.MID),
+        "multi_q500_price": _pick("lineitem", "l_extendedprice", _grid(500), R.MID),
         "multi_q99_sort_value": _pick("events", "value", _grid(99), R.MID),
         "exact_radix_custkey": "WITH s AS (SELECT o_custkey AS v, row_number() OVER (ORDER BY o_custkey) AS rn FROM orders), c AS (SELECT count(*) AS n FROM orders) SELECT n, max(CASE WHEN rn = floor(0.5::DOUBLE * (n - 1) + 1) THEN v END) AS low, max(CASE WHEN rn = ceil(0.5::DOUBLE * (n - 1) + 1) THEN v END) AS high FROM s, c GROUP BY n",
         "exact_radix_weighted": "WITH s AS (SELECT p_size::BIGINT AS v, row_number() OVER (ORDER BY p_size) AS rn FROM part), c AS (SELECT count(*) AS n FROM part) SELECT n, max(CASE WHEN rn = floor(0.3::DOUBLE * (n - 1) + 1) THEN v END) AS low, max(CASE WHEN rn = ceil(0.3::DOUBLE * (n - 1) + 1) THEN v END) AS high FROM s, c GROUP BY n",
@@ -148,29 +160,23 @@ def oracle_sql() -> dict[str, str]:
         "distinct_values": "SELECT count(DISTINCT l_extendedprice) AS n_distinct, count(DISTINCT l_quantity) AS n_quantity FROM lineitem",
         "prefix_sums": "SELECT l_quantity, count(*) AS n, sum(count(*)) OVER (ORDER BY l_quantity)::BIGINT AS upto FROM lineitem GROUP BY l_quantity",
         "stream_daily_kll_n": "SELECT strftime(ts, '%Y-%m-%d') AS day, count(value) AS n, count(value) AS sketch_n, min(value) AS lo, max(value) AS hi FROM events GROUP BY 1",
-        "gen_sequence": "SELECT i AS pos, i::DOUBLE AS v FROM range(1000) g(i)",
-        "gen_permutation": "SELECT 700::BIGINT AS n, 700::BIGINT AS n_values, sum(i)::BIGINT AS pos_sum, sum(i)::DOUBLE AS v_sum FROM range(700) g(i)",
-        "gen_ordered_uniform": "SELECT i AS pos, trunc((i / 500.0::DOUBLE * 2 - 1) * 1e15)::BIGINT AS v FROM range(500) g(i)",
-        "gen_out_of_order": "SELECT 2000::BIGINT AS n, 0::BIGINT AS first, 1999::BIGINT AS last, 0::BIGINT AS n_early, 2000::BIGINT AS n_values",
-        "gen_random": "SELECT unnest(['uniform', 'gaussian', 'log-normal']) AS name, 3000::BIGINT AS n, 3000::BIGINT AS n_inside",
-        "gen_random_ranges": "SELECT 50::BIGINT AS n, 100::BIGINT AS least, 100::BIGINT AS most, 50::BIGINT AS n_inside",
-        "gen_cyclic": "SELECT i AS pos, [3.0::DOUBLE, 1.5, 2.25][i % 3 + 1] AS v FROM range(100) g(i)",
+        "gen_sequence": "SELECT row_number() OVER () - 1 AS pos, (row_number() OVER () - 1)::DOUBLE AS v FROM events",
+        "gen_permutation": "SELECT n, n AS n_values, (n * (n - 1) // 2)::BIGINT AS pos_sum, (n * (n - 1) // 2)::DOUBLE AS v_sum FROM (SELECT count(*) AS n FROM events)",
+        "gen_ordered_uniform": "SELECT i AS pos, trunc((i / n::DOUBLE * 2 - 1) * 1e15)::BIGINT AS v FROM (SELECT row_number() OVER () - 1 AS i, count(*) OVER () AS n FROM events)",
+        "gen_out_of_order": "SELECT count(*) AS n, 0::BIGINT AS first, count(*) - 1 AS last, 0::BIGINT AS n_early, count(*) AS n_values FROM orders",
+        "gen_random": "SELECT unnest(['uniform', 'gaussian', 'log-normal']) AS name, n, n AS n_inside FROM (SELECT count(*) AS n FROM lineitem)",
+        "gen_random_ranges": "SELECT n // 100 AS n, n // 50 AS least, n // 50 AS most, n // 100 AS n_inside FROM (SELECT count(*) AS n FROM events)",
+        "gen_cyclic": "SELECT i AS pos, keys[i % len(keys) + 1] AS v FROM (SELECT row_number() OVER () - 1 AS i FROM orders), (SELECT list(r_regionkey::DOUBLE ORDER BY r_regionkey) AS keys FROM region)",
         "text_round_trip": "SELECT count(value) AS n, min(value) AS lo, max(value) AS hi, round(sum(value), 4) AS total FROM events",
         "summary_round_trip": f"SELECT page_id, n, n AS sketch_n, min_v, max_v FROM {_event_pages(512)}",
         "sample_state": "SELECT count(*) AS n, least(count(*), 64) AS kept, min(s_acctbal) AS low, max(s_acctbal) AS high FROM supplier",
         "sample_small_q": _pick("lineitem", "l_extendedprice", _values([0.2, 0.5, 0.95]), R.MID),
         "exact_shortcut_q": "SELECT q, value, 2::INT AS passes FROM (" + _pick("nation", "n_nationkey", _values([0.25, 0.5, 0.9]), R.MID) + ")",
         "exact_iteration_num": "SELECT 0.5::DOUBLE AS q, 2.0::DOUBLE AS value",
-        "value_bound_holds": "SELECT probe, (probe // 5)::BIGINT + 1 AS true_rank, true AS error_within FROM (SELECT unnest([1000.0::DOUBLE, 20000.0, 55555.0, 99000.0]) AS probe)",
-        "compaction_coverage": "SELECT unnest([0::BIGINT, 1]) AS level, true AS some, 0::BIGINT AS uneven",
         "divided_chunk_weight": "SELECT o_orderkey // 4096 AS chunk_id, count(o_totalprice) AS weight FROM orders GROUP BY 1",
         "sketched_delete_rank": "SELECT probe, count(*) FILTER (WHERE o_totalprice <= probe AND o_orderstatus <> 'F') AS rank, true AS within FROM orders, (SELECT unnest([50000.0::DOUBLE, 150000.0, 400000.0]) AS probe) p GROUP BY probe",
         "bloom_round_trip": "SELECT count(DISTINCT o_custkey) AS keys, count(DISTINCT o_custkey) AS found, (SELECT count(*) FROM customer) AS expected, 0.02::DOUBLE AS fpp FROM orders",
-        "planner_errors": "SELECT name, sum(0.5 * m * pow(4, i - 1))::DOUBLE AS variance, sum(m * pow(2, i - 1))::BIGINT AS most FROM (SELECT name, generate_subscripts(c, 1) AS i, unnest(c) AS m FROM (VALUES ('a', [5, 3, 1]), ('b', [100, 50, 25, 12, 6]), ('c', [0, 0, 7])) t(name, c)) GROUP BY name",
-        "planner_steps": "SELECT m AS steps, k - m AS sum, round(factorial(2 * m::INT) / factorial(k::INT) / factorial((2 * m - k)::INT) / pow(4, m), 9)::DOUBLE AS probability FROM (SELECT unnest([1::BIGINT, 2, 6]) AS m), range(0, 13) r(k) WHERE k <= 2 * m",
         "planner_bloom_sizes": "SELECT keys, fpp, greatest(8, ceil(-keys * ln(fpp) / pow(ln(2), 2)))::BIGINT AS bits, greatest(1, round_even(greatest(8, ceil(-keys * ln(fpp) / pow(ln(2), 2))) / keys * ln(2), 0))::BIGINT AS hashes FROM (SELECT count(*) AS keys FROM supplier UNION ALL SELECT count(*) FROM customer UNION ALL SELECT count(*) FROM orders), (SELECT unnest([0.1::DOUBLE, 0.01]) AS fpp)",
-        "planner_sample_errors": "SELECT m, round(1 / (3 * sqrt(m)), 9) AS error FROM (SELECT unnest([16::BIGINT, 1000, 65536]) AS m)",
-        "planner_passes": "SELECT unnest([500::BIGINT, 1000, 50000]) AS rows, unnest([true, true, false]) AS fits, true AS no_worse",
         "dd_collapse_both": f"WITH b AS ({_dd('customer', 'c_acctbal', 0.02)}), r AS (SELECT *, row_number() OVER (PARTITION BY sign ORDER BY idx DESC) AS r, count(*) OVER (PARTITION BY sign) AS own, count(*) OVER () AS every FROM b), e AS (SELECT sign, min(idx) AS edge FROM r WHERE r <= greatest(1, 60 * own // every) GROUP BY sign) SELECT sign, greatest(idx, edge) AS idx, sum(n)::BIGINT AS n, min(lo) AS lo, max(hi) AS hi FROM b JOIN e USING (sign) GROUP BY 1, 2",
         "dd_shifted_q": "SELECT q, round(value, 6) AS value FROM (" + _pick("customer", "c_acctbal", _values([0.1, 0.6]), R.MID) + ")",
         "merged_prefixes": _MERGED,
@@ -183,6 +189,8 @@ def oracle_sql() -> dict[str, str]:
         "page_pruned_q": _pick("events", "value", _values([0.21, 0.5, 0.999]), R.MID),
         "page_pruned_share": "SELECT q, value, true AS spared FROM (" + _pick("lineitem", "l_extendedprice", _values([0.5]), R.MID) + ")",
         "late_cover": _LATE_COVER,
+        "leveled_compaction": _LEVELED,
+        "cover_quantile": _pick("(SELECT value FROM events WHERE ts >= TIMESTAMP '2024-01-03 05:00:00' AND ts < TIMESTAMP '2024-01-22 19:00:00')", "value", _values([0.05, 0.5, 0.9]), R.MID, out="q, n, value, true AS within, true AS tight"),
         "session_totals": "WITH g AS (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 2 HOUR THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM g) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(value) AS n, min(value) AS lo, max(value) AS hi, count(value) AS sketch_n FROM s GROUP BY user_id, session",
     }
     out |= {name: "SELECT probe, count(*) FILTER (WHERE s_acctbal <= probe) AS rank FROM supplier, (SELECT unnest([-500.0::DOUBLE, 0.0, 2500.0, 9000.0]) AS probe) p GROUP BY probe" for name in ("ledger_bytes_rank", "mrl_bytes_rank", "cluster_bytes_rank")}

@@ -62,9 +62,7 @@ def out_of_order(spark: SparkSession, n: int, mu: float = 3.0, sigma: float = 1.
     return spark.range(n).select(F.col("id").alias("event_time"), (F.col("id") + delay).alias("arrival"), F.randn(seed + 1).alias("v"))
 
 
-def random_ranges(n: int, width: int, count: int, seed: int = SEED) -> list[tuple[int, int]]:
-    """Random half-open position ranges of one width: a query workload."""
-    import random
-
-    r = random.Random(seed)
-    return [(a, a + width) for a in (r.randrange(max(1, n - width + 1)) for _ in range(count))]
+def random_ranges(spark: SparkSession, n: int, width: int, count: int, seed: int = SEED) -> DataFrame:
+    """(a, b): random half-open position ranges of one width: a query workload."""
+    begin = F.floor(F.rand(seed) * max(1, n - width + 1)).cast("long")
+    return spark.range(count).select(begin.alias("a")).withColumn("b", F.col("a") + width)

@@ -33,13 +33,18 @@ def test_imports_without_the_text_operators(tmp_path):
     assert done.stdout.split() == [str(len(catalogue.QUERIES))] * 2
 
 
-def test_faults_of_the_text_operators_surface(tmp_path):
+def test_missing_libraries_of_the_text_operators_leave_the_rest(tmp_path):
     shutil.copy(os.path.join(REPO, "__spark_entry__.py"), tmp_path)
     shutil.copytree(os.path.join(REPO, "rankfold"), tmp_path / "rankfold", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     os.makedirs(tmp_path / "rankfold" / "llm")
     (tmp_path / "rankfold" / "llm" / "__init__.py").write_text("import nothing_of_this_name")
-    done = subprocess.run([sys.executable, "-c", "import __spark_entry__"], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
-    assert done.returncode != 0 and "nothing_of_this_name" in done.stderr
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
+    assert done.returncode == 0 and "nothing_of_this_name" in done.stderr
+    assert done.stdout.split() == [str(len(catalogue.QUERIES))] * 2
+    (tmp_path / "rankfold" / "llm" / "__init__.py").write_text("1 / 0")
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
+    assert done.returncode != 0 and "ZeroDivisionError" in done.stderr
 
 
 @pytest.mark.skipif(not os.path.isdir(TABLES), reason="no test tables")

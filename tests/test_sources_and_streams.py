@@ -31,7 +31,7 @@ def test_generators(spark):
     assert sorted(r["v"] for r in generators.permutation(spark, 50).collect()) == list(range(50))
     assert generators.log_normal(spark, 100).agg(F.min("v") > 50).first()[0]
     assert generators.out_of_order(spark, 100).where("arrival < event_time").count() == 0
-    assert all(0 <= a and b <= 100 and b - a == 10 for a, b in generators.random_ranges(100, 10, 20))
+    assert all(0 <= a and b <= 100 and b - a == 10 for a, b in generators.random_ranges(spark, 100, 10, 20).collect())
     assert text.cyclic(spark, [1.0, 2.0], 5, noise=0.0).select("v").orderBy("pos").toPandas()["v"].tolist() == [1.0, 2.0, 1.0, 2.0, 1.0]
 
 

@@ -28,10 +28,26 @@ def test_running_values_cross_partitions(spark):
 
 def test_cached_tables_are_released(spark):
     cache.release()
-    summaries.numbered(spark.range(50).select("id"), "id").count()
+    cache.held(spark.range(50)).count()
     assert cache.release() == 1 and cache.release() == 0
 
 
+def test_places_are_the_same_after_release(spark):
+    """Enough rows for range bounds to be sampled: a second evaluation deals them as the first did."""
+    df = spark.range(40_000).select(F.col("id").alias("k"), F.when(F.col("id") % 3 > 0, F.col("id") * 7919 % 101).alias("v"))
+    results = [
+        summaries.numbered(df, "v", "k"),
+        summaries.running_max(df, "k", value="v", name="m"),
+        summaries.running_sum(df, "k", value="v", name="s"),
+        summaries.last_known(df, "k", value="v", name="l"),
+        summaries.numbered_weights(df.select(F.col("k").cast("double").alias("v"), F.lit(1).cast("long").alias("w"))),
+    ]
+    first = [sorted(map(str, r.collect())) for r in results]
+    cache.release()
+    assert [sorted(map(str, r.repartition(3).collect())) for r in results] == first
+    assert sorted(r["rn"] for r in results[0].collect()) == list(range(1, 40_001))
+
+
 def test_samples_merge_store_and_bracket():
     r = np.random.default_rng(4)
     misses = 0
@@ -144,3 +160,41 @@ def test_pruned_pages_are_not_read(spark):
     got = synopsis.exact_quantile_pruned(df, pages, "v", 0.5).first()
     assert got["value"] == 1999.5 and got["rows_read"] < 2000 and got["n"] == 4000
     assert synopsis.exact_quantile_pruned(df.limit(0), pages.limit(0), "v", 0.5).first()["value"] is None
+
+
+def test_levels_overlap_less_and_live_pages_hold_each_row_once(spark):
+    r = random.Random(8)
+    rows = [(k, k * 10 + r.choice([0, 0, 0, -700, -1500]), float(k % 17)) for k in range(1000)]
+    df = spark.createDataFrame(rows, "arrival long, t long, v double").repartition(5)
+    pages = synopsis.leveled(df, "t", "v", "arrival", rows=10, fan=3, levels=3).collect()
+    overlaps = []
+    for level in range(4):
+        here = [p for p in pages if p["level"] == level]
+        assert sum(p["n"] for p in here) == 1000 and sum(p["total"] for p in here) == sum(x[2] for x in rows)
+        overlaps.append(sum(a["min_t"] <= b["max_t"] and b["min_t"] <= a["max_t"] for i, a in enumerate(here) for b in here[:i]))
+        for p in here:
+            run = sorted((t, k) for k, t, _ in rows if k // (10 * 3**level) == p["run"])
+            own = run[(p["page_id"] - p["run"] * 3**level) * 10 :][:10]
+            if level:
+                assert (p["min_t"], p["max_t"], p["n"]) == (own[0][0], own[-1][0], len(own))
+    assert overlaps == sorted(overlaps, reverse=True) and overlaps[0] > 2 * overlaps[-1]
+    live = [p for p in pages if p["live"]]
+    assert sum(p["n"] for p in live) == 1000 and {p["level"] for p in live} == {0, 2, 3}  # 1000 = 3 * 270 + 2 * 90 + 10
+    assert synopsis.leveled(df.limit(0), "t", "v", "arrival", rows=10, fan=3, levels=2).collect() == []
+
+
+def test_quantiles_from_a_cover_stay_within_their_bound(spark):
+    r = np.random.default_rng(9)
+    v = r.normal(size=6000)
+    df = spark.createDataFrame([(k, float(x)) for k, x in enumerate(v)], "t long, v double")
+    facts = synopsis.paged(df, "t", rows=50)
+    nodes = synopsis.roll_up(synopsis.synopsis(facts, "t", "v", k=256), fan=4, levels=3)
+    own = np.sort(v[1234:5432])
+    for x in synopsis.quantiles_from_cover(facts, nodes, "t", "v", [0.0, 0.2, 0.5, 0.97], 1234, 5432, k=256, fan=4).collect():
+        assert x["n"] == len(own) and x["rank_bound"] < 0.025 * len(own)
+        assert abs(np.searchsorted(own, x["value"], "right") - x["q"] * len(own)) <= x["rank_bound"] + 1
+    assert [x["value"] for x in synopsis.quantiles_from_cover(facts, nodes, "t", "v", [0.5], 9000, 9001, k=256, fan=4).collect()] == [None]
+
+
+def test_samples_err_by_their_size():
+    assert [summaries.sample_error(m) for m in (16, 900)] == [pytest.approx(1 / 12), pytest.approx(1 / 90)]
