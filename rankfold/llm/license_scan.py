@@ -108,8 +108,8 @@ RULES = [
 
 #: A part ends at a line end, or at a full stop, mark or colon before white space or the end of the text.
 SENTENCE_END = r"[.!?:;]+([\t-\r ]+|$)|\n"
-#: Every sentence of the table has one of these words; texts without any need no normalising.
-ANCHORS = ("licen", "copyright", "warrant", "permi", "rights", "distribut", "public domain")
+#: Every sentence of the table has one of these parts of words, which no line end can divide; texts without any need no normalising.
+ANCHORS = ("licen", "copyright", "warrant", "permi", "rights", "distribut", "domain")
 
 
 def known_lines(sentences: dict[str, str]) -> str:
