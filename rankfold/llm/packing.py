@@ -57,13 +57,18 @@ class _Words:
 
 
 def _tokenised(texts: list[str], words: _Words) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, ends): the ids of all texts, one after another, and where each text ends."""
-    joined, points, starts, ends, owner = pieces.spans(texts)
+    """(ids, ends): the ids of all texts, one after another, and where each text ends; added tokens have ids of their own."""
+    parts, after, last = pieces.split_added(texts, words.path)
+    joined, points, starts, ends, owner = pieces.spans(parts)
     found, place = pieces.distinct(joined, points, starts, ends)
     at = words.of(found)[place] if len(place) else np.zeros(0, np.int64)
     length = words.begin[at + 1] - words.begin[at]
-    per_text = np.bincount(owner, weights=length, minlength=len(texts)).astype(np.int64)
-    return words.ids[pieces.ragged(words.begin[at], length)], np.cumsum(per_text)
+    per_part = np.bincount(owner, weights=length, minlength=len(parts)).astype(np.int64)
+    ids, ends, marked = words.ids[pieces.ragged(words.begin[at], length)], np.cumsum(per_part), after >= 0
+    if marked.any():
+        ids = np.insert(ids, ends[marked], after[marked].astype(ids.dtype))
+        ends = ends + np.cumsum(marked)
+    return ids, ends[last]
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col: str, text_col: str) -> DataFrame:

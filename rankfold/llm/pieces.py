@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -145,6 +146,38 @@ def load_ranks(path: str) -> dict[bytes, int]:
     return {bytes(letters[c] for c in token): i for token, i in whole["model"]["vocab"].items() if token not in special}
 
 
+@lru_cache(4)
+def added_tokens(path: str) -> dict[str, int]:
+    """Added tokens of a tokenizer's JSON file and their ids: they are found in a text before anything else is; none in a rank file."""
+    if not path.endswith(".json"):
+        return {}
+    with open(path, encoding="utf-8") as f:
+        added = json.load(f).get("added_tokens", [])
+    if odd := [t["content"] for t in added if t["single_word"] or t["lstrip"] or t["rstrip"]]:
+        raise ValueError(f"added tokens that depend on what is beside them: {odd}")
+    return {t["content"]: t["id"] for t in added}
+
+
+@lru_cache(4)
+def _added_pattern(path: str) -> re.Pattern | None:
+    tokens = sorted(added_tokens(path), key=len, reverse=True)
+    return re.compile("(" + "|".join(map(re.escape, tokens)) + ")") if tokens else None
+
+
+def split_added(texts: list[str], path: str) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(parts, after, last): the texts cut at added tokens, the id of the token after each part (-1: none), and each text's last part."""
+    pattern, tokens = _added_pattern(path), added_tokens(path)
+    if not pattern or not any(token in t for t in texts for token in tokens):
+        return texts, np.full(len(texts), -1, np.int64), np.arange(len(texts))
+    parts, after, last = [], [], []
+    for t in texts:
+        cut = pattern.split(t)
+        parts += cut[::2]
+        after += [tokens[x] for x in cut[1::2]] + [-1]
+        last.append(len(parts) - 1)
+    return parts, np.array(after, np.int64), np.array(last, np.int64)
+
+
 @lru_cache(4)
 def _whole_word_encoder(path: str):
     """An encoding that takes all between two NULs for one pre-token."""
