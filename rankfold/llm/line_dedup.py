@@ -4,12 +4,13 @@ Lines are hashed, and a rolling hash runs over the hashes of every ``min_lines``
 occurs elsewhere too, in this document or another, the lines belong to a chunk; a chunk ends where the rolling hash
 stops repeating.  So the boundaries come from content alone and move with it when lines are inserted above, and a
 passage repeated at any place between any neighbours is found whole.  Hashes only choose: the runs of the chunks are then
-merged with their whole text as key, so bytes are compared, and a run is kept where it occurs first (smallest id, then
-first place) and removed elsewhere.
+merged with their whole text as key, so bytes are compared.  A run that occurs more than once is kept where it occurs first
+(smallest id, then first place): no line of a first copy is ever removed, so every passage of ``min_lines`` lines that the
+input has twice still stands somewhere.  Other copies are removed.
 
 1. The rows are numbered and written.  The rolling hashes, short rows, are counted; equal ones combine before the shuffle.
 2. Documents with repeated hashes get the list of their places; only these send text of runs, and only of repeated ones.
-3. Runs with equal text are grouped; the others than the first go back to their documents by hash and SHA-256.
+3. Runs with equal text are grouped; the first and the others go back to their documents by hash and SHA-256.
 
 A run that a third of all rows share is one row per map task in the groupings and salted in the joins (``looked_up``).
 """
@@ -42,8 +43,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """All input columns, ``text_col`` without its repeated lines, and n_runs, n_repeated, lines_removed.
 
     Lines end at ``\\n``; a run is ``min_lines`` consecutive lines with some non-space character.  Runs overlap.  A run
-    equal to one before it, in the order of id, row and line, is repeated, and all its lines are removed; each of them has
-    an equal line before it that stays.  n_runs counts the runs of a text, blank ones too, n_repeated the repeated ones.
+    equal to one before it, in the order of id, row and line, is repeated; its lines are removed unless one of them belongs to
+    a run that is the first of several equal ones.  n_runs counts the runs of a text, blank ones too, n_repeated the
+    repeated ones, lines_removed the lines that go.
     A text of which nothing is left becomes empty; the row stays.  A null text stays null and counts as empty.  Rows that
     repeat an id, or id and text, are rows of their own: the first keeps its lines.  Null ids come first.  An empty table
     gives an empty result.  Other columns are carried along, but for those named like a result column, which go.
@@ -61,11 +63,14 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = chunks.groupBy("body").agg(first.alias("first"), F.count("*").alias("n")).where("n > 1")
     repeated = materialize(groups.select(*keys, "first", "n"), "lines-repeated")
     hits = looked_up(chunks.select("no", "place", *keys), repeated, ["digest", "h"], "n", _total(repeated))
-    gone = hits.where((F.col("no") != F.col("first.no")) | (F.col("place") != F.col("first.place"))).groupBy("no").agg(F.collect_set("place").alias("gone"))
-    left = numbered.join(gone, "no", "left")
-    covered = F.array_distinct(F.flatten(F.transform("gone", lambda k: F.sequence(k, k + min_lines - 1))))
+    first_copy = (F.col("no") == F.col("first.no")) & (F.col("place") == F.col("first.place"))
+    marks = hits.groupBy("no").agg(F.collect_set(F.when(~first_copy, F.col("place"))).alias("gone"), F.collect_set(F.when(first_copy, F.col("place"))).alias("firsts"))
+    # runs that share a line with a first copy stay
+    beside = F.flatten(F.transform("firsts", lambda k: F.sequence(k - (min_lines - 1), k + (min_lines - 1))))
+    left = numbered.join(marks.select("no", "gone", F.array_except("gone", beside).alias("cut")), "no", "left")
+    covered = F.array_distinct(F.flatten(F.transform("cut", lambda k: F.sequence(k, k + min_lines - 1))))
     cut = lambda lines: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), covered), lambda k: F.element_at(lines, k + 1)), "\n")
-    stay = F.when(text.isNull() | F.col("gone").isNull(), text).otherwise(let(_lines(text), cut))
+    stay = F.when(text.isNull() | (F.coalesce(F.size("cut"), F.lit(0)) == 0), text).otherwise(let(_lines(text), cut))
     kept = [stay.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns if c.lower() not in RESULT]
     n_runs = F.greatest(F.size(_lines(text)) - min_lines + 1, F.lit(0))
     counts = (n_runs, F.coalesce(F.size("gone"), F.lit(0)), F.coalesce(F.size(covered), F.lit(0)))

@@ -44,9 +44,11 @@ _LINES = r"""
     WITH l AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
     u AS (SELECT doc_id, generate_subscripts(lines, 1) AS i, unnest(lines) AS line FROM l),
     r AS (SELECT doc_id, i, line || chr(10) || lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS body FROM u),
-    f AS (SELECT doc_id, i, row_number() OVER (PARTITION BY body ORDER BY doc_id, i) AS nth FROM r WHERE body IS NOT NULL AND regexp_matches(body, '\S')),
+    f AS (SELECT doc_id, i, row_number() OVER (PARTITION BY body ORDER BY doc_id, i) AS nth, count(*) OVER (PARTITION BY body) AS copies FROM r WHERE body IS NOT NULL AND regexp_matches(body, '\S')),
     g AS (SELECT doc_id, i FROM f WHERE nth > 1),
-    covered AS (SELECT doc_id, i, true AS gone FROM g UNION SELECT doc_id, i + 1, true FROM g),
+    firsts AS (SELECT doc_id, i + unnest([-1, 0, 1]) AS i FROM f WHERE nth = 1 AND copies > 1),
+    cut AS (SELECT doc_id, i FROM g ANTI JOIN firsts USING (doc_id, i)),
+    covered AS (SELECT doc_id, i, true AS gone FROM cut UNION SELECT doc_id, i + 1, true FROM cut),
     kept AS (SELECT doc_id, count(*) - 1 AS n_runs, count(gone) AS lines_removed, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE gone IS NULL), '') AS body
           FROM u LEFT JOIN covered USING (doc_id, i) GROUP BY doc_id),
     n AS (SELECT doc_id, count(*) AS n_repeated FROM g GROUP BY doc_id)
