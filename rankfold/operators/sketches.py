@@ -25,7 +25,7 @@ from ..plans import planner
 
 FAN_IN = 32
 #: First byte of every serialized summary.
-VERSION = 1
+VERSION = 2
 
 
 class Summary(Protocol):
@@ -55,12 +55,57 @@ def load(state: bytes) -> Summary:
     return (Compactor, Clusters, Sample)[kind].from_bytes(state)
 
 
+class Splits:
+    """For each value, at most how many compactions of one level had to part two neighbours around it: a step function of at most ``cells`` steps.
+
+    A compaction of sorted values keeps one of each pair; it moves the rank of x only if x lies from the first to before
+    the second of a pair.  Where steps must be merged, the greater count is kept, so bounds stay true and only grow.
+    """
+
+    def __init__(self, cells: int, edges: np.ndarray | None = None, counts: np.ndarray | None = None) -> None:
+        self.cells = cells
+        self.edges = np.zeros(0) if edges is None else edges
+        self.counts = np.zeros(1, np.int64) if counts is None else counts
+
+    def at(self, x: float) -> int:
+        return int(self.counts[np.searchsorted(self.edges, x, "right")])
+
+    def pairs(self, x: np.ndarray) -> None:
+        """Adds the compaction of sorted values, an even number of them."""
+        # equal values of a pair part nothing
+        apart = x[1::2] > x[::2]
+        ends = np.stack([x[::2][apart], x[1::2][apart]], axis=1).ravel()
+        self.merge(Splits(self.cells, ends, (np.arange(len(ends) + 1) % 2).astype(np.int64)))
+
+    def merge(self, other: Splits) -> Splits:
+        edges = np.unique(np.concatenate([self.edges, other.edges]))
+        # a cell begins at its edge; the first lies before all edges
+        begins = np.concatenate([[-math.inf], edges])
+        counts = sum(s.counts[np.searchsorted(s.edges, begins, "right")] for s in (self, other))
+        if len(edges) >= self.cells:
+            # the edges where the count changes most stay
+            change = np.abs(np.diff(counts))
+            keep = np.sort(np.argsort(-change, kind="stable")[: self.cells - 1])
+            # beyond the least and the greatest value nothing was parted
+            keep = np.unique(np.concatenate([[0], keep[1:-1], [len(edges) - 1]])) if len(keep) > 2 else np.array([0, len(edges) - 1])
+            counts = np.maximum.reduceat(counts, np.concatenate([[0], keep + 1]))
+            edges = edges[keep]
+        self.edges, self.counts = edges, counts
+        return self
+
+
 class Compactor:
     """Mergeable compacting summary over doubles in ``slots`` slots."""
 
-    def __init__(self, slots: int, random: bool = True, seed: int = 233, log: bool = False) -> None:
-        """With ``log`` every compaction's input is kept (level, values in order), for bounds of single values and for checks."""
+    def __init__(self, slots: int, random: bool = True, seed: int = 233, log: bool = False, records: int = 0) -> None:
+        """With ``log`` every compaction's input is kept (level, values in order), for checks.
+
+        With ``records`` (4 or more) the summary keeps, for each level, a step function of so many cells that bounds the error of
+        single values; it goes with the bytes, and its size does not follow the data.
+        """
         self.slots, self.random, self.rng = slots, random, np.random.default_rng(seed)
+        self.records = records
+        self.splits: list[Splits] = []
         self.log: list[tuple[int, np.ndarray]] | None = [] if log else None
         self.levels: list[np.ndarray] = [np.zeros(0)]
         self.compactions = [0]
@@ -90,9 +135,19 @@ class Compactor:
             self.compactions[i] += done
         if self.log is not None:
             self.log += other.log or []
+        if self.records:
+            if other.records != self.records and any(other.compactions):
+                raise ValueError("only a summary with as many records keeps a bound per value")
+            for i, splits in enumerate(other.splits):
+                self._splits(i).merge(splits)
         self._shrink()
         return self
 
+    def _splits(self, level: int) -> Splits:
+        while len(self.splits) <= level:
+            self.splits.append(Splits(self.records))
+        return self.splits[level]
+
     def _held(self) -> int:
         return sum(map(len, self.levels))
 
@@ -103,22 +158,26 @@ class Compactor:
             else:  # equal shares
                 share = self.slots / len(self.levels)
                 i = next((k for k, x in enumerate(self.levels) if len(x) >= share and len(x) > 1), max(range(len(self.levels)), key=lambda k: len(self.levels[k])))
-            if i + 1 == len(self.levels):
-                self.levels.append(np.zeros(0))
-                self.compactions.append(0)
             x = np.sort(self.levels[i])
             odd = len(x) % 2
             # the odd value stays, at either end
-            if odd and (not self.random or self.rng.integers(2)):
-                stay, x = x[-1:], x[:-1]
-            else:
-                stay, x = x[:odd], x[odd:]
-            first = int(self.rng.integers(2)) if self.random else 0
-            if self.log is not None:
-                self.log.append((i, x))
-            self.levels[i] = stay
-            self.levels[i + 1] = np.concatenate([self.levels[i + 1], x[first::2]])
-            self.compactions[i] += 1
+            at_end = odd and (not self.random or self.rng.integers(2))
+            self._compact(i, x, 0 if at_end else odd, len(x) - odd)
+
+    def _compact(self, i: int, x: np.ndarray, start: int, many: int) -> None:
+        """Every other of ``many`` of level i's sorted values ``x``, an even number from ``start`` on, moves up."""
+        if i + 1 == len(self.levels):
+            self.levels.append(np.zeros(0))
+            self.compactions.append(0)
+        run = x[start : start + many]
+        first = int(self.rng.integers(2)) if self.random else 0
+        if self.log is not None:
+            self.log.append((i, run))
+        if self.records:
+            self._splits(i).pairs(run)
+        self.levels[i] = np.concatenate([x[:start], x[start + many :]])
+        self.levels[i + 1] = np.concatenate([self.levels[i + 1], run[first::2]])
+        self.compactions[i] += 1
 
     def table(self) -> tuple[np.ndarray, np.ndarray]:
         """Values in order and the approximate number of rows up to each."""
@@ -153,15 +212,19 @@ class Compactor:
         return float(min(lo, hi)), float(hi)
 
     def error_at(self, x: float, pr: float) -> int:
-        """Rank error of one value that is not exceeded with probability ``pr``, from the logged compactions.
+        """Rank error of one value that is not exceeded with probability ``pr``, from the log or the records.
 
         A compaction changes the rank of x only if an odd number of its values are at most x: then by 2**level, else not at all.
         """
-        if self.log is None:
-            raise ValueError("a summary without log knows no bound per value")
         levels = [0] * len(self.levels)
-        for i, values in self.log:
-            levels[i] += int(np.searchsorted(values, x, "right")) % 2
+        if self.log is not None:
+            for i, values in self.log:
+                levels[i] += int(np.searchsorted(values, x, "right")) % 2
+        elif self.records:
+            for i, splits in enumerate(self.splits):
+                levels[i] = min(splits.at(x), self.compactions[i])
+        else:
+            raise ValueError("a summary without log or records knows no bound per value")
         if pr >= 1:
             return planner.max_error(levels)
         sigma = math.sqrt(sum(m * 4.0**i for i, m in enumerate(levels)))  # each by +-2**level, evenly
@@ -180,23 +243,55 @@ class Compactor:
         self._shrink()
         return self
 
+    def fit(self, budget: int) -> Compactor:
+        """Compacts just as much of the lowest levels as brings the bytes to at most ``budget``.
+
+        A level is compacted whole only if that is not enough; the last one gives up as many neighbouring pairs as are in the
+        way, at a random place, so the bytes end within one value of the budget and no more error than needed is made.
+        """
+        level = 0
+        while (over := len(self.to_bytes()) - budget) > 0:
+            while level < len(self.levels) and len(self.levels[level]) < 2:
+                level += 1
+            if level == len(self.levels):
+                raise ValueError(f"a summary of {self.n} values does not fit {budget} bytes")
+            x = np.sort(self.levels[level])
+            # a new level or its records take bytes too; the next round sees them
+            many = min(2 * -(-over // 8), len(x) // 2 * 2)
+            start = int(self.rng.integers(len(x) - many + 1)) if self.random else len(x) - many
+            self._compact(level, x, start, many)
+        return self
+
     def to_bytes(self) -> bytes:
-        """Version, kind, parameters, then compactions and values level by level."""
-        head = struct.pack("<BBIBqddH", VERSION, 0, self.slots, self.random, self.n, self.low, self.high, len(self.levels))
-        return head + b"".join(struct.pack("<qI", c, len(x)) for c, x in zip(self.compactions, self.levels)) + b"".join(np.ascontiguousarray(x, "<f8").tobytes() for x in self.levels)
+        """Version, kind, parameters, then compactions and values level by level, then edges and counts of the records."""
+        head = struct.pack("<BBIBqddHI", VERSION, 0, self.slots, self.random, self.n, self.low, self.high, len(self.levels), self.records)
+        body = b"".join(struct.pack("<qI", c, len(x)) for c, x in zip(self.compactions, self.levels)) + b"".join(np.ascontiguousarray(x, "<f8").tobytes() for x in self.levels)
+        if not self.records:
+            return head + body
+        return head + body + struct.pack("<H", len(self.splits)) + b"".join(struct.pack("<I", len(s.edges)) + s.edges.astype("<f8").tobytes() + s.counts.astype("<i8").tobytes() for s in self.splits)
 
     @classmethod
     def from_bytes(cls, state: bytes) -> Compactor:
-        _, _, slots, random, n, low, high, levels = struct.unpack_from("<BBIBqddH", state)
-        at = struct.calcsize("<BBIBqddH")
-        out = cls(slots, bool(random), seed=n)
+        head, entry = struct.Struct("<BBIBqddHI"), struct.Struct("<qI")
+        _, _, slots, random, n, low, high, levels, records = head.unpack_from(state)
+        at = head.size
+        out = cls(slots, bool(random), seed=n, records=records)
         out.n, out.low, out.high = n, low, high
-        table = [struct.unpack_from("<qI", state, at + i * struct.calcsize("<qI")) for i in range(levels)]
-        at += levels * struct.calcsize("<qI")
+        table = [entry.unpack_from(state, at + i * entry.size) for i in range(levels)]
+        at += levels * entry.size
         out.compactions, out.levels = [c for c, _ in table], []
         for _, size in table:
             out.levels.append(np.frombuffer(state, "<f8", size, at).copy())
             at += 8 * size
+        if records:
+            (many,) = struct.unpack_from("<H", state, at)
+            at += 2
+            for _ in range(many):
+                (edges,) = struct.unpack_from("<I", state, at)
+                ends = np.frombuffer(state, "<f8", edges, at + 4).copy()
+                counts = np.frombuffer(state, "<i8", edges + 1, at + 4 + 8 * edges).copy()
+                out.splits.append(Splits(records, ends, counts))
+                at += 4 + 8 * (2 * edges + 1)
         return out
 
 

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 import struct
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -206,6 +207,28 @@ def combine_histograms(histogram: DataFrame, clusters: int) -> DataFrame:
     return placed.groupBy(cluster.alias("cluster")).agg(F.sum("n").cast("long").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
 
+def rank_bounds(histogram: DataFrame, ranks: Sequence[int], cells: int = 8, page: str = "page_id") -> DataFrame:
+    """(k, least, greatest, wide_least, wide_greatest): values that enclose the value of each rank (from 1), by the pages' steps and their cells.
+
+    At least k values are at most x once cells that end by x hold k; fewer than k are, while cells that begin by x
+    hold fewer.  The wide bounds are those by steps alone.  A rank beyond all values gives nulls.
+    """
+    width = F.floor((F.col("hi") - F.col("lo")) / cells) + 1
+    begin = F.col("lo") + F.col("c.cell") * width
+    parts = {
+        "": histogram.select(page, "step", "lo", "hi", F.explode("counts").alias("c")).select(page, "step", F.col("c.cell").alias("cell"), begin.alias("lo"), F.least("hi", begin + width - 1).alias("hi"), F.col("c.n").alias("n")),
+        "wide_": histogram.select(page, "step", F.lit(0).alias("cell"), "lo", "hi", "n"),
+    }
+    out = histogram.sparkSession.createDataFrame([(int(k),) for k in ranks], "k long")
+    for name, table in parts.items():
+        for end, bound in (("lo", "least"), ("hi", "greatest")):
+            placed = running_sum(table, end, page, "step", "cell", value="n", name="upto")
+            found = placed.agg(*[F.min(F.when(F.col("upto") >= int(k), F.col(end))).alias(str(i)) for i, k in enumerate(ranks)])
+            long = found.select(F.explode(F.array(*[F.struct(F.lit(int(k)).cast("long").alias("k"), F.col(str(i)).alias(name + bound)) for i, k in enumerate(ranks)])).alias("r")).select("r.*")
+            out = out.join(F.broadcast(long.distinct()), "k", "left")
+    return out
+
+
 _STEP = "<qqI8B"
 
 

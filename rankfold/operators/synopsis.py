@@ -7,9 +7,10 @@ nodes that lie inside, and raw rows at the edges and wherever late rows overlap
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.places import count_upto, doubles
 from ..functions.ranks import MID, RankSpec
 from . import exact as E
 from .cache import held
@@ -184,6 +185,77 @@ def exact_quantile_pruned(rows: DataFrame, pages: DataFrame, v: str, q: float, *
     return found.select(F.lit(float(q)).alias("q"), "value", F.lit(n).cast("long").alias("n"), F.lit(read).cast("long").alias("rows_read"))
 
 
+def write_slabs(df: DataFrame, v: str, path: str, *tie: str, slabs: int = 64, k: int = 200) -> None:
+    """Writes ``df`` below ``path`` in about ``slabs`` folders of ascending ranges of ``v``, and the synopsis of the folders beside them.
+
+    Null values are in folder -1, NaN in folder ``slabs``.  Rows of a folder are sorted, so its files' own extremes prune
+    inside it.  ``tie`` lets rows of one value go to several tasks.
+    """
+    spark = df.sparkSession
+    x = F.col(v).cast("double")
+    sketch = df.select(x.alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x")).agg(F.expr(f"kll_sketch_agg_double(x, {max(k, 4 * slabs)})").alias("s"), F.count("*").alias("n")).first()
+    cuts = sorted(set(E.sketch_quantiles(spark, sketch["s"], [i / slabs for i in range(1, slabs)]))) if sketch["n"] else []
+    slab = F.when(x.isNull(), -1).when(F.isnan(x), slabs).otherwise(count_upto(doubles(cuts), len(cuts), x))
+    df.withColumn("slab", slab.cast("int")).repartitionByRange("slab", v, *tie).sortWithinPartitions("slab", v).write.partitionBy("slab").parquet(f"{path}/rows")
+    rows = spark.read.schema(f"`{v}` {df.schema[v].dataType.simpleString()}, slab int").parquet(f"{path}/rows")
+    synopsis(rows, v, v, k, by="slab").write.parquet(f"{path}/synopsis")
+
+
+def slab_rows(spark: SparkSession, path: str, lo: float, hi: float) -> DataFrame:
+    """The rows of the slabs that can hold values in [lo, hi]: a condition on the folders, so no other is read."""
+    ends = spark.read.parquet(f"{path}/synopsis").where((F.col("max_v") >= lo) & (F.col("min_v") <= hi)).agg(F.min("slab").alias("a"), F.max("slab").alias("b")).first()
+    return spark.read.parquet(f"{path}/rows").where(F.col("slab").between(ends["a"], ends["b"]) if ends["a"] is not None else F.lit(False))
+
+
+def exact_quantile_from_slabs(spark: SparkSession, path: str, v: str, q: float, *, rank: RankSpec = MID, k: int = 200) -> DataFrame:
+    """(q, value, n, rows_read): the exact quantile of what ``write_slabs`` wrote; only the slab of its ranks, or two, are read.
+
+    Counts of the slabs say which holds the ranks, without error; its sketch brackets them inside it.  NaN is greatest,
+    nulls do not count, no values give null.
+    """
+    stored = spark.read.parquet(f"{path}/synopsis")
+    slabs = [r for r in stored.select("slab", "n", "min_v", "max_v").orderBy("slab").collect() if r["n"]]  # as many as folders
+    schema, n = "q double, value double, n long, rows_read long", sum(r["n"] for r in slabs)
+    if not n:
+        return spark.createDataFrame([(float(q), None, 0, 0)], schema)
+    k1, k2 = rank.ranks(q, n)
+    upto, chosen = 0, []
+    for r in slabs:
+        if upto < k2 and upto + r["n"] >= k1:
+            chosen.append((r, upto))
+        upto += r["n"]
+    if chosen[-1][0]["max_v"] != chosen[-1][0]["max_v"]:
+        return spark.createDataFrame([(float(q), float("nan"), n, 0)], schema)
+    below, m = chosen[0][1], sum(r["n"] for r, _ in chosen)
+    low, high = chosen[0][0]["min_v"], chosen[-1][0]["max_v"]
+    own = F.col("slab").between(chosen[0][0]["slab"], chosen[-1][0]["slab"])
+    run = E._Run(spark.read.parquet(f"{path}/rows").where(own), v, 8 * 3 * k, None, E.SURVIVORS, E.MAX_PASSES)
+    run.n = run.real = m
+    run.lo, run.hi = low, high
+    bracket = E.Bracket(k1 - below, k2 - below, low, high, low, high)
+    E._from_kll(run, [bracket], stored.where(own).agg(F.expr("kll_merge_agg_double(sketch)").alias("s")).first()["s"], m, k)
+    E._resolve(run, [bracket])
+    return spark.createDataFrame([(float(q), (bracket.found[k1 - below] + bracket.found[k2 - below]) * 0.5, n, m)], schema)
+
+
+def rows_scanned(df: DataFrame) -> int:
+    """Runs ``df`` and returns the rows that its scans of files gave out, by their metrics."""
+    df.collect()
+    total, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        elif name == "FileSourceScanExec":
+            total += node.metrics().get("numOutputRows").get().value()
+        else:
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+    return total
+
+
 def prune_by_time(pages: DataFrame, lo, hi) -> DataFrame:
     """(page_id, use): ``whole`` pages lie in [lo, hi), ``edge`` pages overlap it."""
     use = F.when((F.col("min_t") >= lo) & (F.col("max_t") < hi), "whole").when((F.col("min_t") < hi) & (F.col("max_t") >= lo), "edge")

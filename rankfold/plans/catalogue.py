@@ -767,3 +767,85 @@ def page_pruned_share(spark, sf_dir):
     rows = synopsis.paged(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice"), "l_extendedprice", "l_orderkey", "l_linenumber", rows=256)
     got = synopsis.exact_quantile_pruned(rows, synopsis.synopsis(rows, "l_orderkey", "l_extendedprice"), "l_extendedprice", 0.5)
     return got.select("q", "value", (F.col("rows_read") < 0.5 * F.col("n")).alias("spared"))
+
+
+@query
+def slab_pruned_q(spark, sf_dir):
+    """(q, value, n, spared): exact quantiles from folders by ranges of values; by the scan's own metrics, less than half of the rows is read."""
+    lines, path = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice"), text.scratch_path(spark, "slabs")
+    synopsis.write_slabs(lines, "l_extendedprice", path, "l_orderkey", "l_linenumber", slabs=16)
+
+    def one(q: float) -> DataFrame:
+        got = synopsis.exact_quantile_from_slabs(spark, path, "l_extendedprice", q)
+        value = got.first()["value"]
+        read = synopsis.rows_scanned(synopsis.slab_rows(spark, path, value, value).select(F.max("l_extendedprice")))
+        return got.select("q", "value", "n", ((F.col("rows_read") < 0.5 * F.col("n")) & (F.lit(read) < 0.5 * F.col("n"))).alias("spared"))
+
+    return reduce(DataFrame.unionByName, [one(q) for q in (0.05, 0.5, 0.99)])
+
+
+@query
+def late_stream_pages(spark, sf_dir):
+    """Pages of a day, kept by a stream of arrivals that is started anew for each fifth of them; late rows are counted and kept apart."""
+    from ..streaming.windows import stored_late, stored_pages, upsert_pages
+
+    rows, path = held(_arrivals(spark, sf_dir)), text.scratch_path(spark, "upkeep")
+    ends = rows.agg(F.min("arrival").alias("a"), F.max("arrival").alias("b")).first()
+    part = F.floor((F.col("arrival") - F.lit(ends["a"])) * 5 / F.lit(ends["b"] - ends["a"] + 1)) if ends["a"] is not None else F.lit(0)
+    for k in range(5):
+        rows.where(part == k).write.mode("append").parquet(f"{path}/arrivals")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{path}/arrivals")
+        upsert_pages(stream, "t", "v", "1 day", f"{path}/kept", f"{path}/checkpoint", fold_every=2).awaitTermination()
+    late = stored_late(spark, f"{path}/kept").groupBy(F.date_trunc("day", "t").cast("timestamp_ntz").alias("page")).agg(F.count("*").alias("n_kept"))
+    pages = stored_pages(spark, f"{path}/kept").join(late, "page", "left")
+    return pages.select(F.date_format("page", "yyyy-MM-dd").alias("day"), "n", "n_late", F.coalesce("n_kept", F.lit(0)).alias("n_kept"), "min_t", "max_t", "min_v", "max_v", F.round("total", 4).alias("total"), F.when(F.col("n") > 0, F.expr("kll_sketch_get_n_double(sketch)")).otherwise(0).alias("sketch_n"))
+
+
+def _counted_probes(spark, rows: DataFrame, probes: list[float]) -> DataFrame:
+    """(probe, rank): exact numbers of values at most each probe, in one pass."""
+    counts = rows.agg(*[F.count_if(F.col("v") <= x).alias(str(i)) for i, x in enumerate(probes)])
+    return counts.select(F.explode(F.array(*[F.struct(F.lit(x).alias("probe"), F.col(str(i)).alias("rank")) for i, x in enumerate(probes)])).alias("r")).select("r.*")
+
+
+@query
+def value_bounds(spark, sf_dir):
+    """(probe, rank, within, small): each probe's estimated rank errs no more than its own bound, in a state whose size does not follow the rows."""
+    rows, slots, records = table(spark, sf_dir, "lineitem").select(F.col("l_extendedprice").cast("double").alias("v")), 512, 64
+    state = sketches.tree_merge(rows, "v", lambda: sketches.Compactor(slots, records=records))
+    levels = len(state.levels)
+    probes = [5000.0 * i for i in range(1, 21)]
+    known = spark.createDataFrame([(x, state.rank(x), state.error_at(x, 1.0)) for x in probes], "probe double, estimate long, most long")
+    small = len(state.to_bytes()) <= 8 * slots + levels * (16 * records + 24) + 64
+    return _counted_probes(spark, rows, probes).join(F.broadcast(known), "probe").select("probe", "rank", (F.abs(F.col("estimate") - F.col("rank")) <= F.col("most")).alias("within"), F.lit(small).alias("small"))
+
+
+def _budgeted(make) -> Query:
+    def run(spark, sf_dir):
+        rows, budget = table(spark, sf_dir, "lineitem").select(F.col("l_extendedprice").cast("double").alias("v")), 3000
+        state = sketches.tree_merge(rows, "v", make).fit(budget).to_bytes()
+        got, probes = sketches.load(state), [20_000.0, 35_000.0, 50_000.0, 90_000.0]
+        known = spark.createDataFrame([(x, got.rank(x)) for x in probes], "probe double, estimate long")
+        off = F.abs(F.col("estimate") - F.col("rank")) <= F.lit(got.error(1.0))
+        full = 0.9 * budget < len(state) <= budget
+        return _counted_probes(spark, rows, probes).join(F.broadcast(known), "probe").select("probe", "rank", off.alias("within"), F.lit(full).alias("fits"), F.lit(got.exact()).alias("exact"))
+
+    return run
+
+
+#: Summaries with far fewer slots than rows, brought to a budget of bytes, stored and loaded; the ledger bounds their error.
+QUERIES["ledger_budget_rank"] = _budgeted(lambda: sketches.Compactor(1 << 10))
+QUERIES["mrl_budget_rank"] = _budgeted(lambda: sketches.Compactor(1 << 10, random=False))
+
+
+@query
+def histogram_rank_bounds(spark, sf_dir):
+    """(q, value, holds, narrower): page histograms enclose exact quantiles, and their cells do so more closely than their steps."""
+    prices, qs = table(spark, sf_dir, "lineitem").select(F.floor("l_extendedprice").cast("double").alias("v")).where("v IS NOT NULL"), [0.1, 0.5, 0.9]
+    n = prices.count()
+    ranks = {q: R.MID.ranks(q, n) for q in qs}
+    bounds = held(summaries.rank_bounds(summaries.page_histogram(_pages(spark, sf_dir), "page_id", "l_extendedprice", 512), sorted({k for both in ranks.values() for k in both})))
+    asked = spark.createDataFrame([(q, k1, k2) for q, (k1, k2) in ranks.items()], "q double, k1 long, k2 long")
+    low = bounds.select(F.col("k").alias("k1"), "least", "wide_least")
+    high = bounds.select(F.col("k").alias("k2"), "greatest", "wide_greatest")
+    both = E.exact_quantiles(prices, "v", qs).select("q", "value").join(asked, "q").join(low, "k1").join(high, "k2")
+    return both.select("q", "value", F.col("value").between(F.col("least"), F.col("greatest")).alias("holds"), (F.col("greatest") - F.col("least") < F.col("wide_greatest") - F.col("wide_least")).alias("narrower"))

@@ -51,6 +51,18 @@ _LATE = """a AS (SELECT event_id, ts AS t, value AS v, event_id * 10 + CASE WHEN
     p AS (SELECT *, (row_number() OVER (ORDER BY arrival, event_id) - 1) // 200 AS flush FROM a),
     f AS (SELECT flush, max(max(t)) OVER (ORDER BY flush ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS sealed FROM p GROUP BY flush),
     l AS (SELECT p.*, coalesce(t <= sealed, false) AS is_late FROM p JOIN f USING (flush))"""
+#: Fifths of the arrivals are batches; what is not after the batches before is late.
+_LATE_STREAM = """
+    WITH a AS (SELECT ts AS t, value AS v, event_id * 10 + CASE WHEN event_id % 10 = 3 THEN 3001 ELSE 0 END AS arrival FROM events),
+    e AS (SELECT min(arrival) AS a, max(arrival) AS b FROM a),
+    p AS (SELECT t, v, (arrival - e.a) * 5 // (e.b - e.a + 1) AS batch FROM a, e),
+    s AS (SELECT batch, max(max(t)) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS sealed FROM p GROUP BY batch),
+    l AS (SELECT p.*, coalesce(t <= sealed, false) AS late FROM p JOIN s USING (batch))
+    SELECT strftime(date_trunc('day', t), '%Y-%m-%d') AS day, count(*) FILTER (WHERE NOT late) AS n, count(*) FILTER (WHERE late) AS n_late, count(*) FILTER (WHERE late) AS n_kept,
+           min(t) FILTER (WHERE NOT late) AS min_t, max(t) FILTER (WHERE NOT late) AS max_t, min(v) FILTER (WHERE NOT late) AS min_v, max(v) FILTER (WHERE NOT late) AS max_v,
+           round(sum(v) FILTER (WHERE NOT late), 4) AS total, count(*) FILTER (WHERE NOT late) AS sketch_n
+    FROM l GROUP BY 1
+"""
 _LATE_PAGES = "SELECT *, (row_number() OVER (ORDER BY t, event_id) - 1) // 256 AS page_id FROM l WHERE NOT is_late"
 
 
@@ -194,4 +206,10 @@ def oracle_sql() -> dict[str, str]:
         "session_totals": "WITH g AS (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 2 HOUR THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM g) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(value) AS n, min(value) AS lo, max(value) AS hi, count(value) AS sketch_n FROM s GROUP BY user_id, session",
     }
     out |= {name: "SELECT probe, count(*) FILTER (WHERE s_acctbal <= probe) AS rank FROM supplier, (SELECT unnest([-500.0::DOUBLE, 0.0, 2500.0, 9000.0]) AS probe) p GROUP BY probe" for name in ("ledger_bytes_rank", "mrl_bytes_rank", "cluster_bytes_rank")}
+    price_ranks = "SELECT probe, count(*) FILTER (WHERE l_extendedprice <= probe) AS rank, true AS within, {} FROM lineitem, ({}) p GROUP BY probe"
+    out["value_bounds"] = price_ranks.format("true AS small", "SELECT 5000.0::DOUBLE * i AS probe FROM range(1, 21) r(i)")
+    out |= {name: price_ranks.format("true AS fits, false AS exact", "SELECT unnest([20000.0::DOUBLE, 35000.0, 50000.0, 90000.0]) AS probe") for name in ("ledger_budget_rank", "mrl_budget_rank")}
+    out["slab_pruned_q"] = _pick("lineitem", "l_extendedprice", _values([0.05, 0.5, 0.99]), R.MID, out="q, value, n, true AS spared")
+    out["histogram_rank_bounds"] = _pick("(SELECT floor(l_extendedprice) AS v FROM lineitem)", "v", _values([0.1, 0.5, 0.9]), R.MID, out="q, value, true AS holds, true AS narrower")
+    out["late_stream_pages"] = _LATE_STREAM
     return out

@@ -1,3 +1,5 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,3 +69,25 @@ def test_streaming_windows_and_late_rows(spark, tmp_path):
     query.awaitTermination()
     now, late = (spark.read.parquet(str(tmp_path / x)).count() for x in ("now", "late"))
     assert now + late == 6 and late >= 1
+
+
+def test_pages_kept_by_a_stream_survive_a_replayed_batch(spark, tmp_path):
+    source, kept, check = (str(tmp_path / x) for x in ("in", "kept", "check"))
+    batches = [[("2024-01-01 05:00:00", 1.0), ("2024-01-02 06:00:00", 2.0)], [("2024-01-01 09:00:00", 50.0), ("2024-01-03 01:00:00", 4.0), (None, 9.0)], [("2024-01-03 02:00:00", -1.0), ("2024-01-03 01:00:00", 70.0), ("2024-01-04 00:00:00", None)]]
+    schema = "t timestamp_ntz, v double"
+
+    def run():
+        windows.upsert_pages(spark.readStream.schema(schema).parquet(source), "t", "v", "1 day", kept, check, fold_every=2).awaitTermination()
+        pages = windows.stored_pages(spark, kept).orderBy("page").select(F.dayofmonth("page"), "n", "n_late", "total", "min_v", "max_v").collect()
+        return list(map(tuple, pages)), sorted(map(str, windows.stored_late(spark, kept).select("v", "batch").collect()))
+
+    for rows in batches:
+        spark.createDataFrame([(t, v) for t, v in rows], "t string, v double").select(F.col("t").cast("timestamp_ntz"), "v").coalesce(1).write.mode("append").parquet(source)
+        got = run()
+    assert got[0] == [(1, 1, 1, 1.0, 1.0, 1.0), (2, 1, 0, 2.0, 2.0, 2.0), (3, 2, 1, 3.0, -1.0, 4.0), (4, 1, 0, None, None, None)]
+    assert [x.split("batch")[0] for x in got[1]] == ["Row(v=50.0, ", "Row(v=70.0, ", "Row(v=9.0, "]
+    for _ in range(2):  # the run died before the last batch was committed: it is run again
+        for name in ("2", ".2.crc"):
+            os.remove(f"{check}/commits/{name}")
+        assert run() == got
+    assert windows.stored_pages(spark, kept, 0).agg(F.sum("n")).first()[0] == 2

@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -198,3 +199,69 @@ def test_quantiles_from_a_cover_stay_within_their_bound(spark):
 
 def test_samples_err_by_their_size():
     assert [summaries.sample_error(m) for m in (16, 900)] == [pytest.approx(1 / 12), pytest.approx(1 / 90)]
+
+
+def test_records_bound_single_values_in_bounded_bytes():
+    r = np.random.default_rng(12)
+    sizes, closer = [], 0
+    for trial, n in enumerate([20_000, 20_000, 80_000]):
+        x = np.cumsum(r.normal(size=n) + 0.5) if trial % 2 else np.round(r.normal(size=n), 2)
+        parts = [load(Compactor(256, seed=trial + 7 * k, records=32).update(y).to_bytes()) for k, y in enumerate(np.array_split(x, 3))]
+        state = load(parts[0].merge(parts[1]).merge(parts[2]).to_bytes())
+        for v in np.linspace(x.min() - 1, x.max() + 1, 40):
+            assert abs(state.rank(v) - int((x <= v).sum())) <= state.error_at(v, 1.0) <= state.error(1.0)
+            closer += state.error_at(v, 1.0) < state.error(1.0)
+        assert all(len(s.edges) <= 32 for s in state.splits)
+        sizes.append(len(state.to_bytes()))
+    assert closer > 40 and max(sizes) < 256 * 8 + 14 * (32 * 16 + 40)
+    with pytest.raises(ValueError):
+        Compactor(64, records=16).update(np.arange(10.0)).merge(Compactor(64).update(np.arange(500.0)))
+
+
+@pytest.mark.parametrize("random_parity", [True, False])
+def test_bytes_fit_a_budget(random_parity):
+    x = np.random.default_rng(3).gamma(2.0, size=50_000)
+    for budget in (600, 1500, 4000):
+        state = Compactor(1024, random=random_parity, seed=4).update(x)
+        assert len(state.to_bytes()) > budget
+        got = load(state.fit(budget).to_bytes())
+        assert budget - 24 <= len(got.to_bytes()) <= budget and got.n == len(x)
+        for v in np.quantile(x, [0.0, 0.1, 0.5, 0.99, 1.0]):
+            assert abs(got.rank(v) - int((x <= v).sum())) <= got.error(1.0)
+    small = Compactor(1024).update(x[:20])
+    assert small.fit(4000).exact()
+    with pytest.raises(ValueError):
+        small.fit(10)
+
+
+def test_slabs_spare_the_scan(spark, tmp_path):
+    r = np.random.default_rng(5)
+    x = [float(v) for v in np.round(r.normal(size=3000), 1)] + [7.0] * 1500 + [None] * 20
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(x)], "id long, v double")
+    path = str(tmp_path / "slabs")
+    synopsis.write_slabs(df, "v", path, "id", slabs=12)
+    own = sorted(v for v in x if v is not None)
+    for q in (0.0, 0.3, 0.66, 0.9, 1.0):
+        got = synopsis.exact_quantile_from_slabs(spark, path, "v", q).first()
+        k1, k2 = R.MID.ranks(q, len(own))
+        assert got["value"] == (own[k1 - 1] + own[k2 - 1]) / 2 and got["n"] == len(own) and got["rows_read"] <= 2000
+    assert synopsis.rows_scanned(synopsis.slab_rows(spark, path, -0.5, -0.4)) < 1000
+    assert synopsis.rows_scanned(spark.read.parquet(f"{path}/rows")) == len(x)
+    nans = spark.createDataFrame([(1, 1.0), (2, math.nan), (3, math.nan)], "id long, v double")
+    synopsis.write_slabs(nans, "v", str(tmp_path / "nan"), slabs=4)
+    assert [synopsis.exact_quantile_from_slabs(spark, str(tmp_path / "nan"), "v", q).first()["value"] for q in (0.0, 1.0)] == [1.0, pytest.approx(math.nan, nan_ok=True)]
+    synopsis.write_slabs(df.where("v IS NULL"), "v", str(tmp_path / "none"), slabs=4)
+    assert synopsis.exact_quantile_from_slabs(spark, str(tmp_path / "none"), "v", 0.5).first()["value"] is None
+
+
+def test_cells_enclose_ranks_more_closely_than_steps(spark):
+    r = random.Random(3)
+    x = [r.randrange(10_000) for _ in range(2000)]
+    df = spark.createDataFrame([(k // 100, v) for k, v in enumerate(x)], "page_id long, v long")
+    ranks = [1, 37, 1000, 1999, 2000, 2001]
+    got = {b["k"]: b for b in summaries.rank_bounds(summaries.page_histogram(df, "page_id", "v", 25), ranks).collect()}
+    for k in ranks[:-1]:
+        b = got[k]
+        assert b["wide_least"] <= b["least"] <= sorted(x)[k - 1] <= b["greatest"] <= b["wide_greatest"]
+    assert got[1000]["greatest"] - got[1000]["least"] < 0.5 * (got[1000]["wide_greatest"] - got[1000]["wide_least"])
+    assert got[2001]["least"] is None and got[2001]["greatest"] is None
