@@ -2,13 +2,13 @@
 
 Every run of text in a page has a path of tags from the root to its leaf.  Per path, the amount of text and of
 punctuation over the number of its nodes is aggregated, text of links left out of the amount; both ratios are smoothed over the order in which the paths'
-nodes come in the page, fused by their product, weighted, and paths over a threshold are content.  The ratios decide on
-every page, inside an article or main part and outside.
+nodes come in the page, fused by their geometric mean, weighted, and paths whose mean reaches a share of the page's are content.
+So a short path apart from the text falls, whatever it is called: an advert in a plain ``div``, a teaser in an article of its own.
 
-Weights: a block in an article or main part counts somewhat more, one below a class or id that names adverts, notices or
-reader comments a thousandth, one below a name that may mean such (``related``, ``search``) half, in a main part in full.
-The threshold comes from the blocks without such a name, if there are any.  Only elements and roles by which HTML itself
-says menu, header, footer, sidebar, form or dialogue take no part at all, nor do those whose content is no text.
+Weights: where a page has an article or main part, a block outside of it counts a third.  A block below a class or id that
+names adverts, notices or reader comments counts a tenth, one below a name that may mean such (``related``, ``search``) half, in a
+main part in full.  The page's mean comes from the blocks without such a name, if there are any.  Only elements and roles by
+which HTML itself says menu, header, footer, sidebar, form or dialogue take no part at all, nor do those whose content is no text.
 
 Pages are independent: the operator is a map over rows, in one pass over each whole page.
 """
@@ -40,8 +40,8 @@ DOUBTFUL_WORD = re.compile(r"(?:^|[\s_-])(?:side|nav\w*|related|recommend\w*|sea
 MAIN = ("article", "main")
 #: Blogs name an article's tags and options in its class, so there a name must begin with the word and say a comment, teaser or advert.
 MAIN_FURNITURE_WORD = re.compile(r"(?:^|\s)(?:ads?|advert\w*|promo\w*|sponsor\w*|comments?|reply|replies|disqus|respond|related|recommend\w*|teasers?|widget\w*|newsletter|sidebar)(?:$|\s|[_-]+(?:\d+|body|box|card|content|entry|item|list|posts?|text)(?:$|\s))", re.I)
-#: What the ratios of a block are multiplied with: in a main part, below a doubtful name, below a name of furniture.
-MAIN_WEIGHT, DOUBTFUL, NAMED = 1.25, 0.5, 0.001
+#: What the ratios of a block are multiplied with: outside of the page's main parts, below a doubtful name, below a name of furniture.
+OUTSIDE, DOUBTFUL, NAMED = 1 / 3, 0.5, 0.1
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
@@ -67,12 +67,12 @@ def _weight(tag: str, attributes: str, inside_main: bool) -> float:
     return DOUBTFUL if tag not in MAIN and not inside_main and DOUBTFUL_WORD.search(names) else 1.0
 
 
-def _blocks(page: str) -> list[tuple[str, str, bool, float, int]]:
-    """(path, text, in a main part, weight by names, characters outside of links) of each block that is no furniture, in page order."""
-    out: list[tuple[str, str, bool, float, int]] = []
+def _blocks(page: str) -> list[tuple[str, str, int, float, int]]:
+    """(path, text, number of the main part that it is in or 0, weight by names, characters outside of links) of each block that is no furniture, in page order."""
+    out: list[tuple[str, str, int, float, int]] = []
     stack: list[tuple[str, float]] = []  # tag, least weight here and above
     parts: list[str] = []
-    mains, at, path, weight, linked = 0, 0, "", 1.0, 0
+    mains, main, at, path, weight, linked = 0, 0, 0, "", 1.0, 0
 
     def close() -> None:
         nonlocal linked
@@ -80,7 +80,7 @@ def _blocks(page: str) -> list[tuple[str, str, bool, float, int]]:
             text = SPACES.sub(" ", html.unescape("".join(parts))).strip()
             parts.clear()
             if text:
-                out.append((path, text, mains > 0, weight, max(len(text) - linked, 0)))
+                out.append((path, text, main if mains else 0, weight, max(len(text) - linked, 0)))
             linked = 0
 
     size = len(page)
@@ -122,7 +122,9 @@ def _blocks(page: str) -> list[tuple[str, str, bool, float, int]]:
         if tag in VOID or m[3].endswith("/"):
             continue
         stack.append((tag, min(stack[-1][1] if stack else 1.0, _weight(tag, m[3], mains > 0))))
-        mains += tag in MAIN
+        if tag in MAIN:
+            main += not mains
+            mains += 1
     close()
     return out
 
@@ -132,8 +134,8 @@ def _smoothed(ratio: np.ndarray, kernel: np.ndarray) -> np.ndarray:
     return sum(w * padded[k : k + len(ratio)] for k, w in enumerate(kernel))
 
 
-def _content_paths(blocks: list[tuple[str, str, bool, float, int]], spread: float, share: float) -> set[tuple]:
-    """The (path, in a main part, weight) whose mean weighted ratio reaches ``share`` of the deviation of the plain ones, or of half or all of their mean if that lies above or below.
+def _content_paths(blocks: list[tuple[str, str, int, float, int]], spread: float, share: float) -> set[tuple]:
+    """The (path, main part, weight) whose mean weighted ratio reaches ``share`` of the mean of the plain ones.
 
     Nothing is smoothed across the edge of a main part, or between blocks of different weights.
     """
@@ -152,24 +154,23 @@ def _content_paths(blocks: list[tuple[str, str, bool, float, int]], spread: floa
     inside, weight = np.array([m for _, m, _ in keys]), np.array([w for _, _, w in keys])
     edges = np.flatnonzero((inside[1:] != inside[:-1]) | (weight[1:] != weight[:-1])) + 1
     smooth = np.concatenate([_smoothed(run, kernel) for run in np.split(ratio, edges)])
-    fused = smooth[:, 0] * smooth[:, 1]
-    plain = fused[weight == 1.0] if (weight == 1.0).any() else fused * weight
-    bound = share * min(max(plain.std(), plain.mean() / 2), plain.mean())
-    fused = fused * weight * np.where(inside, MAIN_WEIGHT, 1.0)
+    fused = np.sqrt(smooth[:, 0] * smooth[:, 1])
+    bound = share * (fused[weight == 1.0] if (weight == 1.0).any() else fused * weight).mean()
+    fused = fused * weight * np.where((inside > 0) | ~inside.any(), 1.0, OUTSIDE)
     by_path: dict[tuple, list[float]] = {}
     for k, f in zip(keys, fused):
         by_path.setdefault(k, []).append(f)
     return {k for k, f in by_path.items() if sum(f) / len(f) >= bound}
 
 
-def main_text(page: str | None, spread: float = 1.0, share: float = 0.1) -> str:
+def main_text(page: str | None, spread: float = 1.0, share: float = 0.3) -> str:
     """The article of a page: its content blocks in page order, joined by one space."""
     blocks = _blocks(page) if page else []
     keep = _content_paths(blocks, spread, share) if blocks else set()
     return " ".join(body for path, body, main, weight, _ in blocks if (path, main, weight) in keep)
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", spread: float = 1.0, share: float = 0.1) -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", spread: float = 1.0, share: float = 0.3) -> DataFrame:
     """One row per page: ``id_col``, ``url_col``, text (empty if none), n_chars (its code points).
 
     A null or empty page has an empty text.  Character references are decoded; white space inside a block becomes one

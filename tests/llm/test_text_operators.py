@@ -646,7 +646,16 @@ def test_html_named_furniture_goes_even_if_long(name):
     assert all(f"number {k}," in alone for k in range(8))
 
 
-def ratios_by_hand(blocks, spread=1.0, share=0.1):
+def test_html_ratios_find_what_no_name_tells():
+    text = "".join(f"<p>{SENTENCE * 3}</p>" for _ in range(4))
+    advert, teaser = "<div>Buy two lamps now.</div>", "<article><p>Read on here.</p></article>"
+    for page in (f"<article><h1>A title of some words</h1>{text}</article>{teaser}", f"{advert}<article>{text}</article>", f"<main>{text}</main>{advert}{teaser}", f"<div>{text}</div>{advert}"):
+        got = html_extract.main_text(f"<body>{page}</body>")
+        assert got.count(SENTENCE.strip()) == 12 and "lamps" not in got and "Read on" not in got
+    assert "A title of some words" in html_extract.main_text(f"<body><article><h1>A title of some words</h1>{text}</article>{teaser}</body>")
+
+
+def ratios_by_hand(blocks, spread=1.0, share=0.3):
     """The definition, block by block and in plain sums."""
     def per_path(count):
         return [sum(count(o) for o in blocks if (o[0], *o[2:4]) == (b[0], *b[2:4])) for b in blocks]
@@ -661,12 +670,11 @@ def ratios_by_hand(blocks, spread=1.0, share=0.1):
     for k in range(len(blocks)):
         first, last = runs.index(runs[k]), len(runs) - 1 - runs[::-1].index(runs[k])
         near = [min(max(k + d, first), last) for d in range(-3, 4)]
-        fused.append(np.prod([sum(w * r[j] for w, j in zip(weigh, near)) / sum(weigh) for r in (text, marks)]))
+        fused.append(np.prod([sum(w * r[j] for w, j in zip(weigh, near)) / sum(weigh) for r in (text, marks)]) ** 0.5)
     plain = [f for f, b in zip(fused, blocks) if b[3] == 1.0] or [f * b[3] for f, b in zip(fused, blocks)]
-    mean = sum(plain) / len(plain)
-    deviation = (sum((f - mean) ** 2 for f in plain) / len(plain)) ** 0.5
-    bound = share * min(max(deviation, mean / 2), mean)
-    fused = [f * b[3] * (1.25 if b[2] else 1.0) for f, b in zip(fused, blocks)]
+    bound = share * sum(plain) / len(plain)
+    a_main = any(b[2] for b in blocks)
+    fused = [f * b[3] * (1.0 if b[2] or not a_main else 1 / 3) for f, b in zip(fused, blocks)]
     same = lambda b: [f for f, o in zip(fused, blocks) if (o[0], *o[2:4]) == (b[0], *b[2:4])]
     return " ".join(b[1] for b in blocks if sum(same(b)) / len(same(b)) >= bound)
 
