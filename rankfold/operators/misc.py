@@ -12,17 +12,21 @@ def bloom_build(df: DataFrame, key: str, expected: int, fpp: float = 0.01) -> Da
     """(word, bits): the set 64-bit words of a Bloom filter; sizes follow from the expected keys and the error rate."""
     m, hashes = bloom_size(expected, fpp)
     at = F.explode(F.array(*[F.pmod(F.xxhash64(F.col(key), F.lit(i)), F.lit(m)) for i in range(hashes)]))
-    places = df.where(F.col(key).isNotNull()).select(at.alias("at")).distinct()
+    places = df.select(key).where(F.col(key).isNotNull()).distinct().select(at.alias("at"))
     return places.groupBy(F.floor(F.col("at") / 64).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits"))
 
 
 def bloom_probe(df: DataFrame, key: str, bloom: DataFrame, expected: int, fpp: float = 0.01) -> DataFrame:
-    """``df`` with ``might_contain``.  The filter is joined by word, a row for each hash."""
+    """``df`` with ``might_contain``.  The filter is joined by word, a row for each hash.
+
+    Both joins are told to shuffle: Spark sizes the keys by their file, compressed and without the rows of the hashes, and would send
+    them through the driver.
+    """
     m, hashes = bloom_size(expected, fpp)
     keys = df.select(key).where(F.col(key).isNotNull()).distinct()
     asked = keys.select(key, F.explode(F.array(*[F.pmod(F.xxhash64(F.col(key), F.lit(i)), F.lit(m)) for i in range(hashes)])).alias("at")).withColumn("word", F.floor(F.col("at") / 64))
-    hit = asked.join(bloom, "word").where(F.expr("(bits & shiftleft(1L, cast(at % 64 as int))) != 0")).groupBy(key).agg((F.count("*") == hashes).alias("might_contain"))
-    return df.join(hit, key, "left").withColumn("might_contain", F.coalesce("might_contain", F.lit(False)))
+    hit = asked.join(bloom.hint("merge"), "word").where(F.expr("(bits & shiftleft(1L, cast(at % 64 as int))) != 0")).groupBy(key).agg((F.count("*") == hashes).alias("might_contain"))
+    return df.join(hit.hint("merge"), key, "left").withColumn("might_contain", F.coalesce("might_contain", F.lit(False)))
 
 
 def bloom_write(bloom: DataFrame, path: str, expected: int, fpp: float) -> None:

@@ -466,7 +466,7 @@ def bloom_probe(spark, sf_dir):
     bloom = misc.bloom_build(orders, "o_custkey", n, 0.01)
     keys = customers.select(F.col("c_custkey").alias("k")).unionByName(customers.select((-1 - F.col("c_custkey")).alias("k")))
     true = orders.select(F.col("o_custkey").alias("k")).distinct().withColumn("is_key", F.lit(True))
-    got = misc.bloom_probe(keys, "k", bloom, n, 0.01).join(true, "k", "left").withColumn("is_key", F.coalesce("is_key", F.lit(False)))
+    got = misc.bloom_probe(keys, "k", bloom, n, 0.01).join(true.hint("merge"), "k", "left").withColumn("is_key", F.coalesce("is_key", F.lit(False)))
     return got.agg(F.count_if(F.col("is_key")).alias("keys"), F.count_if(F.col("is_key") & F.col("might_contain")).alias("found"), (F.count_if(~F.col("is_key") & F.col("might_contain")) <= 0.05 * F.count("*")).alias("few_false"))
 
 

@@ -143,6 +143,16 @@ def test_merged_prefixes_and_filters_keep_all(spark, tmp_path):
     assert counts[True] == 5000 and counts[False] < 250
 
 
+def test_probed_keys_never_pass_through_the_driver(spark, tmp_path):
+    # a small file of many keys: by its size, Spark would broadcast a row for each hash of each key
+    spark.range(20_000).select(F.col("id").alias("k")).write.parquet(str(tmp_path / "keys"))
+    keys = spark.read.parquet(str(tmp_path / "keys"))
+    got = misc.bloom_probe(keys, "k", misc.bloom_build(keys.where("k % 2 = 0"), "k", 10_000, 0.01), 10_000, 0.01)
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    counts = {r["even"]: r["n"] for r in got.groupBy((F.col("k") % 2 == 0).alias("even")).agg(F.count_if("might_contain").alias("n")).collect()}
+    assert counts[True] == 10_000 and counts[False] < 500
+
+
 def test_nested_windows_fall_back(spark):
     values = [float((k * 7919) % 1009) for k in range(1009)]
     df = spark.createDataFrame([(v,) for v in values], "v double")
