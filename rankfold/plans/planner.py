@@ -21,7 +21,9 @@ PR_LIST = (0.70, 0.72, 0.74, 0.76, 0.78, 0.80, 0.82, 0.84, 0.86, 0.88, 0.90, 0.9
 
 
 #: Times its slots that a summary is filled in simulations; larger ones are continued by rule.
-SIMULATED = 4096
+SIMULATED = 256
+#: Leading bits of a number of items that plans tell apart, so that a search simulates few of them, whatever their number.
+COARSE = 5
 
 
 def capacities(levels: int, slots: int, least: int = 3) -> list[int]:
@@ -126,12 +128,18 @@ class Plan:
     passes: float
 
 
+def coarse(n: int) -> int:
+    """``n`` without its bits behind the leading ones."""
+    left = max(0, n.bit_length() - COARSE)
+    return n >> left << left
+
+
 def expected_passes(n: float, slots: int, pr: float, m: int = 1, depth: int = 0) -> float:
     """Passes to come over n candidates: one if they fit, else one and those of the next bracket."""
     share = slots / m
     if n <= share or depth >= 12:
         return 1.0
-    compactions = simulate_compactions(int(n), max(16, int(share)))
+    compactions = simulate_compactions(coarse(int(n)), max(16, int(share)))
     each = pr ** (1.0 / m)
     e, worst, sigma = error_bound(compactions, each), max_error(compactions), math.sqrt(variance(compactions))
     hit = 2.0 * max(e, 1)

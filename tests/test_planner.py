@@ -50,6 +50,22 @@ def test_best_pr_is_no_worse_than_the_list():
     assert P.expected_passes(100, 1000, 0.9) == 1.0
 
 
+def test_planning_does_not_follow_the_rows(monkeypatch):
+    steps, plain = [0], P.next_level
+
+    def counted(sizes, caps):
+        steps[0] += 1
+        if steps[0] > 600_000:
+            raise AssertionError("a plan simulates too many compactions")
+        return plain(sizes, caps)
+
+    monkeypatch.setattr(P, "next_level", counted)
+    for n, slots, m in ((10**6, 128, 1), (10**9, 128, 1), (10**9, 1 << 17, 500)):
+        P.simulate_compactions.cache_clear()
+        steps[0] = 0
+        assert 0.5 <= P.best_pr(n, slots, m).pr < 1
+
+
 def test_bound_coverage():
     r = np.random.default_rng(7)
     misses = 0
