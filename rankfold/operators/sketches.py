@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from ..plans import planner
 
 FAN_IN = 32
+#: Values that a compacting summary sorts at once when it takes in batches.
+BATCH = 1 << 14
 #: First byte of every serialized summary.
 VERSION = 2
 
@@ -124,6 +126,21 @@ class Compactor:
             self._shrink()
         return self
 
+    def absorb(self, values: np.ndarray) -> Compactor:
+        """As ``update``, for values that are in memory anyway: up to ``BATCH`` of them join at once, before anything is compacted.
+
+        A long sorted run halves in one compaction, with the error of one.  Joined as slots come free, the same values take hundreds of
+        short ones, each at its own cost and error.
+        """
+        values = np.asarray(values, np.float64)
+        if len(values):
+            self.n += len(values)
+            self.low, self.high = min(self.low, values.min()), max(self.high, values.max())
+        for at in range(0, len(values), BATCH):
+            self.levels[0] = np.concatenate([self.levels[0], values[at : at + BATCH]])
+            self._shrink()
+        return self
+
     def merge(self, other: Compactor) -> Compactor:
         self.n += other.n
         self.low, self.high = min(self.low, other.low), max(self.high, other.high)
@@ -465,8 +482,9 @@ def tree_merge(df: DataFrame, column: str, make: Callable[[], Summary], fan_in:
         summary = make()
         if hasattr(summary, "rng"):  # partitions draw independently
             summary.rng = np.random.default_rng([233, TaskContext.get().partitionId()])
+        take = getattr(summary, "absorb", summary.update)
         for pdf in batches:
-            summary.update(pdf[column].to_numpy(np.float64))
+            take(pdf[column].to_numpy(np.float64))
         yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "state": [summary.to_bytes()]})
 
     def merged(group: pd.DataFrame) -> pd.DataFrame:

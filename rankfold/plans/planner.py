@@ -26,6 +26,7 @@ SIMULATED = 256
 COARSE = 5
 
 
+@lru_cache(1024)
 def capacities(levels: int, slots: int, least: int = 3) -> list[int]:
     """Slots of each level, lowest first: shares fall by 2/3 per level downwards, none under ``least``."""
     shares = [(2 / 3) ** (levels - 1 - i) for i in range(levels)]

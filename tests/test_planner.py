@@ -66,6 +66,22 @@ def test_planning_does_not_follow_the_rows(monkeypatch):
         assert 0.5 <= P.best_pr(n, slots, m).pr < 1
 
 
+@pytest.mark.parametrize("random_parity", [True, False])
+def test_absorbed_batches_take_few_compactions(random_parity):
+    x = np.random.default_rng(8).gamma(2.0, size=200_000)
+    for records in (0, 64):
+        state = Compactor(512, random=random_parity, records=records)
+        for batch in np.array_split(x, 20):
+            state.absorb(batch)
+        assert state.n == len(x) and state._held() < 512 and state.low == x.min() and state.high == x.max()
+        assert sum(state.compactions) < 20 * 40 and state.error(1.0) < 0.02 * len(x)
+        for v in np.quantile(x, [0.0, 0.1, 0.5, 0.99, 1.0]):
+            off = abs(state.rank(v) - int((x <= v).sum()))
+            assert off <= (state.error_at(v, 1.0) if records else state.error(1.0))
+    small = Compactor(512).absorb(x[:511])
+    assert small.exact() and small.at(7) == np.sort(x[:511])[6]
+
+
 def test_bound_coverage():
     r = np.random.default_rng(7)
     misses = 0
