@@ -6,6 +6,7 @@ Bounds are literals of the plan, so every evaluation of it deals its rows the sa
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,16 +27,22 @@ def count_upto(bounds: Column, n: int, key: Column) -> Column:
     return F.aggregate(jumps, F.lit(0), step) if n else F.lit(0)
 
 
-#: Up to so many bounds are a tree of comparisons in the generated code; more are one literal array, searched by halving.
+#: Up to so many bounds are a tree of comparisons in the generated code; of more, a tree finds the block that a key is in.
 TREE = 128
 
 
 def _upto(bounds: list[Column], key: Column) -> Column:
+    size = max(1, -(-len(bounds) // TREE))
+    ends = bounds[size - 1 :: size]
+
     def tree(a: int, b: int) -> Column:
         m = (a + b) // 2
-        return F.lit(a) if a == b else F.when(key >= bounds[m], tree(m + 1, b)).otherwise(tree(a, m))
+        return F.lit(a * size) if a == b else F.when(key >= ends[m], tree(m + 1, b)).otherwise(tree(a, m))
 
-    return tree(0, len(bounds)) if len(bounds) <= TREE else count_upto(F.array(*bounds), len(bounds), key)
+    at = tree(0, len(ends))
+    # the few bounds of that block are looked at one by one, also in the generated code; none beyond the last is at most the key
+    every = F.array(*bounds)
+    return reduce(lambda upto, k: upto + F.coalesce((F.get(every, at + k) <= key).cast("int"), F.lit(0)), range(size - 1), at)
 
 
 def range_part(df: DataFrame, *order: str) -> Column:

@@ -182,14 +182,14 @@ def cluster_rank_bounds(clusters: DataFrame, x: float) -> DataFrame:
 def page_histogram(pages: DataFrame, page: str, col: str, every: int, start: int = 1, cells: int = 8) -> DataFrame:
     """(page, step, lo, hi, counts): order statistics ``start``, ``start + every``, ... of each page and counts in equal cells between.
 
-    Values are integers; a cell is floor((hi - lo) / cells) + 1 wide.  Pages are bounded, so a page is one window.
+    Values are integers; a cell is floor((hi - lo) / cells) + 1 wide.  Pages are bounded, so a page is one window; rows are dealt by page once.
     """
-    w = Window.partitionBy(page).orderBy(col)
     placed = pages.where(F.col(col).isNotNull()).select(page, F.col(col).cast("long").alias("v")).withColumn("r", F.row_number().over(Window.partitionBy(page).orderBy("v")))
     placed = placed.withColumn("step", F.greatest(F.floor((F.col("r") - start) / every), F.lit(0)))
-    bounds = placed.groupBy(page, "step").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    step = Window.partitionBy(page, "step")
+    bounded = placed.withColumn("lo", F.min("v").over(step)).withColumn("hi", F.max("v").over(step))
     cell = F.floor((F.col("v") - F.col("lo")) / (F.floor((F.col("hi") - F.col("lo")) / cells) + 1))
-    counts = placed.join(bounds, [page, "step"]).groupBy(page, "step", "lo", "hi", cell.alias("cell")).agg(F.count("*").alias("n"))
+    counts = bounded.groupBy(page, "step", "lo", "hi", cell.alias("cell")).agg(F.count("*").alias("n"))
     return counts.groupBy(page, "step", "lo", "hi").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("cell", "n"))).alias("counts"))
 
 
@@ -200,7 +200,8 @@ def may_hold(histogram: DataFrame, lo: float, hi: float) -> DataFrame:
 
 def combine_histograms(histogram: DataFrame, clusters: int) -> DataFrame:
     """(cluster, n, lo, hi): the steps of all pages in order, merged to about ``clusters`` clusters of equal count."""
-    steps = histogram.select("page_id", "step", "lo", "hi", "n")
+    # the histogram is small beside its rows, and is read for its ranges, their sums and the result
+    steps = held(histogram.select("page_id", "step", "lo", "hi", "n"))
     total = steps.agg(F.sum("n").alias("total"))
     placed = running_sum(steps, "lo", "hi", "page_id", "step", value="n", name="upto").crossJoin(F.broadcast(total))
     cluster = F.floor((F.col("upto") - F.col("n")) * F.lit(clusters) / F.col("total")).cast("long")
@@ -211,8 +212,10 @@ def rank_bounds(histogram: DataFrame, ranks: Sequence[int], cells: int = 8, page
     """(k, least, greatest, wide_least, wide_greatest): values that enclose the value of each rank (from 1), by the pages' steps and their cells.
 
     At least k values are at most x once cells that end by x hold k; fewer than k are, while cells that begin by x
-    hold fewer.  The wide bounds are those by steps alone.  A rank beyond all values gives nulls.
+    hold fewer.  The wide bounds are those by steps alone.  A rank beyond all values gives nulls.  The histogram is read a dozen
+    times, so it is cached; it is small beside its rows.
     """
+    histogram = held(histogram)
     width = F.floor((F.col("hi") - F.col("lo")) / cells) + 1
     begin = F.col("lo") + F.col("c.cell") * width
     parts = {

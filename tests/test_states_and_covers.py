@@ -275,3 +275,24 @@ def test_cells_enclose_ranks_more_closely_than_steps(spark):
         assert b["wide_least"] <= b["least"] <= sorted(x)[k - 1] <= b["greatest"] <= b["wide_greatest"]
     assert got[1000]["greatest"] - got[1000]["least"] < 0.5 * (got[1000]["wide_greatest"] - got[1000]["wide_least"])
     assert got[2001]["least"] is None and got[2001]["greatest"] is None
+
+
+def test_page_histograms_deal_their_rows_once(spark):
+    df = spark.range(2000).select(F.floor(F.col("id") / 200).cast("long").alias("page_id"), (F.col("id") * 7919 % 1009).alias("v"))
+    histogram = summaries.page_histogram(df, "page_id", "v", 25)
+    plan = histogram._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1
+    # bounds and clusters read the histogram many times, its rows once
+    for read in (summaries.rank_bounds(histogram, [1, 1000]), summaries.combine_histograms(histogram, 4)):
+        assert "InMemoryTableScan" in read._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("n", [0, 1, 128, 129, 300])
+def test_places_among_many_bounds(spark, n):
+    from rankfold.functions import places
+
+    bounds = [3 * k for k in range(n)]
+    rows = spark.range(-5, 3 * n + 9).select("id", F.when(F.col("id") != 7, F.col("id")).alias("key"))
+    got = rows.select("key", places._upto([F.lit(b).cast("long") for b in bounds], F.col("key")).alias("at"))
+    assert all(r["at"] == (0 if r["key"] is None else sum(b <= r["key"] for b in bounds)) for r in got.collect())
+    assert "aggregate(" not in got._jdf.queryExecution().analyzed().toString()  # nothing interpreted for a row
