@@ -44,7 +44,8 @@ def roll_up(pages: DataFrame, fan: int = 8, levels: int = 3, k: int | None = Non
     ``k`` is the parameter of the merged sketches; a smaller one than the pages' makes them smaller.  With ``ratio`` it
     is multiplied by that at each level, so a node's sketch takes that share of what its parts' would as one.
     """
-    level = pages.withColumn("level", F.lit(0)).withColumnRenamed("page_id", "node_id")
+    # every level reads the pages, and they are much smaller than their rows
+    level = held(pages).withColumn("level", F.lit(0)).withColumnRenamed("page_id", "node_id")
     out = level
     for at in range(1, levels + 1):
         merged = f"kll_merge_agg_double(sketch, {max(8, min(65_535, int(k * ratio**at)))})" if k else "kll_merge_agg_double(sketch)"
@@ -83,7 +84,7 @@ def cover_with_overlap(nodes: DataFrame, pages: DataFrame, lo, hi, fan: int = 8)
     ``merged`` nodes lie inside and overlap no page outside themselves, while their parents do not; all other pages that
     touch the range are read (``raw``).
     """
-    nodes, pages = held(nodes), held(pages)
+    pages, nodes = held(pages), held(nodes)
     good = held(clean_nodes(nodes, pages, fan).where((F.col("min_t") >= lo) & (F.col("max_t") < hi) & F.col("clean")))
     # a node goes if any node above it is taken; levels are few
     levels = sorted(r["level"] for r in nodes.select("level").distinct().collect())

@@ -296,3 +296,10 @@ def test_places_among_many_bounds(spark, n):
     got = rows.select("key", places._upto([F.lit(b).cast("long") for b in bounds], F.col("key")).alias("at"))
     assert all(r["at"] == (0 if r["key"] is None else sum(b <= r["key"] for b in bounds)) for r in got.collect())
     assert "aggregate(" not in got._jdf.queryExecution().analyzed().toString()  # nothing interpreted for a row
+
+
+def test_levels_read_pages_and_not_their_rows(spark):
+    rows = spark.range(900).select(F.col("id"), (F.col("id") * 10).alias("t"), F.col("id").cast("double").alias("v"))
+    nodes = synopsis.roll_up(synopsis.synopsis(synopsis.paged(rows, "id", rows=10), "t", "v", k=8), fan=3, levels=2)
+    plan = nodes._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("InMemoryTableScan") >= 3 and nodes.where("level = 2").agg(F.sum("n")).first()[0] == 900
